@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import chosen_path
+from vectide.llm import chosen_path, fingerprints, resharding, token_counts
 from vectide.llm.common import table
 
 
@@ -12,5 +12,22 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.reshard(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op4_fingerprints": op4_fingerprints,
+    "op8_sharding": op8_sharding,
+    "op9_token_counts": op9_token_counts,
+}
 ORACLES: dict[str, str] = {}
