@@ -1,4 +1,57 @@
-STAGES = []
+"""The corpus pipeline: from raw documents to packed training sequences."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vectide.llm import chosen_path, decontaminate, packing, quality, secrets
+from vectide.llm.common import materialise, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    verdict = quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("__id"))
+    return docs.join(verdict.distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    copies = chosen_path.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(copies.distinct(), F.col("doc_id") == F.col("__id"), "left_anti").dropDuplicates(["doc_id"])
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    held = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"))
+    return docs.join(held.distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their secrets replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the documents' pieces in sequences of at most 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near dedup", near_dedup_stage),
+    ("decontamination", decontaminate_stage),
+    ("secret scans", secrets_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL expresses neither the classifier nor the packing; the stages are tested one by one.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import chosen_path, fingerprints, resharding, token_counts
+from vectide.llm import chosen_path, decontaminate, fingerprints, langid, packing, quality, resharding, secrets, suffix_dedup, token_counts
 from vectide.llm.common import table
 
 
@@ -12,10 +12,30 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard(table(spark, sf_dir, "documents"))
 
@@ -24,10 +44,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op1_near_dedup": op1_near_dedup,
-    "op4_fingerprints": op4_fingerprints,
-    "op8_sharding": op8_sharding,
-    "op9_token_counts": op9_token_counts,
-}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_suffix_dedup, op4_fingerprints, op5_secrets, op6_quality, op7_decontaminate, op8_sharding, op9_token_counts, op10_langid)}
 ORACLES: dict[str, str] = {}
