@@ -45,6 +45,7 @@ def test_a_large_node_still_finds_every_link(spark):
             words = base[:150] + [str(rng.randrange(10**6)) for _ in range(60)]
         texts[n] = " ".join(words[:-1] + [str(n)])
     check(spark, texts, small=4, depth=2)
+    check(spark, texts, small=4, depth=1)
 
 
 def test_empty_table(spark):

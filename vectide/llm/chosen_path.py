@@ -8,11 +8,13 @@ with three branches and three trees a pair at the threshold of 0.85 is missed
 at the first level with probability 0.15**9, about 4e-8.
 
 Three things keep it whole at scale. Equal sets collapse first and take part
-once. In every node all members are tried against the smallest id, and only
-documents that are then still in different components are compared pairwise,
-so a group of thousands of near copies costs one comparison each. Nodes that
-stay large after ``depth`` levels, and still hold several components, are
-compared in full, without a cap. Every link is confirmed on the full sets.
+once. In every node all members are tried against the smallest id, and
+components are carried along: a node whose members are all in one component is
+closed, so a group of thousands of near copies costs one comparison each.
+Open nodes that are small, or that stay large at the last level, are compared
+exhaustively, in tiles of a bounded number of documents and without a cap;
+only documents whose sketch comes near one of another component take part.
+Every link is confirmed on the full sets.
 
 Nulls and empty texts have no shingles and are linked with nothing. Repeated
 rows of the same doc_id have equal sets. Other columns are ignored.
@@ -32,8 +34,11 @@ from vectide.llm.common import lists, materialise, minhashes, shingle_hashes, sl
 from vectide.llm.components import components
 
 TOKENS = 32
-BITS = 128
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, tokens array<int>, bits_a long, bits_b long"
+BITS = 256
+SKETCH = [f"bits_{k}" for k in range(BITS // 64)]
+SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, tokens array<int>, " + ", ".join(f"{c} long" for c in SKETCH)
+#: Documents in a block; two blocks are compared together.
+TILE = 128
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -53,15 +58,14 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
                 part.column("doc_id"),
                 *(pa.array(x.view(np.int64)) for x in (size, key_a, key_b)),
                 lists(least[:, :TOKENS].view(np.int32), TOKENS, pa.int32()),
-                pa.array(low[:, 0]),
-                pa.array(low[:, 1]),
+                *(pa.array(low[:, k]) for k in range(len(SKETCH))),
             ],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "tokens", "bits_a", "bits_b"],
+            names=["doc_id", "n_shingles", "set_a", "set_b", "tokens", *SKETCH],
         )
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Set size, set hash, minwise tokens and a 128-bit sketch of every document."""
+    """Set size, set hash, minwise tokens and a 256-bit sketch of every document."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_signatures, width=width), SIGNATURE)
 
 
@@ -100,60 +104,114 @@ def _children(path: Column, tree: Column, branches: int) -> Column:
     return F.array(*[F.xxhash64(path, tree, p, F.element_at("tokens", p + 1)) for p in picks])
 
 
-def links(docs: DataFrame, sigs: DataFrame, percent: int, width: int = 5, branches: int = 3, trees: int = 3, depth: int = 6, small: int = 48) -> DataFrame:
+def links(docs: DataFrame, sigs: DataFrame, percent: int, width: int = 5, branches: int = 3, trees: int = 3, depth: int = 4, small: int = 96) -> DataFrame:
     """``(id, component)`` of the documents that have at least one link.
 
-    sigs: signatures of documents with different, non-empty sets.
+    sigs: signatures of documents with different, non-empty sets. The root has
+    ``branches`` children in each tree, other nodes two.
     """
     j = percent / 100
-    most = int(BITS * (1 - j) / 2 + 5 * (BITS * (1 - j) / 2 * (1 + j) / 2) ** 0.5)
-    alike = (
-        (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("o.bits_a"))) + F.bit_count(F.col("bits_b").bitwiseXOR(F.col("o.bits_b"))) <= most)
-        & (F.least("n", "o.n") * 100 >= F.greatest("n", "o.n") * percent)
-    )
-    base = sigs.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits_a", "bits_b", "tokens")
-    roots = base.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).withColumn("path", F.lit(0).cast("long"))
+    most = int(BITS * (1 - j) / 2 + 4.5 * (BITS * (1 - j) / 2 * (1 + j) / 2) ** 0.5)
+    apart_bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"o.{SKETCH[0]}"))))
+    alike = (apart_bits <= most) & (F.least("n", "o.n") * 100 >= F.greatest("n", "o.n") * percent)
+    base = sigs.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *SKETCH, "tokens")
+    # home: the component that the document is known to be in; itself at first
+    roots = base.withColumn("home", F.col("id")).withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).withColumn("path", F.lit(0).cast("long"))
     rows = roots.withColumn("path", F.explode(_children(F.col("path"), F.col("tree"), branches)))
-    verdicts = texts = None
-    level = 1
-    while True:
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min(F.struct("id", "n", "bits_a", "bits_b")).alias("o")).where("size > 1")
+    texts = known = None
+    leaves = []
+    me = ["id", "n", *SKETCH, "home"]
+    for level in range(1, depth + 1):
+        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min(F.struct(*me)).alias("o")).where("size > 1")
         met = materialise(rows.drop("tokens").join(sizes, "path"))
-        leads = met.where("id <> o.id").where(alike).select(F.col("o.id").alias("a"), F.col("id").alias("b")).distinct()
+        leads = materialise(met.where("home <> o.home").where(alike).select(F.col("o.id").alias("a"), F.col("id").alias("b")).distinct())
         if texts is None:
-            leads = materialise(leads)
-            some = _pairs(met.where(F.col("size") <= small), alike)
-            wanted = leads.select(F.explode(F.array("a", "b")).alias("id")).union(some.select(F.explode(F.array("a", "b")).alias("id"))).union(met.where(F.col("size") > small).select("id"))
+            some = _beside(met.drop("o").where(F.col("size") <= small), alike).select("id")
+            wanted = leads.select(F.explode(F.array("a", "b")).alias("id")).union(some).union(met.where(F.col("size") > small).select("id"))
             texts = materialise(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted.distinct(), "id", "left_semi"))
-        verdicts, known = _judge(leads, verdicts, texts, width, percent)
-        last = level >= depth
-        grouped = met.drop("o").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = grouped.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("path")
-        apart = materialise(grouped.join(mixed, "path"))
-        rest = _pairs(apart if last else apart.where(F.col("size") <= small), alike, F.col("component") != F.col("o.component"))
-        verdicts, known = _judge(rest, verdicts, texts, width, percent)
+        known = _merge(known, confirm(leads, texts, width, percent).where("linked").select("a", "b"))
+        told = _at_home(met.drop("o"), known)
+        mixed = told.groupBy("path").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("path")
+        apart = materialise(told.join(mixed, "path"))
+        last = level == depth
+        leaves.append(apart if last else apart.where(F.col("size") <= small))
         big = apart.where(F.col("size") > small)
         if last or big.isEmpty():
-            return known
-        grown = big.select("path", "tree", "id").join(base, "id")
-        rows = materialise(grown.withColumn("path", F.explode(_children(F.col("path"), F.col("tree"), branches))))
-        level += 1
-
-
-def _pairs(rows: DataFrame, alike: Column, also: Column | None = None) -> DataFrame:
-    """The pairs ``a < b`` of rows in one node that pass the sketch, each once."""
-    o = rows.select("path", F.struct(*[c for c in rows.columns if c not in ("path", "tree", "size", "o")]).alias("o"))
-    met = rows.drop("o").join(o, "path").where(F.col("id") < F.col("o.id")).where(alike)
-    return (met if also is None else met.where(also)).select(F.col("id").alias("a"), F.col("o.id").alias("b")).distinct()
-
-
-def _judge(pairs: DataFrame, verdicts: DataFrame | None, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Judge the pairs that no earlier step judged; components of all links so far."""
-    if verdicts is not None:
-        pairs = pairs.join(verdicts, ["a", "b"], "left_anti")
-    new = materialise(confirm(pairs, texts, width, percent))
-    verdicts = new if verdicts is None else verdicts.unionByName(new)
-    return verdicts, components(verdicts.where("linked").select("a", "b"))
+            break
+        grown = big.select("path", "tree", "id", "home").join(base, "id")
+        rows = materialise(grown.withColumn("path", F.explode(_children(F.col("path"), F.col("tree"), 2))))
+    near = leaves[0]
+    for more in leaves[1:]:
+        near = near.unionByName(more)
+    near = _beside(_at_home(near, known), alike)
+    sizes = near.groupBy("path").agg(F.count("*").alias("size"))
+    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    tiled = near.select("path", "id").distinct().join(sizes, "path").withColumn("blocks", blocks).withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiles = tiled.select("path", "id", "own", other).select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "id")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = tiles.join(texts, "id").select("tile", "id", "text").repartition(parts, "tile").sortWithinPartitions("tile")
+    return _merge(known, filled.mapInArrow(partial(_tiles, width=width, percent=percent), "a long, b long"))
+
+
+def _at_home(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with the component of each document as its home."""
+    return rows.drop("home").join(known, "id", "left").withColumn("home", F.coalesce("component", "id")).drop("component")
+
+
+def _beside(rows: DataFrame, alike: Column) -> DataFrame:
+    """The rows with another row in their node that passes the sketch and has another home."""
+    o = rows.select(F.col("path").alias("__path"), F.struct("id", "n", *SKETCH, "home").alias("o"))
+    return rows.join(o, (F.col("path") == F.col("__path")) & (F.col("home") != F.col("o.home")) & alike, "left_semi")
+
+
+def _merge(known: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Components of what is known and new links ``(a, b)``."""
+    edges = new if known is None else new.union(known.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return materialise(components(edges))
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links among the documents of each tile; rows come sorted by tile."""
+    ids: list[int] = []
+    sets: list[np.ndarray] = []
+    now = None
+    for part in slices(batches, "text"):
+        shingles, limits = shingle_hashes(part.column("text"), width)
+        for i, (tile, doc) in enumerate(zip(part.column("tile").to_pylist(), part.column("id").to_pylist())):
+            if tile != now:
+                yield _forest(ids, sets, percent)
+                ids, sets, now = [], [], tile
+            ids.append(doc)
+            sets.append(np.unique(shingles[limits[i] : limits[i + 1]]))
+    yield _forest(ids, sets, percent)
+
+
+def _forest(ids: list[int], sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    """Edges that join the documents whose full sets are linked, one fewer than each group has."""
+    edges = []
+    if len(ids) > 1:
+        sizes = np.array([len(s) for s in sets])
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        shared = count[code] > 1
+        code, owner = code[shared], owner[shared]
+        if len(code):
+            _, code = np.unique(code, return_inverse=True)
+        both = np.zeros((len(ids), len(ids)))
+        for low in range(0, code.max() + 1 if len(code) else 0, 8192):
+            here = (code >= low) & (code < low + 8192)
+            cells = np.zeros((len(ids), 8192), dtype=np.float32)
+            cells[owner[here], code[here] - low] = 1
+            both += cells @ cells.T
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        root = np.arange(len(ids))
+        for i, k in np.argwhere(np.triu(linked, 1)):
+            if root[i] != root[k]:
+                edges.append((ids[i], ids[k]))
+                root[root == root[k]] = root[i]
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, **tree: int) -> DataFrame:
