@@ -158,10 +158,10 @@ def a02_moments(spark: Spark, sf: str) -> Frame:
     return group_moments(spark, sf).select(*KEYS, "n", *flat("s1"), *flat("s2"))
 
 
-@query(with_(CELLS, sql_moments("brand")) + f"SELECT brand, n, {ks('round(a#, 4) + 0.0 AS s1_#')} FROM mom")
+@query(with_(CELLS, sql_moments("brand")) + f"SELECT brand, n, {ks('round(a#, 6) + 0.0 AS s1_#')} FROM mom")
 def a03_merge_moments(spark: Spark, sf: str) -> Frame:
     parts = group_moments(spark, sf, ["brand", "plate", "line"])
-    return M.merge_moments(parts, ["brand"], D).select("brand", "n", *[(F.round(F.col("s1")[k], 4) + 0.0).alias(f"s1_{k + 1}") for k in range(D)])
+    return M.merge_moments(parts, ["brand"], D).select("brand", "n", *flat("s1"))
 
 
 @query(MOM + f"SELECT brand, band, line, {ks('round(a# / n, 6) + 0.0 AS mu_#')} FROM mom")
