@@ -78,7 +78,7 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, coverage)`` of every document and item that it holds."""
+    """``(doc_id, item_id, coverage)`` of every document and item that it holds; clean documents have no row."""
     known = items(benchmark).cache()
     lengths = sorted(r.width for r in known.select("width").distinct().collect())
     empty = docs.select(F.col("doc_id"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("coverage")).where("false")
