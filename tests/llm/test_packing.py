@@ -2,8 +2,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from vectide.llm.packing import default_path, pack, plan, tokenizer
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from vectide.llm.packing import UnitIds, default_path, pack, plan, tokenizer
 
 
 def whole(text):
@@ -76,5 +79,12 @@ def best_fit_decreasing(histogram, capacity=4096):
     return bins
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abSİΣſßé'’.,!|<>0²ªǅ e\n\u0301\u0085st")), max_size=20))
+def test_units_have_the_ids_of_the_text(text):
+    ids, limits = UnitIds(default_path()).of(pa.array([text, "x."], pa.large_string()), 1)
+    assert ids[: limits[1]].tolist() == whole(text)
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0

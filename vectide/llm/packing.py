@@ -25,6 +25,7 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql.window import Window
 
 from vectide.llm.common import materialise, slices
 
-KEEP_UNITS = 250_000
+KEEP_UNITS = 300_000
 
 
 def default_path() -> str:
@@ -56,11 +57,27 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _byte_signs() -> list[str]:
+    """The visible sign that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+BYTE_SIGNS = _byte_signs()
+
+
 class UnitIds:
     """Ids of the space-free units of texts, kept in one flat array.
 
     The tokenizer drops white space and never joins over it, so the ids of a
-    text are those of its units in order.
+    text are those of its units in order. It also parts a run of letters from
+    the signs behind it: such a unit is its word and its signs, and a word
+    of simple letters goes straight to the merges. Other units go to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -69,8 +86,31 @@ class UnitIds:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, dtype=np.uint32)
-        self.start, self.used = [0], 0
+        self.words: dict[str, list[int]] = {}
+        self.flat = np.zeros(0, dtype=np.uint32)
+        self.start = np.zeros(1, dtype=np.int64)
+
+    def encode(self, units: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        slow = []
+        merges = tokenizer(self.path).model
+        for u in units:
+            word = u.rstrip(SIGNS)
+            signs = u[len(word) :]
+            if signs[:1] == "'" or (word and not (word.isalpha() and max(word) < "\u0180" and "\u0130" not in word)) or "<|" in signs:
+                slow.append(len(out))
+                out.append(None)
+                continue
+            word = word.lower()
+            if (ids := self.words.get(word)) is None:
+                spelt = word if word.isascii() else "".join(BYTE_SIGNS[b] for b in word.encode())
+                ids = self.words[word] = [t.id for t in merges.tokenize(spelt)] if word else []
+            if signs and (more := self.words.get(signs)) is None:
+                more = self.words[signs] = tokenizer(self.path).encode(signs, add_special_tokens=False).ids
+            out.append(ids + more if signs else ids)
+        for i, e in zip(slow, tokenizer(self.path).encode_batch_fast([units[i] for i in slow], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
 
     def of(self, texts: pa.LargeStringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each closed by ``end``, and their limits."""
@@ -80,15 +120,11 @@ class UnitIds:
         if len(self.place) > KEEP_UNITS:
             self.clear()
         new = [u for u in units if u not in self.place]
-        for u, e in zip(new, tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), dtype=np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.place[u] = len(self.start) - 1
-            self.start.append(self.used)
-        start = np.array(self.start, dtype=np.int64)
+        ids = self.encode(new)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))])
+        start = self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
         at = np.fromiter((self.place[u] for u in units), dtype=np.int64, count=len(units))[codes]
         size = start[at + 1] - start[at]
         offsets = split.offsets.to_numpy().astype(np.int64)
@@ -218,13 +254,17 @@ class Plan:
             rank, count = rank + n, count - n
 
 
-def plan(histogram: dict[int, int], capacity: int = 4096, groups: tuple[int, ...] = (0, 24, 64), large: int = 8) -> Plan:
+#: (groups, share): lengths above capacity / share are large. The last has no groups: best fit alone.
+SCHEMES = ((24, 4), (12, 6), (64, 8), (0, 1))
+
+
+def plan(histogram: dict[int, int], capacity: int = 4096, schemes: tuple[tuple[int, int], ...] = SCHEMES) -> Plan:
     """Places for ``histogram[length]`` pieces of each length.
 
-    More groups round less and leave more over; the count of groups that needs
-    the fewest sequences is taken. 0 groups leave everything to best fit.
+    More groups round less and leave more over, and small documents fill what
+    rounding wastes; the first scheme that needs the fewest sequences is taken.
     """
-    return min((_grouped(histogram, capacity, n, large) for n in groups), key=lambda p: p.sequences)
+    return min((_grouped(histogram, capacity, *scheme) for scheme in schemes), key=lambda p: p.sequences)
 
 
 def _grouped(histogram: dict[int, int], capacity: int, groups: int, large: int) -> Plan:
