@@ -104,7 +104,7 @@ def _children(path: Column, tree: Column, branches: int) -> Column:
     return F.array(*[F.xxhash64(path, tree, p, F.element_at("tokens", p + 1)) for p in picks])
 
 
-def links(docs: DataFrame, sigs: DataFrame, percent: int, width: int = 5, branches: int = 3, trees: int = 3, depth: int = 4, small: int = 96) -> DataFrame:
+def links(docs: DataFrame, sigs: DataFrame, percent: int, width: int = 5, branches: int = 3, trees: int = 3, depth: int = 4, small: int = 512) -> DataFrame:
     """``(id, component)`` of the documents that have at least one link.
 
     sigs: signatures of documents with different, non-empty sets. The root has
