@@ -53,3 +53,42 @@ def test_empty_tables(spark):
     assert judge(none, bench).count() == 0
     assert judge(none, bench.limit(0)).count() == 0
     assert not judge(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), bench.limit(0)).first().contaminated
+
+
+def test_edited_partial_and_slot_heavy_copies(spark):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re", "so", "ta", "vu", "wo", "xa") for b in "bcdfghjklmnpqrst"]
+    mixed = words[:10] + ["with 5 apples and 7 pears"] + words[10:24]
+    repeated = "add 5 apples to the big blue basket then add 7 apples to the big blue basket then " + " ".join(words[100:124])
+    bench = {
+        1: " ".join(words[:40]),
+        2: " ".join(words[40:100]),
+        3: " ".join(words),
+        4: "What is 17 + 25?",
+        5: "Who is Ada Lovelace?",
+        6: "Compute 12 * 13 - 4 / 2 + 9 * 3",
+        7: " ".join(mixed),
+        8: repeated,
+        9: "ha " * 40,
+    }
+    filler = "some other prose that goes on and on "
+    texts = {
+        1: " ".join([*words[:20], "zig", *words[20:40]]),
+        2: " ".join([*words[40:70], *words[71:100]]),
+        3: filler + " ".join(words[105:155]) + " " + filler,
+        4: filler + bench[4],
+        5: "they asked " + bench[5],
+        6: filler + bench[6] + " and so on",
+        7: " ".join(mixed).replace("7", "5"),
+        8: " ".join(mixed).replace(words[15], "Zed"),
+        9: filler + repeated,
+        10: "What is 18 + 26?",
+        11: filler + "ha " * 8,
+        12: " ".join(words[105:125]),
+    }
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()] + [(None, texts[1]), (None, filler)], "doc_id long, text string")
+    got = {}
+    for r in matches(docs, spark.createDataFrame(list(bench.items()), "item_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.item_id)
+    want = {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 8, None: 1}
+    assert {d: i for d, i in want.items() if i not in got.get(d, ())} == {}
+    assert {10, 11, 12}.isdisjoint(got)

@@ -3,15 +3,18 @@
 Texts become templates: numbers, names (capitalised words inside a sentence)
 and units turn into typed placeholders that keep their value beside them.
 Windows of eight template tokens are joined by hash with those of the
-benchmark. A document holds an item if, at one alignment, at least half of the
-item's windows meet and the placeholders' values map one to one between the two:
-so a question with other numbers is caught, and a chance meeting of templates
-whose slots contradict each other is not.
+benchmark. A document holds an item if at least half of the item's windows meet
+at one alignment, or at neighbouring ones (a quarter of the item apart at most,
+so words may be added or dropped), or if a run of thirty tokens meets at one
+alignment. Inside the windows that meet, each slot value of the item must stand
+for one value of the document: so a question with other numbers is caught, and
+a chance meeting of templates whose slots contradict each other is not.
 
 Items of fewer than eight tokens are one window of their own length. Windows
-with fewer than four plain words (all, if shorter) are too common to count and are left
-out. Null and empty texts hold nothing; null or empty items are never held.
-Repeated rows are judged once per doc_id; other columns are ignored.
+with fewer than four plain words (all, if shorter) are common as templates and
+are hashed with their values, so a verbatim item is always held. Null and empty
+texts hold nothing; null or empty items are never held. Rows are judged by
+doc_id and text, null doc_ids like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +24,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectide.llm.common import materialise
+
 WIDTH = 8
 LITERALS = 4
 SHARE = 0.5
+RUN = 30
+#: What may stand before an item and change its first token: a word makes it a name, a number a unit.
+BEFORE = ("a ", "1 ")
 #: Benchmarks of at most so many windows are sent to every executor (16 bytes and a few numbers each).
 BROADCAST_WINDOWS = 500_000
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|h|hr|hrs|min|s|sec|ms|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|feet|inches|percent|dollars?|euros?|degrees?"
@@ -60,40 +68,53 @@ def _window_hash(tokens: Column, n: int) -> Callable[[Column], Column]:
     return lambda i: F.xxhash64(F.lit(n), F.slice(tokens, i + 1, n))
 
 
-def _windows(tokens: Column, lengths: list[int]) -> Column:
+def _chosen_hash(tokens: Column, slots: Column, n: int) -> Callable[[Column], Column]:
+    """The hash of the template at a place, or of the values where too few words are plain."""
+    heavy = lambda i: F.size(F.filter(F.slice(tokens, i + 1, n), _slot)) > n - min(LITERALS, n)
+    return lambda i: F.when(heavy(i), _window_hash(slots, n)(i)).otherwise(_window_hash(tokens, n)(i))
+
+
+def _windows(tokens: Column, slots: Column, n_slots: Column, lengths: list[int]) -> Column:
     """``(pos, hash)`` of the windows of each length."""
     parts = []
     for n in lengths:
         at = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, _window_hash(tokens, n)))
+        parts.append(F.when(n_slots <= n - min(LITERALS, n), F.transform(at, _window_hash(tokens, n))).otherwise(F.transform(at, _chosen_hash(tokens, slots, n))))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """Items by id with their tokens, values and window length."""
+    """Items by id with their tokens, values and window length; ``firsts`` are other forms of the first window."""
     one = benchmark.where("item_id is not null").groupBy("item_id").agg(F.max(F.col("text").cast("string")).alias("text"))
-    marks = one.select("item_id", marked(F.col("text")).alias("marks"))
-    out = marks.select("item_id", template(F.col("marks")).alias("tokens"), values(F.col("marks")).alias("slots"))
-    return out.where(F.size("tokens") > 0).withColumn("width", F.least(F.size("tokens"), F.lit(WIDTH)))
+    marks = one.select("item_id", marked(F.col("text")).alias("marks"), *[marked(F.concat(F.lit(b), "text")).alias(f"marks{i}") for i, b in enumerate(BEFORE)])
+    out = marks.select("item_id", *[f(F.col(f"marks{i}")).alias(f"{c}{i}") for i in ["", *range(len(BEFORE))] for c, f in (("tokens", template), ("slots", values))])
+    out = out.where(F.size("tokens") > 0).withColumn("width", F.least(F.size("tokens"), F.lit(WIDTH)))
+    firsts = F.array(*[F.struct(F.slice(f"tokens{i}", F.lit(2), F.col("width")).alias("t"), F.slice(f"slots{i}", F.lit(2), F.col("width")).alias("s")) for i in range(len(BEFORE))])
+    return out.select("item_id", "tokens", "slots", "width", F.size("tokens").alias("n_item"), firsts.alias("firsts"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, coverage)`` of every document and item that it holds; clean documents have no row."""
+def _item_windows(known: DataFrame) -> DataFrame:
+    """``(item_id, width, n_item, total, at, hash)`` of every window of the items."""
+    part = lambda c, i: F.slice(c, i + 1, F.col("width"))
+    every = F.transform(F.sequence(F.lit(0), F.col("n_item") - F.col("width")), lambda i: F.struct(i.alias("at"), part(F.col("tokens"), i).alias("t"), part(F.col("slots"), i).alias("s")))
+    first = F.transform("firsts", lambda f: F.struct(F.lit(0).alias("at"), f["t"].alias("t"), f["s"].alias("s")))
+    windows = known.select("item_id", "width", "n_item", (F.col("n_item") - F.col("width") + 1).alias("total"), F.explode(F.concat(every, first)).alias("w"))
+    heavy = F.size(F.filter("w.t", _slot)) > F.col("width") - F.least(F.lit(LITERALS), F.col("width"))
+    return windows.select("item_id", "width", "n_item", "total", "w.at", F.when(heavy, F.xxhash64("width", "w.s")).otherwise(F.xxhash64("width", "w.t")).alias("hash")).distinct()
+
+
+def held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, digest, item_id, coverage)`` of every row's id and ``text_digest`` and each item that it holds."""
     known = items(benchmark).cache()
     lengths = sorted(r.width for r in known.select("width").distinct().collect())
-    empty = docs.select(F.col("doc_id"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("coverage")).where("false")
     if not lengths:
-        return empty
-    wanted = known.select("item_id", "width", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("tokens") - F.col("width")), lambda i: F.slice("tokens", i + 1, F.col("width")))).alias("at", "window"))
-    plain = F.size(F.filter("window", lambda t: ~_slot(t)))
-    wanted = wanted.where(plain >= F.least(F.lit(LITERALS), F.col("width")))
-    windows = wanted.select("item_id", "at", F.xxhash64("width", "window").alias("hash"))
-    totals = windows.groupBy("item_id").agg(F.count("*").alias("total"))
-    windows = windows.join(F.broadcast(totals) if known.count() <= BROADCAST_WINDOWS else totals, "item_id")
+        return docs.select("doc_id", text_digest().alias("digest"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("coverage")).where("false")
+    windows = _item_windows(known)
     if windows.count() <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
-    marks = docs.where("doc_id is not null").select("doc_id", template(marked(F.col("text"))).alias("tokens"))
-    seen = marks.select("doc_id", F.size("tokens").alias("n"), F.posexplode(_windows(F.col("tokens"), lengths)).alias("k", "hash"))
+    marks = docs.select("doc_id", text_digest().alias("digest"), marked(F.col("text")).alias("marks"))
+    split = marks.select("doc_id", "digest", template(F.col("marks")).alias("tokens"), values(F.col("marks")).alias("slots"), F.regexp_count("marks", F.lit("[\x01-\x03]")).alias("n_slots"))
+    seen = split.select("doc_id", "digest", F.size("tokens").alias("n"), F.posexplode(_windows(F.col("tokens"), F.col("slots"), F.col("n_slots"), lengths)).alias("k", "hash"))
     met = seen.join(windows, "hash")
     if len(lengths) > 1:  # positions restart with each length
         first, before = F.lit(0), F.lit(0)
@@ -102,29 +123,65 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             first = F.when((F.col("k") >= before) & (F.col("k") < before + here), F.col("k") - before).otherwise(first)
             before = before + here
         met = met.withColumn("k", first)
-    lines = met.groupBy("doc_id", "item_id", "total", (F.col("k") - F.col("at")).alias("shift")).agg(F.count_distinct("at").alias("hits"))
-    likely = lines.where(F.col("hits") >= F.col("total") * SHARE).withColumn("coverage", F.col("hits") / F.col("total"))
+    row = ["doc_id", "digest", "item_id", "width", "n_item", "total"]
+    lines = met.groupBy(*row, (F.col("k") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    likely = _candidates(materialise(lines), row).withColumn("coverage", F.least(F.col("hits") / F.col("total"), F.lit(1.0)))
     slotted = known.where(F.exists("tokens", _slot)).select("item_id", "slots")
     if slotted.isEmpty():
         agreed = likely
     else:
+        likely = materialise(likely)
         free = likely.join(slotted.select("item_id"), "item_id", "left_anti")
-        open_ = likely.join(slotted, "item_id")
-        text = docs.select("doc_id", values(marked(F.col("text"))).alias("own"))
-        both = open_.join(text, "doc_id").withColumn("pair", _pairs(F.col("slots"), F.col("own"), F.col("shift")))
-        consistent = (F.size(F.array_distinct(F.transform("pair", lambda p: p["a"]))) == F.size("pair")) & (F.size(F.array_distinct(F.transform("pair", lambda p: p["b"]))) == F.size("pair"))
-        agreed = free.unionByName(both.where(consistent).select(*free.columns))
-    return agreed.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
+        open_ = likely.join(slotted, "item_id").withColumnsRenamed({"doc_id": "__id", "digest": "__digest"})
+        text = docs.select("doc_id", text_digest().alias("digest"), "text")
+        both = open_.join(text, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__digest") == F.col("digest")))
+        pairs = both.withColumn("own", values(marked(F.col("text")))).withColumn("pair", _pairs(F.col("slots"), F.col("own"), F.col("found"), F.col("width")))
+        one_each = F.size(F.array_distinct(F.transform("pair", lambda p: F.split_part(p, F.lit("\n"), F.lit(1))))) == F.size("pair")
+        agreed = free.unionByName(pairs.where(one_each).select(*free.columns))
+    return agreed.groupBy("doc_id", "digest", "item_id").agg(F.max("coverage").alias("coverage"))
+
+
+def text_digest() -> Column:
+    """Tells the texts of rows with one doc_id, or none, apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _candidates(lines: DataFrame, row: list[str]) -> DataFrame:
+    """``row``, hits and the windows found (``at``, ``shift``): of single alignments, runs, and neighbouring alignments."""
+    enough = F.col("hits") >= F.col("total") * SHARE
+    spot = lambda a: F.struct(a.alias("at"), F.col("shift"))
+    single = lines.withColumn("hits", F.size("ats")).where(enough).select(*row, "hits", F.transform("ats", spot).alias("found"))
+    runs = F.array_distinct(F.transform("ats", lambda a, i: a - i))
+    long_ = lines.where(F.size("ats") + F.col("width") - 1 >= RUN).select(*row, "shift", "ats", F.explode(runs).alias("run"))
+    long_ = long_.withColumn("ats", F.filter("ats", lambda a, i: a - i == F.col("run"))).withColumn("hits", F.size("ats"))
+    long_ = long_.where(F.col("hits") + F.col("width") - 1 >= RUN).select(*row, "hits", F.transform("ats", spot).alias("found"))
+    # two overlapping stretches of shifts, so that any two within the drift share one
+    drift = F.floor(F.col("n_item") / 4)
+    j = F.floor(F.col("shift") / drift)
+    near = lines.where(F.col("n_item") > WIDTH).select(*row, "shift", F.size("ats").alias("weight"), "ats", F.explode(F.array(j, j - 1)).alias("stretch"))
+    near = near.select(*row, "shift", "weight", "stretch", F.explode("ats").alias("at"))
+    # an item's window counts once, at its best alignment
+    near = near.groupBy(*row, "stretch", "at").agg(F.max(F.struct("weight", (-F.col("shift")).alias("back"))).alias("best"))
+    near = near.select(*row, "stretch", F.struct("at", (-F.col("best.back")).alias("shift")).alias("f"))
+    near = near.groupBy(*row, "stretch").agg(F.collect_list("f").alias("found"))
+    # and so does a document's window
+    near = near.withColumn("hits", F.size(F.array_distinct(F.transform("found", lambda f: f["at"] + f["shift"]))))
+    return single.unionByName(long_).unionByName(near.where(enough).select(*row, "hits", "found"))
+
+
+def _pairs(slots: Column, own: Column, found: Column, width: Column) -> Column:
+    """The distinct pairs of slot values inside the windows found: an item's, a line end, the document's."""
+    places = F.flatten(F.transform(found, lambda f: F.transform(F.sequence(f["at"], f["at"] + width - 1), lambda i: F.struct(F.get(slots, i).alias("a"), F.get(own, (i + f["shift"]).cast("int")).alias("b")))))
+    return F.array_distinct(F.transform(F.filter(places, lambda p: _slot(p["a"]) & p["b"].isNotNull()), lambda p: F.concat(p["a"], F.lit("\n"), p["b"])))
 
 
-def _pairs(slots: Column, own: Column, shift: Column) -> Column:
-    """The distinct pairs of slot values of an item and of the document beside it, of one type."""
-    at = F.transform(slots, lambda s, i: F.struct(s.alias("a"), F.get(own, (i + shift).cast("int")).alias("b")))
-    return F.array_distinct(F.filter(at, lambda p: _slot(p["a"]) & p["b"].isNotNull() & (F.substring(p["a"], 1, 1) == F.substring(p["b"], 1, 1))))
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, item_id, coverage)`` of every document and item that it holds; clean documents have no row."""
+    return held(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_id (the smallest held) and the greatest coverage, for each document."""
-    held = matches(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("item_id"), F.max("coverage").alias("coverage"))
-    out = docs.select("doc_id").join(held, "doc_id", "left")
+    found = matches(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("item_id"), F.max("coverage").alias("coverage"))
+    out = docs.select("doc_id").join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
