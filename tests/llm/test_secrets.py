@@ -69,3 +69,23 @@ def test_redaction_takes_effect_and_spares_the_rest(spark):
     assert all(r.n_chars == len(r.text or "") for r in got.values())
     assert sum(r.n_assign + r.n_access + r.n_hex + r.n_entropy for r in scan(redact(docs)).collect()) == 0
     assert scan(docs.limit(0)).count() == 0
+
+
+def test_slashes_letters_and_keys_around_base_spans(spark):
+    slashed = "q8Zt/LmP0xVbN7rK/2Ws5YhGt1QzE9uCj4DfA6k"
+    letters = "qWzXcVbKmLpRtYhGfDsJnBvAeUiO"
+    key = "q8Zt3LmP0xVbN7rKd2Ws5Yh" + "/" + "0a1b2c3d4e5f60718293a4b5" + "Zx9QwLk7"
+    texts = [
+        slashed,
+        letters,
+        key,
+        "src/main/java/org/apache/spark/MapStatus and /usr/lib/python3/site-packages/numpy",
+        "internationalization-of-many-words incomprehensibilities",
+        "MY_API_KEY=q8Zt3LmP0xVbN7rKd2Ws5Yh",
+    ]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert got[0] == got[1] == "see [SECRET] here"
+    assert got[2] == "see [SECRET][SECRET][SECRET] here"
+    assert got[3] == f"see {texts[3]} here" and got[4] == f"see {texts[4]} here"
+    assert got[5] == "see MY_[SECRET] here"

@@ -4,6 +4,8 @@ Three base kinds follow fixed patterns. Beside them, candidate strings (long
 runs of key signs) are judged by the Shannon entropy of a sliding window, kept
 up to date by incremental counts, with a threshold for each character class;
 an allow-list suppresses strings that are random by nature but no secrets.
+Words and paths of words have a threshold of their own, part by part. Of a
+candidate that holds base spans, the parts outside them are spans as well.
 
 Null texts count as empty and have no spans. Spans are in code points, end
 exclusive. Repeated rows give repeated results; other columns are ignored.
@@ -28,9 +30,13 @@ ALLOWED = [
     r"(?i)example|sample|placeholder|changeme|xxxx|abcdefgh|01234567",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
-    r"^[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*$",
-    r"/.*/",
 ]
+#: Parts between separators that are written like words; with digits behind them only in paths.
+SEPARATORS = "[-_/+=]"
+WORD = r"(?:[a-z]+(?:[A-Z]{1,5}[a-z]{2,}){0,6}|(?:[A-Z]{1,5}[a-z]{2,}){1,6}|[A-Z][a-z]|[A-Z]+)?"
+WORD_BITS = 3.9
+#: A part of a candidate beside a base span that is so short and written like a word is text.
+SHORT = 4
 
 SPANS = "array<struct<start:bigint,rank:int,end:bigint>>"
 
@@ -92,7 +98,45 @@ def _random(hit: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | hit.rlike(pattern)
-    return F.when(allowed, F.lit(False)).otherwise(window_entropy(hit) >= least)
+    path = _like_words(hit, digits=True) & (F.regexp_count(hit, F.lit("/")) >= 2)
+    by_part = F.exists(F.split(hit, SEPARATORS), lambda part: window_entropy(part) >= WORD_BITS)
+    judged = F.when(path | _like_words(hit), by_part).otherwise(window_entropy(hit) >= least)
+    return F.when(allowed, F.lit(False)).otherwise(judged)
+
+
+def _like_words(hit: Column, digits: bool = False) -> Column:
+    """Whether every part between separators is written like a word."""
+    return F.forall(F.split(hit, SEPARATORS), lambda part: part.rlike(f"^{WORD}{'[0-9]{0,6}' * digits}$"))
+
+
+def _outside(text: Column, base: Column, more: Column) -> Column:
+    """The candidates ``more`` without what base spans cover."""
+
+    def apart(m: Column) -> Column:
+        met = F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+        start = F.struct(m["start"].alias("at"), F.array().cast(SPANS).alias("out"))
+        cut = lambda at, to: F.array(F.struct(at.alias("start"), F.lit(3).alias("rank"), to.alias("end")))
+
+        def step(acc: Column, b: Column) -> Column:
+            out = F.when((b["start"] > acc["at"]) & _rest(_part(text, acc["at"], b["start"]), b["rank"] == 0), F.concat(acc["out"], cut(acc["at"], b["start"]))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+
+        def last(acc: Column) -> Column:
+            return F.when((m["end"] > acc["at"]) & _rest(_part(text, acc["at"], m["end"]), F.lit(False)), F.concat(acc["out"], cut(acc["at"], m["end"]))).otherwise(acc["out"])
+
+        return F.when(F.size(met) == 0, F.array(m)).otherwise(F.aggregate(met, start, step, last))
+
+    return F.flatten(F.transform(more, apart))
+
+
+def _part(text: Column, start: Column, end: Column) -> Column:
+    return text.substr((start + 1).cast("int"), (end - start).cast("int"))
+
+
+def _rest(part: Column, named: Column) -> Column:
+    """Whether what stands beside a base span belongs to the secret: separators, labels and the names of assignments do not."""
+    label = _like_words(part) & ((F.length(part) < SHORT) | part.rlike(f"{SEPARATORS}$") | named)
+    return ~(part.rlike(f"^{SEPARATORS}+$") | label | (_like_words(part, digits=True) & part.endswith("=")))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -109,7 +153,7 @@ def spans(docs: DataFrame) -> DataFrame:
         )
     )
     found = found.withColumns({"__base": base, "__more": _positions(F.col("__text"), CANDIDATE, F.col("__entropy"), 3, _random)})
-    apart = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    apart = _outside(F.col("__text"), F.col("__base"), F.col("__more"))
     return found.withColumn("__spans", F.array_sort(F.concat("__base", apart))).drop("__text", "__more", *[f"__{k}" for k in KINDS])
 
 
