@@ -1,4 +1,8 @@
-"""The corpus pipeline: from raw documents to packed training sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Rows are judged one by one, whatever their doc_id: those without one, and
+different texts under one doc_id, are kept or dropped for what they hold.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +13,42 @@ from vectide.llm import chosen_path, decontaminate, packing, quality, secrets
 from vectide.llm.common import materialise, table
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of each row's own, written so that it stays."""
+    return materialise(docs.withColumn("__key", F.monotonically_increasing_id()))
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """Keys in the place of doc_ids, for operators that tell rows apart by doc_id."""
+    return rows.select(F.col("__key").alias("doc_id"), "text")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    verdict = quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("__id"))
-    return docs.join(verdict.distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    rows = keyed(docs)
+    stats = materialise(quality.document_statistics(by_key(rows)))
+    ids = rows.select("__key", F.col("doc_id").cast("long").alias("doc_id"))
+    known = stats.withColumnRenamed("doc_id", "__key").join(ids, "__key")
+    verdict = quality.score(stats, quality.learn(known, table(spark, sf_dir, "labels"))).where("predicted = 1")
+    return rows.join(verdict.select(F.col("doc_id").alias("__key")), "__key", "left_semi").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    copies = chosen_path.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(copies.distinct(), F.col("doc_id") == F.col("__id"), "left_anti").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates: the one with the smallest id, null last."""
+    rows = keyed(docs)
+    found = chosen_path.near_duplicates(by_key(rows), percent=80).select(F.col("doc_id").alias("__key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
+    first = found.join(rows.select("__key", "doc_id"), "__key").groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = rows.join(first.select("first.__key"), "__key", "left_semi")
+    # texts too short to compare
+    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    held = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"))
-    return docs.join(held.distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    held = decontaminate.held(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (decontaminate.text_digest() == F.col("__digest"))
+    return docs.join(held.distinct(), same, "left_anti")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,23 @@ def test_empty_documents_pass_through(spark, sf):
 
 def test_queries_are_registered():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11)) and not set(ORACLES) - set(QUERIES)
+
+
+def test_rows_without_or_with_shared_ids(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    some = docs.orderBy("doc_id").limit(40)
+    twice = spark.createDataFrame(docs.unionByName(some.selectExpr("cast(null as long) as doc_id", "text")).collect(), docs.schema)
+    kept = corpus_pipeline.quality_stage(spark, twice, sf).collect()
+    texts = {r.text for r in kept if r.doc_id is not None}
+    assert sorted(r.text for r in kept if r.doc_id is None) == sorted(r.text for r in some.collect() if r.text in texts)
+    assert 0 < sum(r.doc_id is None for r in kept) < 40
+
+    prose = ["one two three four five six seven eight", "red green blue white black brown grey pink", "north south east west up down left right"]
+    rows = [(None, prose[0]), (None, prose[1]), (5, prose[1]), (7, prose[2]), (7, prose[0] + " nine"), (9, "")]
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, docs.schema), sf).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(5, prose[1]), (7, prose[2]), (7, prose[0] + " nine"), (9, "")}
+
+    item = table(spark, sf, "benchmark").first().text
+    rows = [(None, f"so {item} so"), (None, prose[0]), (3, item), (3, prose[1])]
+    got = corpus_pipeline.decontaminate_stage(spark, spark.createDataFrame(rows, docs.schema), sf).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(None, prose[0]), (3, prose[1])}

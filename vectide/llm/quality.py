@@ -188,12 +188,17 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 100_000) -> DataFrame:
-    """Learn from the labelled documents that are not held out; score all documents."""
-    stats = materialise(document_statistics(docs))
+def learn(stats: DataFrame, labels: DataFrame, fit_rows: int = 100_000) -> dict:
+    """The model of the labelled documents that are not held out; ``stats`` has doc_id and x."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y")).where(~held_out())
     rows = known.count()
     if rows > fit_rows:
         known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / rows))
-    model = fit(stats.join(known, "doc_id").select("x", "y"))
+    return fit(stats.join(known, "doc_id").select("x", "y"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 100_000) -> DataFrame:
+    """Learn from the labelled documents that are not held out; score all documents."""
+    stats = materialise(document_statistics(docs))
+    model = learn(stats, labels, fit_rows)
     return score(stats, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
