@@ -29,3 +29,12 @@ def test_query(spark, sf, db, name):
 
 def test_flagship(spark, sf):
     assert flagship(spark, sf).count() == 5
+
+
+def test_f7_judges_a_basis_of_all_embeddings(spark, sf, monkeypatch):
+    from vectide.plans import ingest
+
+    seen, fit = [], ingest.E.fit_pca
+    monkeypatch.setattr(ingest.E, "fit_pca", lambda x, *a: seen.append(x.count()) or fit(x, *a))
+    assert QUERIES["f7_orthonormality_residual"](spark, sf).first().residual < 1e-6
+    assert seen == [spark.read.parquet(f"{sf}/embeddings.parquet").count()]
