@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from brute import groups, shingles
 from vectide.llm.fingerprints import digests, near_groups
@@ -40,3 +41,12 @@ def test_bands_find_the_near_groups(spark, sf):
     found = {r.id: r.component for r in near_groups(docs).collect()}
     linked = {d: c for d, c in want.items() if list(want.values()).count(c) > 1}
     assert found == linked
+
+
+def test_pairs_whose_bands_are_led_by_others(spark):
+    rng = random.Random(5)
+    common = [f"common{i}" for i in range(56)]
+    rows = [(d, " ".join(rng.sample(common, 47) + [f"own{d}x{i}" for i in range(10)])) for d in range(60)]
+    rows += [(100, " ".join(common + ["p", "q", "r", "s"])), (101, " ".join(common + ["t", "u", "v", "w"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component for r in near_groups(docs, width=1).collect()} == {100: 100, 101: 100}

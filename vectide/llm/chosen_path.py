@@ -129,8 +129,8 @@ def links(docs: DataFrame, sigs: DataFrame, percent: int, width: int = 5, branch
             some = _beside(met.drop("o").where(F.col("size") <= small), alike).select("id")
             wanted = leads.select(F.explode(F.array("a", "b")).alias("id")).union(some).union(met.where(F.col("size") > small).select("id"))
             texts = materialise(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted.distinct(), "id", "left_semi"))
-        known = _merge(known, confirm(leads, texts, width, percent).where("linked").select("a", "b"))
-        told = _at_home(met.drop("o"), known)
+        known = merge(known, confirm(leads, texts, width, percent).where("linked").select("a", "b"))
+        told = at_home(met.drop("o"), known)
         mixed = told.groupBy("path").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("path")
         apart = materialise(told.join(mixed, "path"))
         last = level == depth
@@ -143,19 +143,24 @@ def links(docs: DataFrame, sigs: DataFrame, percent: int, width: int = 5, branch
     near = leaves[0]
     for more in leaves[1:]:
         near = near.unionByName(more)
-    near = _beside(_at_home(near, known), alike)
+    near = _beside(at_home(near, known), alike)
+    return merge(known, tile_links(near, texts, width, percent))
+
+
+def tile_links(near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` among all documents of each ``path``, compared in tiles of bounded size."""
     sizes = near.groupBy("path").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiled = near.select("path", "id").distinct().join(sizes, "path").withColumn("blocks", blocks).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiles = tiled.select("path", "id", "own", other).select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "id")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filled = tiles.join(texts, "id").select("tile", "id", "text").repartition(parts, "tile").sortWithinPartitions("tile")
-    return _merge(known, filled.mapInArrow(partial(_tiles, width=width, percent=percent), "a long, b long"))
+    return filled.mapInArrow(partial(_tiles, width=width, percent=percent), "a long, b long")
 
 
-def _at_home(rows: DataFrame, known: DataFrame) -> DataFrame:
+def at_home(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Rows with the component of each document as its home."""
     return rows.drop("home").join(known, "id", "left").withColumn("home", F.coalesce("component", "id")).drop("component")
 
@@ -166,7 +171,7 @@ def _beside(rows: DataFrame, alike: Column) -> DataFrame:
     return rows.join(o, (F.col("path") == F.col("__path")) & (F.col("home") != F.col("o.home")) & alike, "left_semi")
 
 
-def _merge(known: DataFrame | None, new: DataFrame) -> DataFrame:
+def merge(known: DataFrame | None, new: DataFrame) -> DataFrame:
     """Components of what is known and new links ``(a, b)``."""
     edges = new if known is None else new.union(known.select(F.col("id").alias("a"), F.col("component").alias("b")))
     return materialise(components(edges))

@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.chosen_path import confirm
+from vectide.llm.chosen_path import at_home, confirm, merge, tile_links
 from vectide.llm.common import materialise, minhashes, shingle_hashes, slices
-from vectide.llm.components import components
 
 HASHES = 128
 DIGEST = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -103,14 +102,17 @@ def _bands(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> Iterato
 
 
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32) -> DataFrame:
-    """``(id, component)``: documents joined with a band's first member, if alike.
+    """``(id, component)``: documents that share a band with one alike.
 
-    Documents meet if any of their bands are equal; in each band all members
-    are tried against the smallest id, with links confirmed on full sets, so a
-    band of any size costs one comparison a member.
+    In each band all members are tried against the smallest id first, with
+    links confirmed on full sets. The members of bands that still hold more
+    than one component are then compared with each other, in bounded tiles.
     """
     marks = materialise(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_bands, width=width, bands=bands), "id long, band long"))
     first = marks.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     pairs = marks.join(first, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return components(confirm(pairs, texts, width, percent).where("linked").select("a", "b"))
+    known = merge(None, confirm(pairs, texts, width, percent).where("linked").select("a", "b"))
+    told = at_home(marks.select(F.col("band").alias("path"), "id"), known)
+    mixed = told.groupBy("path").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("path")
+    return merge(known, tile_links(materialise(told.join(mixed, "path").select("path", "id").distinct()), texts, width, percent))
