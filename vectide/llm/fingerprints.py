@@ -98,7 +98,8 @@ def _bands(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> Iterato
         keys += np.arange(bands, dtype=np.uint64)
         full = np.diff(limits) > 0
         ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False)[full], bands)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys[full].reshape(-1).view(np.int64))], names=["id", "band"])
+        n = np.repeat(np.diff(limits)[full], bands)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys[full].reshape(-1).view(np.int64))], names=["id", "n", "band"])
 
 
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32) -> DataFrame:
@@ -108,11 +109,12 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, bands: int =
     links confirmed on full sets. The members of bands that still hold more
     than one component are then compared with each other, in bounded tiles.
     """
-    marks = materialise(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_bands, width=width, bands=bands), "id long, band long"))
+    marks = materialise(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_bands, width=width, bands=bands), "id long, n long, band long"))
     first = marks.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     pairs = marks.join(first, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     known = merge(None, confirm(pairs, texts, width, percent).where("linked").select("a", "b"))
-    told = at_home(marks.select(F.col("band").alias("path"), "id"), known)
+    told = at_home(marks.select(F.col("band").alias("path"), "id", "n"), known)
     mixed = told.groupBy("path").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("path")
-    return merge(known, tile_links(materialise(told.join(mixed, "path").select("path", "id").distinct()), texts, width, percent))
+    open_ = told.join(mixed, "path").withColumn("sketch", F.array().cast("array<long>"))
+    return merge(known, tile_links(materialise(open_), texts, width, percent))
