@@ -202,9 +202,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, steps: in
             break
         columns[out] = column
         inverse[out] /= d[out]
-        for i in range(k):
-            if i != out:
-                inverse[i] -= d[i] * inverse[out]
+        d[out] = 0
+        inverse -= np.outer(d, inverse[out])
     return list(zip(columns, np.maximum(inverse @ np.asarray(demand, dtype=float), 0)))
 
 
@@ -254,15 +253,16 @@ class Plan:
             rank, count = rank + n, count - n
 
 
-#: (groups, share): lengths above capacity / share are large. The last has no groups: best fit alone.
-SCHEMES = ((24, 4), (12, 6), (64, 8), (0, 1))
+#: (groups, share): lengths above capacity / share are large and go through grouping.
+#: In the last only lengths over half the capacity are, one to a sequence; more is left to best fit.
+SCHEMES = ((24, 4), (12, 6), (64, 8), (24, 2))
 
 
 def plan(histogram: dict[int, int], capacity: int = 4096, schemes: tuple[tuple[int, int], ...] = SCHEMES) -> Plan:
     """Places for ``histogram[length]`` pieces of each length.
 
     More groups round less and leave more over, and small documents fill what
-    rounding wastes; the first scheme that needs the fewest sequences is taken.
+    rounding wastes; the first grouping that needs the fewest sequences is taken.
     """
     return min((_grouped(histogram, capacity, *scheme) for scheme in schemes), key=lambda p: p.sequences)
 
@@ -271,7 +271,7 @@ def _grouped(histogram: dict[int, int], capacity: int, groups: int, large: int)
     out = Plan(capacity)
     if n := histogram.get(capacity):
         out.placed.append((capacity, 0, n, out.open(n)[0], 1, 0))
-    least = capacity // large if groups else capacity - 1
+    least = capacity // large
     big = sorted((s for s in histogram if least < s < capacity), reverse=True)
     total = sum(histogram[s] for s in big)
     queues: list[list[list[int]]] = []  # of each group: [length, first rank, count], long to short
