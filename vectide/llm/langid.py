@@ -6,12 +6,12 @@ its longest n-grams that the model knows. A text's languages are weighed by
 the sum over its words.
 
 The fit reads at most about ``fit_rows`` labelled documents (chosen by a hash of
-doc_id, whole texts) and keeps the ``keep`` most frequent entries of each
-language and length, so the model's size is bounded whatever the table holds.
+doc_id, whole texts) and keeps every word and n-gram met in them, so the model's
+size is bounded by that sample whatever the table holds.
 
 A null text, or one without a letter, is ``und`` with score 0. Without any
-labelled row every text is ``und``. Repeated rows are scored alike; other columns are
-ignored.
+labelled row every text is ``und``. Languages that are equally likely go to the
+name that sorts first. Repeated rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vectide.llm.common import slices
 
@@ -73,23 +72,23 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def fit(docs: DataFrame, fit_rows: int = 20_000, keep: int = 60_000) -> dict:
+def fit(docs: DataFrame, fit_rows: int = 20_000) -> dict:
     """The model of documents with columns doc_id, text and lang (rows with nulls are left out)."""
     docs = docs.where("text is not null and lang is not null").select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = docs.count()
     if rows > fit_rows:
         docs = docs.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / rows))
     counts = docs.select("text", "lang").mapInArrow(_tally, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram"))).where(F.col("r") <= keep)
-    got = best.select("lang", "n", "gram", "k").toPandas()
-    langs = sorted(got.lang.unique())
+    got = counts.toArrow()
+    langs = sorted(pc.unique(got.column("lang")).to_pylist())
     model: dict = {"langs": langs, "tables": []}
     for n in range(LONGEST + 1):
-        own = got[got.n == n]
-        names = sorted(own.gram.unique())
-        table = np.zeros((len(names), len(langs)))
+        own = got.filter(pc.equal(got.column("n"), n))
+        coded = own.column("gram").combine_chunks().dictionary_encode()
+        names, table = coded.dictionary.to_pylist(), np.zeros((len(coded.dictionary), len(langs)))
         if len(own):
-            table[np.searchsorted(np.array(names, dtype=object), own.gram.to_numpy()), np.searchsorted(langs, own.lang.to_numpy())] = own.k
+            lang = pc.index_in(own.column("lang").combine_chunks(), value_set=pa.array(langs, pa.string()))
+            table[coded.indices.to_numpy(), lang.to_numpy()] = own.column("k").to_numpy()
             total = table.sum(axis=0)
             table = np.log((table + 0.5) / (total + 0.5 * len(names)))
         model["tables"].append((names, table))
@@ -103,7 +102,8 @@ def _lookups(model: Broadcast, key: str) -> tuple:
     """The model's tables as dictionaries, and the words met so far, kept a worker."""
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = (model.value["langs"], [(dict(zip(names, range(len(names)))), table) for names, table in model.value["tables"]], {})
+        tables = [(dict(zip(names.split("\n"), range(n))), table) for names, n, table in model.value["tables"]]
+        _loaded[key] = (model.value["langs"], tables, {})
     return _loaded[key]
 
 
@@ -147,7 +147,8 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast, key: str) -> I
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``(doc_id, lang_pred, score)``: the likeliest language and its share of the weight."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = {"langs": model["langs"], "tables": [("\n".join(names), len(names), table.astype(np.float32)) for names, table in model["tables"]]}
+    shared = docs.sparkSession.sparkContext.broadcast(sent)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_predict, model=shared, key=uuid.uuid4().hex), "doc_id long, lang_pred string, score double")
 
 
