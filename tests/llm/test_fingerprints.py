@@ -50,3 +50,33 @@ def test_pairs_whose_bands_are_led_by_others(spark):
     rows += [(100, " ".join(common + ["p", "q", "r", "s"])), (101, " ".join(common + ["t", "u", "v", "w"]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.id: r.component for r in near_groups(docs, width=1).collect()} == {100: 100, 101: 100}
+
+
+def test_every_row_gives_one_row_whatever_repeats(spark):
+    rng = random.Random(2)
+    rows = []
+    for d in range(120):
+        text = " ".join(str(rng.randrange(50)) for _ in range(30))
+        rows += [(d, text)] * (1 + d % 3) + [(d, text + " more")] * (d % 2) + [(None, text)] * (d % 5 == 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = digests(docs).collect()
+    order = sorted(got, key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_chars) for r in got) == sorted((d is None, d or 0, len(t)) for d, t in rows)
+    # within a doc_id rows go by length, so the next document of each is known
+    texts = {(d, len(t)): t for d, t in rows if d is not None}
+    line = [texts[k] for k in sorted(((r.doc_id, r.n_chars) for r in order if r.doc_id is not None), key=lambda k: (-k[0], k[1]))]
+    want = {hashlib.sha256((x[: len(x) - len(x) // 3] + y[: len(x) // 3]).encode()).hexdigest() for x, y in zip(line, line[1:])}
+    assert want <= {r.edited_sha256 for r in got}
+
+
+def test_groups_of_the_query_are_verified_links(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, _ = groups({r.doc_id: r.text for r in docs.collect()}, 80)
+    assert {r.doc_id: r.near_group for r in digests(docs).collect()} == want
+
+
+def test_texts_of_one_doc_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a + " z"), (5, b), (7, b + " z"), (9, c), (None, a)]
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.component for r in got} == {3: 3, 5: 3, 7: 3}

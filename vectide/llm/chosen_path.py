@@ -79,20 +79,15 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets: dict[int, np.ndarray] = {}
-        ids = [batch.column(k).to_pylist() for k in (0, 1)]
-        for side in (0, 1):
-            text = batch.column(2 + side)
-            _, firsts = np.unique(np.array(ids[side]), return_index=True)
-            new = [i for i in firsts if ids[side][i] not in sets]
-            own = pa.RecordBatch.from_arrays([pa.array([ids[side][i] for i in new], pa.int64()), text.take(pa.array(new, pa.int64()))], names=["id", "text"])
-            for part in slices(iter([own]), "text"):
-                shingles, limits = shingle_hashes(part.column("text"), width)
-                for i, doc in enumerate(part.column("id").to_pylist()):
-                    sets[doc] = np.unique(shingles[limits[i] : limits[i + 1]])
+        texts = pa.concat_arrays([batch.column(k).cast(pa.large_string()) for k in (2, 3)]).dictionary_encode()
+        sets = []  # of each different text once
+        for part in slices(iter([pa.RecordBatch.from_arrays([texts.dictionary], names=["text"])]), "text"):
+            shingles, limits = shingle_hashes(part.column("text"), width)
+            sets += [np.unique(shingles[i:k]) for i, k in zip(limits, limits[1:])]
+        at = texts.indices.to_pylist()
         linked = []
-        for a, b in zip(*ids):
-            x, y = sets[a], sets[b]
+        for i, k in zip(at, at[batch.num_rows :]):
+            x, y = sets[i], sets[k]
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * both >= percent * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])

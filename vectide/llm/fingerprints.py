@@ -2,11 +2,15 @@
 
 A fingerprint holds 128 minima of universal hashes over five-word shingles, 16
 bits of each. The share of equal minima estimates the Jaccard likeness of two
-texts with a standard error of at most 0.045.
+texts with a standard error of at most 0.045. Bands of eight minima are joined
+in Spark; whoever meets in a band is compared on the full sets, so groups of
+near-duplicates hold verified links only. A pair at the threshold of 0.8 meets
+in one of 16 bands with probability 0.95, one at 0.9 with 0.9999.
 
 A null text counts as empty; an empty text has no shingles, and its fingerprint
 equals only that of other texts without words. Ties of doc_id are ordered by
-their text. Other columns are ignored.
+the length of their text; every row gives one row. Rows without a doc_id come last in that
+order and are in no group. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm.chosen_path import at_home, confirm, merge, tile_links
-from vectide.llm.common import materialise, minhashes, shingle_hashes, slices
+from vectide.llm.common import SLICE_BYTES, lists, materialise, minhashes, shingle_hashes, slices
 
 HASHES = 128
-DIGEST = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+BANDS = 16
+DIGEST = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_group long"
+#: Stands for a missing doc_id in the order of documents.
+LAST = -(1 << 63)
+OWN, HALO, GROUP = 0, 1, 2
 
 
 def fingerprint_rows(texts: pa.LargeStringArray, width: int = 5, count: int = HASHES) -> np.ndarray:
@@ -32,60 +40,106 @@ def fingerprint_rows(texts: pa.LargeStringArray, width: int = 5, count: int = HA
     return minhashes(*shingle_hashes(texts, width), count).astype(">u2")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they move whole, and most of what moves is text."""
+    codec = pa.Codec("zstd")
+    for part in slices(batches, "text"):
+        text = part.column("text").cast(pa.large_binary())
+        packed = [codec.compress(t, asbytes=True) for t in (x.as_buffer() for x in text)]
+        sizes = [len(x.as_buffer()) for x in text]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "size", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Lists of (bucket, kind, doc_id, near_group, text) of some megabytes of text."""
+    codec = pa.Codec("zstd")
+    held, size = [], 0
+    for batch in batches:
+        for *row, packed, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "doc_id", "near_group", "packed", "size"))):
+            held.append((*row, codec.decompress(packed, n, asbytes=True).decode() if n else ""))
+            size += n
+            if size > SLICE_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _marks_of(texts: list[str]) -> np.ndarray:
+    made = [fingerprint_rows(s.column("text")) for s in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])]), "text")]
+    return np.concatenate(made) if made else np.zeros((0, HASHES), dtype=">u2")
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket and falling doc_id; a bucket's last row is its halo."""
+    """Rows come by bucket; of each first what is known of groups, then documents by falling doc_id, then the halo."""
     kept: tuple | None = None
-    for part in slices(batches, "text"):
-        marks = fingerprint_rows(part.column("text"))
-        rows = list(zip(part.column("bucket").to_pylist(), part.column("doc_id").to_pylist(), part.column("text").to_pylist(), marks))
+    groups: dict[int, int] = {}
+    now = None
+    for rows in _unpacked(batches):
+        docs = []
+        for bucket, kind, doc, group, text in rows:
+            if bucket != now:
+                now, groups = bucket, {}
+            if kind == GROUP:
+                groups[doc] = group
+            else:
+                docs.append((bucket, kind, doc, groups.get(doc, doc), text))
+        if not docs:
+            continue
+        marks = list(_marks_of([d[4] for d in docs]))
+        seen = [(*d, m) for d, m in zip(docs, marks)]
         if kept is not None:
-            rows.insert(0, kept)
-        kept = rows[-1]
-        pairs = [(x, y) for x, y in zip(rows, rows[1:]) if x[0] == y[0]]
+            seen.insert(0, kept)
+        kept = seen[-1]
+        # a document's successor is the next row of its bucket; of the halo only the first row is one
+        pairs = [(x, y) for x, y in zip(seen, seen[1:]) if x[0] == y[0] and x[1] == OWN]
         if not pairs:
             continue
-        edited = [x[2][: len(x[2]) - len(x[2]) // 3] + y[2][: len(x[2]) // 3] for x, y in pairs]
-        own, after = (np.stack([p[k][3] for p in pairs]) for k in (0, 1))
-        changed = np.concatenate([fingerprint_rows(s.column("text")) for s in slices(iter([pa.RecordBatch.from_arrays([pa.array(edited, pa.large_string())], names=["text"])]), "text")])
+        edited = [x[4][: len(x[4]) - len(x[4]) // 3] + y[4][: len(x[4]) // 3] for x, y in pairs]
+        own, after, changed = np.stack([x[5] for x, _ in pairs]), np.stack([y[5] for _, y in pairs]), _marks_of(edited)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([x[1] for x, _ in pairs], pa.int64()),
-                pa.array([len(x[2]) for x, _ in pairs], pa.int64()),
+                pa.array([x[2] for x, _ in pairs], pa.int64()),
+                pa.array([len(x[4]) for x, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
                 pa.array([m.tobytes().hex() for m in own]),
                 pa.array([m.tobytes().hex() for m in changed]),
                 pa.array((own == changed).mean(axis=1)),
                 pa.array((own == after).mean(axis=1)),
+                pa.array([x[3] for x, _ in pairs], pa.int64()),
             ],
             names=[c.split()[0] for c in DIGEST.split(", ")],
         )
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint beside that of an edited text and of the next document.
+def digests(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Each document's fingerprint beside that of an edited text and of the next document, and its near group.
 
     The next document is the one with the next smaller doc_id, and after the
     smallest the largest. Documents move once, into ranges of doc_id; only the
-    first of each range is also sent to the range before it.
+    first of each range is also sent to the range before it. near_group is the
+    smallest doc_id that verified links of ``percent`` reach.
     """
     spark = docs.sparkSession
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(thin.approxQuantile("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 0.1 / parts)))
-    slot = F.lit(0)
-    if cuts:
-        slot = F.aggregate(F.lit(cuts), F.lit(0), lambda n, cut: n + F.when(F.col("doc_id") > cut, 1).otherwise(0))
-    bucketed = thin.withColumn("bucket", slot)
-    heads = sorted((r.bucket, r.head) for r in bucketed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
+    order = F.coalesce("doc_id", F.lit(LAST))
+    slot = F.aggregate(F.lit(cuts).cast("array<double>"), F.lit(0), lambda n, cut: n + F.when(order > cut, 1).otherwise(0)) if cuts else F.lit(0)
+    heads = sorted((r.bucket, r.head) for r in thin.select(slot.alias("bucket"), order.alias("head")).groupBy("bucket").agg(F.max("head").alias("head")).collect())
     # the row that follows a bucket's last one is the head of the bucket below, or of the highest
     halo = {head: heads[(i + 1) % len(heads)][0] for i, (_, head) in enumerate(heads)}
-    to = F.array(F.struct(F.col("bucket"), F.lit(0).alias("halo")))
+    to = F.array(F.struct(slot.alias("bucket"), F.lit(OWN).alias("kind")))
     if halo:
-        pairs = F.create_map(*[F.lit(x) for pair in halo.items() for x in pair])
-        to = F.when(pairs[F.col("doc_id")].isNotNull(), F.array(F.struct("bucket", F.lit(0).alias("halo")), F.struct(pairs[F.col("doc_id")].alias("bucket"), F.lit(1).alias("halo")))).otherwise(to)
-    dealt = thin.withColumn("bucket", slot).select("doc_id", "text", F.explode(to).alias("to")).select("to.bucket", "to.halo", "doc_id", "text")
-    ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "halo", F.desc("doc_id"), "text")
-    return ordered.select("bucket", "doc_id", "text").mapInArrow(_digests, DIGEST)
+        below = F.create_map(*[x for head, bucket in halo.items() for x in (F.lit(head).cast("long"), F.lit(bucket))])[order]
+        to = F.when(below.isNotNull(), F.array(F.struct(slot.alias("bucket"), F.lit(OWN).alias("kind")), F.struct(below.alias("bucket"), F.lit(HALO).alias("kind")))).otherwise(to)
+    groups = near_groups(thin, percent).where("id <> component")
+    told = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("near_group")).withColumn("bucket", slot)
+    told = told.select("bucket", F.lit(GROUP).alias("kind"), "doc_id", "near_group", F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("packed"))
+    dealt = thin.mapInArrow(_packed, "doc_id long, size long, packed binary").withColumn("to", F.explode(to))
+    dealt = dealt.select("to.bucket", "to.kind", "doc_id", F.lit(None).cast("long").alias("near_group"), "size", "packed")
+    ordered = dealt.unionByName(told).repartition(parts, "bucket").sortWithinPartitions("bucket", F.expr(f"(kind + 1) % {GROUP + 1}"), F.desc("doc_id"), "size", "packed")
+    return ordered.mapInArrow(_digests, DIGEST)
 
 
 def _bands(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> Iterator[pa.RecordBatch]:
@@ -96,25 +150,33 @@ def _bands(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> Iterato
         for k in range(marks.shape[2]):
             keys = keys * np.uint64(0x9E3779B97F4A7C15) + marks[:, :, k]
         keys += np.arange(bands, dtype=np.uint64)
-        full = np.diff(limits) > 0
-        ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False)[full], bands)
-        n = np.repeat(np.diff(limits)[full], bands)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys[full].reshape(-1).view(np.int64))], names=["id", "n", "band"])
+        full = pa.array(np.diff(limits) > 0)
+        columns = [part.column("id"), pa.array(np.diff(limits)), part.column("text_a"), part.column("text_b"), lists(keys.view(np.int64), bands, pa.int64())]
+        yield pa.RecordBatch.from_arrays([c.filter(full) for c in columns], names=["id", "n", "text_a", "text_b", "bands"])
 
 
-def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32) -> DataFrame:
-    """``(id, component)``: documents that share a band with one alike.
+def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = BANDS) -> DataFrame:
+    """``(id, component)``: documents that share a band with one alike, and equal texts.
 
-    In each band all members are tried against the smallest id first, with
-    links confirmed on full sets. The members of bands that still hold more
-    than one component are then compared with each other, in bounded tiles.
+    Equal texts take part once. In each band all members are tried against the
+    smallest id first, with links confirmed on full sets. The members of bands
+    that still hold more than one component are then compared with each other,
+    in bounded tiles. Rows of one doc_id are one document.
     """
-    marks = materialise(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_bands, width=width, bands=bands), "id long, n long, band long"))
-    first = marks.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = marks.join(first, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    known = merge(None, confirm(pairs, texts, width, percent).where("linked").select("a", "b"))
-    told = at_home(marks.select(F.col("band").alias("path"), "id", "n"), known)
+    text = F.col("text").cast("string")
+    thin = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_a"), F.crc32(F.encode(text, "UTF-8")).alias("text_b"))
+    marks = thin.mapInArrow(partial(_bands, width=width, bands=bands), "id long, n long, text_a long, text_b long, bands array<long>")
+    same = ["text_a", "text_b", "n"]
+    classes = materialise(marks.groupBy(*same).agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
+    marks = classes.select("id", "n", F.explode("bands").alias("band"))
+    first = marks.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
+    met = materialise(marks.join(first, "band"))
+    pairs = met.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    texts = thin.select("id", "text").join(met.select("id").distinct(), "id", "left_semi")
+    known = merge(None, confirm(pairs, materialise(texts), width, percent).where("linked").select("a", "b"))
+    told = at_home(met.select(F.col("band").alias("path"), "id", "n"), known)
     mixed = told.groupBy("path").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("path")
     open_ = told.join(mixed, "path").withColumn("sketch", F.array().cast("array<long>"))
-    return merge(known, tile_links(materialise(open_), texts, width, percent))
+    known = merge(known, tile_links(materialise(open_), texts, width, percent))
+    copies = thin.select("id", "text_a", "text_b").join(classes.select("text_a", "text_b", F.col("id").alias("a")), ["text_a", "text_b"]).where("id <> a")
+    return merge(known, copies.select("a", F.col("id").alias("b")))
