@@ -1,7 +1,11 @@
+import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
-from vectide.llm.resharding import min_cost_flow, plan_moves, reshard, rewrite
+from pyspark.sql import functions as F
+from vectide.llm.resharding import laid_out, min_cost_flow, plan_moves, reshard, rewrite
 
 
 def test_flow_is_cheapest():
@@ -52,3 +56,57 @@ def test_empty_table_and_repeated_rows(spark):
     same = spark.createDataFrame([(1, "a")] * 50 + [(None, "b")], "doc_id long, text string")
     assert sorted(r.slot for r in reshard(same, shards=2).where("doc_id = 1").collect())[0] >= 0
     assert reshard(same, shards=2).count() == 51
+
+
+def cheapest(supply, demand, cost):
+    """The least cost of sending all supplies, by trying every split of each."""
+    if not supply:
+        return 0
+    best = None
+    for split in itertools.product(*(range(min(supply[0], d) + 1) for d in demand)):
+        if sum(split) == supply[0]:
+            rest = cheapest(supply[1:], [d - x for d, x in zip(demand, split)], cost[1:])
+            if rest is not None:
+                here = sum(c * x for c, x in zip(cost[0], split)) + rest
+                best = here if best is None else min(best, here)
+    return best
+
+
+def test_flow_costs_as_little_as_any():
+    rng = random.Random(4)
+    for _ in range(60):
+        n, m = rng.randrange(1, 4), rng.randrange(1, 4)
+        supply, cost = [rng.randrange(5) for _ in range(n)], [[rng.randrange(9) for _ in range(m)] for _ in range(n)]
+        demand = [0] * m
+        for _ in range(sum(supply) + rng.randrange(3)):
+            demand[rng.randrange(m)] += 1
+        flow = min_cost_flow(supply, demand, cost)
+        assert [sum(f) for f in flow] == supply and all(sum(f[j] for f in flow) <= demand[j] for j in range(m))
+        assert sum(c * x for cs, fs in zip(cost, flow) for c, x in zip(cs, fs)) == cheapest(supply, demand, cost)
+
+
+def test_small_tables_come_out_even(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    load = {r.shard: r.s for r in reshard(docs).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    assert len(load) == 16 and max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 16
+
+
+def test_untouched_shards_keep_their_files(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.randrange(1, 200), i % 7) for i in range(2000)] + [(5, "again", 1), (5, "again", 2), (None, "none", 3), (None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    placed = reshard(docs, shards=16, blocks=8)
+    path = tmp_path / "out"
+    everything = laid_out(docs, placed.withColumn("shard", F.col("old_shard")).withColumn("slot", F.lit(0).cast("long")))
+    everything.write.partitionBy("shard").parquet(str(path))
+    before = {p: p.read_bytes() for p in path.rglob("*.parquet")}
+    # only shards 0 and 1 exchange documents
+    moved = placed.withColumn("shard", F.when((F.col("old_shard") < 2) & (F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 3 == 0), 1 - F.col("old_shard")).otherwise(F.col("old_shard")).cast("int"))
+    assert rewrite(spark.read.parquet(str(path)), moved, str(path)) == [0, 1]
+    kept = {p: p.read_bytes() for p in path.rglob("*.parquet") if Path(p).parent.name not in ("shard=0", "shard=1")}
+    assert kept == {p: x for p, x in before.items() if p.parent.name not in ("shard=0", "shard=1")}
+    back = spark.read.parquet(str(path)).collect()
+    key = lambda r: (str(r[0]), str(r[1]), r[2])
+    assert sorted(map(key, back)) == sorted(map(key, rows))
+    where = {(r.doc_id, r.text): r.shard for r in back}
+    assert all(where[r.doc_id, r.text] == r.shard for r in docs.join(moved.drop("n"), "doc_id").select("doc_id", "text", "shard").collect())

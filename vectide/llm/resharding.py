@@ -4,15 +4,18 @@ Documents lie in shards by the hash of their id. A shard is a fixed number of
 blocks; sizes and counts are summed per block, so what the driver sees is
 ``shards * blocks`` rows whatever the table holds. From the old sizes and the
 new capacities a transportation problem gives the bytes each shard sends to
-each other; blocks that come closest to those amounts then move whole.
+each other; blocks that come closest to those amounts then move whole. What
+whole blocks leave uneven is mended by single moves and swaps of blocks, until
+none brings shards closer.
 
 A null text has no bytes. Rows with a null doc_id share a block. Repeated rows
-stay together. Other columns are ignored.
+stay together, and so do texts of one doc_id. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,9 +85,14 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -
         want[end] -= amount
 
 
-def plan_moves(sizes: dict[int, int], shards: int, capacity: list[int] | None = None) -> dict[int, int]:
+#: Shards whose sizes differ by this share of the mean count as even.
+EVEN = 0.001
+
+
+def plan_moves(sizes: dict[int, int], shards: int, capacity: list[int] | None = None, cost: list[list[int]] | None = None) -> dict[int, int]:
     """Block to its new shard. A block ``b`` lies in shard ``b % shards`` now.
 
+    cost: of a byte from each shard to each; moves cost the same if not given.
     Blocks are taken largest first into what is still to be sent, so the rest
     of each shipment is below the smallest block's size.
     """
@@ -95,7 +103,7 @@ def plan_moves(sizes: dict[int, int], shards: int, capacity: list[int] | None =
     capacity = capacity or [total // shards + (i < total % shards) for i in range(shards)]
     over = [max(0, o - c) for o, c in zip(old, capacity)]
     under = [max(0, c - o) for o, c in zip(old, capacity)]
-    flow = min_cost_flow(over, under, [[1] * shards for _ in range(shards)])
+    flow = min_cost_flow(over, under, cost or [[1] * shards for _ in range(shards)])
     now = {b: b % shards for b in sizes}
     for i in range(shards):
         blocks = sorted((b for b in sizes if b % shards == i), key=lambda b: (-sizes[b], b))
@@ -104,14 +112,56 @@ def plan_moves(sizes: dict[int, int], shards: int, capacity: list[int] | None =
             for b in blocks:
                 if now[b] == i and 0 < sizes[b] <= rest:
                     now[b], rest = j, rest - sizes[b]
+    return even_out(now, sizes, capacity)
+
+
+def even_out(now: dict[int, int], sizes: dict[int, int], capacity: list[int]) -> dict[int, int]:
+    """Moves and swaps of single blocks between the fullest shard and others, or the emptiest and others, while one helps."""
+    shards = len(capacity)
+    held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    for b, s in sizes.items():
+        if s:
+            held[now[b]].append((s, b))
+    for blocks in held:
+        blocks.sort()
+    excess = [sum(s for s, _ in blocks) - c for blocks, c in zip(held, capacity)]
+    close = EVEN * sum(capacity) / shards
+    while max(excess) - min(excess) > close:
+        order = sorted(range(shards), key=lambda i: excess[i])
+        low, high = order[0], order[-1]
+        for i, j in [(high, j) for j in order[:-1]] + [(i, low) for i in reversed(order[1:-1])]:
+            if (found := _exchange(held[i], held[j], excess[i] - excess[j])) is not None:
+                break
+        else:
+            break
+        for a, (source, target) in zip(found, ((i, j), (j, i))):
+            if a is not None:
+                held[source].remove(a)
+                insort(held[target], a)
+                now[a[1]] = target
+                excess[source] -= a[0]
+                excess[target] += a[0]
     return now
 
 
+def _exchange(more: list[tuple[int, int]], less: list[tuple[int, int]], gap: int) -> tuple | None:
+    """The block of ``more``, and perhaps one of ``less`` in return, whose exchange brings a gap closest to none."""
+    best, found = gap, None
+    for a in more:
+        # what should come back for this block
+        k = bisect_left(less, (a[0] - gap / 2, -1))
+        for back in (None, *less[max(0, k - 1) : k + 1]):
+            left = abs(gap - 2 * (a[0] - (back[0] if back else 0)))
+            if left < best:
+                best, found = left, (a, back)
+    return found
+
+
 def block_of(shards: int, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("block"), F.col("doc_id")), F.lit(shards * blocks)).cast("int")
 
 
-def reshard(docs: DataFrame, shards: int = 16, blocks: int = 1024) -> DataFrame:
+def reshard(docs: DataFrame, shards: int = 16, blocks: int = 1024, cost: list[list[int]] | None = None) -> DataFrame:
     """Each document's shard and slot under the law ``bytes``: sizes near equal.
 
     Returns doc_id, size, text_crc32, law, old_shard, shard, slot and
@@ -120,7 +170,7 @@ def reshard(docs: DataFrame, shards: int = 16, blocks: int = 1024) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     thin = docs.select(F.col("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), block_of(shards, blocks).alias("block"))
     sums = {r.block: (r.bytes, r.n) for r in thin.groupBy("block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    now = plan_moves({b: s for b, (s, _) in sums.items()}, shards)
+    now = plan_moves({b: s for b, (s, _) in sums.items()}, shards, cost=cost)
     first, filled = {}, [0] * shards
     for b in sorted(now):
         first[b] = filled[now[b]]
@@ -130,15 +180,28 @@ def reshard(docs: DataFrame, shards: int = 16, blocks: int = 1024) -> DataFrame:
     return thin.withColumn("rank", rank).join(F.broadcast(plan), "block").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.pmod("block", F.lit(shards)).cast("int").alias("old_shard"), "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def laid_out(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The documents with their shard and slot; equal rows may take each other's places."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = ["__id", "__size", "__crc"]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))).alias("__nth")
+    rows = docs.drop("shard", "slot").withColumns({"__id": F.struct(F.col("doc_id").alias("id")), "__size": F.octet_length(text) + F.lit(1), "__crc": F.crc32(F.encode(text, "UTF-8"))})
+    places = placed.select(F.struct(F.col("doc_id").alias("id")).alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "shard", "slot")
+    on = [*same, "__nth"]
+    return rows.withColumn("__nth", nth).join(places.withColumn("__nth", nth), on).drop(*on)
+
+
 def rewrite(docs: DataFrame, placed: DataFrame, path: str, changed_only: bool = True) -> list[int]:
-    """Write the documents of the shards whose content changes, a folder each.
+    """Write the documents of the shards whose content changes, a folder ``shard=N`` each, below ``path``.
 
-    Shards that neither send nor receive keep their files. Returns the shards
-    that were written. doc_id must be unique for this.
+    Shards that neither send nor receive keep their files. A shard is written
+    by several tasks, each a range of its slots. docs may be read from ``path``
+    itself. Returns the shards that were written.
     """
     moves = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect()
     touched = sorted(r.s for r in moves) if changed_only else sorted(r.shard for r in placed.select("shard").distinct().collect())
     if touched:
-        mine = placed.where(F.col("shard").isin(touched)).select("doc_id", "shard", "slot")
-        docs.drop("shard", "slot").join(mine, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+        mine = laid_out(docs, placed.where(F.col("shard").isin(touched)))
+        ordered = mine.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return touched
