@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from vectide.llm.common import lists, materialise, shingle_hashes, slices, utf8, word_hashes
 
 # the classes of bytes that are counted
-_CLASS = np.full(256, 8, dtype=np.int64)
+_CLASS = np.full(256, 8, dtype=np.int32)
 _CLASS[ord("a") : ord("z") + 1] = 0
 _CLASS[ord("A") : ord("Z") + 1] = 1
 _CLASS[ord("0") : ord("9") + 1] = 2
@@ -50,7 +50,7 @@ def statistics(texts: pa.LargeStringArray) -> np.ndarray:
     if not len(raw):
         return out
     kinds = _CLASS[raw]
-    owner = np.repeat(np.arange(rows), n)
+    owner = np.repeat(np.arange(rows, dtype=np.int32), n)
     out[:, :CLASSES] = np.bincount(owner * CLASSES + kinds, minlength=rows * CLASSES).reshape(rows, CLASSES) / np.maximum(n, 1)[:, None]
     words, word_limits = word_hashes(texts)
     shingles, shingle_limits = shingle_hashes(texts)
@@ -82,7 +82,7 @@ def statistics(texts: pa.LargeStringArray) -> np.ndarray:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", 1 << 20):  # several numbers are held for each byte
         x = statistics(part.column("text")).astype(np.float32)
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(x, len(NAMES), pa.float32())], names=["doc_id", "x"])
 
