@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -137,15 +138,35 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert a == draw(df.repartition(11)) and len(a) == 3 * (20 + 299)
 
 
+@pytest.mark.parametrize("chunk", [100_000, 70])
+def test_draws_equal_brute_force_in_any_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(R, "CHUNK", chunk)
+    df, d = planted(spark)
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % R.PRIME
+    x = {r.row_id: r.x for r in df.where("g = 't'").collect()}
+    depths = spark.createDataFrame([("t", "L", n, 300) for n in (5, 20, 150, 299)], "g string, line string, n long, size long")
+    want = {}
+    for n in (5, 20, 150, 299):
+        for rep in range(4):
+            a, b = number(f"{n}|{rep}|7|a"), number(f"{n}|{rep}|7|b")
+            want[n, rep] = sorted(x, key=lambda r: ((number(r) * a + b) % R.PRIME, r))[:n]
+    got = {}
+    for r in R.subsample(df, depths, ["g", "line"], "row_id", 4, 7).collect():
+        got.setdefault((r.n, r.rep), []).append(r.row_id)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    means = R.drawn_means(df, depths, ["g", "line"], "row_id", d, 4, 7).collect()
+    assert len(means) == 16 and all(np.allclose(r.mu_n, np.mean([x[i] for i in want[r.n, r.rep]], axis=0)) for r in means)
+
+
 def test_curves_follow_the_prediction(spark):
     df, d = planted(spark, 600, 6, 4.0)
     control = spark.createDataFrame([("L", [0.0] * d)], "line string, mu_c array<double>")
     g = groups(df, d, control)
-    points, record = R.heldout_curves(df, g, ["g", "line"], "row_id", d, 5, 40)
+    points, record = R.heldout_curves(df, g, ["g", "line"], "row_id", d, 5, 200)
     r = record.first()
     assert 0.85 < r.ratio < 1.15 and r.r2 > 0.98 and r.rho2 > 3
     assert R.mean_relative_error(points).first().error < 0.25
-    halves = R.two_halves(df, g, ["g", "line"], "row_id", d, 4, 40).first()
+    halves = R.two_halves(df, g, ["g", "line"], "row_id", d, 4, 200).first()
     assert 1.2 < halves.ratio < 1.65
     std = g.select("g", "line", F.col("mu").alias("mu_t"), "mu_c", F.col("size").cast("double").alias("n_t"), F.lit(1e9).alias("n_c"), "ell")
     judged = evidence(std, 0.2).withColumn("size", F.col("n_t").cast("long"))

@@ -15,37 +15,71 @@ from vectide.functions.vec import INF
 BLOCK = 2048
 
 
-def knn(nodes: DataFrame, k: int, entity: str | None = None, block: int = BLOCK) -> DataFrame:
-    """``src, dst, rank, cos``: the k nearest others by cosine; ties by id.
+def blocked(nodes: DataFrame, entity: str | None, block: int) -> DataFrame:
+    """Every node in the row and the column of blocks that meet: ``id, entity, u, l, r, side``.
 
-    nodes holds ``id`` (string), ``u`` (a vector of any length above 0) and, if named,
-    an entity whose nodes are no neighbours of each other. Blocks of nodes meet
-    pair by pair and pass on only their k best, so no task holds all nodes.
+    Each node is sent to twice as many tasks as there are blocks: with a
+    hundred thousand conditions about a hundred times.
     """
     blocks = max(1, -(-nodes.count() // block))
     rows = nodes.select("id", (F.col(entity).cast("string") if entity else F.col("id")).alias("entity"), vec.doubles("u").alias("u"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = rows.select("*", F.explode(every).alias("o")).select("id", "entity", "u", F.col("b").alias("l"), F.col("o").alias("r"), F.lit(0).alias("side"))
     right = rows.select("*", F.explode(every).alias("o")).select("id", "entity", "u", F.col("o").alias("l"), F.col("b").alias("r"), F.lit(1).alias("side"))
+    return left.unionByName(right)
+
+
+def _cosines(f: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """Both sides of two blocks, and their cosines; those of one entity count as minus infinity."""
+    a, b = f[f.side == 0].sort_values("id"), f[f.side == 1].sort_values("id")
+    if not len(a) or not len(b):
+        return a, b, np.zeros((len(a), len(b)))
+    x, y = (np.array(g.u.tolist(), dtype=float) for g in (a, b))
+    x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+    c = x @ y.T
+    c[a.entity.to_numpy()[:, None] == b.entity.to_numpy()[None, :]] = -np.inf
+    return a, b, c
+
+
+def knn(nodes: DataFrame, k: int, entity: str | None = None, block: int = BLOCK) -> DataFrame:
+    """``src, dst, rank, cos``: the k nearest others by cosine; ties by id.
+
+    nodes holds ``id`` (string), ``u`` (a vector of any length above 0) and, if named,
+    an entity whose nodes are no neighbours of each other. Blocks of nodes meet
+    pair by pair and pass on only their k best, so no task holds all nodes.
+    """
 
     def best(f: pd.DataFrame) -> pd.DataFrame:
-        a, b = f[f.side == 0].sort_values("id"), f[f.side == 1].sort_values("id")
-        if not len(a) or not len(b):
+        a, b, c = _cosines(f)
+        if not c.size:
             return pd.DataFrame({"src": [], "dst": [], "cos": []})
-        x, y = (np.array(g.u.tolist(), dtype=float) for g in (a, b))
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        c = x @ y.T
-        c[a.entity.to_numpy()[:, None] == b.entity.to_numpy()[None, :]] = -np.inf
         top = np.argsort(-c, axis=1, kind="stable")[:, :k]
         src = np.repeat(a.id.to_numpy(), top.shape[1])
         cos = np.take_along_axis(c, top, axis=1).reshape(-1)
         keep = cos > -np.inf
         return pd.DataFrame({"src": src[keep], "dst": b.id.to_numpy()[top.reshape(-1)][keep], "cos": cos[keep]})
 
-    found = left.unionByName(right).groupBy("l", "r").applyInPandas(best, "src string, dst string, cos double")
+    found = blocked(nodes, entity, block).groupBy("l", "r").applyInPandas(best, "src string, dst string, cos double")
     return ranked(found, k)
 
 
+def direction_self_join(nodes: DataFrame, entity: str | None = None, block: int = BLOCK) -> DataFrame:
+    """``src, n, best``: with how many nodes of other entities each node is compared, and the greatest cosine.
+
+    All pairs meet block by block; a pair of blocks passes on one row for each node.
+    """
+
+    def best(f: pd.DataFrame) -> pd.DataFrame:
+        a, _, c = _cosines(f)
+        if not c.size:
+            return pd.DataFrame({"src": [], "n": [], "best": []})
+        n = (c > -np.inf).sum(axis=1)
+        return pd.DataFrame({"src": a.id.to_numpy(), "n": n, "best": c.max(axis=1)})[n > 0]
+
+    found = blocked(nodes, entity, block).groupBy("l", "r").applyInPandas(best, "src string, n long, best double")
+    return found.groupBy("src").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+
+
 def ranked(edges: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("src").orderBy(F.desc(F.round("cos", 12)), "dst")
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "cos")

@@ -1,11 +1,25 @@
 """Downsample and measure: does the direction of fewer rows turn as predicted?
 
-Rows are drawn by the order of a keyed md5, so a draw depends on nothing but
-the row, the depth, the replicate and the seed: not on partitions or engines.
+Every row has a number from its md5. A draw turns these numbers into keys by a
+linear map modulo a prime, whose two factors come from the depth, the replicate
+and the seed, and takes the rows with the least keys: so a draw depends on
+nothing else, neither on partitions nor on the engine, and draws are
+independent of each other.
+
+A group's rows are read by chunks of bounded size, once for all its draws. Of
+the chunks of a large group only sums leave a task, and the few rows whose key
+is too close to the last one drawn to tell without the other chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,27 +42,139 @@ def half_grid(n: str, points: int) -> Column:
     return depth_grid(F.col(n), F.greatest(F.floor(F.col(n) / 2), F.lit(40)), points)
 
 
-def draw_key(row: str, n: Column, rep: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws("|", F.col(row).cast("string"), n.cast("string"), rep.cast("string"), F.lit(str(seed))))
+#: Keys are numbers below this prime.
+PRIME = 2**31 - 1
+#: Rows of a group that are drawn from together, about.
+CHUNK = 100_000
+#: Keys that are held at once.
+HELD = 1 << 21
 
 
-def subsample(rows: DataFrame, depths: DataFrame, keys: list[str], row: str, reps: int, seed: int = 0) -> DataFrame:
-    """Draws without replacement: the rows of each ``(group, n, rep)``.
+def _number(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % PRIME
+
+
+@lru_cache(maxsize=1 << 12)
+def _factors(n: int, reps: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two factors of each replicate's keys at a depth."""
+    of = lambda rep, which: int(hashlib.md5(f"{n}|{rep}|{seed}|{which}".encode()).hexdigest()[:8], 16) % PRIME
+    return tuple(np.array([of(r, which) for r in range(reps)], dtype=np.int64)[:, None] for which in "ab")
+
+
+def _near(n: int, size: int) -> tuple[float, float]:
+    """Bounds of keys, eight standard deviations around the n-th of ``size``."""
+    margin = 8 * n**0.5 + 32
+    return PRIME * (n - margin) / size, PRIME * (n + margin) / size
 
-    depths holds the keys, ``n`` and the group's size ``size``. Of the N rows only
-    those whose key falls into the first n and a wide margin (8 standard deviations) are
-    ranked, so what is shuffled grows with the draws and not with N.
+
+def _chunks(rows: DataFrame, depths: DataFrame, keys: list[str], row: str, x: list[str]) -> DataFrame:
+    """Rows with their number ``h`` and chunk, beside their group's ``size`` and ``depths``."""
+    plan = depths.groupBy(*keys).agg(F.first("size").cast("long").alias("__size"), F.sort_array(F.collect_set(F.col("n").cast("long"))).alias("__depths"))
+    met = rows.select(*keys, F.col(row).cast("string").alias("__row"), *x).join(plan, keys).withColumn("__h", _number(F.col("__row")))
+    return met.withColumn("__of", F.ceil(F.col("__size") / CHUNK).cast("int")).withColumn("__chunk", F.pmod(F.col("__h"), F.col("__of")))
+
+
+def _selected(table: pa.Table, reps: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth and some replicates: depth, first replicate, keys, and which rows are in and which are open.
+
+    The table's rows are sorted by their name, which parts equal keys.
     """
-    plan = depths.select(*keys, "n", "size").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    met = rows.join(plan, keys).withColumn("__key", draw_key(row, F.col("n"), F.col("rep"), seed))
-    place = F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") / float(2**32)
-    margin = (F.col("n") + F.sqrt(F.col("n").cast("double")) * 8 + 32) / F.col("size")
-    order = Window.partitionBy(*keys, "n", "rep").orderBy("__key", row)
-    return met.where(place <= margin).withColumn("__rank", F.row_number().over(order)).where("__rank <= n").drop("__key", "__rank")
+    h, size, whole = table["__h"].to_numpy(), table["__size"][0].as_py(), table["__of"][0].as_py() == 1
+    place, rows = np.arange(len(h)), len(h)
+    for n in table["__depths"][0].as_py():
+        a, b = _factors(n, reps, seed)
+        low, high = _near(n, size)
+        step = max(1, HELD // rows)
+        for first in range(0, reps, step):
+            key = (h * a[first : first + step] + b[first : first + step]) % PRIME
+            if not whole:
+                yield n, first, key, key < low, (key >= low) & (key <= high)
+            elif n >= rows:
+                yield n, first, key, np.ones(key.shape, dtype=bool), np.zeros(key.shape, dtype=bool)
+            else:
+                order = (key << 20) + place
+                yield n, first, key, order <= np.partition(order, n - 1, axis=1)[:, n - 1 : n], np.zeros(key.shape, dtype=bool)
+
+
+def _sorted(table: pa.Table) -> pa.Table:
+    return table.take(pc.sort_indices(table, sort_keys=[("__row", "ascending")]))
 
 
-def drawn_means(draws: DataFrame, keys: list[str], d: int, x: str = "x") -> DataFrame:
-    return draws.groupBy(*keys, "n", "rep").agg(vec.means(x, d).alias("mu_n"))
+def _with_keys(table: pa.Table, keys: list[str], rows: int, more: dict) -> pa.Table:
+    """A group's keys beside other columns of ``rows`` rows."""
+    own = {k: pa.repeat(table[k][0], rows) for k in keys}
+    return pa.table({**own, **more})
+
+
+def _schema(rows: DataFrame, keys: list[str], more: str) -> str:
+    return ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", " + more
+
+
+def subsample(rows: DataFrame, depths: DataFrame, keys: list[str], row: str, reps: int, seed: int = 0) -> DataFrame:
+    """Draws without replacement: the keys, ``n``, ``rep`` and the row's name (as text) of every row drawn.
+
+    depths holds the keys, ``n`` and the group's size ``size``; row names a
+    column that tells the rows of a group apart.
+    """
+
+    def draw(table: pa.Table) -> pa.Table:
+        table = _sorted(table)
+        parts = []
+        for n, first, key, taken, open_ in _selected(table, reps, seed):
+            rep, at = np.nonzero(taken | open_)
+            more = {"n": pa.array(np.full(len(rep), n)), "rep": pa.array((rep + first).astype(np.int32)), row: table["__row"].combine_chunks().take(pa.array(at)), "__key": pa.array(np.where(taken[rep, at], -1, key[rep, at]))}
+            parts.append(_with_keys(table, keys, len(rep), more))
+        return pa.concat_tables(parts)
+
+    met = _chunks(rows, depths, keys, row, [])
+    drawn = met.groupBy(*keys, "__chunk").applyInArrow(draw, _schema(rows, keys, f"n long, rep int, `{row}` string, __key long"))
+    if not _has_large(depths):
+        return drawn.drop("__key")
+    group = [*keys, "n", "rep"]
+    sure = drawn.where("__key < 0").groupBy(*group).agg(F.count("*").alias("__sure"))
+    last = drawn.where("__key >= 0").withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy("__key", row)))
+    last = last.join(sure, group, "left").where(F.col("__rank") <= F.col("n") - F.coalesce("__sure", F.lit(0)))
+    return drawn.where("__key < 0").select(*group, row).unionByName(last.select(*group, row))
+
+
+def _has_large(depths: DataFrame) -> bool:
+    most = depths.agg(F.max("size")).first()[0]
+    return most is not None and most > CHUNK
+
+
+def drawn_means(rows: DataFrame, depths: DataFrame, keys: list[str], row: str, d: int, reps: int, seed: int = 0, x: str = "x") -> DataFrame:
+    """``mu_n``, the mean of the rows of each draw (see ``subsample``): keys, ``n``, ``rep``, ``mu_n``."""
+
+    def draw(table: pa.Table) -> pa.Table:
+        table = _sorted(table)
+        values = np.asarray(table[x].combine_chunks().flatten(), dtype=np.float64).reshape(-1, d)
+        parts = []
+        for n, first, key, taken, open_ in _selected(table, reps, seed):
+            sums, counts, many = taken.astype(np.float64) @ values, taken.sum(axis=1), open_.sum(axis=1)
+            # of each replicate first the sum of what is sure, then the open rows
+            limits = np.concatenate([[0], np.cumsum(many + 1)])
+            sure = limits[:-1]
+            rep, at = np.nonzero(open_)
+            where = sure[rep] + 1 + np.arange(len(rep)) - np.concatenate([[0], np.cumsum(many)])[rep]
+            keyed, number, named, vector = np.full(limits[-1], -1), np.ones(limits[-1], dtype=np.int64), np.full(limits[-1], None, dtype=object), np.empty((limits[-1], d))
+            vector[sure], number[sure] = sums, counts
+            if len(rep):
+                vector[where], keyed[where], named[where] = values[at], key[rep, at], np.array(table["__row"].to_pylist(), dtype=object)[at]
+            entries = pa.StructArray.from_arrays([pa.array(keyed), pa.array(named, pa.string()), pa.array(number), pa.ListArray.from_arrays(pa.array(np.arange(len(vector) + 1, dtype=np.int32) * d), pa.array(vector.reshape(-1)))], names=["key", "row", "number", "x"])
+            more = {"n": pa.array(np.full(len(sums), n)), "rep": pa.array(np.arange(first, first + len(sums), dtype=np.int32)), "part": pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), entries)}
+            parts.append(_with_keys(table, keys, len(sums), more))
+        return pa.concat_tables(parts)
+
+    met = _chunks(rows, depths, keys, row, [x])
+    drawn = met.groupBy(*keys, "__chunk").applyInArrow(draw, _schema(rows, keys, "n long, rep int, part array<struct<key:bigint,row:string,number:bigint,x:array<double>>>"))
+    group = [*keys, "n", "rep"]
+    if not _has_large(depths):
+        one = F.col("part")[0]
+        return drawn.select(*group, F.transform(one["x"], lambda v: v / one["number"]).alias("mu_n"))
+    entries = drawn.select(*group, F.explode("part").alias("p")).select(*group, "p.*")
+    so_far = F.sum("number").over(Window.partitionBy(*group).orderBy("key", "row").rowsBetween(Window.unboundedPreceding, 0))
+    kept = entries.withColumn("__so_far", so_far).where(F.col("__so_far") <= F.col("n"))
+    return kept.groupBy(*group).agg(vec.sums("x", d).alias("__s"), F.sum("number").alias("__n")).select(*group, vec.over("__s", F.col("__n")).alias("mu_n"))
 
 
 def realized_angles(means: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,10 +224,10 @@ def describe_groups(m: DataFrame, control: DataFrame, line: str) -> DataFrame:
     return g.withColumns({"tr_perp": perp_trace("u", "ell"), "rho2": rho2("u", "ell", F.col("m") * F.col("m"))}).drop("n")
 
 
-def heldout_curves(rows: DataFrame, groups: DataFrame, keys: list[str], row: str, d: int, points: int = 9, reps: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def heldout_curves(rows: DataFrame, groups: DataFrame, keys: list[str], row: str, d: int, points: int = 12, reps: int = 200, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The curve of every group: its points, and a record with predicted and fitted slope."""
     depths = groups.select(*keys, "size", F.explode(half_grid("size", points)).alias("n"))
-    means = drawn_means(subsample(rows, depths, keys, row, reps, seed), keys, d)
+    means = drawn_means(rows, depths, keys, row, d, reps, seed)
     curve = curve_points(realized_angles(means, groups, keys), groups, keys)
     slope = F.when(F.col("m") > 0, F.col("tr_perp") / (F.col("m") * F.col("m")))
     record = groups.select(*keys, "size", "m", "rho2", slope.alias("pred_slope")).join(origin_fit(curve, keys), keys)
@@ -134,18 +260,30 @@ def loglog_agreement(records: DataFrame) -> DataFrame:
     return p.agg(F.corr("x", "y").alias("r"), F.regr_slope("y", "x").alias("exponent"), F.pow(F.lit(10.0), F.regr_intercept("y", "x")).alias("coefficient"))
 
 
-def average_rank(x: Column) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    return F.rank().over(Window.orderBy(x)) + (F.count("*").over(Window.partitionBy(x)) - 1) / 2.0
+def ranked(records: DataFrame, value: str, out: str, tie: str | None = None, ranges: int = 64) -> DataFrame:
+    """Append ``out``: ranks from 1 by ``value``, ties sharing their mean, or told apart by ``tie``.
+
+    Values are cut into ranges, counted, and ranked inside each, so no task sees all rows.
+    """
+    cuts = sorted(set(records.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
+    at = F.aggregate(F.lit(cuts).cast("array<double>"), F.lit(0), lambda n, cut: n + F.when(F.col(value) > cut, 1).otherwise(0)) if cuts else F.lit(0)
+    met = records.withColumn("__at", at)
+    sizes = {r["__at"]: r.n for r in met.groupBy("__at").agg(F.count("*").alias("n")).collect()}
+    before, seen = {}, 0
+    for k in sorted(sizes):
+        before[k], seen = seen, seen + sizes[k]
+    start = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])[F.col("__at")] if before else F.lit(0)
+    if tie:
+        inside = F.row_number().over(Window.partitionBy("__at").orderBy(value, tie))
+    else:
+        inside = F.rank().over(Window.partitionBy("__at").orderBy(value)) + (F.count("*").over(Window.partitionBy("__at", value)) - 1) / 2.0
+    return met.withColumn(out, start + inside).drop("__at")
 
 
 def spearman(records: DataFrame, a: Column, b: Column, ordinal_tie: str | None = None) -> DataFrame:
     """Rank correlation; with a tie column, ranks are ordinal. For records, one a group."""
-    p = records.withColumns({"__a": a, "__b": b})
-    if ordinal_tie:
-        p = p.withColumns({"__ra": F.row_number().over(Window.orderBy("__a", ordinal_tie)), "__rb": F.row_number().over(Window.orderBy("__b", ordinal_tie))})
-    else:
-        p = p.withColumns({"__ra": average_rank(F.col("__a")), "__rb": average_rank(F.col("__b"))})
+    p = records.withColumns({"__a": a, "__b": b}).select("__a", "__b", *([ordinal_tie] if ordinal_tie else [])).cache()
+    p = ranked(ranked(p, "__a", "__ra", ordinal_tie), "__b", "__rb", ordinal_tie)
     return p.agg(F.corr("__ra", "__rb").alias("spearman"), F.count("*").alias("n"))
 
 
@@ -155,7 +293,7 @@ def hi_lo_snr_split(records: DataFrame) -> DataFrame:
     return r.agg(F.percentile(F.when(F.col("rho2") > F.col("__mid"), F.col("ratio")), F.lit(0.5)).alias("ratio_high"), F.percentile(F.when(F.col("rho2") <= F.col("__mid"), F.col("ratio")), F.lit(0.5)).alias("ratio_low"))
 
 
-def two_halves(rows: DataFrame, groups: DataFrame, keys: list[str], row: str, d: int, points: int = 6, reps: int = 10, seed: int = 0) -> DataFrame:
+def two_halves(rows: DataFrame, groups: DataFrame, keys: list[str], row: str, d: int, points: int = 6, reps: int = 200, seed: int = 0) -> DataFrame:
     """Independent estimates from two halves against each other and against the whole.
 
     ratio is the median over depths of the two root mean square angles' ratio;
@@ -167,7 +305,7 @@ def two_halves(rows: DataFrame, groups: DataFrame, keys: list[str], row: str, d:
     low = sizes.groupBy(*keys).agg(F.min("size").alias("low"), F.count("*").alias("k")).where("k = 2")
     grid = F.filter(depth_grid(F.col("low"), F.greatest(F.floor(F.col("low") / 2), F.lit(21)), points), lambda n: n >= 10)
     depths = sizes.join(low.select(*keys, F.explode(grid).alias("n")), keys)
-    means = drawn_means(subsample(split, depths, [*keys, "half"], row, reps, seed), [*keys, "half"], d).join(groups.select(*keys, "mu_c", "v"), keys)
+    means = drawn_means(split, depths, [*keys, "half"], row, d, reps, seed).join(groups.select(*keys, "mu_c", "v"), keys)
     e = means.select(*keys, "n", "rep", "half", "v", vec.minus("mu_n", "mu_c").alias("e"))
     a = e.where("half = 0").select(*keys, "n", "rep", "v", F.col("e").alias("ea"))
     met = a.join(e.where("half = 1").select(*keys, "n", "rep", F.col("e").alias("eb")), [*keys, "n", "rep"])
@@ -176,13 +314,13 @@ def two_halves(rows: DataFrame, groups: DataFrame, keys: list[str], row: str, d:
     return per.where("truth > 0").groupBy(*keys).agg(F.percentile(F.col("cross") / F.col("truth"), F.lit(0.5)).alias("ratio"), F.count("*").alias("depths"))
 
 
-def gate(rows: DataFrame, judged: DataFrame, keys: list[str], row: str, d: int, theta: float = THETA, reps: int = 20, slack: float = 1.05, seed: int = 0) -> DataFrame:
+def gate(rows: DataFrame, judged: DataFrame, keys: list[str], row: str, d: int, theta: float = THETA, reps: int = 200, slack: float = 1.05, seed: int = 0) -> DataFrame:
     """Does every OVER group still point the same way at its quota? ``met`` says so.
 
     Only OVER groups are drawn from; judged holds size, n_star, mu_c, v.
     """
     over = judged.where("regime = 'OVER'").withColumn("n", F.least(F.greatest(F.ceil("n_star"), F.lit(5)), F.col("size") - 1).cast("long"))
-    means = drawn_means(subsample(rows, over.select(*keys, "n", "size"), keys, row, reps, seed), keys, d)
+    means = drawn_means(rows, over.select(*keys, "n", "size"), keys, row, d, reps, seed)
     rms = realized_angles(means, over, keys).groupBy(*keys).agg(F.sqrt(F.avg(F.col("angle") * F.col("angle"))).alias("rms"))
     return over.select(*keys, "size", "n_star", "n").join(rms, keys).withColumn("met", F.col("rms") <= theta * slack)
 
@@ -210,13 +348,13 @@ def over_classification_scan(m: DataFrame, control: DataFrame, line: str, least:
     return evidence(g.drop("n"), theta)
 
 
-def downsampling_invariance(rows: DataFrame, groups: DataFrame, chosen: DataFrame, neighbours: DataFrame, keys: list[str], row: str, d: int, depth: int, reps: int = 20, seed: int = 0) -> DataFrame:
+def downsampling_invariance(rows: DataFrame, groups: DataFrame, chosen: DataFrame, neighbours: DataFrame, keys: list[str], row: str, d: int, depth: int, reps: int = 300, seed: int = 0) -> DataFrame:
     """How distance and cosines to near groups drift for the chosen groups at one depth.
 
     neighbours holds the keys, ``other`` and ``v_other``.
     """
     picked = groups.join(chosen.select(*keys), keys, "left_semi").where(F.col("size") > depth)
-    means = drawn_means(subsample(rows, picked.select(*keys, "size", F.lit(depth).cast("long").alias("n")), keys, row, reps, seed), keys, d)
+    means = drawn_means(rows, picked.select(*keys, "size", F.lit(depth).cast("long").alias("n")), keys, row, d, reps, seed)
     drawn = means.join(picked.select(*keys, "mu_c", "v", "m"), keys).withColumn("e", vec.minus("mu_n", "mu_c"))
     length = drawn.groupBy(*keys).agg(F.avg((vec.norm("e") - F.col("m")) / F.col("m")).alias("drift"), F.stddev_pop(vec.norm("e") / F.col("m")).alias("sd")).withColumn("other", F.lit("length"))
     near = drawn.join(neighbours, keys).groupBy(*keys, "other").agg(F.avg(vec.cosine("e", "v_other") - vec.cosine("v", "v_other")).alias("drift"), F.stddev_pop(vec.cosine("e", "v_other")).alias("sd"))

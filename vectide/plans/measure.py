@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import vec
 from vectide.operators import graph as G
+from vectide.operators.embed import small
 from vectide.operators import moments as M
 from vectide.operators import qc as C
 from vectide.operators import resample as R
@@ -16,7 +17,10 @@ from vectide.plans.core import SWEEP, THETAS, rounded
 
 Spark, Frame = SparkSession, DataFrame
 GROUP = ["brand", "line"]
-POINTS, REPS = 3, 3
+#: Depths and draws of held-out curves; depths of halves; draws of an invariance check.
+POINTS, REPS = 12, 200
+HALF_POINTS, MANY = 6, 300
+PRIME = R.PRIME
 
 
 def grid_sql(n: str, high: str, points: int) -> str:
@@ -38,15 +42,25 @@ def groups(spark: Spark, sf: str) -> Frame:
     return R.describe_groups(m, M.line_baseline(m, "line", D).select("line", "mu_c"), "line")
 
 
+def number_sql(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % {PRIME})"
+
+
 def draw_sql(depths: str, reps: int = REPS, keys: str = "brand, line", source: str = "cells", name: str = "drw") -> str:
-    return f"{name} AS (SELECT * FROM (SELECT c.*, d.n, d.rep, row_number() OVER (PARTITION BY {', '.join('c.' + k.strip() for k in keys.split(','))}, d.n, d.rep ORDER BY md5(concat_ws('|', row_id, d.n, d.rep, '0')), row_id) AS rk FROM {source} c JOIN (SELECT *, unnest(range({reps})) AS rep FROM {depths}) d USING ({keys})) WHERE rk <= n)"
+    """Draws from a source by a table of keys, n and size."""
+    factors = ", ".join(number_sql(f"concat_ws('|', n, rep, '0', '{which}')") + f" AS k{which}" for which in "ab")
+    groups_ = ", ".join("c." + k.strip() for k in keys.split(","))
+    return f"""{name}_c AS (SELECT *, {number_sql("row_id")} AS h FROM {source}),
+  {name}_p AS (SELECT *, {factors} FROM (SELECT *, unnest(range({reps})) AS rep FROM {depths})),
+  {name}_k AS (SELECT c.*, p.n, p.rep, p.size, (c.h * p.ka + p.kb) % {PRIME} AS key FROM {name}_c c JOIN {name}_p p USING ({keys})),
+  {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {groups_.replace('c.', '')}, n, rep ORDER BY key, row_id) AS rk FROM {name}_k WHERE key <= {PRIME} * (n + 8 * sqrt(n) + 32) / size) WHERE rk <= n)"""
 
 
 COSINE = f"({ks('(d# - c#) * v#', ' + ')}) / (sqrt({ks('(d# - c#) * (d# - c#)', ' + ')}) * m)"
 CURVE = GROUPS + ", " + ",\n".join(
     [
-        f"dep AS (SELECT brand, line, unnest({grid_sql('size', 'greatest(floor(size / 2), 40)', POINTS)}) AS n FROM grp)",
-        draw_sql("(SELECT brand, line, n FROM dep)"),
+        f"dep AS (SELECT brand, line, size, unnest({grid_sql('size', 'greatest(floor(size / 2), 40)', POINTS)}) AS n FROM grp)",
+        draw_sql("dep"),
         f"mn AS (SELECT brand, line, n, rep, {ks('avg(x#) AS d#')} FROM drw GROUP BY ALL)",
         f"ang AS (SELECT brand, line, mn.n, rep, acos(greatest(-1, least(1, {COSINE}))) AS angle FROM mn JOIN (SELECT brand, line, m, {ks('v#')}, {ks('c#')} FROM grp) g USING (brand, line))",
         "pts AS (SELECT a.brand, a.line, a.n, g.size, realized, greatest(tr_perp / (m * m) * (1.0 / a.n - 1.0 / g.size), 0) AS predicted, 1.0 / a.n - 1.0 / g.size AS xn FROM (SELECT brand, line, n, avg(angle * angle) AS realized FROM ang GROUP BY ALL) a JOIN (SELECT brand, line, size, m, tr_perp FROM grp) g USING (brand, line))",
@@ -61,9 +75,9 @@ def curves(spark: Spark, sf: str) -> tuple[Frame, Frame]:
     return R.heldout_curves(cells(spark, sf), g, GROUP, "row_id", D, POINTS, REPS)
 
 
-@query(GROUPS + f"SELECT brand, line, unnest({grid_sql('size', 'greatest(floor(size / 2), 40)', 9)}) AS depth FROM grp")
+@query(GROUPS + f"SELECT brand, line, unnest({grid_sql('size', 'greatest(floor(size / 2), 40)', POINTS)}) AS depth FROM grp")
 def r01_depth_grid(spark: Spark, sf: str) -> Frame:
-    return groups(spark, sf).select(*GROUP, F.explode(R.half_grid("size", 9)).alias("depth"))
+    return groups(spark, sf).select(*GROUP, F.explode(R.half_grid("size", POINTS)).alias("depth"))
 
 
 @query(CURVE + "SELECT brand, line, n, rep, count(*) AS rows, min(row_id) AS low, max(row_id) AS high FROM drw GROUP BY ALL")
@@ -136,7 +150,7 @@ HALVES = GROUPS + ", " + ",\n".join(
         "spl AS (SELECT *, CAST(('0x' || substr(md5(concat_ws('|', row_id, 'half0')), 1, 8))::BIGINT % 2 AS INT) AS half FROM cells)",
         "sz AS (SELECT brand, line, half, count(*) AS hn FROM spl GROUP BY ALL)",
         "lo AS (SELECT brand, line, min(hn) AS low FROM sz GROUP BY ALL HAVING count(*) = 2)",
-        f"dep AS (SELECT brand, line, half, unnest(list_filter({grid_sql('low', 'greatest(floor(low / 2), 21)', POINTS)}, lambda d: d >= 10)) AS n FROM lo JOIN sz USING (brand, line))",
+        f"dep AS (SELECT brand, line, half, hn AS size, unnest(list_filter({grid_sql('low', 'greatest(floor(low / 2), 21)', HALF_POINTS)}, lambda d: d >= 10)) AS n FROM lo JOIN sz USING (brand, line))",
         draw_sql("dep", keys="brand, line, half", source="spl"),
         f"mn AS (SELECT brand, line, half, n, rep, {ks('avg(x#) AS d#')} FROM drw GROUP BY ALL)",
         f"e AS (SELECT brand, line, half, mn.n, rep, m, {ks('v#')}, {ks('d# - c# AS f#')} FROM mn JOIN (SELECT brand, line, m, {ks('v#')}, {ks('c#')} FROM grp) g USING (brand, line))",
@@ -148,14 +162,14 @@ HALVES = GROUPS + ", " + ",\n".join(
 
 @query(HALVES + f" SELECT brand, line, {q6('quantile_cont(cross_ / truth, 0.5)', 'ratio')}, count(*) AS depths FROM per WHERE truth > 0 GROUP BY ALL")
 def r14_two_halves(spark: Spark, sf: str) -> Frame:
-    out = R.two_halves(cells(spark, sf), groups(spark, sf), GROUP, "row_id", D, POINTS, REPS)
+    out = R.two_halves(cells(spark, sf), groups(spark, sf), GROUP, "row_id", D, HALF_POINTS, REPS)
     return out.select(*GROUP, r6("ratio", "ratio"), "depths")
 
 
 GATE = EVIDENCE[:-1] + ", " + ",\n".join(
     [
         f"ovr AS (SELECT *, CAST(least(greatest(ceil(n_star), 5), n_t - 1) AS BIGINT) AS n, {ks('t# - c# AS v#')}, m_raw AS m FROM ev WHERE regime = 'OVER')",
-        draw_sql("(SELECT brand, band, line, n FROM ovr)", keys="brand, band, line"),
+        draw_sql("(SELECT brand, band, line, n, CAST(n_t AS BIGINT) AS size FROM ovr)", keys="brand, band, line"),
         f"mn AS (SELECT brand, band, line, rep, {ks('avg(x#) AS d#')} FROM drw GROUP BY ALL)",
         f"gat AS (SELECT brand, band, line, any_value(n_star) AS n_star, any_value(n) AS n, sqrt(avg(power(acos(greatest(-1, least(1, {COSINE}))), 2))) AS rms FROM mn JOIN ovr USING (brand, band, line) GROUP BY ALL)",
     ]
@@ -196,15 +210,37 @@ def r17_over_classification_scan(spark: Spark, sf: str) -> Frame:
     return out.select(F.concat_ws("|", "brand", F.col("band").cast("string"), "line").alias("cond_id"), "regime", r6("n_star", "n_star"))
 
 
-@query()
+def between(a: str, b: str) -> str:
+    """The cosine of two vectors given by patterns of their entries."""
+    length = lambda x: "sqrt(" + ks(f"{x} * {x}", " + ") + ")"
+    return f"({ks(f'{a} * {b}', ' + ')}) / ({length(a)} * {length(b)})"
+
+
+INVARIANCE = GROUPS + ", " + ",\n".join(
+    [
+        "big AS (SELECT * FROM grp ORDER BY m DESC, brand LIMIT 2)",
+        f"nei AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand, line ORDER BY round(cos, 12) DESC, other) AS rank FROM (SELECT a.brand, a.line, concat_ws('|', b.brand, b.line) AS other, {between('a.v#', 'b.v#')} AS cos, {ks('b.v# AS w#')} FROM big a JOIN grp b ON NOT (a.brand = b.brand AND a.line = b.line))) WHERE rank <= 3)",
+        draw_sql("(SELECT brand, line, size, 40 AS n FROM big WHERE size > 40)", MANY),
+        f"mn AS (SELECT brand, line, rep, {ks('avg(x#) AS d#')} FROM drw GROUP BY ALL)",
+        f"e AS (SELECT brand, line, rep, m, {ks('d# - c# AS f#')}, {ks('v#')} FROM mn JOIN (SELECT brand, line, m, {ks('c#')}, {ks('v#')} FROM grp) g USING (brand, line))",
+        f"el AS (SELECT *, sqrt({ks('f# * f#', ' + ')}) AS len FROM e)",
+    ]
+)
+
+
+@query(
+    INVARIANCE
+    + f"SELECT brand, line, 'length' AS other, {q6('avg((len - m) / m)', 'drift')}, {q6('stddev_pop(len / m)', 'sd')} FROM el GROUP BY ALL"
+    + f" UNION ALL SELECT brand, line, other, {q6('avg(ce - cv)', 'drift')}, {q6('stddev_pop(ce)', 'sd')} FROM (SELECT e.brand, e.line, other, {between('e.f#', 'w#')} AS ce, {between('e.v#', 'w#')} AS cv FROM e JOIN nei USING (brand, line)) GROUP BY ALL"
+)
 def r18_downsampling_invariance(spark: Spark, sf: str) -> Frame:
     g = groups(spark, sf).cache()
     chosen = g.orderBy(F.desc("m"), "brand").limit(2)
-    near = chosen.select(*GROUP, F.col("v").alias("__v")).crossJoin(F.broadcast(g.select(F.concat_ws("|", *GROUP).alias("other"), F.col("v").alias("v_other"))))
+    near = chosen.select(*GROUP, F.col("v").alias("__v")).crossJoin(small(g.select(F.concat_ws("|", *GROUP).alias("other"), F.col("v").alias("v_other")), 100_000))
     near = near.where(F.col("other") != F.concat_ws("|", *GROUP)).withColumn("cos", vec.cosine("__v", "v_other"))
     top = G.ranked(near.select(F.concat_ws("|", *GROUP).alias("src"), F.col("other").alias("dst"), "cos"), 3)
     neighbours = near.join(top.select(F.col("src").alias("__s"), F.col("dst").alias("other")), "other").where(F.col("__s") == F.concat_ws("|", *GROUP)).select(*GROUP, "other", "v_other")
-    return rounded(R.downsampling_invariance(cells(spark, sf), g, chosen, neighbours, GROUP, "row_id", D, 40, REPS))
+    return rounded(R.downsampling_invariance(cells(spark, sf), g, chosen, neighbours, GROUP, "row_id", D, 40, MANY))
 
 
 @query(with_(CELLS, sql_moments()) + f"SELECT round(w, 6) AS \"within\", round(mg, 6) AS marginal, abs(w - 6.9) <= 0.5 AS confirmed FROM (SELECT ({ks('sum(b# - a# * a# / n) / sum(n - 1)', ' + ')}) / 4 AS w FROM mom WHERE n >= 2), (SELECT ({ks('var_pop(x#)', ' + ')}) / 4 AS mg FROM cells)")
@@ -238,9 +274,7 @@ def g01_knn(spark: Spark, sf: str) -> Frame:
 
 @query(EDGES + f" SELECT src, count(*) AS n, {q6('max(cos)', 'best')} FROM cs GROUP BY 1")
 def j11_direction_self_join(spark: Spark, sf: str) -> Frame:
-    n = nodes(spark, sf).select("id", "brand", "u")
-    met = n.join(F.broadcast(n.select(F.col("id").alias("dst"), F.col("brand").alias("other"), F.col("u").alias("w"))), F.col("brand") != F.col("other"))
-    return met.groupBy(F.col("id").alias("src")).agg(F.count("*").alias("n"), r6(F.max(vec.cosine("u", "w")), "best"))
+    return G.direction_self_join(nodes(spark, sf), "brand", 128).select("src", "n", r6("best", "best"))
 
 
 @query(NODES + f", one AS (SELECT * FROM nod ORDER BY m_raw DESC, id LIMIT 1) SELECT n.id AS dst, {q6('(' + ks('n.u# * o.u#', ' + ') + ') / (sqrt(' + ks('n.u# * n.u#', ' + ') + ') * sqrt(' + ks('o.u# * o.u#', ' + ') + '))', 'cos')} FROM nod n CROSS JOIN one o WHERE n.id <> o.id ORDER BY cos DESC, dst LIMIT 3")
