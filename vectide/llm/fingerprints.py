@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.chosen_path import at_home, confirm, merge, tile_links
+from vectide.llm.chosen_path import confirm, merge, tile_links
 from vectide.llm.common import SLICE_BYTES, lists, materialise, minhashes, shingle_hashes, slices
 
 HASHES = 128
@@ -171,12 +171,14 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, bands: int =
     marks = classes.select("id", "n", F.explode("bands").alias("band"))
     first = marks.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
     met = materialise(marks.join(first, "band"))
+    # a sorted join whatever the sizes: what moves grows with the documents, and evenly
+    texts = materialise(thin.select("id", "text").join(met.select("id").distinct().hint("merge"), "id", "left_semi"))
     pairs = met.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    texts = thin.select("id", "text").join(met.select("id").distinct(), "id", "left_semi")
-    known = merge(None, confirm(pairs, materialise(texts), width, percent).where("linked").select("a", "b"))
-    told = at_home(met.select(F.col("band").alias("path"), "id", "n"), known)
-    mixed = told.groupBy("path").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("path")
-    open_ = told.join(mixed, "path").withColumn("sketch", F.array().cast("array<long>"))
-    known = merge(known, tile_links(materialise(open_), texts, width, percent))
+    judged = materialise(confirm(pairs, texts, width, percent))
+    linked = judged.where("linked").select("a", "b").distinct()
+    told = met.join(linked.select("a", F.col("b").alias("id"), F.lit(True).alias("led")), ["a", "id"], "left")
+    told = told.select(F.col("band").alias("path"), "id", "n", F.when(F.col("led"), F.col("a")).otherwise(F.col("id")).alias("home"), "a")
+    mixed = told.where("home <> a").select("path").distinct()
+    open_ = materialise(told.join(mixed, "path", "left_semi").drop("a").withColumn("sketch", F.array().cast("array<long>")))
     copies = thin.select("id", "text_a", "text_b").join(classes.select("text_a", "text_b", F.col("id").alias("a")), ["text_a", "text_b"]).where("id <> a")
-    return merge(known, copies.select("a", F.col("id").alias("b")))
+    return merge(None, linked.union(tile_links(open_, texts, width, percent)).union(copies.select("a", F.col("id").alias("b"))))
