@@ -41,7 +41,7 @@ def test_every_prefix_of_any_text(text):
 
 @pytest.mark.parametrize("word", ["thentionreading", "unbelievable!!", "日本語", "eauouonéè", "24be64439e3e", "aaaaaaaa"])
 def test_every_inner_prefix(word):
-    assert PrefixCounts(default_path()).unit("▁" + word)[1:] == [exact(word[: i + 1]) for i in range(len(word))]
+    assert PrefixCounts(default_path()).units(["▁", "▁" + word, "▁" + word[:3] + "x"])[1][1:] == [exact(word[: i + 1]) for i in range(len(word))]
 
 
 def test_budgets_and_truncation_from_the_stored_table(spark):

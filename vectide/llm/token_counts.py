@@ -9,9 +9,11 @@ stable beside the last piece of what is before it:
 Pieces never hold a space behind another sign, nor a line end, so a text falls
 into units (a run of spaces and the word behind it, or a line end and the word
 behind it) that are encoded apart from each other. Each distinct unit's counts
-are found once, and a text's table is their running sum: one number for each
-sign of the text. Its last entry is the text's token count; how long a prefix
-fits into a budget, or what a truncated text costs, is read off the table.
+are found once, in alphabetical order, so that units that begin alike share
+what they begin with. A text's table is the running sum over its units: one
+number for each sign of the text. Its last entry is the text's token count; how
+long a prefix fits into a budget, or what a truncated text costs, is read off
+the table.
 
 Null texts count as empty, with 0 tokens. Runs of spaces, leading and trailing
 ones and the library's own space sign are units like others. Repeated rows are
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 from vectide.llm.common import slices, utf8
 
 SPACE = "▁"
-KEEP_UNITS = 400_000
+KEEP_UNITS = 1_000_000
 KEEP_PAIRS = 1_000_000
+#: Stands for no piece.
+NONE = (1 << 20) - 1
 
 
 @lru_cache(maxsize=2)
@@ -57,9 +61,12 @@ class PrefixCounts:
     def __init__(self, path: str):
         self.model = processor(path)
         m = self.model
-        self.pieces = {m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))}
-        self.longest = max(map(len, self.pieces))
-        self.pairs: dict[tuple[str | None, str], bool] = {}
+        self.pieces = {m.id_to_piece(i): i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))}
+        # the longest piece with these last three signs
+        self.longest: dict[str, int] = {}
+        for piece in self.pieces:
+            self.longest[piece[-3:]] = max(self.longest.get(piece[-3:], 0), len(piece))
+        self.pairs: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -67,36 +74,47 @@ class PrefixCounts:
         self.flat = np.zeros(0, dtype=np.int32)
         self.start = np.zeros(1, dtype=np.int64)
 
-    def stable(self, before: str | None, piece: str) -> bool:
-        """Whether the pieces, written side by side, are encoded as just these pieces."""
-        known = self.pairs.get((before, piece))
-        if known is None:
-            if len(self.pairs) > KEEP_PAIRS:
-                self.pairs.clear()
-            signs = piece if before is None else before + piece
-            if signs == SPACE:
-                known = True
-            else:
-                lead = signs[0] == SPACE
-                got = self.model.encode(signs[1:] if lead else "\n" + signs, out_type=str, num_threads=1)
-                known = (got if lead else got[2:]) == ([piece] if before is None else [before, piece])
-            self.pairs[before, piece] = known
-        return known
-
-    def unit(self, signs: str) -> list[int]:
-        """Exact tokens of every non-empty prefix of a unit, spaces written as the space sign."""
-        pieces, stable = self.pieces, self.stable
-        last: list[str | None] = [None] * (len(signs) + 1)
-        count = [0] * (len(signs) + 1)
-        for end in range(1, len(signs) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = signs[start:end]
-                if piece in pieces and stable(last[start], piece):
-                    last[end], count[end] = piece, count[start] + 1
-                    break
-            else:  # a sign of no piece is spelt in bytes, which join nothing
-                count[end] = count[end - 1] + len(signs[end - 1].encode())
-        return count[1:]
+    def stable(self, before: int, piece: int) -> bool:
+        """Whether two pieces, written side by side, are encoded as just these; with NONE before, whether the piece is."""
+        names = [self.model.id_to_piece(p) for p in (before, piece) if p != NONE]
+        signs = "".join(names)
+        if signs == SPACE:
+            return True
+        lead = signs[0] == SPACE
+        got = self.model.encode(signs[1:] if lead else "\n" + signs, out_type=str, num_threads=1)
+        return (got if lead else got[2:]) == names
+
+    def units(self, units: list[str]) -> list[list[int]]:
+        """Exact tokens of every non-empty prefix of each unit, spaces written as the space sign."""
+        piece_of, pairs, longest = self.pieces.get, self.pairs, self.longest.get
+        out: list[list[int]] = [[]] * len(units)
+        last, count, done = [NONE], [0], ""
+        for i in sorted(range(len(units)), key=units.__getitem__):
+            signs = units[i]
+            same, most = 0, min(len(signs), len(done))
+            while same < most and signs[same] == done[same]:
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            for end in range(same + 1, len(signs) + 1):
+                first = end - longest(signs[end - 3 if end > 3 else 0 : end], 2)
+                for start in range(first if first > 0 else 0, end):
+                    piece = piece_of(signs[start:end])
+                    if piece is not None:
+                        pair = last[start] << 20 | piece
+                        fits = pairs.get(pair)
+                        if fits is None:
+                            fits = pairs[pair] = self.stable(last[start], piece)
+                        if fits:
+                            last.append(piece)
+                            count.append(count[start] + 1)
+                            break
+                else:  # a sign of no piece is spelt in bytes, which join nothing
+                    last.append(NONE)
+                    count.append(count[end - 1] + len(signs[end - 1].encode()))
+            out[i], done = count[1:], signs
+        if len(pairs) > KEEP_PAIRS:
+            pairs.clear()
+        return out
 
     def places(self, units: list[str]) -> np.ndarray:
         """The place of each unit's counts, ``flat[start[place] : start[place + 1]]``."""
@@ -104,7 +122,7 @@ class PrefixCounts:
             self.clear()
         new = [u for u in units if u not in self.place]
         if new:
-            counts = [self.unit(u) for u in new]
+            counts = self.units(new)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             sizes = np.fromiter(map(len, counts), dtype=np.int64, count=len(counts))
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(counts), dtype=np.int32, count=int(sizes.sum()))])
