@@ -2,8 +2,8 @@
 
 Three base kinds follow fixed patterns. Beside them, candidate strings (long
 runs of key signs) are judged by the Shannon entropy of a sliding window, kept
-up to date by incremental counts, with a threshold for each character class;
-an allow-list suppresses strings that are random by nature but no secrets.
+up to date by incremental counts, with a threshold for each window's character
+class; an allow-list suppresses strings that are random by nature but no secrets.
 Words and paths of words have a threshold of their own, part by part. Of a
 candidate that holds base spans, the parts outside them are spans as well.
 
@@ -13,6 +13,8 @@ exclusive. Repeated rows give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,12 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-# class, pattern of the whole candidate, least entropy of some window in bits
-CLASSES = [("hex", r"^[0-9A-Fa-f]+$", 3.0), ("upper", r"^[A-Z0-9]+$", 3.5), ("key", r"^[A-Za-z0-9+/_=-]+$", 3.75)]
+#: The signs of candidates, in the order of their codes; any other sign counts as one more.
+SIGNS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+#: Counts are below 32; so many of them lie in a number of 64 bits.
+PACKED = 12
+#: The least entropy of a window in bits, by class: hexadecimal digits, capitals and digits, any key signs.
+LEAST = {"hex": 3.0, "upper": 3.5, "key": 3.75}
 ALLOWED = [
     r"(?i)example|sample|placeholder|changeme|xxxx|abcdefgh|01234567",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -56,52 +62,56 @@ def _positions(text: Column, pattern: str, matches: Column, rank: int, keep) ->
     return F.when(F.size(matches) == 0, F.array().cast(SPANS)).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["found"]))
 
 
-def window_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The greatest entropy in bits of any ``window`` signs of a string.
+def window_bits(s: Column, window: int = WINDOW) -> Column:
+    """The greatest entropy in bits of ``window`` signs of a string, by class: a struct of hex, upper and key.
 
     Sliding by one sign changes two counts; the sum of ``n * log2(n)`` follows.
+    Counts are kept in a few packed numbers. Windows of digits alone are keys only.
     """
-    signs = F.split(s, "")
-    kinds = F.array_distinct(signs)
-    codes = F.transform(signs, lambda c: F.array_position(kinds, c).cast("int"))
-
-    def nlogn(n: Column) -> Column:
-        return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-
-    start = F.struct(
-        F.transform(kinds, lambda _: F.lit(0)).alias("n"),
-        F.lit(0.0).alias("sum"),
-        F.lit(0.0).alias("best"),
-        F.lit(0).alias("i"),
-    )
+    longs = -(-(len(SIGNS) + 1) // PACKED)
+    code = lambda i: F.pmod(F.instr(F.lit(SIGNS), s.substr(i, F.lit(1))) - 1, F.lit(len(SIGNS) + 1))
+    steps = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.struct(i.alias("i"), code(i).alias("came"), F.when(i > window, code(F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1)).alias("went")))
+    logs = F.lit([0.0] + [n * math.log2(n) for n in range(1, window + 2)])
+    nlogn = lambda n: F.element_at(logs, n.cast("int") + 1)
+    unit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), (c % PACKED) * 5)
+    start = F.struct(*[F.lit(0).cast("bigint").alias(f"n{k}") for k in range(longs)], *[F.lit(0).alias(f"run_{c}") for c in ("digit", "hex", "upper")], F.lit(0.0).alias("sum"), *[F.lit(0.0).alias(c) for c in LEAST])
+
+    def count(acc: Column, c: Column) -> Column:
+        held = F.element_at(F.array(*[acc[f"n{k}"] for k in range(longs)]), F.floor(c / PACKED).cast("int") + 1)
+        return F.call_function("shiftright", held, (c % PACKED) * 5).bitwiseAND(F.lit(31).cast("bigint"))
+
+    def step(acc: Column, p: Column) -> Column:
+        came, went, full = p["came"], p["went"], p["i"] >= window
+        before = count(acc, came)
+        more = acc["sum"] - nlogn(before) + nlogn(before + 1)
+        left = count(acc, F.greatest(went, F.lit(0))) + F.when(went == came, 1).otherwise(0)
+        total = F.when(went >= 0, more - nlogn(left) + nlogn(F.greatest(left - 1, F.lit(0)))).otherwise(more)
+        moved = lambda k: F.when(F.floor(came / PACKED) == k, unit(came)).otherwise(F.lit(0).cast("bigint")) - F.when((went >= 0) & (F.floor(went / PACKED) == k), unit(F.greatest(went, F.lit(0)))).otherwise(F.lit(0).cast("bigint"))
+        capital = lambda last: (came >= 36) & (came < last)
+        kinds = {"digit": came < 10, "hex": (came < 16) | capital(42), "upper": (came < 10) | capital(62)}
+        run = {c: F.when(ok, acc[f"run_{c}"] + 1).otherwise(F.lit(0)) for c, ok in kinds.items()}
+        bits = F.lit(math.log2(window)) - total / window
+        only = {"hex": (run["hex"] >= window) & (run["digit"] < window), "upper": (run["upper"] >= window) & (run["digit"] < window), "key": F.lit(True)}
+        best = [F.when(full & ok, F.greatest(acc[c], bits)).otherwise(acc[c]).alias(c) for c, ok in only.items()]
+        return F.struct(*[(acc[f"n{k}"] + moved(k)).alias(f"n{k}") for k in range(longs)], *[r.alias(f"run_{c}") for c, r in run.items()], total.alias("sum"), *best)
+
+    return F.aggregate(steps, start, step, lambda acc: F.struct(*[acc[c].alias(c) for c in LEAST]))
 
-    def step(acc: Column, code: Column) -> Column:
-        i = acc["i"] + 1
-        out = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
-        came = F.element_at(acc["n"], code)
-        more = acc["sum"] - nlogn(came) + nlogn(came + 1)
-        went = F.when(out > 0, F.element_at(acc["n"], F.greatest(out, F.lit(1))) + F.when(out == code, 1).otherwise(0)).otherwise(F.lit(0))
-        total = F.when(out > 0, more - nlogn(went) + nlogn(went - 1)).otherwise(more)
-        counts = F.transform(acc["n"], lambda n, k: n + F.when(k + 1 == code, 1).otherwise(0) - F.when(k + 1 == out, 1).otherwise(0))
-        bits = F.when(i >= window, F.lit(window).cast("double")).otherwise(i.cast("double"))
-        entropy = F.when(i >= window, F.log2(bits) - total / bits).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("n"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"), i.alias("i"))
 
-    return F.aggregate(codes, start, step, lambda acc: acc["best"])
+def window_entropy(s: Column, window: int = WINDOW) -> Column:
+    """The greatest entropy in bits of any ``window`` signs of a string; 0 if it is shorter."""
+    return F.when(F.length(s) >= window, window_bits(s, window)["key"]).otherwise(F.lit(0.0))
 
 
 def _random(hit: Column) -> Column:
-    """Whether a candidate is a secret by entropy: its class's threshold, and no allow-list hit."""
-    least = F.lit(99.0)
-    for _, pattern, bits in reversed(CLASSES):
-        least = F.when(hit.rlike(pattern), F.lit(bits)).otherwise(least)
+    """Whether a candidate is a secret by entropy: a window over its class's threshold, and no allow-list hit."""
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | hit.rlike(pattern)
     path = _like_words(hit, digits=True) & (F.regexp_count(hit, F.lit("/")) >= 2)
     by_part = F.exists(F.split(hit, SEPARATORS), lambda part: window_entropy(part) >= WORD_BITS)
-    judged = F.when(path | _like_words(hit), by_part).otherwise(window_entropy(hit) >= least)
-    return F.when(allowed, F.lit(False)).otherwise(judged)
+    over = F.exists(F.array(window_bits(hit)), lambda w: (w["hex"] >= LEAST["hex"]) | (w["upper"] >= LEAST["upper"]) | (w["key"] >= LEAST["key"]))
+    return F.when(allowed, F.lit(False)).when(path | _like_words(hit), by_part).otherwise(over)
 
 
 def _like_words(hit: Column, digits: bool = False) -> Column:
