@@ -42,10 +42,10 @@ NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 def marked(text: Column) -> Column:
     """The text as space-separated lower-case tokens, slots marked and keeping their value."""
     t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\x01\x02\x03]", " ")
-    t = F.regexp_replace(t, r"(?<=\p{Ll}[,;]? )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=\p{Ll}[,;]? )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
     t = F.regexp_replace(t, rf"(\p{{Nd}}+(?:[.,]\p{{Nd}}+)*)(?:\s?({UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUMBER}$1 {UNIT}$2 ")
     t = F.regexp_replace(t, rf"(?<![{NUMBER}\p{{Nd}}.,])(\p{{Nd}}+(?:[.,]\p{{Nd}}+)*)", f" {NUMBER}$1 ")
-    t = F.regexp_replace(t, r"[.,](?!\p{Nd})|[^\p{L}\p{N}.,\x01-\x03]+", " ")
+    t = F.regexp_replace(t, r"[.,](?!\p{Nd})|[^\p{L}\p{N}.,\x01-\x03 ]", " ")
     return F.trim(F.lower(t))
 
 
