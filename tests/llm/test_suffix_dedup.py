@@ -56,3 +56,44 @@ def test_edited_copies_and_shared_passages(spark, seed):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("words", [50, 8])
+def test_passages_of_words_that_others_hold(spark, sf, words):
+    from collections import defaultdict
+
+    from brute import LOWER, WORD
+    from vectide.llm.suffix_dedup import repeated_passages
+
+    rng = random.Random(words)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    shared = " ".join(str(rng.randrange(10**6)) for _ in range(90))
+    for d in range(30):  # the same words, other white space
+        cut = shared.split()[rng.randrange(60) :][: rng.randrange(45, 60)]
+        texts[1000 + d] = " ".join(str(rng.randrange(10**6)) for _ in range(60)) + "\n " + "  ".join(cut)
+    texts |= {2000: "same " * 300, 2001: "once " * 30, 2002: None, 2003: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    owners = defaultdict(set)
+    for d, t in texts.items():
+        w = WORD.findall((t or "").translate(LOWER))
+        for i in range(len(w) - words + 1):
+            owners[tuple(w[i : i + words])].add(d)
+    want = {d for ds in owners.values() if len(ds) > 1 for d in ds}
+    assert {r.doc_id for r in repeated_passages(docs, words).collect()} == want and len(want) < len(texts)
+
+
+def test_texts_of_one_doc_id_and_none(spark):
+    rng = random.Random(1)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(3))
+    rows = [(1, a, "x", 1), (1, b, "y", 2), (2, a, "z", 3), (None, c, "x", 4), (None, c, "x", 5), (3, b[:300], "", 6), (None, None, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string, first int")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.repeats_passage) for r in remove_repeats(docs).collect())
+    assert [g[:3] for g in got] == sorted([(0, 0, 0), (0, 900, 900), (0, 900, 900), (1, 900, 0), (1, 900, 900), (2, 900, 900), (3, 300, 0)])
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(7_000_000))
+    rows = [(1, long), (2, "z" * 500 + long[6_290_000:6_293_000] + "q" * 300)]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == (7_000_000, 3000, 1) and got[2].n_removed == 500 + 3000

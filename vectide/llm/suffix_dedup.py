@@ -10,11 +10,12 @@ others are induced, and common-prefix values are carried along:
    about one sample suffix for 185 bytes.
 2. Naming. Runs whose whole span is equal share a name, by count; a span met
    twice is repeated throughout and needs no sort. A name met once is clear.
-3. Sorting. Spans still contested are moved by name and sorted by Spark's
-   external sort, whose sorted runs on disk are merged through a priority
-   queue, so a part may be far larger than memory. Names with too many spans
-   are first split by windows, each half with the longer string its windows share, until
-   they are small: no group meets whole in a task.
+3. Sorting. Spans still contested are moved by name and sorted by Spark by
+   name and by their bytes from the sample place on: its sorted runs lie on disk
+   and are merged through a priority queue, so a part may be far larger than
+   memory. Names with too many spans are first split by windows, each half with
+   the longer string its windows share, until they are small: no group meets
+   whole in a task.
 4. Induction. From the sample suffixes' order and common prefixes with their
    neighbours, the order of the suffixes one byte to the left follows from that
    byte and the order before it, and the common prefix is one more than the
@@ -22,9 +23,12 @@ others are induced, and common-prefix values are carried along:
    suffix alone in its bucket drops out. Windows with a common
    prefix of ``length`` are repeated.
 
-Null and short texts lose nothing. Repeated rows are copies of each other.
-Texts of equal doc_id are taken as one document's repeated rows; other columns
-are ignored.
+Beside this, ``repeated_passages`` tells which documents hold a run of words
+that another one holds too, whatever its length in bytes.
+
+Null and short texts lose nothing. Repeated rows are copies of each other, and
+so are equal texts under one doc_id or none; other texts of one doc_id are
+documents of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import inverse, materialise, mix, powers, slices, utf8
+from vectide.llm.common import inverse, materialise, mix, powers, shingle_hashes, slices, utf8, word_hashes
 
 GRAM = 32
 #: A document longer than this is sampled piece by piece.
@@ -49,7 +53,11 @@ _U = np.uint64
 _BASE = 0xA24BAED4963EE407
 _PLACE = (1 << 24) - 1
 
-RUNS = "name long, span long, doc_id long, first long, windows int, reach int"
+RUNS = "name long, span long, doc_id long, mark int, first long, windows int, reach int"
+#: Stands for a missing doc_id.
+NO_ID = -(1 << 63)
+#: Tells apart the texts of one doc_id.
+DOC = ["doc_id", "mark"]
 
 
 def sample(raw: np.ndarray, limits: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -96,15 +104,15 @@ def sample(raw: np.ndarray, limits: np.ndarray, length: int, gram: int = GRAM) -
 def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         raw, limits = utf8(part.column("text"))
-        ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, marks = (part.column(c).to_numpy(zero_copy_only=False) for c in DOC)
         pieces = [(0, raw, limits)]
         if len(raw) > PIECE:  # one long text
             pieces = [(a, raw[a : a + PIECE + length - 1], np.array([0, len(raw[a : a + PIECE + length - 1])])) for a in range(0, len(raw) - length + 1, PIECE)]
         for shift, own, cuts in pieces:
             name, span, row, first, windows, reach = sample(own, cuts, length)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name), pa.array(span), pa.array(ids[row], pa.int64()), pa.array(first + shift), pa.array(windows.astype(np.int32)), pa.array(reach.astype(np.int32))],
-                names=["name", "span", "doc_id", "first", "windows", "reach"],
+                [pa.array(name), pa.array(span), pa.array(ids[row], pa.int64()), pa.array(marks[row], pa.int32()), pa.array(first + shift), pa.array(windows.astype(np.int32)), pa.array(reach.astype(np.int32))],
+                names=["name", "span", *DOC, "first", "windows", "reach"],
             )
 
 
@@ -112,11 +120,12 @@ def induce(groups: np.ndarray, contexts: list[bytes], reach: np.ndarray, windows
     """Which windows of contested spans are repeated: a row for each span, a column for each window.
 
     contexts: the bytes of each span from its first window on; its sample
-    suffix starts at ``reach``. Spans of one group share their name.
+    suffix starts at ``reach``. Spans of one group share their name, and come in
+    the order of their sample suffixes.
     """
     n, most = len(contexts), int(windows.max())
     out = np.zeros((n, most), dtype=bool)
-    order = np.array(sorted(range(n), key=lambda i: (groups[i], contexts[i][reach[i] :])))
+    order = np.arange(n)
     right = np.zeros((n, length), dtype=np.int16)
     left = np.full((n, int(reach.max()) + 1), -1, dtype=np.int16)
     for j, i in enumerate(order):
@@ -188,7 +197,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         for i in range(part.num_rows):
             text = raw[limits[i] : limits[i + 1]]
             for q in asked[i].as_py():
-                rows.append((q["name"], q["doc_id"], q["first"], q["windows"], q["reach"], q["copies"], text[q["first"] : q["first"] + q["windows"] + length - 1].tobytes()))
+                own = text[q["first"] : q["first"] + q["windows"] + length - 1].tobytes()
+                rows.append((q["name"], q["doc_id"], q["mark"], q["first"], q["windows"], q["reach"], q["copies"], own[: q["reach"]], own[q["reach"] :]))
                 if len(rows) >= 4000:
                     yield _spans(rows)
                     rows = []
@@ -196,8 +206,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             yield _spans(rows)
 
 
-SPANS = pa.schema([("name", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("reach", pa.int32()), ("copies", pa.int64()), ("bytes", pa.binary())])
-SPANS_SQL = "name long, doc_id long, first long, windows int, reach int, copies long, bytes binary"
+SPANS = pa.schema([("name", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("first", pa.int64()), ("windows", pa.int32()), ("reach", pa.int32()), ("copies", pa.int64()), ("head", pa.binary()), ("tail", pa.binary())])
+SPANS_SQL = "name long, doc_id long, mark int, first long, windows int, reach int, copies long, head binary, tail binary"
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
@@ -221,10 +231,11 @@ def _halve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                 if far < near:
                     continue
                 first = r["reach"] - far
-                text = r["bytes"][first : first + far - near + length]
-                shared = r["bytes"][r["reach"] - a : r["reach"] - b + length] if b - a < length and r["reach"] >= a and r["reach"] - b + length <= len(r["bytes"]) else b""
+                whole = r["head"] + r["tail"]
+                text = whole[first : first + far - near + length]
+                shared = whole[r["reach"] - a : r["reach"] - b + length] if b - a < length and r["reach"] >= a and r["reach"] - b + length <= len(whole) else b""
                 name = int.from_bytes(hashlib.blake2b(shared + b"|%d|%d" % (a, b), digest_size=8, key=r["name"].to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                rows.append((name, r["doc_id"], r["first"] + first, far - near + 1, far, r["copies"], text, a, b))
+                rows.append((name, r["doc_id"], r["mark"], r["first"] + first, far - near + 1, far, r["copies"], text[:far], text[far:], a, b))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate([f.type for f in SPANS] + [pa.int32(), pa.int32()])], names=[f.name for f in SPANS] + ["low", "high"])
 
@@ -235,14 +246,14 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
     def flush(rows: list[dict]) -> pa.RecordBatch:
         names = np.array([r["name"] for r in rows])
-        dup = induce(names, [r["bytes"] for r in rows], np.array([r["reach"] for r in rows]), np.array([r["windows"] for r in rows]), length)
+        dup = induce(names, [r["head"] + r["tail"] for r in rows], np.array([r["reach"] for r in rows]), np.array([r["windows"] for r in rows]), length)
         found = []
         for r, d in zip(rows, dup):
             if r["copies"] > 1:
                 continue  # repeated throughout, and told so elsewhere
             edges = np.flatnonzero(np.diff(np.concatenate([[0], d.view(np.int8), [0]])))
-            found += [(r["doc_id"], r["first"] + int(a), r["first"] + int(b)) for a, b in zip(edges[::2], edges[1::2])]
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["doc_id", "start", "stop"])
+            found += [(r["doc_id"], r["mark"], r["first"] + int(a), r["first"] + int(b)) for a, b in zip(edges[::2], edges[1::2])]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=[*DOC, "start", "stop"])
 
     for batch in batches:
         held += batch.to_pylist()
@@ -266,18 +277,28 @@ def _by_names(rows: list[dict]) -> Iterator[list[dict]]:
             start = i
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id (a number where it is missing), mark and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("mark"), text.alias("text"))
+
+
 def repeated_windows(docs: DataFrame, length: int = 400, together: int = TOGETHER) -> DataFrame:
-    """``(doc_id, start, stop)``: the starts of repeated windows, as ranges in bytes."""
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= length)
+    """``(doc_id, mark, start, stop)``: the starts of repeated windows, as ranges in bytes."""
+    thin = _texts(docs).where(F.octet_length("text") >= length)
     runs = materialise(thin.mapInArrow(partial(_runs, length=length), RUNS))
-    names = runs.groupBy("name", "span", "windows", "reach").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first")).alias("one"))
-    names = materialise(names)
+    # most names are met once, and need nothing more
+    often = runs.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    runs = materialise(runs.join(often, "name"))
+    same = ["name", "span", "windows", "reach"]
+    names = materialise(runs.groupBy(*same).agg(F.count("*").alias("copies"), F.min(F.struct(*DOC, "first")).alias("one")))
     shared = names.groupBy("name").agg(F.count("*").alias("spans"), F.min("copies").alias("least"))
-    copied = runs.join(names.where("copies > 1").select("name", "span", "windows", "reach"), ["name", "span", "windows", "reach"])
-    whole = copied.select("doc_id", F.col("first").alias("start"), (F.col("first") + F.col("windows")).alias("stop"))
+    copied = runs.join(names.where("copies > 1").select(*same), same)
+    whole = copied.select(*DOC, F.col("first").alias("start"), (F.col("first") + F.col("windows")).alias("stop"))
     contested = names.join(shared.where("spans > 1 and least = 1").select("name"), "name")
-    asked = contested.groupBy(F.col("one.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("name", F.col("one.doc_id").alias("doc_id"), F.col("one.first").alias("first"), "windows", "reach", "copies")).alias("asked"))
-    cut = materialise(thin.join(asked, "doc_id").mapInArrow(partial(_cut, length=length), SPANS_SQL).dropDuplicates(["name", "doc_id", "first", "windows"]))
+    one = [F.col(f"one.{c}").alias(c) for c in DOC]
+    asked = contested.groupBy(*one).agg(F.collect_list(F.struct("name", *one, F.col("one.first").alias("first"), "windows", "reach", "copies")).alias("asked"))
+    cut = materialise(thin.join(asked, DOC).mapInArrow(partial(_cut, length=length), SPANS_SQL).dropDuplicates(["name", *DOC, "first", "windows"]))
     found = []
     cut = cut.withColumns({"low": F.lit(0), "high": F.lit(length - GRAM)})
     while True:
@@ -288,7 +309,7 @@ def repeated_windows(docs: DataFrame, length: int = 400, together: int = TOGETHE
             break
         found.append(cut.join(crowded, "name", "left_anti"))
         crowd = cut.join(crowded, "name")
-        done = crowd.where("low = high").select("doc_id", F.col("first").alias("start"), (F.col("first") + 1).alias("stop"))
+        done = crowd.where("low = high").select(*DOC, F.col("first").alias("start"), (F.col("first") + 1).alias("stop"))
         whole = whole.unionByName(done)
         cut = materialise(crowd.where("low < high").mapInArrow(partial(_halve, length=length), SPANS_SQL + ", low int, high int"))
     columns = [f.name for f in SPANS]
@@ -296,8 +317,81 @@ def repeated_windows(docs: DataFrame, length: int = 400, together: int = TOGETHE
     for more in found[1:]:
         rest = rest.unionByName(more.select(*columns))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rest.repartition(parts, "name").sortWithinPartitions("name")
-    return whole.unionByName(ordered.mapInArrow(partial(_settle, length=length), "doc_id long, start long, stop long"))
+    ordered = rest.repartition(parts, "name").sortWithinPartitions("name", "tail")
+    return whole.unionByName(ordered.mapInArrow(partial(_settle, length=length), "doc_id long, mark int, start long, stop long"))
+
+
+def _passages(batches: Iterator[pa.RecordBatch], words: int, width: int = 5) -> Iterator[pa.RecordBatch]:
+    """Runs of windows of words, named by their least shingle: name, the hash of the whole run, and its first window."""
+    for part in slices(batches, "text"):
+        ids, marks = (part.column(c).to_numpy(zero_copy_only=False) for c in DOC)
+        hashes, limits = word_hashes(part.column("text"))
+        shingles, starts = shingle_hashes(part.column("text"), width)
+        names, spans, owners, firsts, counts = [], [], [], [], []
+        for i in np.flatnonzero(np.diff(limits) >= words):
+            own, least = hashes[limits[i] : limits[i + 1]], shingles[starts[i] : starts[i + 1]]
+            # of each window the place of its least shingle
+            span, step = words - width + 1, 1
+            low = (least & ~_U(_PLACE)) | np.arange(len(least), dtype=_U)
+            while step * 2 <= span:
+                low = np.minimum(low[:-step], low[step:])
+                step *= 2
+            if span > step:
+                low = np.minimum(low[: step - span], low[span - step :])
+            at = (low & _U(_PLACE)).astype(np.int64)
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            stop = np.append(first[1:], len(at)) + words - 1
+            total = np.concatenate([np.zeros(1, _U), np.cumsum((own + _U(1)) * powers(_BASE, len(own)), dtype=_U)])
+            names.append(least[at[first]])
+            spans.append(mix((total[stop] - total[first]) * powers(inverse(_BASE), len(own) + 1)[first] ^ ((stop - first).astype(_U) * _U(0xD6E8FEB86659FD93))))
+            owners.append(np.full(len(first), i))
+            firsts.append(first)
+            counts.append(stop - first - words + 1)
+        if names:
+            row = np.concatenate(owners)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(spans).view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(marks[row], pa.int32()), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(counts).astype(np.int32))],
+                names=["name", "span", *DOC, "first", "windows"],
+            )
+
+
+def _window_hashes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The hash of each window of words that is asked of a document."""
+    for part in slices(batches, "text"):
+        ids, marks = (part.column(c).to_numpy(zero_copy_only=False) for c in DOC)
+        hashes, limits = word_hashes(part.column("text"))
+        for i, asked in enumerate(part.column("asked").to_pylist()):
+            own = hashes[limits[i] : limits[i + 1]]
+            total = np.concatenate([np.zeros(1, _U), np.cumsum((own + _U(1)) * powers(_BASE, len(own)), dtype=_U)])
+            at = np.unique(np.concatenate([np.arange(q["first"], q["first"] + q["windows"]) for q in asked]))
+            window = mix((total[at + words] - total[at]) * powers(inverse(_BASE), len(own) + 1)[at])
+            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(np.full(len(at), ids[i])), pa.array(np.full(len(at), marks[i]), pa.int32())], names=["window", *DOC])
+
+
+def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
+    """``(doc_id, mark)`` of the documents that hold a run of ``words`` words which another document holds too.
+
+    Words are those between white space, A-Z in lower case. Windows of words are
+    named by their least shingle; runs that are equal under a name settle it,
+    and only where they differ are single windows compared.
+    """
+    thin = _texts(docs)
+    runs = materialise(thin.mapInArrow(partial(_passages, words=words), "name long, span long, doc_id long, mark int, first long, windows int"))
+    doc = F.struct(*DOC)
+    often = runs.groupBy("name").agg(F.min(doc).alias("a"), F.max(doc).alias("z")).where("a <> z").select("name")
+    runs = materialise(runs.join(often, "name"))
+    spans = runs.groupBy("name", "span").agg(F.min(doc).alias("a"), F.max(doc).alias("z")).withColumn("shared", F.col("a") != F.col("z"))
+    told = materialise(runs.join(spans.select("name", "span", "shared"), ["name", "span"]))
+    sure = told.where("shared").select(*DOC).distinct()
+    open_ = told.where(~F.col("shared")).groupBy(*DOC).agg(F.collect_list(F.struct("first", "windows")).alias("asked")).join(sure, DOC, "left_anti")
+    # a window that is open in one document may lie in a shared run of others: those are asked by name
+    names = told.where(~F.col("shared")).join(sure, DOC, "left_anti").select("name").distinct()
+    others = told.join(names, "name", "left_semi").groupBy("name", "span").agg(F.min(F.struct(*DOC, "first", "windows")).alias("q")).select("q.*")
+    others = others.groupBy(*DOC).agg(F.collect_list(F.struct("first", "windows")).alias("asked"))
+    asked = open_.unionByName(others).groupBy(*DOC).agg(F.flatten(F.collect_list("asked")).alias("asked"))
+    windows = thin.dropDuplicates(DOC).join(asked, DOC).select(*DOC, "text", "asked").mapInArrow(partial(_window_hashes, words=words), "window long, doc_id long, mark int").distinct()
+    met = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    return sure.unionByName(windows.join(met, "window").select(*DOC)).distinct()
 
 
 def _strip(batches: Iterator[pa.RecordBatch], length: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -328,18 +422,24 @@ def _strip(batches: Iterator[pa.RecordBatch], length: int, keep_text: bool) -> I
             spans.append(spanned)
             digests.append(hashlib.sha256(own).hexdigest())
             texts.append(own.tobytes() if keep_text else None)
-        columns = [part.column("doc_id"), pa.array(np.diff(limits)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        columns = [part.column("doc_id"), pa.array(np.diff(limits)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), part.column("repeats_passage")]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats_passage"]
         if keep_text:
             columns.append(pa.array(texts, pa.binary()))
             names.append("kept")
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, together: int = TOGETHER, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; on request the kept bytes."""
-    ranges = repeated_windows(docs, length, together).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = thin.join(ranges, "doc_id", "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return both.mapInArrow(partial(_strip, length=length, keep_text=keep_text), schema)
+def remove_repeats(docs: DataFrame, length: int = 400, together: int = TOGETHER, keep_text: bool = False, words: int = 50) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; on request the kept bytes.
+
+    repeats_passage says whether the document holds ``words`` words in a row that another one holds too.
+    """
+    ranges = repeated_windows(docs, length, together).groupBy(*DOC).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    passages = repeated_passages(docs, words).withColumn("repeats_passage", F.lit(True))
+    found = ranges.join(passages, DOC, "full")
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    both = _texts(docs).join(found, DOC, "left").withColumns({"ranges": F.coalesce("ranges", none), "repeats_passage": F.coalesce("repeats_passage", F.lit(False))})
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_passage boolean" + ", kept binary" * keep_text
+    out = both.mapInArrow(partial(_strip, length=length, keep_text=keep_text), schema)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
