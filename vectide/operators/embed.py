@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vectide.operators.moments import gram
+
 TARGET = 1e4
 #: Features of at most so many rows are sent to every executor.
 BROADCAST_FEATURES = 100_000
@@ -92,9 +96,7 @@ def fit_pca(cells: DataFrame, d: int, k: int, x: str = "x") -> tuple[DataFrame,
     ``pc_info(pc, var, evr)``; genes are positions in x. The d x d covariance is
     finished on the driver; each component's largest loading is positive.
     """
-    v = [F.col(x)[i].cast("double") for i in range(d)]
-    grams = cells.select(F.array(*v).alias("v")).mapInPandas(_gram, "i int, s double, g array<double>, n long").groupBy("i")
-    sums = grams.applyInPandas(_add_rows, "i int, s double, g array<double>, n long").toPandas().sort_values("i")
+    sums = gram(cells, F.array(*[F.col(x)[i].cast("double") for i in range(d)])).toPandas().sort_values("i")
     n = int(sums.n.iloc[0])
     mean = sums.s.to_numpy() / n
     cov = (np.array(sums.g.tolist()) - n * np.outer(mean, mean)) / (n - 1)
@@ -109,23 +111,6 @@ def fit_pca(cells: DataFrame, d: int, k: int, x: str = "x") -> tuple[DataFrame,
     return loadings, means, info
 
 
-def _gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    gram = total = None
-    n = 0
-    for f in frames:
-        if len(f):
-            x = np.array(f.v.tolist(), dtype=float)
-            gram = x.T @ x if gram is None else gram + x.T @ x
-            total = x.sum(axis=0) if total is None else total + x.sum(axis=0)
-            n += len(f)
-    if gram is not None:
-        yield pd.DataFrame({"i": np.arange(len(gram)), "s": total, "g": list(gram), "n": n})
-
-
-def _add_rows(f: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"i": f.i[:1], "s": [f.s.sum()], "g": [np.sum(f.g.tolist(), axis=0)], "n": [f.n.sum()]})
-
-
 def offsets(loadings: DataFrame, means: DataFrame) -> DataFrame:
     return loadings.join(means, "gene").groupBy("pc").agg(F.sum(F.col("w") * F.col("mu")).alias("off"))
 
@@ -137,6 +122,42 @@ def project_cells(logs: DataFrame, cells: DataFrame, loadings: DataFrame, means:
     return all_.join(hit, ["cell", "pc"], "left").select("cell", "pc", (F.coalesce("y", F.lit(0.0)) - F.col("off")).alias("x"))
 
 
+def project_lists(cells: DataFrame, cell: str, genes: str, values: str | None, loadings: DataFrame, means: DataFrame, target: float = TARGET) -> DataFrame:
+    """Coordinates ``cell, x`` of list columns, without a shuffle: the basis goes to every task, products stay inside a batch.
+
+    Values of one gene in a cell add up; without a column of values every entry
+    counts 1. The basis may have at most ``BROADCAST_FEATURES`` rows.
+    """
+    basis = loadings.limit(BROADCAST_FEATURES + 1).toPandas().pivot(index="gene", columns="pc", values="w").fillna(0.0)
+    if basis.size > BROADCAST_FEATURES:
+        raise ValueError("the basis is too large to be sent to every task")
+    names, w = pa.array(basis.index.tolist()), basis.to_numpy()
+    off = means.toPandas().set_index("gene").mu.reindex(basis.index).fillna(0.0).to_numpy() @ w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("genes").fill_null([]) if batch.column("genes").null_count else batch.column("genes")
+            sizes = np.asarray(pc.list_value_length(lists))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            coded = lists.flatten().dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            count = np.ones(len(code)) if values is None else np.asarray(batch.column("values").flatten(), dtype=float)
+            total = np.bincount(row, weights=count, minlength=len(sizes))
+            total[total == 0] = 1
+            pair, at = np.unique(row * max(1, len(coded.dictionary)) + code, return_inverse=True)
+            summed, cell_of = np.bincount(at, weights=count, minlength=len(pair)), pair // max(1, len(coded.dictionary))
+            known = pc.index_in(coded.dictionary.cast(names.type), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+            gene = known[pair % max(1, len(coded.dictionary))] if len(pair) else np.zeros(0, dtype=np.int64)
+            kept = gene >= 0
+            log = np.log1p(summed * target / total[cell_of])[kept]
+            out = np.stack([np.bincount(cell_of[kept], weights=log * w[gene[kept], k], minlength=len(sizes)) for k in range(w.shape[1])], axis=1) - off
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * w.shape[1]), pa.array(out.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), vectors], names=["cell", "x"])
+
+    thin = cells.select(F.col(cell).alias("cell"), F.col(genes).alias("genes"), *([F.col(values).cast("array<double>").alias("values")] if values else []))
+    return thin.mapInArrow(run, f"cell {cells.schema[cell].dataType.simpleString()}, x array<double>")
+
+
 def project_dense(cells: DataFrame, loadings: DataFrame, means: DataFrame, x: str = "x") -> DataFrame:
     """Coordinates of dense rows, as arrays: one matrix product for each Arrow batch."""
     w = loadings.toPandas().pivot(index="gene", columns="pc", values="w").to_numpy()

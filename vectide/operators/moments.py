@@ -6,6 +6,10 @@ replicate groups, shards and stream batches add up to the same numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,14 +80,63 @@ def within_variance_two_pass(rows: DataFrame, keys: list[str], d: int, x: str =
     return out.select(vec.over("sq", F.col("dof")).alias("ell")).select("ell", (vec.total("ell") / d).alias("sigma2"))
 
 
+def _gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    gram = total = None
+    n, fourth = 0, 0.0
+    for f in frames:
+        if len(f):
+            x = np.array(f.v.tolist(), dtype=float)
+            gram = x.T @ x if gram is None else gram + x.T @ x
+            total = x.sum(axis=0) if total is None else total + x.sum(axis=0)
+            n, fourth = n + len(f), fourth + float(((x * x).sum(axis=1) ** 2).sum())
+    if gram is not None:
+        yield pd.DataFrame({"i": np.arange(len(gram)), "s": total, "g": list(gram), "n": n, "q": fourth})
+
+
+def _add_rows(f: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"i": f.i[:1], "s": [f.s.sum()], "g": [np.sum(f.g.tolist(), axis=0)], "n": [f.n.sum()], "q": [f.q.sum()]})
+
+
+def gram(rows: DataFrame, x: Column) -> DataFrame:
+    """Row i of the products ``g`` summed over all rows, with the sum ``s`` of entry i, the count ``n`` and ``q``, the sum of fourth powers of lengths.
+
+    One matrix product for each Arrow batch; a partition passes on one matrix.
+    """
+    schema = "i int, s double, g array<double>, n long, q double"
+    return rows.select(x.alias("v")).mapInPandas(_gram, schema).groupBy("i").applyInPandas(_add_rows, schema)
+
+
+#: Up to so many entries a group's products are plain sums of columns.
+FEW = 8
+#: Tasks that may share a group.
+SHARED = 8
+
+
 def cross_moments(rows: DataFrame, keys: list[str], d: int, x: str = "x") -> DataFrame:
     """``n``, sums ``s1`` and the upper triangle ``s2[i, j]`` of products, one row for each group."""
     v = [F.col(x)[k].cast("double") for k in range(d)]
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.sum(c) for c in v]).alias("s1"),
-        F.array(*[F.sum(v[i] * v[j]) for i in range(d) for j in range(i, d)]).alias("s2"),
-    )
+    if d <= FEW:
+        return rows.groupBy(*keys).agg(
+            F.count("*").alias("n"),
+            F.array(*[F.sum(c) for c in v]).alias("s1"),
+            F.array(*[F.sum(v[i] * v[j]) for i in range(d) for j in range(i, d)]).alias("s2"),
+        )
+    upper = np.triu_indices(d)
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            values = np.array(f.v.tolist(), dtype=float).reshape(len(f), d)
+            for _, at in f.groupby(keys, dropna=False, sort=False).indices.items():
+                own = values[at]
+                yield f.iloc[at[:1]][keys].assign(n=len(at), s1=[own.sum(axis=0)], s2=[(own.T @ own)[upper]])
+
+    thin = rows.select(*keys, F.array(*v).alias("v"))
+    # a group's rows lie together in a few tasks, so a batch passes on few groups
+    sorted_ = thin.repartition(*keys, F.spark_partition_id() % SHARED).sortWithinPartitions(*keys)
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", n long, s1 array<double>, s2 array<double>"
+    add = lambda a, b: F.when(F.size(a) == 0, b).otherwise(vec.plus(a, b))
+    sums = lambda c: F.aggregate(F.collect_list(c), F.array().cast("array<double>"), add)
+    return sorted_.mapInPandas(products, schema).groupBy(*keys).agg(F.sum("n").alias("n"), sums("s1").alias("s1"), sums("s2").alias("s2"))
 
 
 def _triangle(d: int) -> Column:
@@ -98,10 +151,17 @@ def tidy_triangle(df: DataFrame, d: int, cells: str = "s2") -> DataFrame:
 
 
 def within_covariance(rows: DataFrame, keys: list[str], d: int, x: str = "x") -> DataFrame:
-    """The pooled covariance inside groups, as ``i, j, value`` with i <= j."""
-    cells = tidy_triangle(cross_moments(rows, keys, d, x).where("n >= 2"), d)
-    residual = F.col("value") - F.col("s1")[F.col("i")] * F.col("s1")[F.col("j")] / F.col("n")
-    return cells.groupBy("i", "j").agg((F.sum(residual) / F.sum(F.col("n") - 1)).alias("value"))
+    """The pooled covariance inside groups, as ``i, j, value`` with i <= j.
+
+    All products together less those of the groups' means: no group's own
+    products are needed, and groups of one row cancel out.
+    """
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), vec.sums(x, d).alias("s1"))
+    mean = gram(sums, F.transform("s1", lambda s: s / F.sqrt(F.col("n").cast("double"))))
+    dof = sums.agg(F.sum(F.col("n") - 1).alias("dof"))
+    both = gram(rows, vec.doubles(x)).select("i", "g").join(mean.select("i", F.col("g").alias("h")), "i").crossJoin(F.broadcast(dof)).where("dof > 0")
+    cells = both.select("i", F.posexplode(F.transform(vec.minus("g", "h"), lambda c: c / F.col("dof"))).alias("j", "value"))
+    return cells.where("i <= j")
 
 
 def group_covariance(rows: DataFrame, keys: list[str], d: int, x: str = "x", ddof: int = 1) -> DataFrame:
@@ -131,10 +191,10 @@ def ledoit_wolf(rows: DataFrame, keys: list[str], d: int, x: str = "x") -> DataF
     of products and of squared lengths of residuals are needed.
     """
     mean = rows.groupBy(*keys).agg(vec.means(x, d).alias("__mu"))
-    r = rows.join(mean, keys).select(F.array(*[F.col(x)[k].cast("double") - F.col("__mu")[k] for k in range(d)]).alias("r"))
-    v = [F.col("r")[k] for k in range(d)]
-    length = vec.dot("r", "r")
-    s = r.agg(F.count("*").alias("n"), F.array(*[F.sum(v[i] * v[j]) for i in range(d) for j in range(i, d)]).alias("g"), F.sum(length * length).alias("q"))
+    r = rows.join(mean, keys)
+    products = gram(r, vec.minus(vec.doubles(x), "__mu"))
+    # row i gives the entries from i on of the triangle
+    s = products.agg(F.max("n").alias("n"), F.max("q").alias("q"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda p: F.slice(p["g"], p["i"] + 1, d))).alias("g"))
     s = s.where("n > 0").withColumn("c", F.transform("g", lambda c: c / F.col("n")))
     at = {ij: k for k, ij in enumerate((i, j) for i in range(d) for j in range(i, d))}
     trace = sum(F.col("c")[at[i, i]] for i in range(d))

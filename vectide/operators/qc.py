@@ -10,13 +10,13 @@ from pyspark.sql.window import Window
 CONTROL = r"(?i)non.?target|^ntc$|control|safe.?harbor|scramble|negative"
 #: labels that carry no mechanism (fixed values)
 UNUSABLE = ("unclear", "none", "")
-#: names under which a field may appear, matched in any case (fixed values)
+#: names under which a field may appear, the first that is there counts, matched in any case (fixed values)
 ALIASES = {
-    "umi": ("umi_count", "umi", "total_counts", "n_counts"),
-    "mito": ("mitopercent", "pct_counts_mt", "percent_mito", "mito"),
-    "gene": ("gene", "gene_target", "target"),
-    "guide": ("sgid_ab", "guide", "guide_target"),
-    "batch": ("gem_group", "batch"),
+    "umi": ("UMI_count", "total_counts", "n_counts", "num_umis"),
+    "mito": ("mitopercent", "percent_mito", "pct_counts_mt", "mito_frac"),
+    "gene": ("gene", "gene_target", "target_gene", "target"),
+    "guide": ("sgID_AB", "guide_identity", "sgID", "sgRNA", "protospacer"),
+    "gem": ("gem_group", "gemgroup", "batch", "lane"),
 }
 REQUIRED = ("umi", "mito", "gene")
 
@@ -64,10 +64,10 @@ def guide_concordance_filter(df: DataFrame, guide: str | None) -> DataFrame:
 
 def resolve_columns(df: DataFrame, aliases: dict[str, tuple[str, ...]] | None = None, required: tuple[str, ...] = REQUIRED) -> DataFrame:
     """Rename fields to their standard names; a missing required field is an error."""
-    have = {c.lower(): c for c in reversed(df.columns)}
+    have = {c.lower(): c for c in reversed(df.columns)} | {c: c for c in df.columns}
     picked = {}
     for name, others in (aliases or ALIASES).items():
-        found = next((have[o] for o in (name, *others) if o in have), None)
+        found = next((have[o] for other in (*others, name) for o in (other, other.lower()) if o in have), None)
         if found is not None:
             picked[name] = found
         elif name in required:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one that the cluster names; a local one only on a single machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-work-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(c: Column | str, name: str | None = None) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name) if name else F.round(c.cast("double"), 6) + F.lit(0.0)

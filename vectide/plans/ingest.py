@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from vectide.functions.quota import evidence
 from vectide.operators import embed as E
 from vectide.operators import moments as M
 from vectide.operators import qc as C
-from vectide.plans.base import CELLS, D, EVIDENCE, KEYS, THETA, cells, flat, group_moments, judged, ks, q6, q6s, query, r6, sql_moments, standard, table, with_
+from vectide.plans.base import CELLS, D, EVIDENCE, KEYS, THETA, WITHIN, cells, flat, group_moments, judged, ks, q6, q6s, query, r6, sql_moments, standard, table, with_, work_path
 from vectide.plans.core import CONTROLS, MATCHED, matched, plate_controls, rounded
 from vectide.sources import ingest as I
 from vectide.streaming import moments as T
@@ -37,7 +40,9 @@ def s03_scan_dimensions(spark: Spark, sf: str) -> Frame:
 
 @query(with_(CELLS, sql_moments("brand, line, plate")) + f"SELECT brand, line, plate, n, {ks('round(b#, 4) + 0.0 AS s2_#')} FROM mom")
 def s04_moments_table(spark: Spark, sf: str) -> Frame:
-    return group_moments(spark, sf, ["brand", "line", "plate"]).select("brand", "line", "plate", "n", *[(F.round(F.col("s2")[k], 4) + 0.0).alias(f"s2_{k + 1}") for k in range(D)])
+    path = work_path(spark, "moments")
+    I.write_moments(group_moments(spark, sf, ["brand", "line", "plate"]), path)
+    return I.read_moments(spark, path).select("brand", "line", "plate", "n", *[(F.round(F.col("s2")[k], 4) + 0.0).alias(f"s2_{k + 1}") for k in range(D)])
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
@@ -46,6 +51,13 @@ def s05_json_values(spark: Spark, sf: str) -> Frame:
     return ev.groupBy("event_type").agg(F.sum("p.k").alias("k"))
 
 
+@query(with_(CELLS, sql_moments(), WITHIN) + f"SELECT {q6('(' + ks('e#', ' + ') + ') / 4', 'sigma2')}, {ks('round(e#, 6) + 0.0 AS ell_#')} FROM within_")
+def s05_read_calibration(spark: Spark, sf: str) -> Frame:
+    path = work_path(spark, "calibration")
+    M.within_variance(group_moments(spark, sf), D).coalesce(1).write.json(path)
+    return I.read_calibration(spark, path).select(r6("sigma2", "sigma2"), *flat("ell"))
+
+
 SHARDS = "ids AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem)), k AS (SELECT count(*) AS n FROM ids), one AS (SELECT DISTINCT CAST(least(round_even(j * (n - 1) / 6.0, 0), n - 1) AS BIGINT) AS i FROM k, range(7) t(j))"
 
 
@@ -75,13 +87,17 @@ def s08_head_block(spark: Spark, sf: str) -> Frame:
 
 @query(EVIDENCE + f"SELECT cond_id, {q6s('m_raw', 'm_corr')}, n_t, n_c, {q6('CASE WHEN n_star = CAST(' + chr(39) + 'Infinity' + chr(39) + ' AS DOUBLE) THEN -1 ELSE n_star END', 'n_star')}, regime FROM ev")
 def s09_write_condition_table(spark: Spark, sf: str) -> Frame:
-    out = I.csv_form(I.condition_table(judged(spark, sf)))
+    path = work_path(spark, "conditions")
+    I.write_condition_table(judged(spark, sf), path, "csv")
+    out = spark.read.csv(path, header=True, schema="cond_id string, m_raw double, m_corr double, n_t double, n_c double, n_star double, regime string")
     return out.select("cond_id", r6("m_raw", "m_raw"), r6("m_corr", "m_corr"), "n_t", "n_c", r6("n_star", "n_star"), "regime")
 
 
 @query(EVIDENCE + "SELECT concat('| ', regime, ' | ', printf('%.1f', count(*)::DOUBLE), ' |') AS line FROM ev GROUP BY regime")
 def s10_write_report(spark: Spark, sf: str) -> Frame:
-    return I.markdown_rows(judged(spark, sf).groupBy("regime").agg(F.count("*").alias("n")), "regime", ["n"])
+    path = work_path(spark, "report")
+    I.write_report(judged(spark, sf).groupBy("regime").agg(F.count("*").alias("n")), path, "regime", ["n"])
+    return spark.read.text(f"{path}/markdown").select(F.col("value").alias("line"))
 
 
 STREAM = "SELECT event_type AS cond, user_id % 5 AS line, count(*) AS n, round(sum(value), 4) + 0.0 AS s1_1, round(sum(CAST(json_extract(props, '$.k') AS DOUBLE)), 4) + 0.0 AS s1_2, round(sum(value * value), 3) + 0.0 AS s2_1 FROM events GROUP BY ALL"
@@ -89,13 +105,10 @@ STREAM = "SELECT event_type AS cond, user_id % 5 AS line, count(*) AS n, round(s
 
 @query(STREAM)
 def s11_incremental_moments(spark: Spark, sf: str) -> Frame:
-    import tempfile
-    import uuid
-
-    name = f"moments_{uuid.uuid4().hex}"
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
+    folder = work_path(spark, "stream")
+    name = "moments_" + folder[-32:]
     stream = T.shard_stream(spark, f"{sf}/events*.parquet", T.EVENTS)
-    T.incremental_moments(T.event_rows(stream), ["cond", "line"], 2, name, f"{folder}/{name}").awaitTermination()
+    T.incremental_moments(T.event_rows(stream), ["cond", "line"], 2, name, folder).awaitTermination()
     m = spark.table(name)
     return m.select("cond", "line", "n", *[(F.round(F.col("s1")[k], 4) + 0.0).alias(f"s1_{k + 1}") for k in range(2)], (F.round(F.col("s2")[0], 3) + 0.0).alias("s2_1"))
 
@@ -116,7 +129,8 @@ def q01_drop_special_tokens(spark: Spark, sf: str) -> Frame:
 @query("SELECT d.source, count(*) AS pre, CAST(count_if(quality = 1) AS BIGINT) AS post FROM documents d JOIN labels l USING (doc_id) GROUP BY 1")
 def q02_pass_filter(spark: Spark, sf: str) -> Frame:
     met = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id")
-    return met.groupBy("source").agg(F.count("*").alias("pre"), F.count_if(F.col("quality") == 1).alias("post"))
+    post = C.pass_filter(met, F.col("quality") == 1).groupBy("source").agg(F.count("*").alias("post"))
+    return met.groupBy("source").agg(F.count("*").alias("pre")).join(post, "source", "left").select("source", "pre", F.coalesce("post", F.lit(0)).cast("long").alias("post"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 0.5 * (SELECT quantile_cont(n_chars, 0.5) FROM documents)")
@@ -213,9 +227,9 @@ def p04_total_counts(spark: Spark, sf: str) -> Frame:
     return E.total_counts(word_counts(spark, sf))
 
 
-@query(with_(WORDS) + "SELECT gene, round(sum(ln(1 + value * 10000.0 / total)), 4) AS s FROM wc JOIN tot USING (cell) GROUP BY 1 HAVING count(*) >= 20")
+@query(with_(WORDS) + "SELECT gene, round(sum(ln(1 + value * 10000.0 / total)), 4) AS s FROM wc JOIN tot USING (cell) GROUP BY 1")
 def p05_normalize_log1p(spark: Spark, sf: str) -> Frame:
-    return E.normalize_log1p(word_counts(spark, sf)).groupBy("gene").agg(F.round(F.sum("log"), 4).alias("s"), F.count("*").alias("n")).where("n >= 20").select("gene", "s")
+    return E.normalize_log1p(word_counts(spark, sf)).groupBy("gene").agg(F.round(F.sum("log"), 4).alias("s"))
 
 
 @query(with_(WORDS, FEATURES) + "SELECT cell, count(*) AS genes, CAST(sum(value) AS BIGINT) AS kept FROM wc WHERE gene IN (SELECT gene FROM feat) GROUP BY 1")
@@ -237,8 +251,9 @@ def stated_basis(features: Frame) -> tuple[Frame, Frame]:
 def p07_project_cells(spark: Spark, sf: str) -> Frame:
     counts = word_counts(spark, sf)
     loadings, means = stated_basis(top_words(counts))
-    x = E.project_cells(E.normalize_log1p(counts), E.total_counts(counts), loadings, means)
-    return x.select("cell", "pc", (F.round("x", 5) + 0.0).alias("x"))
+    lists = table(spark, sf, "documents").select("doc_id", F.filter(F.split("text", "[ \\n]+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
+    x = E.project_lists(lists, "doc_id", "words", None, loadings, means)
+    return x.select("cell", F.posexplode("x").alias("pc", "x")).select("cell", "pc", (F.round("x", 5) + 0.0).alias("x"))
 
 
 @query(with_(WORDS, FEATURES, BASIS, "cl AS (SELECT doc_id AS cell, source FROM documents)", "n AS (SELECT source, count(*) AS n FROM cl GROUP BY 1)") + "SELECT source, CAST(pc AS INT) AS pc, round(coalesce(y, 0) / n - o, 5) + 0.0 AS mu FROM n CROSS JOIN ofs LEFT JOIN (SELECT source, pc, sum(ln(1 + value * 10000.0 / total) * w) AS y FROM wc JOIN tot USING (cell) JOIN bas USING (gene) JOIN cl USING (cell) GROUP BY ALL) h USING (source, pc)")
@@ -320,12 +335,87 @@ def f6_principal_angles(spark: Spark, sf: str) -> Frame:
     return rounded(E.angle_summary(E.principal_angles(*two_bases(spark, sf))))
 
 
+#: two stated pairs of directions over the embedding's entries, so that overlaps and angles have exact answers
+PAIR = "pa AS (SELECT g AS gene, pc, cos(pi() * (g + 0.5) * (pc + 1) / 64) * sqrt(2.0 / 64) AS w FROM range(64) a(g), range(2) b(pc)), pb AS (SELECT gene, pc, w * 0.8 + 0.6 * cos(pi() * (gene + 0.5) * (pc + 5) / 64) * sqrt(2.0 / 64) AS w FROM pa), emb AS (SELECT avg(embedding[1]) AS tilt FROM embeddings), pt AS (SELECT gene, pc, w * (1 + tilt * gene / 64) AS w FROM pb CROSS JOIN emb), cr AS (SELECT a.pc AS pc_a, b.pc AS pc_b, sum(a.w * b.w) AS c FROM pa a JOIN pt b USING (gene) GROUP BY ALL)"
+
+
+def stated_pair(spark: Spark, sf: str) -> tuple[Frame, Frame]:
+    """Cosines, and cosines turned and tilted by what the embeddings hold."""
+    wave = lambda k: F.cos(F.lit(math.pi) * (F.col("gene") + 0.5) * (F.col("pc") + k) / 64) * math.sqrt(2 / 64)
+    grid = spark.range(64).select(F.col("id").alias("gene"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pc"))
+    a = grid.withColumn("w", wave(1))
+    tilt = table(spark, sf, "embeddings").agg(F.avg(F.col("embedding")[0].cast("double")).alias("tilt"))
+    b = grid.crossJoin(F.broadcast(tilt)).select("gene", "pc", ((wave(1) * 0.8 + wave(5) * 0.6) * (F.lit(1.0) + F.col("tilt") * F.col("gene") / 64)).alias("w"))
+    return a, b
+
+
+@query(with_(PAIR) + f"SELECT {q6('sum(c * c) / 2', 'overlap')} FROM cr")
+def f5_stated_overlap(spark: Spark, sf: str) -> Frame:
+    return E.subspace_overlap(*stated_pair(spark, sf), 2).select(r6("overlap", "overlap"))
+
+
+@query(with_(PAIR) + f"SELECT CAST(pc_a AS INT) AS pc_a, CAST(pc_b AS INT) AS pc_b, {q6s('c')} FROM cr")
+def j10_stated_overlap_join(spark: Spark, sf: str) -> Frame:
+    return E.cross_products(*stated_pair(spark, sf)).select("pc_a", "pc_b", r6("c", "c"))
+
+
+@query(with_(PAIR, "m AS (SELECT sum(CASE WHEN pc_a = 0 AND pc_b = 0 THEN c END) AS a, sum(CASE WHEN pc_a = 0 AND pc_b = 1 THEN c END) AS b, sum(CASE WHEN pc_a = 1 AND pc_b = 0 THEN c END) AS c, sum(CASE WHEN pc_a = 1 AND pc_b = 1 THEN c END) AS d FROM cr)", "q AS (SELECT (a * a + b * b + c * c + d * d) / 2 AS s, sqrt(greatest(power((a * a + b * b + c * c + d * d) / 2, 2) - power(a * d - b * c, 2), 0)) AS t FROM m)") + " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS i, round(degrees(acos(least(1, sqrt(greatest(s {sign} t, 0))))), 4) AS angle FROM q" for i, sign in ((0, "+"), (1, "-"))))
+def f6_stated_angles(spark: Spark, sf: str) -> Frame:
+    return E.principal_angles(*stated_pair(spark, sf)).select("i", F.round("angle", 4).alias("angle"))
+
+
+@query(with_(PAIR, "ww AS (SELECT a.pc AS pc_a, b.pc AS pc_b, sum(a.w * b.w) AS c FROM pt a JOIN pt b USING (gene) GROUP BY ALL)") + f"SELECT {q6('max(abs(c - CASE WHEN pc_a = pc_b THEN 1 ELSE 0 END))', 'residual')} FROM ww")
+def f7_stated_residual(spark: Spark, sf: str) -> Frame:
+    return E.orthonormality_residual(stated_pair(spark, sf)[1]).select(r6("residual", "residual"))
+
+
+EMBEDDED = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
+
+
+@query(with_(EMBEDDED, "c AS (SELECT a.i AS i, b.i AS j, covar_samp(a.v, b.v) AS c FROM e a JOIN e b USING (vec_id) GROUP BY ALL)") + "SELECT CAST(64 AS BIGINT) AS components, round(sum(CASE WHEN i = j THEN c END), 6) AS total, round(sum(c * c), 6) AS squares, CAST(1 AS DOUBLE) AS shares, CAST(0 AS DOUBLE) AS worst FROM c")
+def f3_pca_spectrum(spark: Spark, sf: str) -> Frame:
+    """All components: their variances add up to the trace, their squares to that of the covariance, and each is an eigenvector."""
+    x = vectors(spark, sf)
+    loadings, _, info = E.fit_pca(x, 64, 64)
+    cov = M.group_covariance(x.withColumn("one", F.lit(1)), ["one"], 64).select("i", "j", "value")
+    full = cov.unionByName(cov.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    turned = full.join(loadings.select(F.col("gene").cast("int").alias("j"), "pc", "w"), "j").groupBy("i", "pc").agg(F.sum(F.col("value") * F.col("w")).alias("cw"))
+    met = turned.join(loadings.select(F.col("gene").cast("int").alias("i"), "pc", "w"), ["i", "pc"]).join(info, "pc")
+    worst = met.agg(F.max(F.abs(F.col("cw") - F.col("var") * F.col("w"))).alias("worst"))
+    sums = info.agg(F.count("*").alias("components"), F.round(F.sum("var"), 6).alias("total"), F.round(F.sum(F.col("var") * F.col("var")), 6).alias("squares"), F.round(F.sum("evr"), 6).alias("shares"))
+    return sums.crossJoin(worst.select(r6("worst", "worst")))
+
+
+@query(with_(EMBEDDED, "m AS (SELECT label, i, avg(v) AS mu, count(*) AS n FROM e GROUP BY ALL)", "r AS (SELECT vec_id, i, v - mu AS v FROM e JOIN m USING (label, i))", "d AS (SELECT count(DISTINCT vec_id) - count(DISTINCT label) AS dof FROM embeddings)") + "SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(sum(a.v * b.v) / any_value(dof), 5) + 0.0 AS value FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.i <= b.i CROSS JOIN d GROUP BY a.i, b.i")
+def a11_within_covariance_embeddings(spark: Spark, sf: str) -> Frame:
+    return M.within_covariance(vectors(spark, sf), ["label"], 64).select("i", "j", (F.round("value", 5) + 0.0).alias("value"))
+
+
+@query(with_(EMBEDDED) + "SELECT a.label, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(covar_samp(a.v, b.v), 5) + 0.0 AS value FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.label, a.i, b.i")
+def a12_group_covariance_embeddings(spark: Spark, sf: str) -> Frame:
+    return M.group_covariance(vectors(spark, sf), ["label"], 64).select("label", "i", "j", (F.round("value", 5) + 0.0).alias("value"))
+
+
 @query()
 def f7_orthonormality_residual(spark: Spark, sf: str) -> Frame:
     return E.orthonormality_residual(E.fit_pca(vectors(spark, sf), 64, 8)[0]).select(r6("residual", "residual"))
 
 
-@query()
+def hvg_sql(name: str, where: str) -> str:
+    """The best 200 words of the documents that fit, as a table."""
+    own = HVG.removeprefix("WITH ")
+    for t in ("wc", "tot", "st", "g", "b", "p", "z"):
+        own = re.sub(rf"(?<![\w.]){t}(?= AS \(| JOIN | CROSS | GROUP | WHERE |\)|,\n)", f"{name}_{t}", own)
+        own = re.sub(rf"(?<=FROM ){t}(?!\w)|(?<=JOIN ){t}(?!\w)", f"{name}_{t}", own)
+    own = own.replace("FROM documents", f"FROM (SELECT * FROM documents WHERE {where})")
+    return own.strip() + f",\n{name} AS (SELECT gene FROM {name}_z ORDER BY score DESC, gene LIMIT 200)"
+
+
+def shared_sql(a: str, b: str, out: str) -> str:
+    return f"(SELECT count(*) FROM {a} SEMI JOIN {b} USING (gene)) AS {out}"
+
+
+@query("WITH " + ",\n".join(hvg_sql(n, w) for n, w in (("fr", "lang = 'fr'"), ("es", "lang = 'es'"), ("pool", "lang IN ('fr', 'es')"))) + f" SELECT {shared_sql('fr', 'es', 'shared_apart')}, {shared_sql('fr', 'pool', 'a_in_pool')}, {shared_sql('es', 'pool', 'b_in_pool')}")
 def f8_consensus_pool_hvg(spark: Spark, sf: str) -> Frame:
     a, b = word_stats(spark, sf, "lang = 'fr'"), word_stats(spark, sf, "lang = 'es'")
     return E.consensus_pool_hvg(a, b, word_stats(spark, sf, "lang in ('fr', 'es')"), 200)
