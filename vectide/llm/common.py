@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set."""
+    """The shared folder named by the cluster; a local one only where none is set, on a single machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = getattr(work_dir, "local", None) or tempfile.mkdtemp(prefix="spark-work-")
         work_dir.local = folder
     return folder
