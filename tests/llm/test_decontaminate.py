@@ -92,3 +92,39 @@ def test_edited_partial_and_slot_heavy_copies(spark):
     want = {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 8, None: 1}
     assert {d: i for d, i in want.items() if i not in got.get(d, ())} == {}
     assert {10, 11, 12}.isdisjoint(got)
+
+
+def test_questions_with_other_values_are_caught(spark):
+    import random
+
+    rng = random.Random(12)
+    names = ["Ada", "Boris", "Clara", "Dmitri", "Elena", "Farid"]
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    benchmark, docs, want = [], [], set()
+    for i in range(40):
+        plain = lambda n: " ".join(rng.choice(words) for _ in range(n))
+        form = f"{plain(4)} {{n}} {plain(5)} {{a}} {plain(4)} {{b}} km {plain(6)}"
+        item = dict(n=rng.choice(names), a=rng.randrange(1, 99), b=rng.randrange(1, 99))
+        benchmark.append((i, form.format(**item)))
+        other = dict(n=rng.choice(names), a=rng.randrange(100, 999), b=rng.randrange(100, 999))
+        if i % 4 == 0:
+            other["b"] = other["a"]  # two slots that happen to take one value
+        docs.append((i, f"{plain(30)} {form.format(**other)} {plain(30)}"))
+        want.add((i, i))
+        docs.append((1000 + i, plain(90)))
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    from vectide.llm.decontaminate import matches
+
+    got = {(r.doc_id, r.item_id) for r in matches(frame(docs, "doc_id"), frame(benchmark, "item_id")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_long_texts_and_repeated_ids(spark, sf):
+    from vectide.llm.decontaminate import held
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()
+    far = "plain words go on and on " * 40_000
+    rows = [(1, far + item.text + " " + far, 7), (2, far, 7), (3, item.text, 8), (3, "other text", 9), (3, item.text, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    got = held(docs.drop("item_id"), spark.read.parquet(f"{sf}/benchmark.parquet")).where(f"item_id = {item.item_id}").collect()
+    assert sorted({r.doc_id for r in got}) == [1, 3] and len([r for r in got if r.doc_id == 3]) == 1

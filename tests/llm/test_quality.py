@@ -40,3 +40,37 @@ def test_isotonic_fit():
     y = np.array([0, 1, 0.5, 0.5, 2, 1.0])
     assert np.allclose(isotonic(np.arange(6), y, np.ones(6)), [0, 2 / 3, 2 / 3, 2 / 3, 1.5, 1.5])
     assert statistics(pa.array(["", "a b"], pa.large_string())).shape == (2, len(NAMES))
+
+
+def test_the_ridge_solves_its_normal_equations(spark, sf):
+    from pyspark.sql import functions as F
+    from vectide.llm.quality import BINS, document_statistics, fit, fourier, probability
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col("quality").alias("y"))
+    rows = document_statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id").select("x", "y")
+    model = fit(rows)
+    every = rows.withColumn("apart", F.pmod(F.xxhash64("x"), F.lit(5)) == 0).toPandas()
+    x, y, apart = np.array(every.x.tolist(), dtype=float), every.y.to_numpy(dtype=float), every.apart.to_numpy()
+    assert np.allclose(model["mean"], x.mean(axis=0), atol=1e-5)
+    split = apart.sum() >= 100 and 0 < y[apart].mean() < 1
+    own = ~apart if split else np.ones(len(y), dtype=bool)
+    z = fourier(x[own], model)
+    penalty = np.eye(z.shape[1]) * 1e-3 * own.sum() / 10
+    penalty[-1, -1] = 1e-9
+    assert np.allclose(model["beta"], np.linalg.solve(z.T @ z + penalty, z.T @ y[own]), atol=1e-6)
+    # features of the kernel: products approach exp(-|a - b|^2 / 2w^2)
+    a = np.clip((x[:60] - model["mean"]) / model["scale"], -6, 6)
+    far = ((a[:, None] - a[None]) ** 2).sum(axis=2)
+    got = fourier(x[:60], model)[:, :-1]
+    assert np.abs(got @ got.T - np.exp(-far / (2 * len(NAMES)))).mean() < 0.08
+    p = probability(x, model)
+    assert (np.diff(p[np.argsort(fourier(x, model) @ model["beta"], kind="stable")]) >= -1e-12).all() and BINS > len(model["at"])
+
+
+def test_repeated_and_clashing_rows(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    twice = docs.unionByName(docs).withColumnsRenamed({"lang": "x", "source": "y"})
+    got = {}
+    for r in classify(twice, labels).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    assert all(len(s) == 2 and s[0] == s[1] for s in got.values()) and len(got) == docs.count()

@@ -89,3 +89,25 @@ def test_slashes_letters_and_keys_around_base_spans(spark):
     assert got[2] == "see [SECRET][SECRET][SECRET] here"
     assert got[3] == f"see {texts[3]} here" and got[4] == f"see {texts[4]} here"
     assert got[5] == "see MY_[SECRET] here"
+
+
+def test_recall_and_false_alarms_by_class(spark):
+    import random
+
+    rng = random.Random(21)
+    draw = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"key": low + up + digits + "+/", "mixed": low + up + digits, "upper": up + digits, "hex": digits + "ABCDEF"}
+    rows = [(f"{kind}{i}", f"see {draw(signs, rng.choice([32, 40, 64]))} there") for kind, signs in kinds.items() for i in range(100)]
+    rows += [(f"word{i}", " ".join(["-".join(rng.choice(["state", "of", "the", "art", "compute", "cluster"]) for _ in range(6)), "/".join(rng.choice(["usr", "share", "lib", "python3", "docs"]) for _ in range(6)), draw(digits, 30)])) for i in range(100)]
+    found = {r.doc_id: r.n_entropy for r in scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    share = {kind: sum(found[f"{kind}{i}"] > 0 for i in range(100)) for kind in (*kinds, "word")}
+    assert min(share[k] for k in kinds) >= 90 and share["word"] == 0, share
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, TEXTS[2], 3, "x"), (1, TEXTS[2], 4, "y"), (None, TEXTS[2], 5, None)], "doc_id long, text string, n_hex int, spans string")
+    rows = scan(docs).collect()
+    assert len(rows) == 3 and len({r.spans for r in rows}) == 1
+    kept = redact(docs).collect()
+    assert [r.n_hex for r in kept] == [3, 4, 5] and all("[SECRET]" in r.text for r in kept)
