@@ -2,6 +2,12 @@
 
 Rows are judged one by one, whatever their doc_id: those without one, and
 different texts under one doc_id, are kept or dropped for what they hold.
+Null texts count as empty. Empty texts are no near-duplicates of each other and
+hold no benchmark item and no secret; the classifier scores them like others.
+Equal rows of one doc_id are near-duplicates, so one stays. Of a tie (equal
+doc_ids in a group of near-duplicates) the row read first stays. Very long texts
+are read whole. Columns beyond doc_id and text pass through, whatever their
+names, up to packing, which returns its own. Empty tables give empty results.
 """
 
 from __future__ import annotations
