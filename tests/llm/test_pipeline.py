@@ -74,3 +74,24 @@ def test_rows_without_or_with_shared_ids(spark, sf):
     rows = [(None, f"so {item} so"), (None, prose[0]), (3, item), (3, prose[1])]
     got = corpus_pipeline.decontaminate_stage(spark, spark.createDataFrame(rows, docs.schema), sf).collect()
     assert {(r.doc_id, r.text) for r in got} == {(None, prose[0]), (3, prose[1])}
+
+
+def test_odd_rows_pass_every_stage(spark, sf):
+    docs = table(spark, sf, "documents")
+    first = docs.orderBy("doc_id").limit(3).collect()
+    long = " ".join(f"plain{i % 977} words{i % 83}" for i in range(120_000))
+    rows = [(None, None, "en", "s", 0), (90_001, None, None, None, None), (90_002, "", "en", "s", 0), (90_003, "", "en", "s", 0), (90_004, long, "en", "s", len(long)), (90_004, long, "en", "s", len(long))]
+    odd = spark.createDataFrame([*rows, *first, *first], docs.schema)
+    more = odd.withColumns({"tokens": odd.n_chars, "component_id": odd.lang, "spans": odd.source})
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, more, sf)
+        got = out.collect()
+        if k == 4:
+            assert len({r.doc_id for r in got}) == 5 + len(first)
+            continue
+        assert out.columns == more.columns
+        if k in (1, 2, 3):
+            assert sum(r.text == long for r in got) == (1 if k == 1 else 2)
+            assert {r.doc_id for r in got if not r.text} == {None, 90_001, 90_002, 90_003}
+        if k == 1:
+            assert len([r for r in got if r.doc_id == first[0].doc_id]) <= 1
