@@ -34,6 +34,32 @@ def perp_trace(u: Column | str, ell: Column | str) -> Column:
     return vec.total(ell) - vec.total(along)
 
 
+def full_trace(cov: Column | str, d: Column) -> Column:
+    """The trace of a full matrix, given as its rows one after another."""
+    return vec.total(F.filter(col(cov), lambda _, k: k % (d + 1) == 0))
+
+
+def full_along(u: Column | str, cov: Column | str) -> Column:
+    """Noise along the direction u for a full matrix."""
+    d = F.size(col(u))
+    return vec.total(F.transform(col(cov), lambda c, k: c * F.get(col(u), F.floor(k / d).cast("int")) * F.get(col(u), k % d)))
+
+
+def perp_trace_full(u: Column | str, cov: Column | str) -> Column:
+    """Noise across the direction u for a full matrix."""
+    return full_trace(cov, F.size(col(u))) - full_along(u, cov)
+
+
+def effective_dimensions_full(u: Column | str, cov: Column | str) -> Column:
+    """``tr(M)**2 / tr(M**2)`` of the noise M across u, for a full matrix: tr(M**2) is tr(C**2) - 2 |Cu|**2 + (uCu)**2."""
+    d = F.size(col(u))
+    row = lambda i: vec.dot(F.slice(col(cov), i * d + 1, d), col(u))
+    turned = vec.total(F.transform(F.sequence(F.lit(0), d - 1), lambda i: row(i) * row(i)))
+    along, trace = full_along(u, cov), perp_trace_full(u, cov)
+    square = vec.dot(cov, cov) - turned * 2 + along * along
+    return F.when(square > 0, trace * trace / square).otherwise(F.lit(0.0))
+
+
 def floor_trace(ell: Column | str, n_t: Column | str, n_c: Column | str) -> Column:
     """The squared length that noise alone gives a difference of two means."""
     return vec.total(ell) * (F.lit(1.0) / col(n_t) + F.lit(1.0) / col(n_c))
@@ -83,11 +109,17 @@ def classify(detectable: Column, n_star: Column, n_t: Column, ghost: float = GHO
 def evidence(df: DataFrame, theta: float | str = THETA, ghost: float = GHOST) -> DataFrame:
     """Append m_raw, snr, detectable, tr_perp, m_corr, n_star, m_min and regime.
 
-    Reads mu_t, mu_c, n_t, n_c and ell. theta is a number or a column's name.
+    Reads mu_t, mu_c, n_t, n_c and ell, the variances, or if there is a column
+    ``cov`` a full matrix as its rows one after another. theta is a number or a
+    column's name.
     """
     t = F.col(theta) if isinstance(theta, str) else F.lit(float(theta))
     df = df.withColumn("v", vec.minus("mu_t", "mu_c")).withColumn("m_raw", vec.norm("v")).withColumn("u", vec.unit("v"))
-    df = df.withColumns({"tr_perp": perp_trace("u", "ell"), "tr_s": floor_trace("ell", "n_t", "n_c")})
+    if "cov" in df.columns:
+        both = F.lit(1.0) / F.col("n_t") + F.lit(1.0) / F.col("n_c")
+        df = df.withColumns({"tr_perp": perp_trace_full("u", "cov"), "tr_s": full_trace("cov", F.size("u")) * both})
+    else:
+        df = df.withColumns({"tr_perp": perp_trace("u", "ell"), "tr_s": floor_trace("ell", "n_t", "n_c")})
     df = df.withColumn("snr", F.when(F.col("tr_s") > 0, F.col("m_raw") / F.sqrt("tr_s")).otherwise(F.lit(0.0)))
     df = df.withColumns({"detectable": F.col("snr") > SNR_LIMIT, "m2_corr": F.greatest(F.col("m_raw") * F.col("m_raw") - F.col("tr_s"), F.lit(0.0))})
     df = df.withColumn("m_corr", F.sqrt("m2_corr"))

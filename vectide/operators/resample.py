@@ -218,7 +218,7 @@ def rho2(u: Column | str, ell: Column | str, m2: Column, n: Column | None = None
 def describe_groups(m: DataFrame, control: DataFrame, line: str) -> DataFrame:
     """What curves need of each group: size, mu_c, v, m, u, its own noise, tr_perp and rho2."""
     n = F.col("n").cast("double")
-    g = m.join(F.broadcast(control), line).withColumn("mu", F.transform("s1", lambda s: s / n))
+    g = m.join(control, line).withColumn("mu", F.transform("s1", lambda s: s / n))
     g = g.withColumn("ell", F.zip_with("s2", "mu", lambda s, mu: F.greatest((s / n - mu * mu) * n / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0))))
     g = g.withColumns({"size": F.col("n"), "v": vec.minus("mu", "mu_c")}).withColumn("m", vec.norm("v")).withColumn("u", vec.unit("v"))
     return g.withColumns({"tr_perp": perp_trace("u", "ell"), "rho2": rho2("u", "ell", F.col("m") * F.col("m"))}).drop("n")
@@ -343,7 +343,7 @@ def gate_exceptions(gated: DataFrame) -> DataFrame:
 def over_classification_scan(m: DataFrame, control: DataFrame, line: str, least: int = 100, theta: float = THETA) -> DataFrame:
     """Evidence of groups with enough rows, each with its own diagonal noise (ddof 0)."""
     n = F.col("n").cast("double")
-    g = m.where(F.col("n") >= least).join(F.broadcast(control), line).withColumn("mu_t", F.transform("s1", lambda s: s / n))
+    g = m.where(F.col("n") >= least).join(control, line).withColumn("mu_t", F.transform("s1", lambda s: s / n))
     g = g.withColumns({"ell": F.zip_with("s2", "mu_t", lambda s, mu: F.greatest(s / n - mu * mu, F.lit(0.0))), "n_t": n})
     return evidence(g.drop("n"), theta)
 

@@ -83,7 +83,7 @@ def standard(m: DataFrame) -> DataFrame:
     control = M.centroid(m.where("brand = 'Brand#1' and band = 2")).select("line", F.col("mu").alias("mu_c"), F.col("n").cast("double").alias("n_c"))
     ell = M.within_variance(m, D).select("ell")
     treated = M.centroid(m.where("not (brand = 'Brand#1' and band = 2)"))
-    return treated.join(F.broadcast(control), "line").crossJoin(F.broadcast(ell)).select(cond_id(), *KEYS, F.col("mu").alias("mu_t"), "mu_c", F.col("n").cast("double").alias("n_t"), "n_c", "ell")
+    return treated.join(control, "line").crossJoin(F.broadcast(ell)).select(cond_id(), *KEYS, F.col("mu").alias("mu_t"), "mu_c", F.col("n").cast("double").alias("n_t"), "n_c", "ell")
 
 
 def judged(spark: SparkSession, sf_dir: str, theta: float = THETA, ghost: float = 50_000.0) -> DataFrame:

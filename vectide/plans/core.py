@@ -48,6 +48,27 @@ def p10_perp_noise_trace(spark: Spark, sf: str) -> Frame:
     return judged(spark, sf).select("cond_id", r6("tr_perp", "tr_perp"))
 
 
+FULL = EVIDENCE[:-1] + ", pr AS (SELECT " + ", ".join(f"sum(r{i}{j}) / sum(n - 1) AS f{i}{j}" for i in range(D) for j in range(i, D)) + " FROM (SELECT brand, band, line, count(*) AS n, " + ", ".join(f"sum(x{i + 1} * x{j + 1}) - sum(x{i + 1}) * sum(x{j + 1}) / count(*) AS r{i}{j}" for i in range(D) for j in range(i, D)) + " FROM cells GROUP BY ALL)), fu AS (SELECT ev.*, " + " + ".join(f"f{i}{i}" for i in range(D)) + " AS whole, " + " + ".join(f"{1 if i == j else 2} * f{i}{j} * u{i + 1} * u{j + 1}" for i in range(D) for j in range(i, D)) + " AS along, " + " + ".join(f"{1 if i == j else 2} * f{i}{j} * f{i}{j}" for i in range(D) for j in range(i, D)) + " AS squares, " + " + ".join("power(" + " + ".join(f"f{min(i, j)}{max(i, j)} * u{j + 1}" for j in range(D)) + ", 2)" for i in range(D)) + " AS turned FROM ev CROSS JOIN pr)"
+
+
+def full_noise(spark: Spark, sf: str) -> Frame:
+    """The standard table beside the full pooled covariance of its groups."""
+    cov = M.within_covariance(cells(spark, sf), KEYS, D)
+    full = cov.unionByName(cov.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    rows = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "value"))), lambda c: c["value"]).alias("cov"))
+    return standard(group_moments(spark, sf)).crossJoin(F.broadcast(rows))
+
+
+@query(FULL + f" SELECT cond_id, {q6('whole - along', 'tr_perp')}, {q6('m_raw / sqrt(whole * (1 / n_t + 1 / n_c))', 'snr')} FROM fu")
+def p10_perp_noise_trace_full(spark: Spark, sf: str) -> Frame:
+    return Q.evidence(full_noise(spark, sf), THETA).select("cond_id", r6("tr_perp", "tr_perp"), r6("snr", "snr"))
+
+
+@query(FULL + f" SELECT cond_id, {q6('power(whole - along, 2) / (squares - 2 * turned + along * along)', 'd_eff')} FROM fu")
+def p18_effective_dimensions_full(spark: Spark, sf: str) -> Frame:
+    return Q.evidence(full_noise(spark, sf), THETA).select("cond_id", r6(Q.effective_dimensions_full("u", "cov"), "d_eff"))
+
+
 @query(EVIDENCE + f"SELECT cond_id, {q6s('tr_s', 'snr')}, detectable FROM ev")
 def p11_two_arm_floor(spark: Spark, sf: str) -> Frame:
     return judged(spark, sf).select("cond_id", r6("tr_s", "tr_s"), r6("snr", "snr"), "detectable")
@@ -93,7 +114,19 @@ def p18_effective_dimensions(spark: Spark, sf: str) -> Frame:
     return judged(spark, sf).select("cond_id", r6(Q.effective_dimensions("u", "ell"), "d_eff"))
 
 
-@query()
+#: the noise across u as a matrix, and powers of it whose columns turn to its strongest direction
+ACROSS = EVIDENCE[:-1] + """, us AS (SELECT cond_id, m_corr, n_c, tr_perp, [u1, u2, u3, u4] AS u, [e1, e2, e3, e4] AS e FROM ev),
+  ps AS (SELECT *, list_transform(range(4), lambda i: list_transform(range(4), lambda j: CASE WHEN i = j THEN 1.0 ELSE 0.0 END - u[i + 1] * u[j + 1])) AS p FROM us),
+  ms AS (SELECT *, list_transform(p, lambda r: list_transform(p, lambda c: list_sum(list_transform(range(4), lambda k: r[k + 1] * e[k + 1] * c[k + 1])))) AS m FROM ps)"""
+POWERS = ACROSS.replace("WITH ", "WITH RECURSIVE ", 1) + """, pw AS (SELECT cond_id, 0 AS k, m AS q FROM ms UNION ALL
+  SELECT cond_id, k + 1, list_transform(s, lambda r: list_transform(r, lambda c: c / (s[1][1] + s[2][2] + s[3][3] + s[4][4]))) FROM (SELECT cond_id, k, list_transform(q, lambda r: list_transform(q, lambda c: list_dot_product(r, c))) AS s FROM pw WHERE k < 16)),
+  lead AS (SELECT cond_id, list_transform(q, lambda r: r[1] + 0.7 * r[2] + 0.4 * r[3] + 0.9 * r[4]) AS v FROM pw WHERE k = 16),
+  lam AS (SELECT *, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) / list_dot_product(v, v) AS top, list_sum(list_transform(m, lambda r: list_dot_product(r, r))) AS squares FROM ms JOIN lead USING (cond_id)),
+  inf AS (SELECT *, (tr_perp + 2 * sqrt(ln(20.0)) * sqrt(squares) + 2 * ln(20.0) * top) / tr_perp AS inflation FROM lam)"""
+ROOM = "CASE WHEN m_corr * m_corr * 0.3 * 0.3 / ({t}) - 1 / n_c > 0 THEN 1 / (m_corr * m_corr * 0.3 * 0.3 / ({t}) - 1 / n_c) ELSE CAST('Infinity' AS DOUBLE) END"
+
+
+@query(POWERS + f" SELECT cond_id, {q6s('tr_perp', 'inflation')}, {q6('tr_perp * tr_perp / squares', 'd_eff')}, {q6(ROOM.format(t='tr_perp'), 'n_star')}, {q6(ROOM.format(t='tr_perp * inflation'), 'n_confident')}, {q6('sqrt(tr_perp * inflation / (n_c * 0.3 * 0.3))', 'm_min_confident')} FROM inf")
 def p19_confidence_quota(spark: Spark, sf: str) -> Frame:
     df = judged(spark, sf).select("cond_id", "u", F.col("m_corr").alias("m"), "n_c", F.col("ell").alias("noise"))
     return Q.confidence_quota(df, 0.05, THETA).select("cond_id", *[r6(c, c) for c in ("tr_perp", "inflation", "d_eff", "n_star", "n_confident", "m_min_confident")])
@@ -309,7 +342,7 @@ BASE = f"base AS (SELECT concat_ws('|', t.brand, t.band, t.line) AS cond_id, {ks
 def baseline_judged(spark: Spark, sf: str) -> Frame:
     m = group_moments(spark, sf)
     ell = M.within_variance(m, D).select("ell")
-    std = M.centroid(m).join(F.broadcast(M.line_baseline(m, "line", D)), "line").crossJoin(F.broadcast(ell))
+    std = M.centroid(m).join(M.line_baseline(m, "line", D), "line").crossJoin(F.broadcast(ell))
     return Q.evidence(std.select(cond_id(), F.col("mu").alias("mu_t"), "mu_c", F.col("n").cast("double").alias("n_t"), "n_c", "ell"), THETA)
 
 

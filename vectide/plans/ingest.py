@@ -431,7 +431,7 @@ def j01_sample_dimension(spark: Spark, sf: str) -> Frame:
 @query(with_(CELLS, sql_moments()) + f"SELECT t.brand, t.band, t.line, {ks('round(l.a# / l.n, 6) + 0.0 AS mu_c_#')}, CAST(l.n AS DOUBLE) AS n_c FROM mom t JOIN (SELECT line, sum(n) AS n, {ks('sum(a#) AS a#')} FROM mom GROUP BY line) l USING (line)")
 def j02_condition_baseline(spark: Spark, sf: str) -> Frame:
     m = group_moments(spark, sf)
-    return m.join(F.broadcast(M.line_baseline(m, "line", D)), "line").select(*KEYS, *flat("mu_c"), "n_c")
+    return m.join(M.line_baseline(m, "line", D), "line").select(*KEYS, *flat("mu_c"), "n_c")
 
 
 @query(MATCHED + "SELECT brand, band, line, n_t FROM met WHERE whole")
@@ -458,14 +458,14 @@ def j06_pre_post_merge(spark: Spark, sf: str) -> Frame:
 @query("SELECT p_partkey, coalesce(r_name, 'unclear') AS label FROM part LEFT JOIN nation ON n_nationkey = p_size LEFT JOIN region ON r_regionkey = n_regionkey")
 def j07_mechanism_label(spark: Spark, sf: str) -> Frame:
     dim = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    return table(spark, sf, "part").join(F.broadcast(dim), F.col("p_size") == F.col("n_nationkey"), "left").select("p_partkey", F.coalesce("r_name", F.lit("unclear")).alias("label"))
+    return table(spark, sf, "part").join(dim, F.col("p_size") == F.col("n_nationkey"), "left").select("p_partkey", F.coalesce("r_name", F.lit("unclear")).alias("label"))
 
 
 @query("SELECT s_suppkey, coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON n_nationkey = s_nationkey")
 def j08_line_name(spark: Spark, sf: str) -> Frame:
     half = table(spark, sf, "nation").where("n_nationkey % 2 = 0")
     dim = C.first_per_id(half.union(half), "n_nationkey", "n_name")
-    return table(spark, sf, "supplier").join(F.broadcast(dim), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.col("s_nationkey").cast("string")).alias("name"))
+    return table(spark, sf, "supplier").join(dim, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.col("s_nationkey").cast("string")).alias("name"))
 
 
 @query(with_(CELLS) + "SELECT brand, band, line, count(*) AS n FROM cells GROUP BY ALL HAVING count(*) % 2 = 0")
