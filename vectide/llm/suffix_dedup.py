@@ -39,10 +39,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import inverse, materialise, mix, powers, shingle_hashes, slices, utf8, word_hashes
+from vectide.llm.common import discard, inverse, materialise, mix, powers, shingle_hashes, slices, utf8, word_hashes
 
 GRAM = 32
 #: A document longer than this is sampled piece by piece.
@@ -277,19 +277,24 @@ def _by_names(rows: list[dict]) -> Iterator[list[dict]]:
             start = i
 
 
+def _doc() -> Column:
+    """One number for a document: its doc_id and what tells its text apart."""
+    return F.xxhash64(*DOC)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id (a number where it is missing), mark and text."""
+    """doc_id (a number where it is missing), mark, doc and text."""
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("mark"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("mark"), text.alias("text")).withColumn("doc", _doc())
 
 
-def repeated_windows(docs: DataFrame, length: int = 400, together: int = TOGETHER) -> DataFrame:
-    """``(doc_id, mark, start, stop)``: the starts of repeated windows, as ranges in bytes."""
-    thin = _texts(docs).where(F.octet_length("text") >= length)
-    runs = materialise(thin.mapInArrow(partial(_runs, length=length), RUNS))
+def _contested(thin: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges of windows that are repeated throughout, and by document the spans that need a sort."""
+    runs = materialise(thin.where(F.octet_length("text") >= length).select(*DOC, "text").mapInArrow(partial(_runs, length=length), RUNS))
     # most names are met once, and need nothing more
     often = runs.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    runs = materialise(runs.join(often, "name"))
+    every, runs = runs, materialise(runs.join(often, "name"))
+    discard(every)
     same = ["name", "span", "windows", "reach"]
     names = materialise(runs.groupBy(*same).agg(F.count("*").alias("copies"), F.min(F.struct(*DOC, "first")).alias("one")))
     shared = names.groupBy("name").agg(F.count("*").alias("spans"), F.min("copies").alias("least"))
@@ -298,7 +303,14 @@ def repeated_windows(docs: DataFrame, length: int = 400, together: int = TOGETHE
     contested = names.join(shared.where("spans > 1 and least = 1").select("name"), "name")
     one = [F.col(f"one.{c}").alias(c) for c in DOC]
     asked = contested.groupBy(*one).agg(F.collect_list(F.struct("name", *one, F.col("one.first").alias("first"), "windows", "reach", "copies")).alias("asked"))
-    cut = materialise(thin.join(asked, DOC).mapInArrow(partial(_cut, length=length), SPANS_SQL).dropDuplicates(["name", *DOC, "first", "windows"]))
+    whole, asked = materialise(whole), materialise(asked.withColumn("doc", _doc()).drop(*DOC))
+    discard(runs, names)
+    return whole, asked
+
+
+def _settled(texts: DataFrame, whole: DataFrame, asked: DataFrame, length: int, together: int) -> DataFrame:
+    """All ranges of repeated windows, from the texts of the documents that are asked."""
+    cut = materialise(texts.join(asked, "doc").select("text", "asked").mapInArrow(partial(_cut, length=length), SPANS_SQL).dropDuplicates(["name", *DOC, "first", "windows"]))
     found = []
     cut = cut.withColumns({"low": F.lit(0), "high": F.lit(length - GRAM)})
     while True:
@@ -316,15 +328,21 @@ def repeated_windows(docs: DataFrame, length: int = 400, together: int = TOGETHE
     rest = found[0].select(*columns)
     for more in found[1:]:
         rest = rest.unionByName(more.select(*columns))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rest.repartition(parts, "name").sortWithinPartitions("name", "tail")
     return whole.unionByName(ordered.mapInArrow(partial(_settle, length=length), "doc_id long, mark int, start long, stop long"))
 
 
+def repeated_windows(docs: DataFrame, length: int = 400, together: int = TOGETHER) -> DataFrame:
+    """``(doc_id, mark, start, stop)``: the starts of repeated windows, as ranges in bytes."""
+    thin = _texts(docs)
+    return _settled(thin, *_contested(thin, length), length, together)
+
+
 def _passages(batches: Iterator[pa.RecordBatch], words: int, width: int = 5) -> Iterator[pa.RecordBatch]:
     """Runs of windows of words, named by their least shingle: name, the hash of the whole run, and its first window."""
     for part in slices(batches, "text"):
-        ids, marks = (part.column(c).to_numpy(zero_copy_only=False) for c in DOC)
+        docs = part.column("doc").to_numpy(zero_copy_only=False)
         hashes, limits = word_hashes(part.column("text"))
         shingles, starts = shingle_hashes(part.column("text"), width)
         names, spans, owners, firsts, counts = [], [], [], [], []
@@ -350,22 +368,48 @@ def _passages(batches: Iterator[pa.RecordBatch], words: int, width: int = 5) ->
         if names:
             row = np.concatenate(owners)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(spans).view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(marks[row], pa.int32()), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(counts).astype(np.int32))],
-                names=["name", "span", *DOC, "first", "windows"],
+                [pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(spans).view(np.int64)), pa.array(docs[row]), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))],
+                names=["name", "span", "doc", "first", "windows"],
             )
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The hash of each window of words that is asked of a document."""
     for part in slices(batches, "text"):
-        ids, marks = (part.column(c).to_numpy(zero_copy_only=False) for c in DOC)
+        docs = part.column("doc").to_numpy(zero_copy_only=False)
         hashes, limits = word_hashes(part.column("text"))
         for i, asked in enumerate(part.column("asked").to_pylist()):
             own = hashes[limits[i] : limits[i + 1]]
             total = np.concatenate([np.zeros(1, _U), np.cumsum((own + _U(1)) * powers(_BASE, len(own)), dtype=_U)])
             at = np.unique(np.concatenate([np.arange(q["first"], q["first"] + q["windows"]) for q in asked]))
             window = mix((total[at + words] - total[at]) * powers(inverse(_BASE), len(own) + 1)[at])
-            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(np.full(len(at), ids[i])), pa.array(np.full(len(at), marks[i]), pa.int32())], names=["window", *DOC])
+            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(np.full(len(at), docs[i]))], names=["window", "doc"])
+
+
+def _open_passages(thin: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Documents that share a whole run of windows, and by document the runs whose windows are to be compared one by one."""
+    runs = materialise(thin.select("doc", "text").mapInArrow(partial(_passages, words=words), "name long, span long, doc long, first int, windows int"))
+    ends = [F.min("doc").alias("a"), F.max("doc").alias("z")]
+    often = runs.groupBy("name").agg(*ends).where("a <> z").select("name")
+    every, runs = runs, materialise(runs.join(often, "name"))
+    discard(every)
+    spans = runs.groupBy("name", "span").agg(*ends).select("name", "span", (F.col("a") != F.col("z")).alias("shared"))
+    told = materialise(runs.join(spans, ["name", "span"]))
+    discard(runs)
+    sure = materialise(told.where("shared").select("doc").distinct())
+    open_ = told.where(~F.col("shared")).join(sure, "doc", "left_anti")
+    # the other runs of a name, each once, are what an open run is compared with
+    others = told.join(open_.select("name").distinct(), "name", "left_semi").groupBy("name", "span").agg(F.min(F.struct("doc", "first", "windows")).alias("q")).select("q.*")
+    asked = open_.select("doc", "first", "windows").unionByName(others).distinct().groupBy("doc").agg(F.collect_list(F.struct("first", "windows")).alias("asked"))
+    asked = materialise(asked)
+    discard(told)
+    return sure, asked
+
+
+def _shared_passages(texts: DataFrame, sure: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    windows = materialise(texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(partial(_window_hashes, words=words), "window long, doc long"))
+    met = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z")
+    return sure.unionByName(windows.join(met.select("window"), "window").select("doc")).distinct()
 
 
 def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
@@ -376,22 +420,8 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     and only where they differ are single windows compared.
     """
     thin = _texts(docs)
-    runs = materialise(thin.mapInArrow(partial(_passages, words=words), "name long, span long, doc_id long, mark int, first long, windows int"))
-    doc = F.struct(*DOC)
-    often = runs.groupBy("name").agg(F.min(doc).alias("a"), F.max(doc).alias("z")).where("a <> z").select("name")
-    runs = materialise(runs.join(often, "name"))
-    spans = runs.groupBy("name", "span").agg(F.min(doc).alias("a"), F.max(doc).alias("z")).withColumn("shared", F.col("a") != F.col("z"))
-    told = materialise(runs.join(spans.select("name", "span", "shared"), ["name", "span"]))
-    sure = told.where("shared").select(*DOC).distinct()
-    open_ = told.where(~F.col("shared")).groupBy(*DOC).agg(F.collect_list(F.struct("first", "windows")).alias("asked")).join(sure, DOC, "left_anti")
-    # a window that is open in one document may lie in a shared run of others: those are asked by name
-    names = told.where(~F.col("shared")).join(sure, DOC, "left_anti").select("name").distinct()
-    others = told.join(names, "name", "left_semi").groupBy("name", "span").agg(F.min(F.struct(*DOC, "first", "windows")).alias("q")).select("q.*")
-    others = others.groupBy(*DOC).agg(F.collect_list(F.struct("first", "windows")).alias("asked"))
-    asked = open_.unionByName(others).groupBy(*DOC).agg(F.flatten(F.collect_list("asked")).alias("asked"))
-    windows = thin.dropDuplicates(DOC).join(asked, DOC).select(*DOC, "text", "asked").mapInArrow(partial(_window_hashes, words=words), "window long, doc_id long, mark int").distinct()
-    met = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    return sure.unionByName(windows.join(met, "window").select(*DOC)).distinct()
+    found = _shared_passages(thin, *_open_passages(thin, words), words)
+    return thin.join(found, "doc", "left_semi").select(*DOC).distinct()
 
 
 def _strip(batches: Iterator[pa.RecordBatch], length: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -435,11 +465,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, together: int = TOGETHER,
 
     repeats_passage says whether the document holds ``words`` words in a row that another one holds too.
     """
-    ranges = repeated_windows(docs, length, together).groupBy(*DOC).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    passages = repeated_passages(docs, words).withColumn("repeats_passage", F.lit(True))
-    found = ranges.join(passages, DOC, "full")
+    thin = _texts(docs)
+    whole, asked = _contested(thin, length)
+    sure, runs = _open_passages(thin, words)
+    # the texts that either needs are fetched once
+    texts = materialise(thin.join(asked.select("doc").union(runs.select("doc")).distinct(), "doc", "left_semi"))
+    ranges = _settled(texts, whole, asked, length, together).groupBy(*DOC).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    passages = _shared_passages(texts, sure, runs, words).withColumn("repeats_passage", F.lit(True))
+    found = ranges.select(_doc().alias("doc"), "ranges").join(passages, "doc", "full")
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    both = _texts(docs).join(found, DOC, "left").withColumns({"ranges": F.coalesce("ranges", none), "repeats_passage": F.coalesce("repeats_passage", F.lit(False))})
+    both = thin.join(found, "doc", "left").withColumns({"ranges": F.coalesce("ranges", none), "repeats_passage": F.coalesce("repeats_passage", F.lit(False))})
+    both = both.select("doc_id", "text", "ranges", "repeats_passage")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_passage boolean" + ", kept binary" * keep_text
     out = both.mapInArrow(partial(_strip, length=length, keep_text=keep_text), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
