@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import lists, materialise, minhashes, shingle_hashes, slices
+from vectide.llm.common import discard, lists, materialise, minhashes, shingle_hashes, slices
 from vectide.llm.components import components
 
 TOKENS = 32
@@ -140,6 +140,7 @@ def links(docs: DataFrame, sigs: DataFrame, percent: int, width: int = 5, branch
         told = at_home(met.drop("o"), known)
         mixed = told.groupBy("path").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("path")
         apart = materialise(told.join(mixed, "path"))
+        discard(met, leads)
         leaves.append(apart.where(fits))
         big = apart.where(~fits)
         if big.isEmpty():

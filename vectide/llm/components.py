@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import materialise
+from vectide.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = _state(now)
     while seen[0]:
-        now = materialise(_small_star(_large_star(now)))
+        before, now = now, materialise(_small_star(_large_star(now)))
+        discard(before)
         state = _state(now)
         if state == seen:
             break
