@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from vectide.llm.common import materialise, slices
 
-KEEP_UNITS = 300_000
+KEEP_UNITS = 600_000
 
 
 def default_path() -> str:
