@@ -193,17 +193,33 @@ def score(stats: DataFrame, model: dict) -> DataFrame:
     return stats.mapInPandas(scored, "doc_id long, score double, predicted int")
 
 
+def accepted(text: Column, model: dict) -> Column:
+    """Whether a text scores 0.5 or more: statistics and score in one pass, row by row, whatever stands beside it."""
+
+    @F.arrow_udf("boolean")
+    def judge(texts: pa.Array) -> pa.Array:
+        parts = [probability(statistics(part.column("text")).astype(np.float32).astype(np.float64), model) >= 0.5 for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", 1 << 20)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=bool))
+
+    return judge(text.cast("string"))
+
+
 def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
 def learn(stats: DataFrame, labels: DataFrame, fit_rows: int = 100_000) -> dict:
     """The model of the labelled documents that are not held out; ``stats`` has doc_id and x."""
+    return fit(stats.join(training_labels(labels, fit_rows), "doc_id").select("x", "y"))
+
+
+def training_labels(labels: DataFrame, fit_rows: int = 100_000) -> DataFrame:
+    """``(doc_id, y)`` of at most about ``fit_rows`` labelled documents that are not held out."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y")).where(~held_out())
     rows = known.count()
     if rows > fit_rows:
         known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / rows))
-    return fit(stats.join(known, "doc_id").select("x", "y"))
+    return known
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 100_000) -> DataFrame:
