@@ -20,29 +20,25 @@ from vectide.llm.common import materialise, table
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with a key of each row's own, written so that it stays."""
+    """The documents with a key of each row's own: the doc_id if it tells them apart, else a number, written so that it stays."""
+    ids = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids.rows == ids.ids:
+        return docs.withColumn("__key", F.col("doc_id").cast("long"))
     return materialise(docs.withColumn("__key", F.monotonically_increasing_id()))
 
 
-def by_key(rows: DataFrame) -> DataFrame:
-    """Keys in the place of doc_ids, for operators that tell rows apart by doc_id."""
-    return rows.select(F.col("__key").alias("doc_id"), "text")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    rows = keyed(docs)
-    stats = materialise(quality.document_statistics(by_key(rows)))
-    ids = rows.select("__key", F.col("doc_id").cast("long").alias("doc_id"))
-    known = stats.withColumnRenamed("doc_id", "__key").join(ids, "__key")
-    verdict = quality.score(stats, quality.learn(known, table(spark, sf_dir, "labels"))).where("predicted = 1")
-    return rows.join(verdict.select(F.col("doc_id").alias("__key")), "__key", "left_semi").select(*docs.columns)
+    known = quality.training_labels(table(spark, sf_dir, "labels"))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.select("doc_id"), "doc_id", "left_semi")
+    model = quality.fit(quality.document_statistics(labelled).join(known, "doc_id").select("x", "y"))
+    return docs.where(quality.accepted(F.col("text"), model))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, null last."""
     rows = keyed(docs)
-    found = chosen_path.near_duplicates(by_key(rows), percent=80).select(F.col("doc_id").alias("__key"), "component_id")
+    found = chosen_path.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text"), percent=80).select(F.col("doc_id").alias("__key"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
     first = found.join(rows.select("__key", "doc_id"), "__key").groupBy("component_id").agg(F.min(order).alias("first"))
     kept = rows.join(first.select("first.__key"), "__key", "left_semi")
