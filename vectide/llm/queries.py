@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import chosen_path, decontaminate, fingerprints, langid, packing, quality, resharding, secrets, suffix_dedup, token_counts
+from vectide.llm import chosen_path, content_sort, decontaminate, fingerprints, importance, langid, lexical_search, packing, quality, resharding, secrets, suffix_dedup, token_counts
 from vectide.llm.common import table
 
 
@@ -48,5 +48,17 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_suffix_dedup, op4_fingerprints, op5_secrets, op6_quality, op7_decontaminate, op8_sharding, op9_token_counts, op10_langid)}
-ORACLES: dict[str, str] = {}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.equal_texts(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_suffix_dedup, op4_fingerprints, op5_secrets, op6_quality, op7_decontaminate, op8_sharding, op9_token_counts, op10_langid, op11_exact_dedup, op12_resampling, op13_search)}
+ORACLES = {"op11_exact_dedup": content_sort.ORACLE, "op12_resampling": importance.ORACLE, "op13_search": lexical_search.ORACLE}
