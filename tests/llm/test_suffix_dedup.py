@@ -97,3 +97,13 @@ def test_a_very_long_text(spark):
     rows = [(1, long), (2, "z" * 500 + long[6_290_000:6_293_000] + "q" * 300)]
     got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == (7_000_000, 3000, 1) and got[2].n_removed == 500 + 3000
+
+
+def test_texts_without_a_doc_id_whose_hashes_collide(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(300_000).select(F.concat(F.lit("x"), F.sha2(F.col("id").cast("string"), 512), F.sha2(F.concat(F.lit("-"), "id"), 512), F.sha2(F.concat(F.lit("+"), "id"), 512), F.sha2(F.concat(F.lit("*"), "id"), 512)).alias("t"))
+    a, b = texts.groupBy(F.hash("t")).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("a", "b").first()
+    rows = [(None, a), (None, b), (3, "y" * 10 + a[20:470]), (3, "other")]
+    got = sorted((r.n_bytes, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(513, 450), (513, 0), (460, 450), (5, 0)])

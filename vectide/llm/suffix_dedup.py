@@ -26,9 +26,9 @@ others are induced, and common-prefix values are carried along:
 Beside this, ``repeated_passages`` tells which documents hold a run of words
 that another one holds too, whatever its length in bytes.
 
-Null and short texts lose nothing. Repeated rows are copies of each other, and
-so are equal texts under one doc_id or none; other texts of one doc_id are
-documents of their own. Other columns are ignored.
+Null and short texts lose nothing. Each row is a document of its own, with or
+without a doc_id: repeated rows are copies of each other, and other texts of one
+doc_id have nothing to do with it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm.common import discard, inverse, materialise, mix, powers, shingle_hashes, slices, utf8, word_hashes
@@ -53,11 +53,7 @@ _U = np.uint64
 _BASE = 0xA24BAED4963EE407
 _PLACE = (1 << 24) - 1
 
-RUNS = "name long, span long, doc_id long, mark int, first long, windows int, reach int"
-#: Stands for a missing doc_id.
-NO_ID = -(1 << 63)
-#: Tells apart the texts of one doc_id.
-DOC = ["doc_id", "mark"]
+RUNS = "name long, span long, doc long, first long, windows int, reach int"
 
 
 def sample(raw: np.ndarray, limits: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -104,15 +100,15 @@ def sample(raw: np.ndarray, limits: np.ndarray, length: int, gram: int = GRAM) -
 def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         raw, limits = utf8(part.column("text"))
-        ids, marks = (part.column(c).to_numpy(zero_copy_only=False) for c in DOC)
+        docs = part.column("doc").to_numpy(zero_copy_only=False)
         pieces = [(0, raw, limits)]
         if len(raw) > PIECE:  # one long text
             pieces = [(a, raw[a : a + PIECE + length - 1], np.array([0, len(raw[a : a + PIECE + length - 1])])) for a in range(0, len(raw) - length + 1, PIECE)]
         for shift, own, cuts in pieces:
             name, span, row, first, windows, reach = sample(own, cuts, length)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name), pa.array(span), pa.array(ids[row], pa.int64()), pa.array(marks[row], pa.int32()), pa.array(first + shift), pa.array(windows.astype(np.int32)), pa.array(reach.astype(np.int32))],
-                names=["name", "span", *DOC, "first", "windows", "reach"],
+                [pa.array(name), pa.array(span), pa.array(docs[row], pa.int64()), pa.array(first + shift), pa.array(windows.astype(np.int32)), pa.array(reach.astype(np.int32))],
+                names=["name", "span", "doc", "first", "windows", "reach"],
             )
 
 
@@ -192,13 +188,13 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
     """The bytes of the spans that are asked of each document."""
     for part in slices(batches, "text"):
         raw, limits = utf8(part.column("text"))
-        asked = part.column("asked")
+        asked, docs = part.column("asked"), part.column("doc").to_pylist()
         rows = []
         for i in range(part.num_rows):
             text = raw[limits[i] : limits[i + 1]]
             for q in asked[i].as_py():
                 own = text[q["first"] : q["first"] + q["windows"] + length - 1].tobytes()
-                rows.append((q["name"], q["doc_id"], q["mark"], q["first"], q["windows"], q["reach"], q["copies"], own[: q["reach"]], own[q["reach"] :]))
+                rows.append((q["name"], docs[i], q["first"], q["windows"], q["reach"], q["copies"], own[: q["reach"]], own[q["reach"] :]))
                 if len(rows) >= 4000:
                     yield _spans(rows)
                     rows = []
@@ -206,8 +202,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             yield _spans(rows)
 
 
-SPANS = pa.schema([("name", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("first", pa.int64()), ("windows", pa.int32()), ("reach", pa.int32()), ("copies", pa.int64()), ("head", pa.binary()), ("tail", pa.binary())])
-SPANS_SQL = "name long, doc_id long, mark int, first long, windows int, reach int, copies long, head binary, tail binary"
+SPANS = pa.schema([("name", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("reach", pa.int32()), ("copies", pa.int64()), ("head", pa.binary()), ("tail", pa.binary())])
+SPANS_SQL = "name long, doc long, first long, windows int, reach int, copies long, head binary, tail binary"
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
@@ -235,7 +231,7 @@ def _halve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                 text = whole[first : first + far - near + length]
                 shared = whole[r["reach"] - a : r["reach"] - b + length] if b - a < length and r["reach"] >= a and r["reach"] - b + length <= len(whole) else b""
                 name = int.from_bytes(hashlib.blake2b(shared + b"|%d|%d" % (a, b), digest_size=8, key=r["name"].to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                rows.append((name, r["doc_id"], r["mark"], r["first"] + first, far - near + 1, far, r["copies"], text[:far], text[far:], a, b))
+                rows.append((name, r["doc"], r["first"] + first, far - near + 1, far, r["copies"], text[:far], text[far:], a, b))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate([f.type for f in SPANS] + [pa.int32(), pa.int32()])], names=[f.name for f in SPANS] + ["low", "high"])
 
@@ -252,8 +248,8 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             if r["copies"] > 1:
                 continue  # repeated throughout, and told so elsewhere
             edges = np.flatnonzero(np.diff(np.concatenate([[0], d.view(np.int8), [0]])))
-            found += [(r["doc_id"], r["mark"], r["first"] + int(a), r["first"] + int(b)) for a, b in zip(edges[::2], edges[1::2])]
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=[*DOC, "start", "stop"])
+            found += [(r["doc"], r["first"] + int(a), r["first"] + int(b)) for a, b in zip(edges[::2], edges[1::2])]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64()))], names=["doc", "start", "stop"])
 
     for batch in batches:
         held += batch.to_pylist()
@@ -277,40 +273,37 @@ def _by_names(rows: list[dict]) -> Iterator[list[dict]]:
             start = i
 
 
-def _doc() -> Column:
-    """One number for a document: its doc_id and what tells its text apart."""
-    return F.xxhash64(*DOC)
-
-
 def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id (a number where it is missing), mark, doc and text."""
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("mark"), text.alias("text")).withColumn("doc", _doc())
+    """doc, doc_id and text. doc is a row's own number: its doc_id where these tell rows apart, else one that is written with the row, so that it stays."""
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = thin.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids.rows == ids.ids:
+        return thin.withColumn("doc", F.col("doc_id"))
+    return materialise(thin.withColumn("doc", F.monotonically_increasing_id()))
 
 
 def _contested(thin: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Ranges of windows that are repeated throughout, and by document the spans that need a sort."""
-    runs = materialise(thin.where(F.octet_length("text") >= length).select(*DOC, "text").mapInArrow(partial(_runs, length=length), RUNS))
+    runs = materialise(thin.where(F.octet_length("text") >= length).select("doc", "text").mapInArrow(partial(_runs, length=length), RUNS))
     # most names are met once, and need nothing more
     often = runs.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     every, runs = runs, materialise(runs.join(often, "name"))
     discard(every)
     same = ["name", "span", "windows", "reach"]
-    names = materialise(runs.groupBy(*same).agg(F.count("*").alias("copies"), F.min(F.struct(*DOC, "first")).alias("one")))
+    names = materialise(runs.groupBy(*same).agg(F.count("*").alias("copies"), F.min(F.struct("doc", "first")).alias("one")))
     shared = names.groupBy("name").agg(F.count("*").alias("spans"), F.min("copies").alias("least"))
     copied = runs.join(names.where("copies > 1").select(*same), same)
-    whole = copied.select(*DOC, F.col("first").alias("start"), (F.col("first") + F.col("windows")).alias("stop"))
+    whole = copied.select("doc", F.col("first").alias("start"), (F.col("first") + F.col("windows")).alias("stop"))
     contested = names.join(shared.where("spans > 1 and least = 1").select("name"), "name")
-    one = [F.col(f"one.{c}").alias(c) for c in DOC]
-    asked = contested.groupBy(*one).agg(F.collect_list(F.struct("name", *one, F.col("one.first").alias("first"), "windows", "reach", "copies")).alias("asked"))
-    whole, asked = materialise(whole), materialise(asked.withColumn("doc", _doc()).drop(*DOC))
+    asked = contested.groupBy(F.col("one.doc").alias("doc")).agg(F.collect_list(F.struct("name", F.col("one.first").alias("first"), "windows", "reach", "copies")).alias("asked"))
+    whole, asked = materialise(whole), materialise(asked)
     discard(runs, names)
     return whole, asked
 
 
 def _settled(texts: DataFrame, whole: DataFrame, asked: DataFrame, length: int, together: int) -> DataFrame:
     """All ranges of repeated windows, from the texts of the documents that are asked."""
-    cut = materialise(texts.join(asked, "doc").select("text", "asked").mapInArrow(partial(_cut, length=length), SPANS_SQL).dropDuplicates(["name", *DOC, "first", "windows"]))
+    cut = materialise(texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(partial(_cut, length=length), SPANS_SQL).dropDuplicates(["name", "doc", "first", "windows"]))
     found = []
     cut = cut.withColumns({"low": F.lit(0), "high": F.lit(length - GRAM)})
     while True:
@@ -321,7 +314,7 @@ def _settled(texts: DataFrame, whole: DataFrame, asked: DataFrame, length: int,
             break
         found.append(cut.join(crowded, "name", "left_anti"))
         crowd = cut.join(crowded, "name")
-        done = crowd.where("low = high").select(*DOC, F.col("first").alias("start"), (F.col("first") + 1).alias("stop"))
+        done = crowd.where("low = high").select("doc", F.col("first").alias("start"), (F.col("first") + 1).alias("stop"))
         whole = whole.unionByName(done)
         cut = materialise(crowd.where("low < high").mapInArrow(partial(_halve, length=length), SPANS_SQL + ", low int, high int"))
     columns = [f.name for f in SPANS]
@@ -330,11 +323,11 @@ def _settled(texts: DataFrame, whole: DataFrame, asked: DataFrame, length: int,
         rest = rest.unionByName(more.select(*columns))
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rest.repartition(parts, "name").sortWithinPartitions("name", "tail")
-    return whole.unionByName(ordered.mapInArrow(partial(_settle, length=length), "doc_id long, mark int, start long, stop long"))
+    return whole.unionByName(ordered.mapInArrow(partial(_settle, length=length), "doc long, start long, stop long"))
 
 
 def repeated_windows(docs: DataFrame, length: int = 400, together: int = TOGETHER) -> DataFrame:
-    """``(doc_id, mark, start, stop)``: the starts of repeated windows, as ranges in bytes."""
+    """``(doc, start, stop)``: the starts of repeated windows, as ranges in bytes."""
     thin = _texts(docs)
     return _settled(thin, *_contested(thin, length), length, together)
 
@@ -413,7 +406,7 @@ def _shared_passages(texts: DataFrame, sure: DataFrame, asked: DataFrame, words:
 
 
 def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
-    """``(doc_id, mark)`` of the documents that hold a run of ``words`` words which another document holds too.
+    """The doc_id of the documents that hold a run of ``words`` words which another document holds too.
 
     Words are those between white space, A-Z in lower case. Windows of words are
     named by their least shingle; runs that are equal under a name settle it,
@@ -421,7 +414,7 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     """
     thin = _texts(docs)
     found = _shared_passages(thin, *_open_passages(thin, words), words)
-    return thin.join(found, "doc", "left_semi").select(*DOC).distinct()
+    return thin.join(found, "doc", "left_semi").select("doc_id")
 
 
 def _strip(batches: Iterator[pa.RecordBatch], length: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -470,12 +463,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, together: int = TOGETHER,
     sure, runs = _open_passages(thin, words)
     # the texts that either needs are fetched once
     texts = materialise(thin.join(asked.select("doc").union(runs.select("doc")).distinct(), "doc", "left_semi"))
-    ranges = _settled(texts, whole, asked, length, together).groupBy(*DOC).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    ranges = _settled(texts, whole, asked, length, together).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     passages = _shared_passages(texts, sure, runs, words).withColumn("repeats_passage", F.lit(True))
-    found = ranges.select(_doc().alias("doc"), "ranges").join(passages, "doc", "full")
+    found = ranges.join(passages, "doc", "full")
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     both = thin.join(found, "doc", "left").withColumns({"ranges": F.coalesce("ranges", none), "repeats_passage": F.coalesce("repeats_passage", F.lit(False))})
     both = both.select("doc_id", "text", "ranges", "repeats_passage")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_passage boolean" + ", kept binary" * keep_text
-    out = both.mapInArrow(partial(_strip, length=length, keep_text=keep_text), schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return both.mapInArrow(partial(_strip, length=length, keep_text=keep_text), schema)
