@@ -368,7 +368,36 @@ def sigma_confirmation(within: DataFrame, marginal: DataFrame, expected: float,
     return met.withColumn("confirmed", ok if whole else F.lit(None).cast("boolean"))
 
 
-def heldout_summary(records: DataFrame, datasets: DataFrame, least: int = 400) -> DataFrame:
-    """Medians by dataset over groups of enough rows; a dataset without records has n 0."""
-    per = records.where(F.col("size") >= least).groupBy("dataset").agg(F.count("*").alias("n"), F.percentile("ratio", F.lit(0.5)).alias("median_ratio"), F.percentile("r2", F.lit(0.5)).alias("median_r2"))
-    return datasets.select("dataset").join(per, "dataset", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def ranked_within(records: DataFrame, by: str, value: str, out: str, ranges: int = 64) -> DataFrame:
+    """Append the average rank of ``value`` inside each ``by``, all of them at once.
+
+    Values are cut into ranges of like counts over all records; a record's rank is
+    what its ``by`` holds in ranges before, and its rank inside its own range. So
+    no task holds a whole ``by``, however large one is.
+    """
+    cuts = records.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.001)
+    at = F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col(value)))
+    placed = records.withColumn("__at", at)
+    # as many rows as groups times ranges
+    counts = placed.groupBy(by, "__at").agg(F.count("*").alias("__k"))
+    before = F.sum("__k").over(Window.partitionBy(by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(by, "__at", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = Window.partitionBy(by, "__at")
+    inside = F.rank().over(own.orderBy(value)) + (F.count("*").over(Window.partitionBy(by, "__at", value)) - 1) / 2.0
+    return placed.withColumn("__in", inside).join(counts, [by, "__at"]).withColumn(out, F.col("__before") + F.col("__in")).drop("__at", "__in", "__before")
+
+
+def heldout_summary(records: DataFrame, datasets: DataFrame, least: int = 400, least_rho2: float = 3.0) -> DataFrame:
+    """Held-out records by dataset, over groups of enough rows; a dataset without records has n 0 and nulls.
+
+    Medians over all groups and over those in the regime, and the rank correlation
+    of the deficit ``1 - ratio`` with ``1 / rho2`` inside each dataset (null for two groups or fewer).
+    """
+    kept = records.where(F.col("size") >= least).select("dataset", "ratio", "r2", "rho2", (1 - F.col("ratio")).alias("__d"), (F.lit(1.0) / F.greatest("rho2", F.lit(1e-9))).alias("__i")).cache()
+    inside = F.col("rho2") >= least_rho2
+    half = lambda c: F.percentile(c, F.lit(0.5))
+    per = kept.groupBy("dataset").agg(F.count("*").alias("n"), half("ratio").alias("median_ratio"), F.count_if(inside).alias("n_in_regime"), half(F.when(inside, F.col("ratio"))).alias("median_ratio_in_regime"), half(F.when(inside, F.col("r2"))).alias("median_r2_in_regime"))
+    ranks = ranked_within(ranked_within(kept, "dataset", "__d", "__rd"), "dataset", "__i", "__ri")
+    agree = ranks.groupBy("dataset").agg(F.when(F.count("*") > 2, F.corr("__rd", "__ri")).alias("spearman"))
+    met = datasets.select("dataset").join(per, "dataset", "left").join(agree, "dataset", "left")
+    return met.withColumns({"n": F.coalesce("n", F.lit(0)), "n_in_regime": F.coalesce("n_in_regime", F.lit(0))})

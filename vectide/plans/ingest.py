@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from vectide.functions.quota import evidence
 from vectide.operators import embed as E
 from vectide.operators import moments as M
 from vectide.operators import qc as C
+from vectide.operators import sparse as X
 from vectide.plans.base import CELLS, D, EVIDENCE, KEYS, THETA, WITHIN, cells, flat, group_moments, judged, ks, q6, q6s, query, r6, sql_moments, standard, table, with_, work_path
 from vectide.plans.core import CONTROLS, MATCHED, matched, plate_controls, rounded
 from vectide.sources import ingest as I
@@ -222,6 +224,24 @@ def top_words(counts: Frame, n: int = 200) -> Frame:
     return counts.groupBy("gene").agg(F.sum("value").alias("s")).orderBy(F.desc("s"), "gene").limit(n).select("gene")
 
 
+def word_lists(spark: Spark, sf: str, where: str = "true") -> Frame:
+    """Documents as cells whose list column holds their words."""
+    split = F.filter(F.split("text", "[ \\n]+"), lambda w: w != "")
+    return table(spark, sf, "documents").where(where).select("doc_id", "source", "lang", split.alias("words"))
+
+
+def written(df: Frame) -> Frame:
+    """The table from a new folder, for what is read several times."""
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def list_features(lists: Frame, n: int = 200) -> Frame:
+    """The words that are met most often."""
+    return top_words(X.sum_by_gene(lists, [], "words").select("gene", F.col("s1").alias("value")), n)
+
+
 @query(with_(WORDS) + "SELECT cell, CAST(total AS BIGINT) AS total FROM tot")
 def p04_total_counts(spark: Spark, sf: str) -> Frame:
     return E.total_counts(word_counts(spark, sf))
@@ -249,9 +269,9 @@ def stated_basis(features: Frame) -> tuple[Frame, Frame]:
 
 @query(with_(WORDS, FEATURES, BASIS) + "SELECT cell, CAST(pc AS INT) AS pc, round(coalesce(y, 0) - o, 5) + 0.0 AS x FROM (SELECT DISTINCT cell FROM wc) c CROSS JOIN ofs LEFT JOIN (SELECT cell, pc, sum(ln(1 + value * 10000.0 / total) * w) AS y FROM wc JOIN tot USING (cell) JOIN bas USING (gene) GROUP BY ALL) h USING (cell, pc)")
 def p07_project_cells(spark: Spark, sf: str) -> Frame:
-    counts = word_counts(spark, sf)
-    loadings, means = stated_basis(top_words(counts))
-    lists = table(spark, sf, "documents").select("doc_id", F.filter(F.split("text", "[ \\n]+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
+    lists = word_lists(spark, sf).where(F.size("words") > 0)
+    # the features are written once; loadings and means come from that table
+    loadings, means = stated_basis(written(list_features(lists)))
     x = E.project_lists(lists, "doc_id", "words", None, loadings, means)
     return x.select("cell", F.posexplode("x").alias("pc", "x")).select("cell", "pc", (F.round("x", 5) + 0.0).alias("x"))
 
@@ -270,10 +290,10 @@ def doc_cells(spark: Spark, sf: str) -> Frame:
 
 @query(with_(WORDS, FEATURES, "cl AS (SELECT doc_id AS cell, lang FROM documents)", "n AS (SELECT lang, count(*) AS n FROM cl GROUP BY 1)") + "SELECT lang, gene, round(sum(ln(1 + value * 10000.0 / total)), 4) AS s, any_value(n) AS n FROM wc JOIN tot USING (cell) JOIN cl USING (cell) JOIN n USING (lang) WHERE gene IN (SELECT gene FROM feat) GROUP BY lang, gene")
 def a01_pseudobulk(spark: Spark, sf: str) -> Frame:
-    counts = word_counts(spark, sf)
-    logs = E.restrict_to_features(E.normalize_log1p(counts), top_words(counts))
-    bulk, n = E.pseudobulk(logs, doc_cells(spark, sf), "lang")
-    return bulk.join(n, "lang").select("lang", "gene", F.round("s", 4).alias("s"), "n")
+    lists = word_lists(spark, sf)
+    bulk = X.sum_by_gene(lists, ["lang"], "words", features=list_features(lists), form="log")
+    n = lists.groupBy("lang").agg(F.count_distinct("doc_id").alias("n"))
+    return bulk.select("lang", "gene", F.round("s1", 4).alias("s")).join(n, "lang")
 
 
 HVG = with_(
@@ -296,19 +316,38 @@ def word_stats(spark: Spark, sf: str, where: str = "true") -> Frame:
 
 @query(HVG + "SELECT gene, round(score, 5) + 0.0 AS score FROM z ORDER BY z.score DESC, gene LIMIT 200")
 def f1_select_hvg(spark: Spark, sf: str) -> Frame:
-    return E.select_hvg(word_stats(spark, sf), 200).select("gene", (F.round("score", 5) + 0.0).alias("score"))
+    return E.select_hvg(X.stats_by_gene(word_lists(spark, sf), "words"), 200).select("gene", (F.round("score", 5) + 0.0).alias("score"))
 
 
 @query(with_(WORDS, FEATURES) + "SELECT gene, CAST(sum(value) AS BIGINT) AS s FROM wc SEMI JOIN feat USING (gene) GROUP BY 1")
 def f2_frozen_features(spark: Spark, sf: str) -> Frame:
-    counts = word_counts(spark, sf)
-    return E.restrict_to_features(counts, top_words(counts)).groupBy("gene").agg(F.sum("value").alias("s"))
+    lists = word_lists(spark, sf)
+    return X.sum_by_gene(lists, [], "words", features=list_features(lists)).select("gene", F.col("s1").cast("long").alias("s"))
 
 
 def vectors(spark: Spark, sf: str, where: str = "true") -> Frame:
     return table(spark, sf, "embeddings").where(where).select(F.col("vec_id").cast("string").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
+WIDE = "feat AS (SELECT gene FROM (SELECT gene, sum(value) AS s FROM wc GROUP BY 1) ORDER BY s DESC, gene LIMIT 2000), n AS (SELECT count(DISTINCT cell) AS n FROM wc)"
+
+
+@query(with_(WORDS, WIDE) + "SELECT (SELECT count(*) FROM feat) AS features, n AS cells, CAST(50 AS BIGINT) AS components, round(sum(v), 5) AS total, CAST(0 AS DOUBLE) AS worst, CAST(0 AS DOUBLE) AS residual, CAST(0 AS DOUBLE) AS skew FROM (SELECT gene, (sum(l * l) - sum(l) * sum(l) / any_value(n)) / (any_value(n) - 1) AS v FROM (SELECT gene, ln(1 + value * 10000.0 / total) AS l FROM wc SEMI JOIN feat USING (gene) JOIN tot USING (cell)) CROSS JOIN n GROUP BY gene) CROSS JOIN n GROUP BY n")
+def f3_sparse_pca(spark: Spark, sf: str) -> Frame:
+    """Fifty components of 2000 features from list columns: each is an eigenvector, by another pass over the cells, and all are orthonormal."""
+    cells = word_lists(spark, sf).where(F.size("words") > 0)
+    names = X.names_of(list_features(cells, 2000))
+    logs = written(X.feature_logs(cells, "words", None, names))
+    loadings, _, info = X.fit_pca(logs, names, 50)
+    w = loadings.toPandas().pivot(index="gene", columns="pc", values="w").loc[names.to_pylist()].to_numpy()
+    found = info.toPandas()
+    turned, _, spread, n = X.covariance_times(logs, w)
+    worst = float(abs(turned - w * found["var"].to_numpy()).max())
+    skew = float(abs(w.T @ w - np.eye(w.shape[1])).max())
+    row = (len(names), n, w.shape[1], round(float(spread.sum()), 5), round(worst, 6) + 0.0, round(float(found.residual.max()), 6) + 0.0, round(skew, 6) + 0.0)
+    return spark.createDataFrame([row], "features long, cells long, components long, total double, worst double, residual double, skew double")
+
+
 @query()
 def f3_fit_pca(spark: Spark, sf: str) -> Frame:
     loadings, _, info = E.fit_pca(vectors(spark, sf), 64, 10)
@@ -421,6 +460,45 @@ def f8_consensus_pool_hvg(spark: Spark, sf: str) -> Frame:
     return E.consensus_pool_hvg(a, b, word_stats(spark, sf, "lang in ('fr', 'es')"), 200)
 
 
+@query()
+def f8_frozen_comparison(spark: Spark, sf: str) -> Frame:
+    """Bases of French and Spanish documents on 200 features of their own, and on 200 of both together."""
+    a, b = (word_lists(spark, sf, f"lang = '{lang}'") for lang in ("fr", "es"))
+    return rounded(X.frozen_comparison(a, b, "words", None, written, 200, 10))
+
+
+def stated_hvg(features: Frame, shift: int) -> Frame:
+    """Two orthogonal directions over features by their rank: those of even and of odd ``(r + gene's length) // shift``."""
+    at = ((F.col("r") + F.length("gene")) / shift).cast("int") % 2
+    picked = features.select("gene", at.alias("pc"))
+    size = picked.groupBy("pc").agg(F.count("*").alias("k"))
+    return picked.join(F.broadcast(size), "pc").select("gene", "pc", (F.lit(1.0) / F.sqrt("k")).alias("w"))
+
+
+def stated_hvg_sql(name: str, features: str, shift: int) -> str:
+    return f"{name} AS (SELECT gene, pc, 1 / sqrt(count(*) OVER (PARTITION BY pc)) AS w FROM (SELECT gene, ((r + length(gene)) // {shift}) % 2 AS pc FROM {features}))"
+
+
+def pair_sql(a: str, b: str, out: str) -> str:
+    """The mean squared cosine and the largest angle of two stated bases."""
+    entry = lambda i, j: f"coalesce(sum(CASE WHEN x.pc = {i} AND y.pc = {j} THEN x.w * y.w END), 0)"
+    s, det = f"({' + '.join(f'power({entry(i, j)}, 2)' for i in (0, 1) for j in (0, 1))})", f"({entry(0, 0)} * {entry(1, 1)} - {entry(0, 1)} * {entry(1, 0)})"
+    return f"{out} AS (SELECT {s} / 2 AS cos2, degrees(acos(least(1, sqrt(greatest(({s} - sqrt(greatest({s} * {s} - 4 * {det} * {det}, 0))) / 2, 0))))) AS angle FROM {a} x JOIN {b} y USING (gene))"
+
+
+@query(
+    "WITH " + ",\n".join(hvg_sql(n, w).replace("(SELECT gene FROM", "(SELECT gene, row_number() OVER (ORDER BY score DESC, gene) AS r FROM") for n, w in (("fr", "lang = 'fr'"), ("es", "lang = 'es'"), ("pool", "lang IN ('fr', 'es')")))
+    + ",\n" + ",\n".join([stated_hvg_sql("la", "fr", 2), stated_hvg_sql("lb", "es", 3), stated_hvg_sql("fa", "pool", 2), stated_hvg_sql("fb", "pool", 3), pair_sql("la", "lb", "own"), pair_sql("fa", "fb", "frozen")])
+    + f" SELECT {shared_sql('fr', 'es', 'shared')}, round(own.cos2, 6) AS own_cos2, round(own.angle, 4) AS own_angle, round(frozen.cos2, 6) AS frozen_cos2, round(frozen.angle, 4) AS frozen_angle FROM own CROSS JOIN frozen"
+)
+def f8_stated_comparison(spark: Spark, sf: str) -> Frame:
+    """The same comparison with stated loadings on the chosen features, so that both overlaps have exact answers."""
+    a, b, pool = (written(E.select_hvg(X.stats_by_gene(word_lists(spark, sf, w), "words"), 200)) for w in ("lang = 'fr'", "lang = 'es'", "lang in ('fr', 'es')"))
+    own, frozen = X.overlap(stated_hvg(a, 2), stated_hvg(b, 3), 2), X.overlap(stated_hvg(pool, 2), stated_hvg(pool, 3), 2)
+    shared = E.hvg_overlap(a, b).first().shared
+    return spark.createDataFrame([(shared, round(own[0], 6), round(own[1], 4), round(frozen[0], 6), round(frozen[1], 4))], "shared long, own_cos2 double, own_angle double, frozen_cos2 double, frozen_angle double")
+
+
 @query("SELECT p_brand AS drug, p_size AS dose, l_suppkey % 5 AS plate, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 10 <> 0 GROUP BY ALL")
 def j01_sample_dimension(spark: Spark, sf: str) -> Frame:
     dim = I.scan_dimension(spark, f"{sf}/part.parquet", "p_partkey", ["p_brand", "p_size"]).where("p_partkey % 10 <> 0")

@@ -249,10 +249,17 @@ def r19_sigma_confirmation(spark: Spark, sf: str) -> Frame:
     return rounded(R.sigma_confirmation(within, marginal, 6.9, 0.5))
 
 
-@query(CURVE + "SELECT d.dataset, count(r.brand) AS n, round(quantile_cont(ratio, 0.5), 6) AS median_ratio, round(quantile_cont(r2, 0.5), 6) AS median_r2 FROM (VALUES ('A'), ('N'), ('R'), ('pending')) d(dataset) LEFT JOIN (SELECT * FROM rec WHERE size >= 40) r ON r.line = d.dataset GROUP BY 1")
+@query(
+    CURVE
+    + """, big AS (SELECT line AS dataset, ratio, r2, rho2, 1 - ratio AS d, 1 / greatest(rho2, 1e-9) AS i FROM rec WHERE size >= 40),
+  rk AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY d) + (count(*) OVER (PARTITION BY dataset, d) - 1) / 2.0 AS rd, rank() OVER (PARTITION BY dataset ORDER BY i) + (count(*) OVER (PARTITION BY dataset, i) - 1) / 2.0 AS ri FROM big)
+SELECT d.dataset, count(r.ratio) AS n, round(quantile_cont(ratio, 0.5), 6) AS median_ratio, count(CASE WHEN rho2 >= 0.001 THEN 1 END) AS n_in_regime, round(quantile_cont(CASE WHEN rho2 >= 0.001 THEN ratio END, 0.5), 6) AS median_ratio_in_regime,
+  round(quantile_cont(CASE WHEN rho2 >= 0.001 THEN r2 END, 0.5), 6) AS median_r2_in_regime, round(CASE WHEN count(r.ratio) > 2 THEN corr(rd, ri) END, 6) AS spearman
+FROM (VALUES ('A'), ('N'), ('R'), ('pending')) d(dataset) LEFT JOIN rk r USING (dataset) GROUP BY 1"""
+)
 def r20_heldout_summary(spark: Spark, sf: str) -> Frame:
     names = spark.createDataFrame([("A",), ("N",), ("R",), ("pending",)], "dataset string")
-    return rounded(R.heldout_summary(curves(spark, sf)[1].withColumn("dataset", F.col("line")), names, 40))
+    return rounded(R.heldout_summary(curves(spark, sf)[1].withColumn("dataset", F.col("line")), names, 40, 0.001))
 
 
 NODES = EVIDENCE[:-1] + f", nod AS (SELECT cond_id AS id, brand, m_raw, {ks('u#')} FROM ev WHERE m_raw > 0)"
