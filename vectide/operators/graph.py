@@ -15,17 +15,20 @@ from vectide.functions.vec import INF
 BLOCK = 2048
 
 
-def blocked(nodes: DataFrame, entity: str | None, block: int) -> DataFrame:
-    """Every node in the row and the column of blocks that meet: ``id, entity, u, l, r, side``.
+def blocked(nodes: DataFrame, entity: str | None, block: int, by: list[str] | None = None) -> DataFrame:
+    """Every node in the row and the column of blocks that meet: ``by, id, entity, u, l, r, side``.
 
     Each node is sent to twice as many tasks as there are blocks: with a
-    hundred thousand conditions about a hundred times.
+    hundred thousand conditions about a hundred times. Nodes of different
+    ``by`` (draws, say) never meet.
     """
-    blocks = max(1, -(-nodes.count() // block))
-    rows = nodes.select("id", (F.col(entity).cast("string") if entity else F.col("id")).alias("entity"), vec.doubles("u").alias("u"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    by = by or []
+    most = nodes.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] if by else nodes.count()
+    blocks = max(1, -(-(most or 0) // block))
+    rows = nodes.select(*by, "id", (F.col(entity).cast("string") if entity else F.col("id")).alias("entity"), vec.doubles("u").alias("u"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.select("*", F.explode(every).alias("o")).select("id", "entity", "u", F.col("b").alias("l"), F.col("o").alias("r"), F.lit(0).alias("side"))
-    right = rows.select("*", F.explode(every).alias("o")).select("id", "entity", "u", F.col("o").alias("l"), F.col("b").alias("r"), F.lit(1).alias("side"))
+    left = rows.select("*", F.explode(every).alias("o")).select(*by, "id", "entity", "u", F.col("b").alias("l"), F.col("o").alias("r"), F.lit(0).alias("side"))
+    right = rows.select("*", F.explode(every).alias("o")).select(*by, "id", "entity", "u", F.col("o").alias("l"), F.col("b").alias("r"), F.lit(1).alias("side"))
     return left.unionByName(right)
 
 
@@ -41,26 +44,141 @@ def _cosines(f: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
     return a, b, c
 
 
-def knn(nodes: DataFrame, k: int, entity: str | None = None, block: int = BLOCK) -> DataFrame:
-    """``src, dst, rank, cos``: the k nearest others by cosine; ties by id.
+def knn(nodes: DataFrame, k: int, entity: str | None = None, block: int = BLOCK, by: list[str] | None = None) -> DataFrame:
+    """``src, dst, rank, cos``: the k nearest others by cosine; ties by id. With ``by``, a graph for each of its values, in one product.
 
     nodes holds ``id`` (string), ``u`` (a vector of any length above 0) and, if named,
     an entity whose nodes are no neighbours of each other. Blocks of nodes meet
     pair by pair and pass on only their k best, so no task holds all nodes.
     """
 
+    by = by or []
+
     def best(f: pd.DataFrame) -> pd.DataFrame:
         a, b, c = _cosines(f)
-        if not c.size:
-            return pd.DataFrame({"src": [], "dst": [], "cos": []})
-        top = np.argsort(-c, axis=1, kind="stable")[:, :k]
-        src = np.repeat(a.id.to_numpy(), top.shape[1])
-        cos = np.take_along_axis(c, top, axis=1).reshape(-1)
-        keep = cos > -np.inf
-        return pd.DataFrame({"src": src[keep], "dst": b.id.to_numpy()[top.reshape(-1)][keep], "cos": cos[keep]})
+        return _best(a.id.to_numpy(), b.id.to_numpy(), c, k).assign(**{key: f[key].iloc[0] for key in by})
+
+    own = "".join(f"`{key}` {nodes.schema[key].dataType.simpleString()}, " for key in by)
+    found = blocked(nodes, entity, block, by).groupBy(*by, "l", "r").applyInPandas(best, f"{own}src string, dst string, cos double")
+    return ranked(found, k, by)
+
+
+def _best(src: np.ndarray, dst: np.ndarray, cos: np.ndarray, k: int) -> pd.DataFrame:
+    """The k greatest cosines of each row above minus infinity; ties in order of the columns."""
+    if not cos.size:
+        return pd.DataFrame({"src": [], "dst": [], "cos": []})
+    top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+    best = np.take_along_axis(cos, top, axis=1).reshape(-1)
+    keep = best > -np.inf
+    return pd.DataFrame({"src": np.repeat(src, top.shape[1])[keep], "dst": dst[top.reshape(-1)][keep], "cos": best[keep]})
+
+
+#: Pivots of a search at most; their vectors go to every task.
+PIVOTS = 2048
+#: Angles are told apart no finer than this: a bound skips only what lies beyond it.
+SLACK = 1e-6
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.array(vectors.tolist(), dtype=float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
 
-    found = blocked(nodes, entity, block).groupBy("l", "r").applyInPandas(best, "src string, dst string, cos double")
-    return ranked(found, k)
+def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y.T, -1, 1))
+
+
+class PivotSearch:
+    """Exact nearest neighbours around pivots, by rounds that skip what the triangle inequality rules out.
+
+    Nodes belong to the cell of their nearest pivot. Angles are a metric, so no
+    node of a cell is nearer to a node than its angle to the pivot less the cell's
+    radius. A first round looks into the nearest cells; the k-th best angle of each
+    node then bounds which others it has to visit. Cells are split into blocks, so
+    a crowded one is no larger in a task than others; visitors too come in blocks.
+
+    nodes as for ``knn``; ``write`` returns a DataFrame as written, for what is read several times.
+    """
+
+    def __init__(self, nodes: DataFrame, write, entity: str | None = None, pivots: int | None = None, block: int = BLOCK) -> None:
+        self.write, self.block = write, block
+        rows = nodes.select("id", (F.col(entity).cast("string") if entity else F.col("id")).alias("entity"), vec.doubles("u").alias("u"))
+        self.n = rows.count()
+        pivots = min(PIVOTS, pivots or int(np.ceil(self.n**0.5)) or 1)
+        chosen = rows.select("u", F.xxhash64("id").alias("h")).orderBy("h").limit(pivots).select("u").toPandas()
+        self.pivots = p = _unit(chosen.u) if len(chosen) else np.zeros((0, 1))
+
+        def placed(frames):
+            for f in frames:
+                if len(f):
+                    a = _angles(_unit(f.u), p)
+                    cell = a.argmin(axis=1)
+                    yield f.assign(cell=cell.astype(np.int32), angle=a[np.arange(len(f)), cell])
+
+        self.rows = write(rows.mapInPandas(placed, "id string, entity string, u array<double>, cell int, angle double"))
+        cells = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).toPandas()  # a row for each pivot
+        self.size, self.radius = np.zeros(len(p), dtype=np.int64), np.full(len(p), -np.inf)
+        self.size[cells.cell], self.radius[cells.cell] = cells.n, cells.radius
+        self.compared = 0
+
+    def _visit(self, visits: DataFrame, k: int) -> DataFrame:
+        """The k best of what each visitor (id, entity, u, to) finds in the cells it goes to; blocks of visitors meet blocks of cells."""
+        blocks = F.lit(np.maximum(1, -(-self.size // self.block)).tolist())
+        members = self.rows.select("id", "entity", "u", F.col("cell").alias("to"), F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int").alias("r"), F.lit(1).alias("side"))
+        many = visits.groupBy("to").agg(F.count("*").alias("k")).toPandas()
+        parts = np.ones(len(self.size), dtype=np.int64)
+        parts[many.to] = np.maximum(1, -(-many.k // self.block))
+        self.compared += int((self.size[many.to] * many.k).sum())
+        parts = F.lit(parts.tolist())
+        every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+        left = visits.withColumn("l", F.pmod(F.xxhash64("id", F.lit(1)), parts[F.col("to")]).cast("int")).select("id", "entity", "u", "to", "l", F.lit(0).alias("side"), every(blocks[F.col("to")]).alias("r"))
+        right = members.select("*", every(parts[F.col("to")]).alias("l"))
+
+        def best(f: pd.DataFrame) -> pd.DataFrame:
+            a, b, c = _cosines(f)
+            return _best(a.id.to_numpy(), b.id.to_numpy(), c, k)
+
+        return left.unionByName(right).groupBy("to", "l", "r").applyInPandas(best, "src string, dst string, cos double")
+
+    def knn(self, k: int, near: int = 3) -> DataFrame:
+        """``src, dst, rank, cos``, as ``knn`` gives them."""
+        p, radius = self.pivots, self.radius
+        self.compared = 0
+
+        def first(frames):
+            for f in frames:
+                if len(f):
+                    order = np.argsort(_angles(_unit(f.u), p) - np.where(radius > -np.inf, 0, -np.inf), axis=1)[:, :near]
+                    out = f.loc[f.index.repeat(order.shape[1]), ["id", "entity", "u"]]
+                    yield out.assign(to=order.reshape(-1).astype(np.int32))
+
+        schema = "id string, entity string, u array<double>, to int"
+        start = self.write(ranked(self._visit(self.write(self.rows.mapInPandas(first, schema)), k), k))
+        kth = start.where(F.col("rank") == k).select(F.col("src").alias("id"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cos")))).alias("bound"))
+
+        def rest(frames):
+            for f in frames:
+                if len(f):
+                    a = _angles(_unit(f.u), p)
+                    done = np.argsort(a - np.where(radius > -np.inf, 0, -np.inf), axis=1)[:, :near]
+                    open_ = (a - radius <= f.bound.to_numpy()[:, None] + SLACK) & (radius > -np.inf)
+                    np.put_along_axis(open_, done, False, axis=1)
+                    row, to = np.nonzero(open_)
+                    yield f.iloc[row][["id", "entity", "u"]].assign(to=to.astype(np.int32))
+
+        bounded = self.rows.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(np.pi)))
+        more = self._visit(self.write(bounded.mapInPandas(rest, schema)), k)
+        return ranked(start.select("src", "dst", "cos").unionByName(more), k)
+
+    def compared_share(self) -> float:
+        """Which share of all pairs the last search compared."""
+        return self.compared / max(1, self.n * self.n)
+
+    def direction_self_join(self) -> DataFrame:
+        """``src, n, best``, as ``direction_self_join`` gives them: counts come from entities, the greatest cosine from the search."""
+        each = self.rows.groupBy("entity").agg(F.count("*").alias("own"))
+        counts = self.rows.select(F.col("id").alias("src"), "entity").join(each, "entity").select("src", (F.lit(self.n) - F.col("own")).alias("n"))
+        return counts.join(self.knn(1).select("src", F.col("cos").alias("best")), "src").select("src", "n", "best")
 
 
 def direction_self_join(nodes: DataFrame, entity: str | None = None, block: int = BLOCK) -> DataFrame:
@@ -80,9 +198,10 @@ def direction_self_join(nodes: DataFrame, entity: str | None = None, block: int
     return found.groupBy("src").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
 
 
-def ranked(edges: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("src").orderBy(F.desc(F.round("cos", 12)), "dst")
-    return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "cos")
+def ranked(edges: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    order = Window.partitionBy(*by, "src").orderBy(F.desc(F.round("cos", 12)), "dst")
+    return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "src", "dst", "rank", "cos")
 
 
 def nearest_groups(nodes: DataFrame, one: str, k: int = 3) -> DataFrame:
@@ -159,6 +278,46 @@ def budget_curve(df: DataFrame, caps: list[float], theta: float, target: float =
     return curve, first.withColumn("saving", F.col("first_flat") / F.col("first_adaptive"))
 
 
+def graph_budget_curve(nodes: DataFrame, caps: list[float], draws: int, theta: float, k: int, write, entity: str | None = None, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """What flat and capped budgets of the same size recover of the similarity graph and of the directions.
+
+    nodes hold id, v, ell, n_star and the entity. Every draw of every budget adds
+    noise of variance ``2 ell / n`` to the directions; its graph is compared with
+    that without noise. One row a cap: budget, rows a condition if flat, and of
+    each scheme mean and spread (ddof 0) over draws of the share within theta and
+    of the mean Jaccard likeness of neighbours.
+    """
+    keys = ["cap", "scheme", "draw"]
+    own = [entity] if entity else []
+    grid = nodes.sparkSession.createDataFrame([(float(c),) for c in caps], "cap double")
+    each = nodes.select("id", *own, "v", "ell", "n_star").crossJoin(F.broadcast(grid)).withColumn("capped", F.least("n_star", "cap"))
+    budget = each.groupBy("cap").agg(F.sum("capped").alias("budget"), F.avg("capped").alias("flat_rows"))
+    both = each.join(F.broadcast(budget), "cap").select("*", F.explode(F.create_map(F.lit("adaptive"), F.col("capped"), F.lit("flat"), F.col("flat_rows"))).alias("scheme", "n"))
+    drawn = both.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    label = F.concat_ws("|", "scheme", F.col("cap").cast("long"), "draw")
+    noisy = F.transform(F.arrays_zip("v", "ell"), lambda p, i: p["v"] + F.sqrt(p["ell"] * 2 / F.col("n")) * normal_draw(F.col("id").cast("string"), label, i.cast("string"), F.lit(str(seed))))
+    drawn = write(drawn.withColumn("e", noisy).select(*keys, "id", *own, vec.unit("e").alias("u"), (vec.angle("e", "v") <= theta).cast("double").alias("within")))
+
+    whole = write(knn(nodes.select("id", *own, vec.unit("v").alias("u")), k, entity, block))
+    found = knn(drawn, k, entity, block, keys).join(whole.select("src", "dst", F.lit(1).alias("both")), ["src", "dst"], "left")
+    sizes = whole.groupBy("src").agg(F.count("*").alias("size"))
+    shared = found.groupBy(*keys, "src").agg(F.count("*").alias("k"), F.coalesce(F.sum("both"), F.lit(0)).alias("both")).join(sizes, "src")
+    likeness = shared.groupBy(*keys).agg(F.avg(F.col("both") / (F.col("k") + F.col("size") - F.col("both"))).alias("jaccard"))
+    met = drawn.groupBy(*keys).agg(F.avg("within").alias("within")).join(likeness, keys)
+    of = lambda scheme, c: F.when(F.col("scheme") == scheme, F.col(c))
+    stats = [f(of(scheme, c)).alias(f"{scheme}_{c}{suffix}") for scheme in ("flat", "adaptive") for c in ("within", "jaccard") for f, suffix in ((F.avg, ""), (F.stddev_pop, "_sd"))]
+    return budget.join(met.groupBy("cap").agg(*stats), "cap")
+
+
+def first_to_target(curve: DataFrame, target: float = 0.5) -> DataFrame:
+    """For each metric the first budgets at which flat and capped allocation reach the target, and their ratio; null if out of reach."""
+    rows = []
+    for c in ("jaccard", "within"):
+        first = lambda scheme: F.min(F.when(F.col(f"{scheme}_{c}") >= target, F.col("budget"))).alias(scheme)  # noqa: E731, B023
+        rows.append(curve.agg(F.lit(c).alias("metric"), first("flat"), first("adaptive")))
+    return rows[0].unionByName(rows[1]).withColumn("saving", F.col("flat") / F.col("adaptive"))
+
+
 def edge_flags(edges: DataFrame, flags: DataFrame, flag: str, by: list[str] | None = None) -> DataFrame:
     """Edges with the flag of both ends."""
     by = by or []

@@ -40,12 +40,19 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that the cluster names; a local one only on a single machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-work-")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table from a new folder, for what is read several times."""
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def r6(c: Column | str, name: str | None = None) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name) if name else F.round(c.cast("double"), 6) + F.lit(0.0)

@@ -14,7 +14,7 @@ from vectide.operators import embed as E
 from vectide.operators import moments as M
 from vectide.operators import qc as C
 from vectide.operators import sparse as X
-from vectide.plans.base import CELLS, D, EVIDENCE, KEYS, THETA, WITHIN, cells, flat, group_moments, judged, ks, q6, q6s, query, r6, sql_moments, standard, table, with_, work_path
+from vectide.plans.base import CELLS, D, EVIDENCE, KEYS, THETA, WITHIN, cells, flat, group_moments, judged, ks, q6, q6s, query, r6, sql_moments, standard, table, with_, work_path, written
 from vectide.plans.core import CONTROLS, MATCHED, matched, plate_controls, rounded
 from vectide.sources import ingest as I
 from vectide.streaming import moments as T
@@ -230,13 +230,6 @@ def word_lists(spark: Spark, sf: str, where: str = "true") -> Frame:
     return table(spark, sf, "documents").where(where).select("doc_id", "source", "lang", split.alias("words"))
 
 
-def written(df: Frame) -> Frame:
-    """The table from a new folder, for what is read several times."""
-    path = work_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def list_features(lists: Frame, n: int = 200) -> Frame:
     """The words that are met most often."""
     return top_words(X.sum_by_gene(lists, [], "words").select("gene", F.col("s1").alias("value")), n)

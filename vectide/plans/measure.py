@@ -12,7 +12,7 @@ from vectide.operators import moments as M
 from vectide.operators import qc as C
 from vectide.operators import resample as R
 from vectide.operators import spectrum as S
-from vectide.plans.base import CELLS, D, EVIDENCE, KEYS, THETA, cells, group_moments, judged, ks, q6, q6s, query, r6, sql_moments, standard, with_
+from vectide.plans.base import CELLS, D, EVIDENCE, KEYS, THETA, cells, group_moments, judged, ks, q6, q6s, query, r6, sql_moments, standard, with_, written
 from vectide.plans.core import SWEEP, THETAS, rounded
 
 Spark, Frame = SparkSession, DataFrame
@@ -332,6 +332,60 @@ def g08_budget_curve(spark: Spark, sf: str) -> Frame:
     return curve.select("cap", F.round("budget", 4).alias("budget"), F.round("adaptive", 6).alias("adaptive"), F.round("flat", 6).alias("flat"))
 
 
+#: Caps of budgets and draws of each.
+CAPS, DRAWS = [50, 200, 800, 3200, 12800], 10
+
+
+def draw_normal_sql(k: int) -> str:
+    u = lambda t: f"((('0x' || substr(md5(concat_ws('|', '{t}', id, label, '{k}', '0')), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+    return f"sqrt(-2 * ln({u('a')})) * cos(2 * pi() * {u('b')})"
+
+
+LENGTH = lambda x: f"sqrt({ks(f'{x}# * {x}#', ' + ')})"
+BUDGETS = EVIDENCE[:-1] + ", " + ",\n".join(
+    [
+        f"bn AS (SELECT cond_id AS id, brand, n_star, m_raw, {ks('t# - c# AS v#')}, {ks('e#')} FROM ev WHERE m_raw > 0)",
+        f"bw AS (SELECT src, dst FROM (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY round(({ks('a.v# * b.v#', ' + ')}) / (a.m_raw * b.m_raw), 12) DESC, b.id) AS r FROM bn a JOIN bn b ON a.brand <> b.brand) WHERE r <= 10)",
+        "bc AS (SELECT *, least(n_star, cap) AS capped FROM bn CROSS JOIN (SELECT unnest([" + ", ".join(f"{c}::DOUBLE" for c in CAPS) + "]) AS cap))",
+        "bb AS (SELECT cap, sum(capped) AS budget, avg(capped) AS flat_rows FROM bc GROUP BY cap)",
+        f"bd AS (SELECT bc.*, scheme, draw, CASE WHEN scheme = 'flat' THEN flat_rows ELSE capped END AS n, concat_ws('|', scheme, CAST(cap AS BIGINT), draw) AS label FROM bc JOIN bb USING (cap) CROSS JOIN (VALUES ('flat'), ('adaptive')) s(scheme) CROSS JOIN range({DRAWS}) d(draw))",
+        "be AS (SELECT *, " + ", ".join(f"v{k + 1} + sqrt(e{k + 1} * 2 / n) * {draw_normal_sql(k)} AS y{k + 1}" for k in range(D)) + " FROM bd)",
+        f"bu AS (SELECT cap, scheme, draw, id, brand, {ks('y# / ' + LENGTH('y') + ' AS u#')}, CASE WHEN acos(greatest(-1, least(1, ({ks('y# * v#', ' + ')}) / ({LENGTH('y')} * m_raw)))) <= {THETA} THEN 1.0 ELSE 0.0 END AS inside FROM be)",
+        f"bk AS (SELECT * FROM (SELECT a.cap, a.scheme, a.draw, a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.cap, a.scheme, a.draw, a.id ORDER BY round({ks('a.u# * b.u#', ' + ')}, 12) DESC, b.id) AS r FROM bu a JOIN bu b ON a.cap = b.cap AND a.scheme = b.scheme AND a.draw = b.draw AND a.brand <> b.brand) WHERE r <= 10)",
+        "bj AS (SELECT cap, scheme, draw, avg(hits / (k + size - hits)) AS jaccard FROM (SELECT cap, scheme, draw, bk.src, count(*) AS k, count(bw.dst) AS hits FROM bk LEFT JOIN bw ON bw.src = bk.src AND bw.dst = bk.dst GROUP BY ALL) JOIN (SELECT src, count(*) AS size FROM bw GROUP BY src) USING (src) GROUP BY ALL)",
+        "bi AS (SELECT cap, scheme, draw, avg(inside) AS inside FROM bu GROUP BY ALL)",
+        "cv AS (SELECT cap, budget, flat_rows, " + ", ".join(f"{f}(CASE WHEN scheme = '{s}' THEN {c} END) AS {s}_{n}{x}" for s in ("flat", "adaptive") for c, n in (("inside", "within"), ("jaccard", "jaccard")) for f, x in (("avg", ""), ("stddev_pop", "_sd"))) + " FROM bi JOIN bj USING (cap, scheme, draw) JOIN bb USING (cap) GROUP BY cap, budget, flat_rows)",
+    ]
+)
+METRICS = [f"{s}_{n}{x}" for s in ("flat", "adaptive") for n in ("within", "jaccard") for x in ("", "_sd")]
+
+
+def budgets(spark: Spark, sf: str) -> Frame:
+    return G.graph_budget_curve(nodes(spark, sf), CAPS, DRAWS, THETA, 10, written, "brand")
+
+
+@query(BUDGETS + " SELECT cap, round(budget, 4) AS budget, round(flat_rows, 6) AS flat_rows, " + q6s(*METRICS) + " FROM cv")
+def g08_graph_budget_curve(spark: Spark, sf: str) -> Frame:
+    """Every budget's graphs against the graph without noise: ten draws of each, all nodes."""
+    return budgets(spark, sf).select("cap", F.round("budget", 4).alias("budget"), r6("flat_rows", "flat_rows"), *[r6(c, c) for c in METRICS])
+
+
+@query(BUDGETS + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(f, 4) AS flat, round(a, 4) AS adaptive, round(f / a, 6) AS saving FROM (SELECT min(CASE WHEN flat_{m} >= 0.5 THEN budget END) AS f, min(CASE WHEN adaptive_{m} >= 0.5 THEN budget END) AS a FROM cv)" for m in ("jaccard", "within")))
+def g08_first_to_target(spark: Spark, sf: str) -> Frame:
+    return G.first_to_target(written(budgets(spark, sf))).select("metric", F.round("flat", 4).alias("flat"), F.round("adaptive", 4).alias("adaptive"), F.round("saving", 6).alias("saving"))
+
+
+@query(EDGES + f" SELECT src, dst, CAST(rank AS INT) AS rank, {q6s('cos')} FROM knn")
+def g01_pivot_knn(spark: Spark, sf: str) -> Frame:
+    """The same graph by pivots: pairs of cells that cannot hold a nearer neighbour never meet."""
+    return G.PivotSearch(nodes(spark, sf), written, "brand").knn(10).select("src", "dst", "rank", r6("cos", "cos"))
+
+
+@query(EDGES + f" SELECT src, count(*) AS n, {q6('max(cos)', 'best')} FROM cs GROUP BY 1")
+def j11_pivot_self_join(spark: Spark, sf: str) -> Frame:
+    return G.PivotSearch(nodes(spark, sf), written, "brand").direction_self_join().select("src", "n", r6("best", "best"))
+
+
 AUDIT = SWEEP[:-1] + f""", one AS (SELECT * FROM ev WHERE theta = 0.3 AND m_raw > 0), cs AS (SELECT a.cond_id AS src, b.cond_id AS dst, ({ks('a.u# * b.u#', ' + ')}) / (sqrt({ks('a.u# * a.u#', ' + ')}) * sqrt({ks('b.u# * b.u#', ' + ')})) AS cos FROM one a JOIN one b ON a.brand <> b.brand),
   knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(cos, 12) DESC, dst) AS rank FROM cs) WHERE rank <= 10)"""
 
