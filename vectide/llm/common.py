@@ -45,13 +45,15 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove the files of materialised tables that nothing reads any more."""
+    """Remove the files of materialised tables that nothing reads any more, and have Spark's cleaner remove the shuffles of finished steps."""
     for df in tables:
         context = df.sparkSession.sparkContext
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if folder.rsplit("/", 1)[-1].startswith("vectide-"):
                 path = context._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        context._jvm.System.gc()  # the cleaner acts on what the driver's JVM has collected
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -286,9 +286,10 @@ def _contested(thin: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Ranges of windows that are repeated throughout, and by document the spans that need a sort."""
     runs = materialise(thin.where(F.octet_length("text") >= length).select("doc", "text").mapInArrow(partial(_runs, length=length), RUNS))
     # most names are met once, and need nothing more
-    often = runs.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # written, so that the join below deals it out anew and can split a name that very many runs share
+    often = materialise(runs.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     every, runs = runs, materialise(runs.join(often, "name"))
-    discard(every)
+    discard(every, often)
     same = ["name", "span", "windows", "reach"]
     names = materialise(runs.groupBy(*same).agg(F.count("*").alias("copies"), F.min(F.struct("doc", "first")).alias("one")))
     shared = names.groupBy("name").agg(F.count("*").alias("spans"), F.min("copies").alias("least"))
@@ -383,12 +384,12 @@ def _open_passages(thin: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """Documents that share a whole run of windows, and by document the runs whose windows are to be compared one by one."""
     runs = materialise(thin.select("doc", "text").mapInArrow(partial(_passages, words=words), "name long, span long, doc long, first int, windows int"))
     ends = [F.min("doc").alias("a"), F.max("doc").alias("z")]
-    often = runs.groupBy("name").agg(*ends).where("a <> z").select("name")
+    often = materialise(runs.groupBy("name").agg(*ends).where("a <> z").select("name"))
     every, runs = runs, materialise(runs.join(often, "name"))
-    discard(every)
-    spans = runs.groupBy("name", "span").agg(*ends).select("name", "span", (F.col("a") != F.col("z")).alias("shared"))
+    discard(every, often)
+    spans = materialise(runs.groupBy("name", "span").agg(*ends).select("name", "span", (F.col("a") != F.col("z")).alias("shared")))
     told = materialise(runs.join(spans, ["name", "span"]))
-    discard(runs)
+    discard(runs, spans)
     sure = materialise(told.where("shared").select("doc").distinct())
     open_ = told.where(~F.col("shared")).join(sure, "doc", "left_anti")
     # the other runs of a name, each once, are what an open run is compared with
