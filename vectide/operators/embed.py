@@ -7,16 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vectide.operators.entries import Entries
 from vectide.operators.moments import gram
 
 TARGET = 1e4
 #: Features of at most so many rows are sent to every executor.
 BROADCAST_FEATURES = 100_000
+#: A basis of at most so many rows (some 64 MB as a matrix) goes to every task.
+BASIS_ENTRIES = 8_000_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -81,8 +83,9 @@ def select_hvg(stats: DataFrame, n: int = 2000, bins: int = 20) -> DataFrame:
     per = g.groupBy("bin").agg(F.avg("disp").alias("mu"), F.stddev_samp("disp").alias("sd"), F.count("*").alias("k"))
     z = F.when(F.col("k") == 1, F.lit(1.0)).when(F.col("sd") > 0, (F.col("disp") - F.col("mu")) / F.when(F.col("sd") > 0, F.col("sd"))).otherwise(F.lit(0.0))
     scored = g.join(F.broadcast(per), "bin").select("gene", z.alias("score"))
-    best = scored.orderBy(F.desc("score"), "gene").limit(n)
-    return best.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "gene")))
+    # bins of two genes score alike but for rounding: the gene decides
+    order = [F.desc(F.round("score", 9)), "gene"]
+    return scored.orderBy(*order).limit(n).withColumn("r", F.row_number().over(Window.orderBy(*order)))
 
 
 def hvg_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -126,32 +129,26 @@ def project_lists(cells: DataFrame, cell: str, genes: str, values: str | None, l
     """Coordinates ``cell, x`` of list columns, without a shuffle: the basis goes to every task, products stay inside a batch.
 
     Values of one gene in a cell add up; without a column of values every entry
-    counts 1. The basis may have at most ``BROADCAST_FEATURES`` rows.
+    counts 1. A basis of more than ``BASIS_ENTRIES`` rows is joined with the
+    exploded cells instead, which must then have names of their own.
     """
-    basis = loadings.limit(BROADCAST_FEATURES + 1).toPandas().pivot(index="gene", columns="pc", values="w").fillna(0.0)
-    if basis.size > BROADCAST_FEATURES:
-        raise ValueError("the basis is too large to be sent to every task")
+    if loadings.limit(BASIS_ENTRIES + 1).count() > BASIS_ENTRIES:
+        own = cells.withColumn("__ones", F.transform(genes, lambda g: F.lit(1.0))) if values is None else cells
+        logs = normalize_log1p(long_counts(own, cell, genes, values or "__ones").groupBy("cell", "gene").agg(F.sum("value").alias("value")), target=target)
+        long = project_cells(logs, cells.select(F.col(cell).alias("cell")), loadings, means)
+        return long.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("pc", "x"))), lambda p: p["x"]).alias("x"))
+    basis = loadings.toPandas().pivot(index="gene", columns="pc", values="w").fillna(0.0)
     names, w = pa.array(basis.index.tolist()), basis.to_numpy()
     off = means.toPandas().set_index("gene").mu.reindex(basis.index).fillna(0.0).to_numpy() @ w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("genes").fill_null([]) if batch.column("genes").null_count else batch.column("genes")
-            sizes = np.asarray(pc.list_value_length(lists))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            coded = lists.flatten().dictionary_encode()
-            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            count = np.ones(len(code)) if values is None else np.asarray(batch.column("values").flatten(), dtype=float)
-            total = np.bincount(row, weights=count, minlength=len(sizes))
-            total[total == 0] = 1
-            pair, at = np.unique(row * max(1, len(coded.dictionary)) + code, return_inverse=True)
-            summed, cell_of = np.bincount(at, weights=count, minlength=len(pair)), pair // max(1, len(coded.dictionary))
-            known = pc.index_in(coded.dictionary.cast(names.type), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
-            gene = known[pair % max(1, len(coded.dictionary))] if len(pair) else np.zeros(0, dtype=np.int64)
+            e = Entries(batch.column("genes"), batch.column("values") if values else None)
+            gene = e.places(names)
             kept = gene >= 0
-            log = np.log1p(summed * target / total[cell_of])[kept]
-            out = np.stack([np.bincount(cell_of[kept], weights=log * w[gene[kept], k], minlength=len(sizes)) for k in range(w.shape[1])], axis=1) - off
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * w.shape[1]), pa.array(out.reshape(-1)))
+            log = np.log1p(e.normalised(target))[kept]
+            out = np.stack([np.bincount(e.cell[kept], weights=log * w[gene[kept], k], minlength=e.cells) for k in range(w.shape[1])], axis=1) - off
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(e.cells + 1, dtype=np.int32) * w.shape[1]), pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("cell"), vectors], names=["cell", "x"])
 
     thin = cells.select(F.col(cell).alias("cell"), F.col(genes).alias("genes"), *([F.col(values).cast("array<double>").alias("values")] if values else []))

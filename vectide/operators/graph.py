@@ -66,17 +66,19 @@ def knn(nodes: DataFrame, k: int, entity: str | None = None, block: int = BLOCK,
 def _best(src: np.ndarray, dst: np.ndarray, cos: np.ndarray, k: int) -> pd.DataFrame:
     """The k greatest cosines of each row above minus infinity; ties in order of the columns."""
     if not cos.size:
-        return pd.DataFrame({"src": [], "dst": [], "cos": []})
+        none = np.zeros(0, dtype=object)  # an empty column must keep its kind
+        return pd.DataFrame({"src": none, "dst": none, "cos": np.zeros(0)})
     top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
     best = np.take_along_axis(cos, top, axis=1).reshape(-1)
     keep = best > -np.inf
-    return pd.DataFrame({"src": np.repeat(src, top.shape[1])[keep], "dst": dst[top.reshape(-1)][keep], "cos": best[keep]})
+    return pd.DataFrame({"src": np.repeat(np.asarray(src, dtype=object), top.shape[1])[keep], "dst": np.asarray(dst, dtype=object)[top.reshape(-1)][keep], "cos": best[keep]})
 
 
 #: Pivots of a search at most; their vectors go to every task.
 PIVOTS = 2048
 #: Angles are told apart no finer than this: a bound skips only what lies beyond it.
 SLACK = 1e-6
+NODE = ["id", "entity", "u"]
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -149,11 +151,12 @@ class PivotSearch:
             for f in frames:
                 if len(f):
                     order = np.argsort(_angles(_unit(f.u), p) - np.where(radius > -np.inf, 0, -np.inf), axis=1)[:, :near]
-                    out = f.loc[f.index.repeat(order.shape[1]), ["id", "entity", "u"]]
-                    yield out.assign(to=order.reshape(-1).astype(np.int32))
+                    yield f[NODE].assign(to=list(order.astype(np.int32)))
 
-        schema = "id string, entity string, u array<double>, to int"
-        start = self.write(ranked(self._visit(self.write(self.rows.mapInPandas(first, schema)), k), k))
+        def sent(rows: DataFrame, cells) -> DataFrame:
+            return self.write(rows.mapInPandas(cells, "id string, entity string, u array<double>, to array<int>").withColumn("to", F.explode("to")))
+
+        start = self.write(ranked(self._visit(sent(self.rows, first), k), k))
         kth = start.where(F.col("rank") == k).select(F.col("src").alias("id"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cos")))).alias("bound"))
 
         def rest(frames):
@@ -163,11 +166,10 @@ class PivotSearch:
                     done = np.argsort(a - np.where(radius > -np.inf, 0, -np.inf), axis=1)[:, :near]
                     open_ = (a - radius <= f.bound.to_numpy()[:, None] + SLACK) & (radius > -np.inf)
                     np.put_along_axis(open_, done, False, axis=1)
-                    row, to = np.nonzero(open_)
-                    yield f.iloc[row][["id", "entity", "u"]].assign(to=to.astype(np.int32))
+                    yield f[NODE].assign(to=[np.flatnonzero(row).astype(np.int32) for row in open_])
 
         bounded = self.rows.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(np.pi)))
-        more = self._visit(self.write(bounded.mapInPandas(rest, schema)), k)
+        more = self._visit(sent(bounded, rest), k)
         return ranked(start.select("src", "dst", "cos").unionByName(more), k)
 
     def compared_share(self) -> float:
@@ -190,7 +192,7 @@ def direction_self_join(nodes: DataFrame, entity: str | None = None, block: int
     def best(f: pd.DataFrame) -> pd.DataFrame:
         a, _, c = _cosines(f)
         if not c.size:
-            return pd.DataFrame({"src": [], "n": [], "best": []})
+            return pd.DataFrame({"src": np.zeros(0, dtype=object), "n": np.zeros(0, dtype=int), "best": np.zeros(0)})
         n = (c > -np.inf).sum(axis=1)
         return pd.DataFrame({"src": a.id.to_numpy(), "n": n, "best": c.max(axis=1)})[n > 0]
 

@@ -307,7 +307,7 @@ def word_stats(spark: Spark, sf: str, where: str = "true") -> Frame:
     return E.gene_stats(normal, kept.count())
 
 
-@query(HVG + "SELECT gene, round(score, 5) + 0.0 AS score FROM z ORDER BY z.score DESC, gene LIMIT 200")
+@query(HVG + "SELECT gene, round(score, 5) + 0.0 AS score FROM z ORDER BY round(z.score, 9) DESC, gene LIMIT 200")
 def f1_select_hvg(spark: Spark, sf: str) -> Frame:
     return E.select_hvg(X.stats_by_gene(word_lists(spark, sf), "words"), 200).select("gene", (F.round("score", 5) + 0.0).alias("score"))
 
@@ -440,7 +440,7 @@ def hvg_sql(name: str, where: str) -> str:
         own = re.sub(rf"(?<![\w.]){t}(?= AS \(| JOIN | CROSS | GROUP | WHERE |\)|,\n)", f"{name}_{t}", own)
         own = re.sub(rf"(?<=FROM ){t}(?!\w)|(?<=JOIN ){t}(?!\w)", f"{name}_{t}", own)
     own = own.replace("FROM documents", f"FROM (SELECT * FROM documents WHERE {where})")
-    return own.strip() + f",\n{name} AS (SELECT gene FROM {name}_z ORDER BY score DESC, gene LIMIT 200)"
+    return own.strip() + f",\n{name} AS (SELECT gene FROM {name}_z ORDER BY round(score, 9) DESC, gene LIMIT 200)"
 
 
 def shared_sql(a: str, b: str, out: str) -> str:
@@ -480,7 +480,7 @@ def pair_sql(a: str, b: str, out: str) -> str:
 
 
 @query(
-    "WITH " + ",\n".join(hvg_sql(n, w).replace("(SELECT gene FROM", "(SELECT gene, row_number() OVER (ORDER BY score DESC, gene) AS r FROM") for n, w in (("fr", "lang = 'fr'"), ("es", "lang = 'es'"), ("pool", "lang IN ('fr', 'es')")))
+    "WITH " + ",\n".join(hvg_sql(n, w).replace("(SELECT gene FROM", "(SELECT gene, row_number() OVER (ORDER BY round(score, 9) DESC, gene) AS r FROM") for n, w in (("fr", "lang = 'fr'"), ("es", "lang = 'es'"), ("pool", "lang IN ('fr', 'es')")))
     + ",\n" + ",\n".join([stated_hvg_sql("la", "fr", 2), stated_hvg_sql("lb", "es", 3), stated_hvg_sql("fa", "pool", 2), stated_hvg_sql("fb", "pool", 3), pair_sql("la", "lb", "own"), pair_sql("fa", "fb", "frozen")])
     + f" SELECT {shared_sql('fr', 'es', 'shared')}, round(own.cos2, 6) AS own_cos2, round(own.angle, 4) AS own_angle, round(frozen.cos2, 6) AS frozen_cos2, round(frozen.angle, 4) AS frozen_angle FROM own CROSS JOIN frozen"
 )
