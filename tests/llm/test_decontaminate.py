@@ -128,3 +128,58 @@ def test_long_texts_and_repeated_ids(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
     got = held(docs.drop("item_id"), spark.read.parquet(f"{sf}/benchmark.parquet")).where(f"item_id = {item.item_id}").collect()
     assert sorted({r.doc_id for r in got}) == [1, 3] and len([r for r in got if r.doc_id == 3]) == 1
+
+
+NAMES = ["Anna", "Peter", "Lucy", "Mark", "Olga", "Samir", "Tess", "Bruno"]
+NUMBERS = ["4", "12", "nine", "seven", "35", "1,200", "fifty", "eleven"]
+PROBLEMS = [
+    "{a} walked to the market on a cold morning with a basket. {a} bought {x} apples from an old farmer near the gate. {b} asked for some of them later. {a} gave back {y} of the apples before the sun went down. How many apples did {a} keep in the end?",
+    "{a} reads {x} pages every evening after dinner. {b} reads {y} pages at the same desk. The book of both readers has the same length. Who of {a} and {b} finishes it first?",
+    "On the way to school {a} found {x} coins under a tree. {b} found {y} coins more than that. Together with {a} the two friends bought a kite. What was left of the coins?",
+    "{a} painted the long fence in the garden. {b} painted the short one beside the house. {a} needed {x} buckets of white paint. {b} needed {y} buckets of the green one.",
+    "Nobody in the small village had seen {a} for weeks. Then {b} met {a} with {x} sheep and {y} goats on the hill. They talked about the weather and the harvest until the evening came.",
+]
+
+
+def problem(rng, form):
+    a, b = rng.sample(NAMES, 2)
+    x, y = rng.choice(NUMBERS), rng.choice(NUMBERS)
+    return form.format(a=a, b=b, x=x, y=y)
+
+
+def test_word_problems_with_names_at_sentence_starts_and_number_words(spark):
+    """Several sentences each, names at starts and inside, values that coincide, numbers as figures or words."""
+    import random
+
+    rng = random.Random(21)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + ". "
+    benchmark = [(i, problem(rng, form)) for i, form in enumerate(PROBLEMS)]
+    docs, want = [], set()
+    for i, form in enumerate(PROBLEMS):
+        for j in range(20):
+            docs.append((100 * i + j, prose(40) + problem(rng, form) + " " + prose(40)))
+            want.add((100 * i + j, i))
+        docs.append((100 * i + 50, prose(20) + benchmark[i][1].lower() + " " + prose(20)))
+        want.add((100 * i + 50, i))
+    docs += [(5000 + j, "".join(prose(12) for _ in range(20))) for j in range(20)]
+    # the same kind of question in other words is none of them
+    docs += [(6000, "Anna went to the market. Peter saw 12 apples there. Lucy sold 4 of them. How many were left when Mark came back?"), (6001, "Peter reads a book every evening. Lucy paints the fence. They talked about the harvest.")]
+    got = {(r.doc_id, r.item_id) for r in matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(benchmark, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
+def test_slots_that_contradict_each_other_are_no_match(spark):
+    item = "{} has red apples in the big basket and {} has green pears in the small basket while {} has nothing at all to eat"
+    benchmark = [(1, "We saw that " + item.format("Anna", "Peter", "Anna"))]
+    docs = [(1, "We saw that " + item.format("Lucy", "Mark", "Lucy")), (2, "We saw that " + item.format("Lucy", "Mark", "Olga"))]
+    got = [r.doc_id for r in matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(benchmark, "item_id long, text string")).collect()]
+    assert got == [1]
+
+
+def test_two_numbers_of_an_item_may_be_equal_by_chance(spark):
+    item = "the shop sold {} red kites on monday and {} blue kites on friday and {} green kites on sunday before it closed"
+    docs = [(1, item.format(8, 9, 3)), (2, item.format(8, 8, 8)), (3, item.format(8, 9, 7))]
+    bench = spark.createDataFrame([(1, item.format(5, 5, 2)), (2, item.format(5, 5, 5).replace("kites", "balls"))], "item_id long, text string")
+    got = sorted(tuple(r) for r in matches(spark.createDataFrame(docs + [(4, docs[0][1].replace("kites", "balls"))], "doc_id long, text string"), bench).select("doc_id", "item_id").collect())
+    assert got == [(1, 1), (2, 1), (3, 1)]

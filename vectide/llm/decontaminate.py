@@ -1,7 +1,10 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Texts become templates: numbers, names (capitalised words inside a sentence)
-and units turn into typed placeholders that keep their value beside them.
+Texts become templates: numbers (in figures or in English words), names
+(capitalised words) and units turn into typed placeholders that keep their value
+beside them. A capital at the start of a sentence may be a name or not, so an
+item's windows come in both forms; in documents it counts as a name, and words
+in lower case as words.
 Windows of eight template tokens are joined by hash with those of the
 benchmark. A document holds an item if at least half of the item's windows meet
 at one alignment, or at neighbouring ones (a quarter of the item apart at most,
@@ -13,8 +16,11 @@ a chance meeting of templates whose slots contradict each other is not.
 Items of fewer than eight tokens are one window of their own length. Windows
 with fewer than four plain words (all, if shorter) are common as templates and
 are hashed with their values, so a verbatim item is always held. Null and empty
-texts hold nothing; null or empty items are never held. Rows are judged by
-doc_id and text, null doc_ids like others; other columns are ignored.
+texts hold nothing; null or empty items are never held, and of items with one
+item_id the last text in order counts. Very long texts are read whole. Rows are
+judged by doc_id and text, null doc_ids like others; a repeated row gives its
+matches once, and all items that a document holds are told, whatever their
+coverage's order. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +41,17 @@ BEFORE = ("a ", "1 ")
 #: Benchmarks of at most so many windows are sent to every executor (16 bytes and a few numbers each).
 BROADCAST_WINDOWS = 500_000
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|h|hr|hrs|min|s|sec|ms|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|feet|inches|percent|dollars?|euros?|degrees?"
+NUMBER_WORDS = "(?i:two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand)"
 # placeholder signs, written before the value
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 
 
-def marked(text: Column) -> Column:
-    """The text as space-separated lower-case tokens, slots marked and keeping their value."""
+def marked(text: Column, inside: bool = False) -> Column:
+    """The text as space-separated lower-case tokens, slots marked and keeping their value; capitals count ``inside`` sentences only or anywhere."""
+    name = r"(?<=\p{Ll}[,;]? )" if inside else r"(?<![\p{L}\p{N}\x01-\x03])"
     t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\x01\x02\x03]", " ")
-    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=\p{Ll}[,;]? )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])({NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1")
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}}){name}(\p{{Lu}}\p{{Ll}}+)", f"{NAME}$1")
     t = F.regexp_replace(t, rf"(\p{{Nd}}+(?:[.,]\p{{Nd}}+)*)(?:\s?({UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUMBER}$1 {UNIT}$2 ")
     t = F.regexp_replace(t, rf"(?<![{NUMBER}\p{{Nd}}.,])(\p{{Nd}}+(?:[.,]\p{{Nd}}+)*)", f" {NUMBER}$1 ")
     t = F.regexp_replace(t, r"[.,](?!\p{Nd})|[^\p{L}\p{N}.,\x01-\x03 ]", " ")
@@ -84,28 +93,34 @@ def _windows(tokens: Column, slots: Column, n_slots: Column, lengths: list[int])
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """Items by id with their tokens, values and window length; ``firsts`` are other forms of the first window."""
+    """Items by id with their window length, tokens and values: capitals as names inside sentences (``tokens``), or anywhere (``named``, ``slots``).
+
+    ``strict`` are the names inside sentences; ``firsts`` are other forms of the first window.
+    """
     one = benchmark.where("item_id is not null").groupBy("item_id").agg(F.max(F.col("text").cast("string")).alias("text"))
-    marks = one.select("item_id", marked(F.col("text")).alias("marks"), *[marked(F.concat(F.lit(b), "text")).alias(f"marks{i}") for i, b in enumerate(BEFORE)])
-    out = marks.select("item_id", *[f(F.col(f"marks{i}")).alias(f"{c}{i}") for i in ["", *range(len(BEFORE))] for c, f in (("tokens", template), ("slots", values))])
+    led = lambda before, inside: marked(F.concat(F.lit(before), "text"), inside)
+    forms = {"": marked(F.col("text"), True), "_any": marked(F.col("text")), "0": led(BEFORE[0], True), "1": led(BEFORE[1], True), "2": led(BEFORE[1], False)}
+    marks = one.select("item_id", *[m.alias(f"marks{f}") for f, m in forms.items()])
+    out = marks.select("item_id", *[f(F.col(f"marks{i}")).alias(f"{c}{i}") for i in forms for c, f in (("tokens", template), ("slots", values))])
     out = out.where(F.size("tokens") > 0).withColumn("width", F.least(F.size("tokens"), F.lit(WIDTH)))
-    firsts = F.array(*[F.struct(F.slice(f"tokens{i}", F.lit(2), F.col("width")).alias("t"), F.slice(f"slots{i}", F.lit(2), F.col("width")).alias("s")) for i in range(len(BEFORE))])
-    return out.select("item_id", "tokens", "slots", "width", F.size("tokens").alias("n_item"), firsts.alias("firsts"))
+    firsts = F.array(*[F.struct(F.slice(f"tokens{i}", F.lit(2), F.col("width")).alias("t"), F.slice(f"slots{i}", F.lit(2), F.col("width")).alias("s")) for i in range(3)])
+    strict = F.filter("slots", lambda t: F.substring(t, 1, 1) == NAME)
+    return out.select("item_id", "tokens", F.col("slots").alias("words"), F.col("tokens_any").alias("named"), F.col("slots_any").alias("slots"), strict.alias("strict"), "width", F.size("tokens").alias("n_item"), firsts.alias("firsts"))
 
 
 def _item_windows(known: DataFrame) -> DataFrame:
-    """``(item_id, width, n_item, total, at, hash)`` of every window of the items."""
+    """``(item_id, width, n_item, total, at, hash)`` of every window of the items, in all forms."""
     part = lambda c, i: F.slice(c, i + 1, F.col("width"))
-    every = F.transform(F.sequence(F.lit(0), F.col("n_item") - F.col("width")), lambda i: F.struct(i.alias("at"), part(F.col("tokens"), i).alias("t"), part(F.col("slots"), i).alias("s")))
+    every = lambda t, s: F.transform(F.sequence(F.lit(0), F.col("n_item") - F.col("width")), lambda i: F.struct(i.alias("at"), part(F.col(t), i).alias("t"), part(F.col(s), i).alias("s")))
     first = F.transform("firsts", lambda f: F.struct(F.lit(0).alias("at"), f["t"].alias("t"), f["s"].alias("s")))
-    windows = known.select("item_id", "width", "n_item", (F.col("n_item") - F.col("width") + 1).alias("total"), F.explode(F.concat(every, first)).alias("w"))
+    windows = known.select("item_id", "width", "n_item", (F.col("n_item") - F.col("width") + 1).alias("total"), F.explode(F.concat(every("tokens", "words"), every("named", "slots"), first)).alias("w"))
     heavy = F.size(F.filter("w.t", _slot)) > F.col("width") - F.least(F.lit(LITERALS), F.col("width"))
     return windows.select("item_id", "width", "n_item", "total", "w.at", F.when(heavy, F.xxhash64("width", "w.s")).otherwise(F.xxhash64("width", "w.t")).alias("hash")).distinct()
 
 
 def held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, digest, item_id, coverage)`` of every row's id and ``text_digest`` and each item that it holds."""
-    known = items(benchmark).cache()
+    known = materialise(items(benchmark))
     lengths = sorted(r.width for r in known.select("width").distinct().collect())
     if not lengths:
         return docs.select("doc_id", text_digest().alias("digest"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("coverage")).where("false")
@@ -126,7 +141,7 @@ def held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     row = ["doc_id", "digest", "item_id", "width", "n_item", "total"]
     lines = met.groupBy(*row, (F.col("k") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("ats"))
     likely = _candidates(materialise(lines), row).withColumn("coverage", F.least(F.col("hits") / F.col("total"), F.lit(1.0)))
-    slotted = known.where(F.exists("tokens", _slot)).select("item_id", "slots")
+    slotted = known.where(F.exists("tokens", _slot)).select("item_id", "slots", "strict")
     if slotted.isEmpty():
         agreed = likely
     else:
@@ -135,9 +150,8 @@ def held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         open_ = likely.join(slotted, "item_id").withColumnsRenamed({"doc_id": "__id", "digest": "__digest"})
         text = docs.select("doc_id", text_digest().alias("digest"), "text")
         both = open_.join(text, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__digest") == F.col("digest")))
-        pairs = both.withColumn("own", values(marked(F.col("text")))).withColumn("pair", _pairs(F.col("slots"), F.col("own"), F.col("found"), F.col("width")))
-        one_each = F.size(F.array_distinct(F.transform("pair", lambda p: F.split_part(p, F.lit("\n"), F.lit(1))))) == F.size("pair")
-        agreed = free.unionByName(pairs.where(one_each).select(*free.columns))
+        pairs = both.withColumn("own", values(marked(F.col("text")))).withColumn("pair", _pairs(F.col("slots"), F.col("strict"), F.col("own"), F.col("found"), F.col("width")))
+        agreed = free.unionByName(pairs.where(_agree(F.col("pair"), F.col("slots"))).select(*free.columns))
     return agreed.groupBy("doc_id", "digest", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
@@ -169,10 +183,19 @@ def _candidates(lines: DataFrame, row: list[str]) -> DataFrame:
     return single.unionByName(long_).unionByName(near.where(enough).select(*row, "hits", "found"))
 
 
-def _pairs(slots: Column, own: Column, found: Column, width: Column) -> Column:
-    """The distinct pairs of slot values inside the windows found: an item's, a line end, the document's."""
+def _pairs(slots: Column, strict: Column, own: Column, found: Column, width: Column) -> Column:
+    """The distinct pairs of slot values inside the windows found: an item's, a line end, the document's. Of names those in ``strict``."""
+    told = lambda a: _slot(a) & ((F.substring(a, 1, 1) != NAME) | F.array_contains(strict, a))
     places = F.flatten(F.transform(found, lambda f: F.transform(F.sequence(f["at"], f["at"] + width - 1), lambda i: F.struct(F.get(slots, i).alias("a"), F.get(own, (i + f["shift"]).cast("int")).alias("b")))))
-    return F.array_distinct(F.transform(F.filter(places, lambda p: _slot(p["a"]) & p["b"].isNotNull()), lambda p: F.concat(p["a"], F.lit("\n"), p["b"])))
+    return F.array_distinct(F.transform(F.filter(places, lambda p: told(p["a"]) & p["b"].isNotNull()), lambda p: F.concat(p["a"], F.lit("\n"), p["b"])))
+
+
+def _agree(pairs: Column, slots: Column) -> Column:
+    """Whether each of an item's slot values stands for one of the document's, but for one number that the item has twice: two numbers may be equal by chance."""
+    of = lambda p: F.split_part(p, F.lit("\n"), F.lit(1))
+    twice = lambda p: (F.substring(p, 1, 1) == NUMBER) & (F.size(F.filter(slots, lambda t: t == of(p))) == 2)
+    more = lambda kept: F.size(kept) - F.size(F.array_distinct(F.transform(kept, of)))
+    return (more(F.filter(pairs, lambda p: ~twice(p))) == 0) & (more(F.filter(pairs, twice)) <= 1)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

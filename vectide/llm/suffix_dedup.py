@@ -393,7 +393,8 @@ def _open_passages(thin: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     sure = materialise(told.where("shared").select("doc").distinct())
     open_ = told.where(~F.col("shared")).join(sure, "doc", "left_anti")
     # the other runs of a name, each once, are what an open run is compared with
-    others = told.join(open_.select("name").distinct(), "name", "left_semi").groupBy("name", "span").agg(F.min(F.struct("doc", "first", "windows")).alias("q")).select("q.*")
+    one = told.groupBy("name", "span").agg(F.min(F.struct("doc", "first", "windows")).alias("q"))
+    others = one.join(open_.select("name").distinct(), "name", "left_semi").select("q.*")
     asked = open_.select("doc", "first", "windows").unionByName(others).distinct().groupBy("doc").agg(F.collect_list(F.struct("first", "windows")).alias("asked"))
     asked = materialise(asked)
     discard(told)
