@@ -109,4 +109,45 @@ def test_untouched_shards_keep_their_files(spark, tmp_path):
     key = lambda r: (str(r[0]), str(r[1]), r[2])
     assert sorted(map(key, back)) == sorted(map(key, rows))
     where = {(r.doc_id, r.text): r.shard for r in back}
-    assert all(where[r.doc_id, r.text] == r.shard for r in docs.join(moved.drop("n"), "doc_id").select("doc_id", "text", "shard").collect())
+    assert all(where[r.doc_id, r.text] == r.shard for r in docs.withColumn("text_crc32", F.crc32(F.encode("text", "UTF-8"))).join(moved.drop("n"), ["doc_id", "text_crc32"]).select("doc_id", "text", "shard").collect())
+
+
+def loads(rows):
+    load, slots, homes = Counter(), defaultdict(list), defaultdict(set)
+    for r in rows:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        homes[r.text_crc32].add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return load, homes
+
+
+def test_missing_and_shared_ids_are_spread(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 2 else i % 5, "".join(rng.choice("abcdef ") for _ in range(rng.randrange(20, 200)))) for i in range(2000)]
+    load, _ = loads(reshard(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(load) == 16 and max(load.values()) - min(load.values()) <= 200
+
+
+def test_equal_texts_stay_together_unless_they_fill_shards(spark):
+    texts = [f"text number {i} " + "x" * (i % 90) for i in range(500)]
+    rows = [(i, texts[i % 500]) for i in range(2000)]
+    load, homes = loads(reshard(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all(len(h) == 1 for h in homes.values()) and max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 16
+    hot = rows + [(None, "the same text everywhere " * 3)] * 1000
+    load, homes = loads(reshard(spark.createDataFrame(hot, "doc_id long, text string").repartition(4)).collect())
+    assert sum(len(h) > 1 for h in homes.values()) == 1 and max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 16
+
+
+def test_blocks_of_one_size_move_the_least_bytes(spark):
+    """Every plan of few blocks is tried: none that is as even moves less."""
+    rng = random.Random(9)
+    for _ in range(20):
+        blocks = rng.sample(range(12), 7)
+        sizes = {b: 5 for b in blocks}
+        now = plan_moves(sizes, 3)
+        spread = lambda plan: max(Counter(plan).get(s, 0) for s in range(3)) - min(Counter(plan).get(s, 0) for s in range(3))
+        moved = lambda plan: sum(p != b % 3 for p, b in zip(plan, blocks))
+        own = [now[b] for b in blocks]
+        assert spread(own) == 1
+        assert moved(own) == min(moved(p) for p in itertools.product(range(3), repeat=7) if spread(p) == 1)

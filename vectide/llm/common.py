@@ -1,7 +1,7 @@
 """Helpers shared by the corpus operators: tables, work folders, text in numpy.
 
 Everything vectorised here works on slices of an Arrow batch, so a task holds
-a few megabytes of text at a time however large its partition is.
+about a megabyte of text at a time however large its partition is.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,26 +1,33 @@
 """Resharding by minimum-cost flow: even shards with the fewest bytes moved.
 
-Documents lie in shards by the hash of their id. A shard is a fixed number of
+Documents lie in shards by the hash of their text. A shard is a fixed number of
 blocks; sizes and counts are summed per block, so what the driver sees is
-``shards * blocks`` rows whatever the table holds. From the old sizes and the
+some ``shards * blocks`` rows whatever the table holds. From the old sizes and the
 new capacities a transportation problem gives the bytes each shard sends to
-each other; blocks that come closest to those amounts then move whole. What
-whole blocks leave uneven is mended by single moves and swaps of blocks, until
-none brings shards closer.
+each other, cheaper inside a rack; blocks that come closest to those amounts then
+move whole. What whole blocks leave uneven is mended by single moves and swaps of
+blocks, until none brings shards closer.
 
-A null text has no bytes. Rows with a null doc_id share a block. Repeated rows
-stay together, and so do texts of one doc_id. Other columns are ignored.
+Groups, equal texts, stay in one shard, but for those larger than a quarter of a
+shard: these are cut into parts of like size, as the law of even bytes goes
+first and such a group may hold a third of all rows. A null text has no bytes.
+Rows without a doc_id, or with a shared one, are placed by their text like
+others. Very long texts are never cut: sizes then differ by one text at most. An
+empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, insort
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vectide.llm.common import materialise
+
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
     """The cheapest shipments from supplies to demands, by successive shortest paths.
@@ -100,7 +107,9 @@ def plan_moves(sizes: dict[int, int], shards: int, capacity: list[int] | None =
     for b, s in sizes.items():
         old[b % shards] += s
     total = sum(old)
-    capacity = capacity or [total // shards + (i < total % shards) for i in range(shards)]
+    if not capacity:  # what does not divide stays where most is
+        fullest = sorted(range(shards), key=lambda i: -old[i])[: total % shards]
+        capacity = [total // shards + (i in fullest) for i in range(shards)]
     over = [max(0, o - c) for o, c in zip(old, capacity)]
     under = [max(0, c - o) for o, c in zip(old, capacity)]
     flow = min_cost_flow(over, under, cost or [[1] * shards for _ in range(shards)])
@@ -157,8 +166,40 @@ def _exchange(more: list[tuple[int, int]], less: list[tuple[int, int]], gap: int
     return found
 
 
-def block_of(shards: int, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("block"), F.col("doc_id")), F.lit(shards * blocks)).cast("int")
+#: Texts of more than this share of a shard are no longer kept whole.
+WHOLE = 4
+#: Rows are numbered in parts of about this share of a shard.
+PARTS = 64
+RACK = 4
+
+
+def rack_cost(shards: int, rack: int = RACK) -> list[list[int]]:
+    """What a byte costs from each shard to each: 1 inside a rack of neighbouring shards, 2 beyond it."""
+    return [[1 if i // rack == j // rack else 2 for j in range(shards)] for i in range(shards)]
+
+
+def _sums(rows: DataFrame, *by: str) -> list:
+    return rows.groupBy(*by).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+
+
+def _units(thin: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """Append ``unit``, what is placed as a whole: a block of texts, or a part of a text too large for that; and ``part``, in which its rows are numbered."""
+    sums = _sums(thin, "block")
+    total = sum(r.bytes for r in sums)
+    whole, share = max(1, total // (WHOLE * shards)), max(1, total // (PARTS * shards))
+    crowded = [r.block for r in sums if r.bytes > whole]  # WHOLE * shards at most
+    big, start = [], shards * blocks
+    for r in sorted(_sums(thin.where(F.col("block").isin(crowded)), "hash"), key=lambda r: r["hash"]) if crowded else []:
+        if r.bytes > whole and r.n > 1:
+            big.append((r["hash"], start, -(-r.bytes // share)))
+            start += big[-1][2]
+    cut = thin.sparkSession.createDataFrame(big, "hash long, start int, cut int")
+    dealt = F.pmod(F.xxhash64("row"), F.col("cut")).cast("int")
+    placed = thin.join(F.broadcast(cut), "hash", "left").withColumn("unit", F.coalesce(F.col("start") + dealt, "block")).drop("start", "cut")
+    # a block with much in it is placed as one, but numbered in parts
+    large = thin.sparkSession.createDataFrame([(r.block, -(-r.bytes // share)) for r in sums if r.bytes > share], "unit int, parts int")
+    part = F.coalesce(F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")), F.lit(0)).cast("int")
+    return placed.join(F.broadcast(large), "unit", "left").withColumn("part", part).drop("parts")
 
 
 def reshard(docs: DataFrame, shards: int = 16, blocks: int = 1024, cost: list[list[int]] | None = None) -> DataFrame:
@@ -168,16 +209,24 @@ def reshard(docs: DataFrame, shards: int = 16, blocks: int = 1024, cost: list[li
     grown_shard (null under this law). slot counts 0, 1, ... in each shard.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    thin = docs.select(F.col("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), block_of(shards, blocks).alias("block"))
-    sums = {r.block: (r.bytes, r.n) for r in thin.groupBy("block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    now = plan_moves({b: s for b, (s, _) in sums.items()}, shards, cost=cost)
-    first, filled = {}, [0] * shards
-    for b in sorted(now):
-        first[b] = filled[now[b]]
-        filled[now[b]] += sums[b][1]
-    plan = docs.sparkSession.createDataFrame([(b, now[b], first[b]) for b in sorted(now)], "block int, shard int, first long")
-    rank = F.row_number().over(Window.partitionBy("block").orderBy("doc_id", "text_crc32", "size")) - 1
-    return thin.withColumn("rank", rank).join(F.broadcast(plan), "block").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.pmod("block", F.lit(shards)).cast("int").alias("old_shard"), "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    digest = F.xxhash64(F.lit("block"), text)
+    columns = ["doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), digest.alias("hash")]
+    block = F.pmod("hash", F.lit(shards * blocks)).cast("int")
+    # written, so that a row keeps its number
+    thin = materialise(docs.select(*columns).select("*", block.alias("block"), F.monotonically_increasing_id().alias("row")))
+    rows = _units(thin, shards, blocks)
+    counts, sizes = {}, Counter()
+    for r in _sums(rows, "unit", "part"):
+        counts[r.unit, r.part] = r.n
+        sizes[r.unit] += r.bytes
+    now = plan_moves(dict(sizes), shards, cost=cost or rack_cost(shards))
+    plan, filled = [], [0] * shards
+    for unit, part in sorted(counts):
+        plan.append((unit, part, now[unit], filled[now[unit]]))
+        filled[now[unit]] += counts[unit, part]
+    placed = docs.sparkSession.createDataFrame(plan, "unit int, part int, shard int, first long")
+    rank = F.row_number().over(Window.partitionBy("unit", "part").orderBy("doc_id", "text_crc32", "size", "row")) - 1
+    return rows.withColumn("rank", rank).join(F.broadcast(placed), ["unit", "part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.pmod("unit", F.lit(shards)).cast("int").alias("old_shard"), "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def laid_out(docs: DataFrame, placed: DataFrame) -> DataFrame:
