@@ -187,7 +187,7 @@ def test_rank_correlation_and_splits(spark):
     assert math.isclose(R.spearman(rec, F.col("a"), F.col("b")).first().spearman, 0.9486832980505138)
     split = R.hi_lo_snr_split(rec.withColumn("ratio", F.col("a"))).first()
     assert (split.ratio_high, split.ratio_low) == (3.0, 1.5)
-    summary = {r.dataset: r.n for r in R.heldout_summary(rec.selectExpr("'x' dataset", "500 size", "a ratio", "b r2"), spark.createDataFrame([("x",), ("y",)], "dataset string")).collect()}
+    summary = {r.dataset: r.n for r in R.heldout_summary(rec.selectExpr("'x' dataset", "500 size", "a ratio", "b r2", "rho2"), spark.createDataFrame([("x",), ("y",)], "dataset string")).collect()}
     assert summary == {"x": 4, "y": 0}
 
 
@@ -274,3 +274,52 @@ def test_stream_restarts_and_equals_the_batch(spark, sf, tmp_path):
     got = sorted((r.cond, r.line, r.n, round(r.s1[0], 6)) for r in T.merged(spark, str(tmp_path / "out"), ["cond", "line"], 2).collect())
     want = sorted((r.cond, r.line, r.n, round(r.s1[0], 6)) for r in M.moments(T.event_rows(events), ["cond", "line"], 2).collect())
     assert got == want
+
+
+def test_group_covariances_over_shares_and_missing_keys(spark, monkeypatch):
+    """Groups that several tasks share, keys with nulls, and groups of one row."""
+    monkeypatch.setattr(M, "SHARE", 40)
+    rng = np.random.default_rng(7)
+    keys = [("a", 1)] * 300 + [("a", None)] * 50 + [(None, 1)] * 30 + [("b", 2)] + [("c", 3)] * 90
+    x = rng.normal(size=(len(keys), 12)) @ rng.normal(size=(12, 12))
+    df = spark.createDataFrame([(g, h, v.tolist()) for (g, h), v in zip(keys, x)], "g string, h int, x array<double>").repartition(5)
+    got = {(r.g, r.h, r.i, r.j): r.value for r in M.group_covariance(df, ["g", "h"], 12).collect()}
+    want = {}
+    for key in set(keys):
+        own = x[[k == key for k in keys]]
+        if len(own) > 1:
+            cov = np.cov(own.T)
+            want |= {(*key, i, j): cov[i, j] for i in range(12) for j in range(i, 12)}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
+
+
+def test_ledoit_wolf_of_many_entries(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 20)) @ rng.normal(size=(20, 20))
+    df = spark.createDataFrame([(i % 4, v.tolist()) for i, v in enumerate(x)], "g int, x array<double>")
+    res = np.concatenate([x[i::4] - x[i::4].mean(axis=0) for i in range(4)])
+    s = res.T @ res / 80
+    mu, q = np.trace(s) / 20, ((res**2).sum(axis=1) ** 2).sum()
+    delta = (s**2).sum() - 20 * mu * mu
+    part = min((q / 80 - (s**2).sum()) / 80, delta) / delta
+    got = M.ledoit_wolf(df, ["g"], 20).first()
+    assert math.isclose(got.shrinkage, part, rel_tol=1e-9)
+    want = (s * (1 - part) + np.eye(20) * part * mu)[np.triu_indices(20)]
+    assert np.allclose(got.cov, want)
+
+
+def test_samples_by_file_open_only_their_files(spark, tmp_path):
+    rows = [(i % 30 if i % 30 else None, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "shard int, v int")
+    path = f"file://{tmp_path}/t"
+    df.repartition("shard").write.partitionBy("shard").parquet(path)
+    first, second = I.sampled_shards(spark, path, "shard", 7), I.sampled_shards(spark, path, "shard", 7, second=True)
+    key = lambda d: sorted((r.shard or 0, r.v) for r in d.collect())
+    assert key(first) == key(I.systematic_sample(df.fillna({"shard": -1}), "shard", 7).replace({-1: 0}, subset=["shard"])) and key(second) == key(I.disjoint_sample(df.fillna({"shard": -1}), "shard", 7).replace({-1: 0}, subset=["shard"]))
+    assert not {r[0] for r in key(first)} & {r[0] for r in key(second)}
+    assert len({f.rsplit("/", 2)[1] for f in first.inputFiles()}) == 7
+    # by file, in order of names
+    spark.range(100).repartition(10).write.parquet(f"{path}-files")
+    whole, some = spark.read.parquet(f"{path}-files"), I.sampled_shards(spark, f"{path}-files", None, 3)
+    assert sorted(some.inputFiles()) == [sorted(whole.inputFiles())[i] for i in I.systematic_indices(len(whole.inputFiles()), 3)]
+    assert I.sampled_shards(spark, path, "shard", 0).count() == 0

@@ -46,7 +46,7 @@ SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, tokens array<
 #: Documents that are compared in one task; shingles in them; and how few documents are compared whatever they hold.
 SMALL, WEIGHT, FEW = 2048, 1 << 21, 8
 #: Bytes of shingle bits held at once by a comparison.
-BITMAP = 96 << 20
+BITMAP = 64 << 20
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -223,9 +223,13 @@ def _candidates(held: list[tuple], percent: int, most: int) -> np.ndarray:
         k = np.flatnonzero(ok)
         apart = np.bitwise_count(bits[i + 1 + k] ^ bits[i]).sum(axis=1, dtype=np.int64)
         k, apart = k[apart <= most], apart[apart <= most]
-        found.append(np.stack([np.full(len(k), i), i + 1 + k], axis=1))
-        far.append(apart)
-    return np.concatenate(found)[np.argsort(np.concatenate(far), kind="stable")] if found else np.zeros((0, 2), dtype=np.int64)
+        found.append(np.stack([np.full(len(k), i, dtype=np.int32), (i + 1 + k).astype(np.int32)], axis=1))
+        far.append(apart.astype(np.uint16))
+    if not found:
+        return np.zeros((0, 2), dtype=np.int32)
+    order = np.argsort(np.concatenate(far), kind="stable").astype(np.int32)
+    del far
+    return np.concatenate(found)[order]
 
 
 def _common(pairs: np.ndarray, sets: list[np.ndarray], bitmap: np.ndarray | None) -> np.ndarray:
@@ -258,7 +262,7 @@ def _bitmap(sets: list[np.ndarray]) -> np.ndarray | None:
 def _forest(held: list[tuple], percent: int, most: int) -> pa.RecordBatch:
     """Edges that join documents whose full sets are linked; pairs that others have joined are passed over."""
     edges = []
-    pairs = _candidates(held, percent, most) if len(held) > 1 else np.zeros((0, 2), dtype=np.int64)
+    pairs = _candidates(held, percent, most) if len(held) > 1 else np.zeros((0, 2), dtype=np.int32)
     if len(pairs):
         sets = [h[4] for h in held]
         bitmap, size = _bitmap(sets), np.array([len(x) for x in sets])

@@ -108,8 +108,36 @@ def gram(rows: DataFrame, x: Column) -> DataFrame:
 
 #: Up to so many entries a group's products are plain sums of columns.
 FEW = 8
-#: Tasks that may share a group.
-SHARED = 8
+#: Rows of a group that one task sums, about.
+SHARE = 1_000_000
+
+
+def _alike(a: tuple, b: tuple) -> bool:
+    """Whether two keys are equal; missing parts equal each other."""
+    return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+
+def _running(keys: list[str], sums):
+    """A pandas function over rows sorted by keys: one row for each key, from ``sums`` of its rows in each batch, held only while the key lasts."""
+
+    def row(key: tuple, n: int, s1: np.ndarray, s2: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "n": [n], "s1": [s1], "s2": [s2]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = held = None
+        for f in frames:
+            for at in sorted(f.groupby(keys, dropna=False, sort=False).indices.values(), key=lambda at: at[0]):
+                now, part = tuple(f[k].iloc[at[0]] for k in keys), sums(f.iloc[at])
+                if held is not None and _alike(key, now):
+                    held = tuple(a + b for a, b in zip(held, part))
+                else:
+                    if held is not None:
+                        yield row(key, *held)
+                    key, held = now, part
+        if held is not None:
+            yield row(key, *held)
+
+    return run
 
 
 def cross_moments(rows: DataFrame, keys: list[str], d: int, x: str = "x") -> DataFrame:
@@ -123,20 +151,22 @@ def cross_moments(rows: DataFrame, keys: list[str], d: int, x: str = "x") -> Dat
         )
     upper = np.triu_indices(d)
 
-    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            values = np.array(f.v.tolist(), dtype=float).reshape(len(f), d)
-            for _, at in f.groupby(keys, dropna=False, sort=False).indices.items():
-                own = values[at]
-                yield f.iloc[at[:1]][keys].assign(n=len(at), s1=[own.sum(axis=0)], s2=[(own.T @ own)[upper]])
+    def products(f: pd.DataFrame) -> tuple:
+        own = np.array(f.v.tolist(), dtype=float).reshape(len(f), d)
+        return len(f), own.sum(axis=0), (own.T @ own)[upper]
+
+    def added(f: pd.DataFrame) -> tuple:
+        return int(f.n.sum()), np.sum(f.s1.tolist(), axis=0), np.sum(f.s2.tolist(), axis=0)
 
     thin = rows.select(*keys, F.array(*v).alias("v"))
-    # a group's rows lie together in a few tasks, so a batch passes on few groups
-    sorted_ = thin.repartition(*keys, F.spark_partition_id() % SHARED).sortWithinPartitions(*keys)
+    # a large group goes to as many tasks as it has shares; such groups are few, by what they hold
+    large = thin.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > SHARE).select(*[F.col(k).alias(f"__{k}") for k in keys], F.ceil(F.col("__n") / SHARE).cast("int").alias("__tasks"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    dealt = F.pmod(F.xxhash64("v"), F.coalesce("__tasks", F.lit(1))).cast("int").alias("__task")
+    shared = thin.join(F.broadcast(large), same, "left").select(*keys, "v", dealt)
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", n long, s1 array<double>, s2 array<double>"
-    add = lambda a, b: F.when(F.size(a) == 0, b).otherwise(vec.plus(a, b))
-    sums = lambda c: F.aggregate(F.collect_list(c), F.array().cast("array<double>"), add)
-    return sorted_.mapInPandas(products, schema).groupBy(*keys).agg(F.sum("n").alias("n"), sums("s1").alias("s1"), sums("s2").alias("s2"))
+    parts = shared.repartition(*keys, "__task").sortWithinPartitions(*keys, "__task").drop("__task").mapInPandas(_running(keys, products), schema)
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_running(keys, added), schema)
 
 
 def _triangle(d: int) -> Column:
@@ -156,6 +186,11 @@ def within_covariance(rows: DataFrame, keys: list[str], d: int, x: str = "x") ->
     All products together less those of the groups' means: no group's own
     products are needed, and groups of one row cancel out.
     """
+    if d <= FEW:
+        own = cross_moments(rows, keys, d, x)
+        apart = tidy_triangle(own, d).withColumn("value", F.col("value") - F.col("s1")[F.col("i")] * F.col("s1")[F.col("j")] / F.col("n"))
+        pooled = apart.groupBy("i", "j").agg(F.sum("value").alias("value"), F.sum(F.col("n") - 1).alias("dof")).where("dof > 0")
+        return pooled.select("i", "j", (F.col("value") / F.col("dof")).alias("value"))
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), vec.sums(x, d).alias("s1"))
     mean = gram(sums, F.transform("s1", lambda s: s / F.sqrt(F.col("n").cast("double"))))
     dof = sums.agg(F.sum(F.col("n") - 1).alias("dof"))
@@ -193,15 +228,15 @@ def ledoit_wolf(rows: DataFrame, keys: list[str], d: int, x: str = "x") -> DataF
     mean = rows.groupBy(*keys).agg(vec.means(x, d).alias("__mu"))
     r = rows.join(mean, keys)
     products = gram(r, vec.minus(vec.doubles(x), "__mu"))
-    # row i gives the entries from i on of the triangle
-    s = products.agg(F.max("n").alias("n"), F.max("q").alias("q"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda p: F.slice(p["g"], p["i"] + 1, d))).alias("g"))
-    s = s.where("n > 0").withColumn("c", F.transform("g", lambda c: c / F.col("n")))
-    at = {ij: k for k, ij in enumerate((i, j) for i in range(d) for j in range(i, d))}
-    trace = sum(F.col("c")[at[i, i]] for i in range(d))
-    square = sum(F.col("c")[k] * F.col("c")[k] * (1 if i == j else 2) for (i, j), k in at.items())
+    whole = F.array_sort(F.collect_list(F.struct("i", "c")))
+    s = products.withColumn("c", F.transform("g", lambda c: c / F.col("n"))).agg(F.max("n").alias("n"), F.max("q").alias("q"), whole.alias("rows")).where("n > 0")
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    trace = add(F.transform("rows", lambda p: F.get(p["c"], p["i"])))
+    square = add(F.transform("rows", lambda p: add(F.transform(p["c"], lambda v: v * v))))
     s = s.withColumns({"mu": trace / d, "sq": square})
     s = s.withColumn("delta", F.col("sq") - F.col("mu") * F.col("mu") * d)
     s = s.withColumn("beta", F.least((F.col("q") / F.col("n") - F.col("sq")) / F.col("n"), F.col("delta")))
     s = s.withColumn("shrinkage", F.when(F.col("delta") > 0, F.greatest(F.col("beta"), F.lit(0.0)) / F.col("delta")).otherwise(F.lit(0.0)))
-    cells = [F.col("c")[k] * (1 - F.col("shrinkage")) + (F.col("shrinkage") * F.col("mu") if i == j else F.lit(0.0)) for (i, j), k in at.items()]
-    return s.select("n", "mu", "shrinkage", F.array(*cells).alias("cov"))
+    # row i gives the entries from i on of the triangle
+    shrunk = lambda p: F.transform(p["c"], lambda v, j: v * (1 - F.col("shrinkage")) + F.when(p["i"] == j, F.col("shrinkage") * F.col("mu")).otherwise(0.0))
+    return s.select("n", "mu", "shrinkage", F.flatten(F.transform("rows", lambda p: F.slice(shrunk(p), p["i"] + 1, F.lit(d)))).alias("cov"))

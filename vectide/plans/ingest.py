@@ -14,7 +14,7 @@ from vectide.operators import embed as E
 from vectide.operators import moments as M
 from vectide.operators import qc as C
 from vectide.operators import sparse as X
-from vectide.plans.base import CELLS, D, EVIDENCE, KEYS, THETA, WITHIN, cells, flat, group_moments, judged, ks, q6, q6s, query, r6, sql_moments, standard, table, with_, work_path, written
+from vectide.plans.base import CELLS, D, EVIDENCE, KEYS, ORACLES, THETA, WITHIN, cells, flat, group_moments, judged, ks, q6, q6s, query, r6, sql_moments, standard, table, with_, work_path, written
 from vectide.plans.core import CONTROLS, MATCHED, matched, plate_controls, rounded
 from vectide.sources import ingest as I
 from vectide.streaming import moments as T
@@ -82,6 +82,24 @@ def s07_disjoint_sample(spark: Spark, sf: str) -> Frame:
     return I.disjoint_sample(table(spark, sf, "lineitem"), "l_suppkey", 7).groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
+def line_shards(spark: Spark, sf: str) -> str:
+    """The line items in a folder for each supplier."""
+    path = work_path(spark, "shards")
+    table(spark, sf, "lineitem").repartition("l_suppkey").write.partitionBy("l_suppkey").parquet(path)
+    return path
+
+
+@query(ORACLES["s06_systematic_sample"])
+def s06_shard_files(spark: Spark, sf: str) -> Frame:
+    """The same sample by file: shards outside it are listed, but never opened."""
+    return I.sampled_shards(spark, line_shards(spark, sf), "l_suppkey", 7).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
+@query(ORACLES["s07_disjoint_sample"])
+def s07_disjoint_files(spark: Spark, sf: str) -> Frame:
+    return I.sampled_shards(spark, line_shards(spark, sf), "l_suppkey", 7, second=True).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey < 5000 GROUP BY 1")
 def s08_head_block(spark: Spark, sf: str) -> Frame:
     return I.head_block(table(spark, sf, "orders"), "o_orderkey", 5000).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
@@ -428,6 +446,26 @@ def a12_group_covariance_embeddings(spark: Spark, sf: str) -> Frame:
     return M.group_covariance(vectors(spark, sf), ["label"], 64).select("label", "i", "j", (F.round("value", 5) + 0.0).alias("value"))
 
 
+@query(
+    with_(
+        EMBEDDED,
+        "mu AS (SELECT label, i, avg(v) AS m FROM e GROUP BY ALL)",
+        "r AS (SELECT vec_id, i, v - m AS v FROM e JOIN mu USING (label, i))",
+        "n AS (SELECT count(DISTINCT vec_id) AS n FROM r)",
+        "q AS (SELECT sum(s * s) AS q FROM (SELECT vec_id, sum(v * v) AS s FROM r GROUP BY vec_id))",
+        "c AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / any_value(n) AS c FROM r a JOIN r b ON a.vec_id = b.vec_id CROSS JOIN n GROUP BY a.i, b.i)",
+        "h AS (SELECT sum(CASE WHEN i = j THEN c END) / 64 AS mu, sum(c * c) AS sq FROM c)",
+        "s AS (SELECT n, mu, greatest(least((q / n - sq) / n, sq - 64 * mu * mu), 0) / (sq - 64 * mu * mu) AS shrinkage FROM h CROSS JOIN n CROSS JOIN q)",
+    )
+    + "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, n, round(mu, 6) AS mu, round(shrinkage, 7) AS shrinkage, round(c * (1 - shrinkage) + CASE WHEN i = j THEN shrinkage * mu ELSE 0 END, 5) + 0.0 AS value FROM c CROSS JOIN s WHERE i <= j"
+)
+def a14_ledoit_wolf_embeddings(spark: Spark, sf: str) -> Frame:
+    """The shrunk covariance inside labels at 64 entries."""
+    shrunk = M.ledoit_wolf(vectors(spark, sf), ["label"], 64)
+    flat_ = M.tidy_triangle(shrunk, 64, "cov")
+    return flat_.select("i", "j", "n", F.round("mu", 6).alias("mu"), F.round("shrinkage", 7).alias("shrinkage"), (F.round("value", 5) + 0.0).alias("value"))
+
+
 @query()
 def f7_orthonormality_residual(spark: Spark, sf: str) -> Frame:
     return E.orthonormality_residual(E.fit_pca(vectors(spark, sf), 64, 8)[0]).select(r6("residual", "residual"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +54,45 @@ def systematic_sample(df: DataFrame, shard: str, n: int) -> DataFrame:
     return df.join(F.broadcast(_numbered(ids, shard).where(F.col("__i").isin(systematic_indices(ids.count(), n)))), shard, "left_semi")
 
 
-def disjoint_sample(df: DataFrame, shard: str, n: int) -> DataFrame:
-    """A second such sample, half a step on, free of the first and filled up from the lowest ids."""
-    ids = df.select(shard).distinct()
-    total = ids.count()
+def disjoint_indices(total: int, n: int) -> list[int]:
+    """Indices half a step on, free of the systematic ones and filled up from the lowest."""
     first = set(systematic_indices(total, n))
     second = [i for i in systematic_indices(total, n, 0.5) if i not in first]
     free = (i for i in range(total) if i not in first and i not in set(second))
     while len(second) < min(n, total - len(first)):
         second.append(next(free))
-    return df.join(F.broadcast(_numbered(ids, shard).where(F.col("__i").isin(second))), shard, "left_semi")
+    return second
+
+
+def disjoint_sample(df: DataFrame, shard: str, n: int) -> DataFrame:
+    """A second such sample, half a step on, free of the first and filled up from the lowest ids."""
+    ids = df.select(shard).distinct()
+    return df.join(F.broadcast(_numbered(ids, shard).where(F.col("__i").isin(disjoint_indices(ids.count(), n)))), shard, "left_semi")
+
+
+def sampled_shards(spark: SparkSession, path: str, shard: str | None = None, n: int = 14, second: bool = False) -> DataFrame:
+    """The rows of n shards spread evenly, chosen from the listing of files alone.
+
+    A shard is a folder ``shard=value`` of a partitioned table, in order of its
+    value, a missing one first; without a partition column it is a file, in order
+    of its name. Files outside the sample are never opened. ``second`` takes the
+    disjoint sample.
+    """
+    every = spark.read.parquet(path)
+    files = sorted(every.inputFiles())
+    if shard is None:
+        groups = [[f] for f in files]
+    else:
+        kind, named = every.schema[shard].dataType.typeName(), {}
+        for f in files:
+            value = unquote(next(p for p in f.split("/") if p.startswith(f"{shard}=")).split("=", 1)[1])
+            named.setdefault(None if value == "__HIVE_DEFAULT_PARTITION__" else float(value) if kind in ("integer", "long", "double", "byte", "short") else value, []).append(f)
+        groups = [named[v] for v in sorted(named, key=lambda v: (v is not None, v))]
+    picked = (disjoint_indices if second else systematic_indices)(len(groups), n)
+    chosen = [f for i in picked for f in groups[i]]
+    if not chosen:
+        return every.where("false")
+    return spark.read.schema(every.schema).option("basePath", path).parquet(*chosen)
 
 
 def _numbered(ids: DataFrame, shard: str) -> DataFrame:
