@@ -323,3 +323,24 @@ def test_samples_by_file_open_only_their_files(spark, tmp_path):
     whole, some = spark.read.parquet(f"{path}-files"), I.sampled_shards(spark, f"{path}-files", None, 3)
     assert sorted(some.inputFiles()) == [sorted(whole.inputFiles())[i] for i in I.systematic_indices(len(whole.inputFiles()), 3)]
     assert I.sampled_shards(spark, path, "shard", 0).count() == 0
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    from vectide.operators.quantiles import exact_quantiles
+
+    shares = [0.0, 0.001, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0]
+    cases = {
+        "spread": "rand(1) * exp(rand(2) * 200 - 100)",
+        "ties": "if(id % 3 = 0, 5.0, if(id % 5 = 0, -1.0, rand(3)))",
+        "two": "cast(id % 2 as double)",
+        "one": "7.0",
+        "heavy ends": "if(id < 1500, 0.0, if(id > 3500, 1.0, rand(4)))",
+        "nulls": "if(id % 2 = 0, null, cast(id as double))",
+    }
+    for name, form in cases.items():
+        df = spark.range(5000).selectExpr(f"{form} as v").cache()
+        want = df.agg(F.percentile("v", F.lit(shares)).alias("q")).first().q
+        for few in (50_000, 60):
+            assert exact_quantiles(df, "v", shares, few) == pytest.approx(want, rel=1e-12), (name, few)
+        df.unpersist()
+    assert exact_quantiles(spark.range(0).selectExpr("cast(id as double) v"), "v", [0.5]) == [None]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vectide.operators.quantiles import exact_quantiles
+
 #: labels that mark a control (fixed pattern)
 CONTROL = r"(?i)non.?target|^ntc$|control|safe.?harbor|scramble|negative"
 #: labels that carry no mechanism (fixed values)
@@ -37,8 +39,8 @@ def pass_filter(df: DataFrame, flag: Column) -> DataFrame:
 
 def low_depth_filter(df: DataFrame, umi: str, share: float) -> DataFrame:
     """Rows with at least a share of the exact median depth over all rows."""
-    median = df.agg(F.percentile(umi, F.lit(0.5)).alias("__median"))
-    return df.crossJoin(F.broadcast(median)).where(F.col(umi) >= F.col("__median") * share).drop("__median")
+    (median,) = exact_quantiles(df, umi, [0.5])
+    return df.where(F.col(umi) >= F.lit(median).cast("double") * share)
 
 
 def high_mito_filter(df: DataFrame, umi: str, mito: str, most: float) -> DataFrame:

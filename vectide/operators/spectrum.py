@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vectide.functions import vec
 from vectide.functions.quota import REGIMES, THETA, evidence
 from vectide.functions.vec import INF
+from vectide.operators.quantiles import exact_quantiles
 
 
 def median(x: str, where: Column | None = None) -> Column:
@@ -97,9 +98,11 @@ QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 def quantile_vector(df: DataFrame, x: str) -> DataFrame:
-    """Exact quantiles, the distance of the quartiles, and the 90th percentile."""
-    q = F.percentile(x, F.lit(QUANTILES))
-    return df.agg(*[q[i].alias(f"q{round(p * 100):02d}") for i, p in enumerate(QUANTILES)], (q[3] - q[1]).alias("iqr"), F.percentile(x, F.lit(0.9)).alias("p90"))
+    """Exact quantiles, the distance of the quartiles, and the 90th percentile, of any number of rows."""
+    *q, p90 = exact_quantiles(df, x, [*QUANTILES, 0.9])
+    names = [f"q{round(p * 100):02d}" for p in QUANTILES]
+    row = (*q, None if q[0] is None else q[3] - q[1], p90)
+    return df.sparkSession.createDataFrame([row], ", ".join(f"{c} double" for c in [*names, "iqr", "p90"]))
 
 
 def layout_summary(cells: DataFrame, kept: Column) -> DataFrame:
@@ -125,7 +128,9 @@ def plate_table(cells: DataFrame, kept: Column) -> DataFrame:
 
 
 def distribution_stats(df: DataFrame, x: str) -> DataFrame:
-    return df.agg(F.min(x).alias("low"), F.percentile(x, F.lit(0.5)).alias("median"), F.round(F.avg(x), 1).alias("mean"), F.max(x).alias("high"), F.sum(x).alias("total"), F.count("*").alias("n"))
+    """Least, exact median, mean, greatest, total and number, of any number of rows."""
+    median = F.lit(exact_quantiles(df, x, [0.5])[0]).cast("double")
+    return df.agg(F.min(x).alias("low"), median.alias("median"), F.round(F.avg(x), 1).alias("mean"), F.max(x).alias("high"), F.sum(x).alias("total"), F.count("*").alias("n"))
 
 
 def value_counts(df: DataFrame, x: str) -> DataFrame:
