@@ -88,3 +88,21 @@ def test_units_have_the_ids_of_the_text(text):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_missing_ids_repeated_rows_and_clashing_columns(spark):
+    rows = [(None, "one two three", 1, "x", 0, 5), (None, "one two three", 2, "y", 0, 5), (None, None, 3, "z", 0, 5), (7, "", 4, None, 0, 5), (7, "four " * 5000, 5, "x", 0, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length int, piece string, sequence_id int, n int")
+    got = pack(docs).select("doc_id", "piece", "start", "length", "sequence_id", "offset").collect()
+    want = sorted((str(d), len(whole(t))) for d, t, *_ in rows)
+    sums = {}
+    for r in got:
+        sums.setdefault((str(r.doc_id), r.piece), []).append(r.length)
+    flat = sorted((d, n) for (d, p), ns in sums.items() if p == 0 and d == "None" for n in ns)
+    assert flat == [w for w in want if w[0] == "None"]
+    assert sum(r.length for r in got) == sum(n for _, n in want)
+    filled = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 4096

@@ -23,7 +23,9 @@ Every link is confirmed on the full sets.
 Nulls and empty texts have no shingles and are linked with nothing. Rows of one
 doc_id are one document, linked with what any of its texts is linked with; rows
 without a doc_id are judged too, and their component_id is the smallest doc_id
-that they reach, or null. Other columns are ignored.
+that they reach, or null. Ties, pairs exactly at the threshold, are linked; of equal
+sets the smallest doc_id leads. Very long texts are read whole. An empty table gives
+an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -44,7 +44,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, shuffles: bool = True) -> None:
     """Remove the files of materialised tables that nothing reads any more, and have Spark's cleaner remove the shuffles of finished steps."""
     for df in tables:
         context = df.sparkSession.sparkContext
@@ -52,7 +52,7 @@ def discard(*tables: DataFrame) -> None:
             if folder.rsplit("/", 1)[-1].startswith("vectide-"):
                 path = context._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
+    if tables and shuffles:
         context._jvm.System.gc()  # the cleaner acts on what the driver's JVM has collected
 
 

@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _state(now)
     while seen[0]:
         before, now = now, materialise(_small_star(_large_star(now)))
-        discard(before)
+        discard(before, shuffles=False)  # small, and one for every round
         state = _state(now)
         if state == seen:
             break

@@ -8,7 +8,7 @@ near-duplicates hold verified links only. A pair at the threshold of 0.8 meets
 in one of 16 bands with probability 0.95, one at 0.9 with 0.9999.
 
 A null text counts as empty; an empty text has no shingles, and its fingerprint
-equals only that of other texts without words. Ties of doc_id are ordered by
+equals only that of other texts without words. Very long texts are read whole. Ties of doc_id are ordered by
 the length of their text; every row gives one row. Rows without a doc_id come last in that
 order and are in no group. Other columns are ignored.
 """

@@ -11,7 +11,8 @@ size is bounded by that sample whatever the table holds.
 
 A null text, or one without a letter, is ``und`` with score 0. Without any
 labelled row every text is ``und``. Languages that are equally likely go to the
-name that sorts first. Repeated rows are scored alike; other columns are ignored.
+name that sorts first. Repeated rows are scored alike. Very long
+texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,8 +14,11 @@ at most ``capacity`` rows, however many documents there are:
 Pieces are numbered within their length by counts per input part, so each one
 finds its place in the plan without a sort or a gather of the rows.
 
-A null text counts as empty: it has only the closing token. Repeated rows are
-packed each on its own. Other columns are ignored.
+A null text counts as empty: it has only the closing token. Rows without a doc_id
+are packed like others, under a null doc_id. Repeated rows are packed each on its
+own; pieces of one length take their places in the order they are read. Very long
+texts are encoded whole and cut into pieces. An empty table gives an empty result.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

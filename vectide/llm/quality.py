@@ -11,7 +11,9 @@ if the fifth is small or of one kind, all rows calibrate.
 At most about ``fit_rows`` labelled rows are used, chosen by a hash of doc_id.
 Null and empty texts have all-zero statistics and are scored like any other.
 Without labels of both kinds every score is the share of label 1, or 0.5.
-Rows with a null label are left out; of repeated labels the largest counts.
+Rows with a null label are left out; of repeated labels the largest counts. Very long
+texts are read whole. Only doc_id and text are read of the documents, so that other
+columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

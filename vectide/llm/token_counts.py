@@ -17,7 +17,8 @@ the table.
 
 Null texts count as empty, with 0 tokens. Runs of spaces, leading and trailing
 ones and the library's own space sign are units like others. Repeated rows are
-counted each on its own; other columns are ignored.
+counted each on its own, rows without a doc_id like others. An empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
