@@ -344,3 +344,39 @@ def test_exact_quantiles_equal_percentile(spark):
             assert exact_quantiles(df, "v", shares, few) == pytest.approx(want, rel=1e-12), (name, few)
         df.unpersist()
     assert exact_quantiles(spark.range(0).selectExpr("cast(id as double) v"), "v", [0.5]) == [None]
+
+
+def test_folds_survive_being_stopped(spark, sf, tmp_path):
+    """Whatever a fold leaves undone, the moments of all batches come out once."""
+    import shutil
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    folder, out, keys = tmp_path / "in", str(tmp_path / "out"), ["cond", "line"]
+    run = lambda: T.merge_batches(T.event_rows(T.shard_stream(spark, f"{folder}/*.parquet", T.EVENTS, 1)), keys, 2, out, str(tmp_path / "ck")).awaitTermination()
+    sums = lambda m: sorted((r.cond, r.line, r.n, round(r.s1[0], 6), round(r.s2[1], 4)) for r in m.collect())
+    now = lambda: sums(T.merged(spark, out, keys, 2))
+    for i in range(3):
+        events.where(f"event_id % 4 = {i}").coalesce(1).write.parquet(str(folder / f"{i}.parquet"))
+    run()
+    want = sums(M.moments(T.event_rows(events.where("event_id % 4 < 3")), keys, 2))
+    assert now() == want
+    shutil.copytree(f"{out}/parts", tmp_path / "parts")
+    # stopped while it writes: no mark of success
+    shutil.copytree(f"{out}/parts/batch=0", f"{out}/folded/upto=2")
+    (tmp_path / "out/folded/upto=2/_SUCCESS").unlink()
+    assert now() == want
+    assert T.fold(spark, out, keys, 2) == 2 and now() == want
+    assert not list((tmp_path / "out/parts").glob("batch=*")) and len(list((tmp_path / "out/folded").glob("upto=*"))) == 1
+    # stopped before it removed what it had folded, or the stream wrote a batch again
+    shutil.copytree(tmp_path / "parts", f"{out}/parts", dirs_exist_ok=True)
+    assert now() == want
+    events.where("event_id % 4 = 3").coalesce(1).write.parquet(str(folder / "3.parquet"))
+    run()
+    want = sums(M.moments(T.event_rows(events), keys, 2))
+    assert now() == want and T.fold(spark, out, keys, 2) == 3 and now() == want and T.fold(spark, out, keys, 2) == 3 and now() == want
+
+
+def test_nothing_to_fold(spark, tmp_path):
+    assert T.fold(spark, str(tmp_path / "none"), ["cond"], 2) == -1
+    with pytest.raises(ValueError):
+        T.merged(spark, str(tmp_path / "none"), ["cond"], 2)

@@ -125,11 +125,12 @@ STREAM = "SELECT event_type AS cond, user_id % 5 AS line, count(*) AS n, round(s
 
 @query(STREAM)
 def s11_incremental_moments(spark: Spark, sf: str) -> Frame:
-    folder = work_path(spark, "stream")
-    name = "moments_" + folder[-32:]
+    """Partial moments of each batch of files, folded into one table."""
+    path, keys = work_path(spark, "stream"), ["cond", "line"]
     stream = T.shard_stream(spark, f"{sf}/events*.parquet", T.EVENTS)
-    T.incremental_moments(T.event_rows(stream), ["cond", "line"], 2, name, folder).awaitTermination()
-    m = spark.table(name)
+    T.merge_batches(T.event_rows(stream), keys, 2, path, f"{path}/checkpoint").awaitTermination()
+    T.fold(spark, path, keys, 2)
+    m = T.merged(spark, path, keys, 2)
     return m.select("cond", "line", "n", *[(F.round(F.col("s1")[k], 4) + 0.0).alias(f"s1_{k + 1}") for k in range(2)], (F.round(F.col("s2")[0], 3) + 0.0).alias("s2_1"))
 
 
