@@ -281,8 +281,8 @@ def ranked(records: DataFrame, value: str, out: str, tie: str | None = None, ran
 
 
 def spearman(records: DataFrame, a: Column, b: Column, ordinal_tie: str | None = None) -> DataFrame:
-    """Rank correlation; with a tie column, ranks are ordinal. For records, one a group."""
-    p = records.withColumns({"__a": a, "__b": b}).select("__a", "__b", *([ordinal_tie] if ordinal_tie else [])).cache()
+    """Rank correlation; with a tie column, ranks are ordinal. For records, one a group; they are read several times: write them first."""
+    p = records.withColumns({"__a": a, "__b": b}).select("__a", "__b", *([ordinal_tie] if ordinal_tie else []))
     p = ranked(ranked(p, "__a", "__ra", ordinal_tie), "__b", "__rb", ordinal_tie)
     return p.agg(F.corr("__ra", "__rb").alias("spearman"), F.count("*").alias("n"))
 
@@ -392,8 +392,9 @@ def heldout_summary(records: DataFrame, datasets: DataFrame, least: int = 400, l
 
     Medians over all groups and over those in the regime, and the rank correlation
     of the deficit ``1 - ratio`` with ``1 / rho2`` inside each dataset (null for two groups or fewer).
+    Records are read several times: write them first.
     """
-    kept = records.where(F.col("size") >= least).select("dataset", "ratio", "r2", "rho2", (1 - F.col("ratio")).alias("__d"), (F.lit(1.0) / F.greatest("rho2", F.lit(1e-9))).alias("__i")).cache()
+    kept = records.where(F.col("size") >= least).select("dataset", "ratio", "r2", "rho2", (1 - F.col("ratio")).alias("__d"), (F.lit(1.0) / F.greatest("rho2", F.lit(1e-9))).alias("__i"))
     inside = F.col("rho2") >= least_rho2
     half = lambda c: F.percentile(c, F.lit(0.5))
     per = kept.groupBy("dataset").agg(F.count("*").alias("n"), half("ratio").alias("median_ratio"), F.count_if(inside).alias("n_in_regime"), half(F.when(inside, F.col("ratio"))).alias("median_ratio_in_regime"), half(F.when(inside, F.col("r2"))).alias("median_r2_in_regime"))

@@ -71,10 +71,15 @@ CURVE = GROUPS + ", " + ",\n".join(
 
 
 def curves(spark: Spark, sf: str) -> tuple[Frame, Frame]:
-    g = groups(spark, sf).cache()
+    g = written(groups(spark, sf))
     return R.heldout_curves(cells(spark, sf), g, GROUP, "row_id", D, POINTS, REPS)
 
 
+def records(spark: Spark, sf: str) -> Frame:
+    """A record for each curve, written: summaries read it several times."""
+    return written(curves(spark, sf)[1])
+
+
 @query(GROUPS + f"SELECT brand, line, unnest({grid_sql('size', 'greatest(floor(size / 2), 40)', POINTS)}) AS depth FROM grp")
 def r01_depth_grid(spark: Spark, sf: str) -> Frame:
     return groups(spark, sf).select(*GROUP, F.explode(R.half_grid("size", POINTS)).alias("depth"))
@@ -127,7 +132,7 @@ def r09_mean_relative_error(spark: Spark, sf: str) -> Frame:
 
 @query(CURVE + " UNION ALL ".join(f"SELECT '{n}' AS part, count(*) AS n, round(quantile_cont(ratio, 0.5), 6) AS median_ratio, round(quantile_cont(r2, 0.5), 6) AS median_r2, round(min(m), 6) AS m_low, round(max(m), 6) AS m_high FROM rec WHERE {w}" for n, w in (("all", "true"), ("in_regime", "rho2 >= 0.001"), ("strong", "m > 0.1"))))
 def r10_regime_stratified_summary(spark: Spark, sf: str) -> Frame:
-    return rounded(R.regime_stratified_summary(curves(spark, sf)[1], 0.001, 0.1))
+    return rounded(R.regime_stratified_summary(records(spark, sf), 0.001, 0.1))
 
 
 @query(CURVE + f"SELECT {q6('corr(log10(pred_slope), log10(fit_slope))', 'r')}, {q6('regr_slope(log10(fit_slope), log10(pred_slope))', 'exponent')}, {q6('power(10, regr_intercept(log10(fit_slope), log10(pred_slope)))', 'coefficient')} FROM rec WHERE pred_slope > 0 AND fit_slope > 0")
@@ -137,12 +142,12 @@ def r11_loglog_agreement(spark: Spark, sf: str) -> Frame:
 
 @query(CURVE + f"SELECT {q6('corr(ra, rb)', 'spearman')}, count(*) AS n FROM (SELECT rank() OVER (ORDER BY 1 - ratio) + (count(*) OVER (PARTITION BY 1 - ratio) - 1) / 2.0 AS ra, rank() OVER (ORDER BY 1 / rho2) + (count(*) OVER (PARTITION BY 1 / rho2) - 1) / 2.0 AS rb FROM rec)")
 def r12_spearman_breakdown(spark: Spark, sf: str) -> Frame:
-    return rounded(R.spearman(curves(spark, sf)[1], 1 - F.col("ratio"), 1 / F.col("rho2")))
+    return rounded(R.spearman(records(spark, sf), 1 - F.col("ratio"), 1 / F.col("rho2")))
 
 
 @query(CURVE + ", md AS (SELECT quantile_cont(rho2, 0.5) AS mid FROM rec) SELECT round(quantile_cont(ratio, 0.5) FILTER (WHERE rho2 > mid), 6) AS ratio_high, round(quantile_cont(ratio, 0.5) FILTER (WHERE rho2 <= mid), 6) AS ratio_low FROM rec CROSS JOIN md")
 def r13_hi_lo_snr_split(spark: Spark, sf: str) -> Frame:
-    return rounded(R.hi_lo_snr_split(curves(spark, sf)[1]))
+    return rounded(R.hi_lo_snr_split(records(spark, sf)))
 
 
 HALVES = GROUPS + ", " + ",\n".join(
@@ -234,7 +239,7 @@ INVARIANCE = GROUPS + ", " + ",\n".join(
     + f" UNION ALL SELECT brand, line, other, {q6('avg(ce - cv)', 'drift')}, {q6('stddev_pop(ce)', 'sd')} FROM (SELECT e.brand, e.line, other, {between('e.f#', 'w#')} AS ce, {between('e.v#', 'w#')} AS cv FROM e JOIN nei USING (brand, line)) GROUP BY ALL"
 )
 def r18_downsampling_invariance(spark: Spark, sf: str) -> Frame:
-    g = groups(spark, sf).cache()
+    g = written(groups(spark, sf))
     chosen = g.orderBy(F.desc("m"), "brand").limit(2)
     near = chosen.select(*GROUP, F.col("v").alias("__v")).crossJoin(small(g.select(F.concat_ws("|", *GROUP).alias("other"), F.col("v").alias("v_other")), 100_000))
     near = near.where(F.col("other") != F.concat_ws("|", *GROUP)).withColumn("cos", vec.cosine("__v", "v_other"))
@@ -259,7 +264,7 @@ FROM (VALUES ('A'), ('N'), ('R'), ('pending')) d(dataset) LEFT JOIN rk r USING (
 )
 def r20_heldout_summary(spark: Spark, sf: str) -> Frame:
     names = spark.createDataFrame([("A",), ("N",), ("R",), ("pending",)], "dataset string")
-    return rounded(R.heldout_summary(curves(spark, sf)[1].withColumn("dataset", F.col("line")), names, 40, 0.001))
+    return rounded(R.heldout_summary(records(spark, sf).withColumn("dataset", F.col("line")), names, 40, 0.001))
 
 
 NODES = EVIDENCE[:-1] + f", nod AS (SELECT cond_id AS id, brand, m_raw, {ks('u#')} FROM ev WHERE m_raw > 0)"
@@ -293,7 +298,7 @@ def g02_nearest_groups(spark: Spark, sf: str) -> Frame:
 
 @query(EDGES + ", a AS (SELECT src, dst FROM knn WHERE rank <= 5), u AS (SELECT src, dst, count(*) AS k FROM (SELECT src, dst FROM a UNION ALL SELECT src, dst FROM knn) GROUP BY ALL) SELECT round(avg(j), 6) AS jaccard, count(*) AS nodes FROM (SELECT src, count_if(k = 2) * 1.0 / count(*) AS j FROM u GROUP BY src)")
 def g03_graph_jaccard(spark: Spark, sf: str) -> Frame:
-    e = neighbours(spark, sf).cache()
+    e = written(neighbours(spark, sf))
     return rounded(G.graph_jaccard(e.where("rank <= 5"), e))
 
 
