@@ -48,7 +48,7 @@ SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, tokens array<
 #: Documents that are compared in one task; shingles in them; and how few documents are compared whatever they hold.
 SMALL, WEIGHT, FEW = 2048, 1 << 21, 8
 #: Bytes of shingle bits held at once by a comparison.
-BITMAP = 64 << 20
+BITMAP = 96 << 20
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:

@@ -50,7 +50,7 @@ def marked(text: Column, inside: bool = False) -> Column:
     """The text as space-separated lower-case tokens, slots marked and keeping their value; capitals count ``inside`` sentences only or anywhere."""
     name = r"(?<=\p{Ll}[,;]? )" if inside else r"(?<![\p{L}\p{N}\x01-\x03])"
     t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\x01\x02\x03]", " ")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])({NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1")
+    t = F.regexp_replace(t, rf"(?=[efhnstEFHNST])(?<![\p{{L}}\p{{N}}])({NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"(?=\p{{Lu}}){name}(\p{{Lu}}\p{{Ll}}+)", f"{NAME}$1")
     t = F.regexp_replace(t, rf"(\p{{Nd}}+(?:[.,]\p{{Nd}}+)*)(?:\s?({UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUMBER}$1 {UNIT}$2 ")
     t = F.regexp_replace(t, rf"(?<![{NUMBER}\p{{Nd}}.,])(\p{{Nd}}+(?:[.,]\p{{Nd}}+)*)", f" {NUMBER}$1 ")
@@ -77,18 +77,18 @@ def _window_hash(tokens: Column, n: int) -> Callable[[Column], Column]:
     return lambda i: F.xxhash64(F.lit(n), F.slice(tokens, i + 1, n))
 
 
-def _chosen_hash(tokens: Column, slots: Column, n: int) -> Callable[[Column], Column]:
-    """The hash of the template at a place, or of the values where too few words are plain."""
-    heavy = lambda i: F.size(F.filter(F.slice(tokens, i + 1, n), _slot)) > n - min(LITERALS, n)
+def _chosen_hash(tokens: Column, slots: Column, flags: Column, n: int) -> Callable[[Column], Column]:
+    """The hash of the template at a place, or of the values where too few words are plain; flags are 1 for slots, else 0."""
+    heavy = lambda i: F.size(F.array_remove(F.slice(flags, i + 1, n), 0)) > n - min(LITERALS, n)
     return lambda i: F.when(heavy(i), _window_hash(slots, n)(i)).otherwise(_window_hash(tokens, n)(i))
 
 
-def _windows(tokens: Column, slots: Column, n_slots: Column, lengths: list[int]) -> Column:
+def _windows(tokens: Column, slots: Column, flags: Column, n_slots: Column, lengths: list[int]) -> Column:
     """``(pos, hash)`` of the windows of each length."""
     parts = []
     for n in lengths:
         at = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.when(n_slots <= n - min(LITERALS, n), F.transform(at, _window_hash(tokens, n))).otherwise(F.transform(at, _chosen_hash(tokens, slots, n))))
+        parts.append(F.when(n_slots <= n - min(LITERALS, n), F.transform(at, _window_hash(tokens, n))).otherwise(F.transform(at, _chosen_hash(tokens, slots, flags, n))))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
@@ -129,7 +129,8 @@ def held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         windows = F.broadcast(windows)
     marks = docs.select("doc_id", text_digest().alias("digest"), marked(F.col("text")).alias("marks"))
     split = marks.select("doc_id", "digest", template(F.col("marks")).alias("tokens"), values(F.col("marks")).alias("slots"), F.regexp_count("marks", F.lit("[\x01-\x03]")).alias("n_slots"))
-    seen = split.select("doc_id", "digest", F.size("tokens").alias("n"), F.posexplode(_windows(F.col("tokens"), F.col("slots"), F.col("n_slots"), lengths)).alias("k", "hash"))
+    split = split.withColumn("flags", F.transform("tokens", lambda t: _slot(t).cast("int")))
+    seen = split.select("doc_id", "digest", F.size("tokens").alias("n"), F.posexplode(_windows(F.col("tokens"), F.col("slots"), F.col("flags"), F.col("n_slots"), lengths)).alias("k", "hash"))
     met = seen.join(windows, "hash")
     if len(lengths) > 1:  # positions restart with each length
         first, before = F.lit(0), F.lit(0)
