@@ -183,3 +183,29 @@ def test_two_numbers_of_an_item_may_be_equal_by_chance(spark):
     bench = spark.createDataFrame([(1, item.format(5, 5, 2)), (2, item.format(5, 5, 5).replace("kites", "balls"))], "item_id long, text string")
     got = sorted(tuple(r) for r in matches(spark.createDataFrame(docs + [(4, docs[0][1].replace("kites", "balls"))], "doc_id long, text string"), bench).select("doc_id", "item_id").collect())
     assert got == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_windows_are_hashed_only_beside_anchors_and_none_is_lost(spark):
+    from pyspark.sql import functions as F
+    from vectide.llm.decontaminate import _anchors, _gram, _item_anchors, _windows
+
+    sizes = list(range(21))
+    words = [[f"\x01{j}" if j % 3 == 2 else f"w{j}" for j in range(size)] for size in sizes]
+    docs = spark.createDataFrame(list(zip(sizes, words)), "size int, slots array<string>").withColumn("tokens", F.transform("slots", lambda t: F.regexp_replace(t, "\x01.*", "\x01")))
+    for n in range(1, 9):
+        parts = docs.select("size", "tokens", F.explode(_anchors(F.col("tokens"), F.col("slots"), n)).alias("a")).select("size", "tokens", "a.*")
+        seen = parts.select("size", "tokens", "anchor", F.explode(_windows(F.col("part"), F.col("first"), F.col("width"))).alias("w"))
+        own = seen.select("size", "w.k", F.array_contains(_item_anchors(F.slice("tokens", F.col("w.k") + 1, n), n), F.col("anchor")).alias("told")).collect()
+        assert sorted((r.size, r.k) for r in own) == [(size, k) for size in sizes for k in range(size - n + 1)]
+        assert all(r.told for r in own)
+        stride, gram = _gram(n)
+        assert parts.count() == sum((size - gram) // stride + 1 for size in sizes if size >= n)
+    # a quarter of the places is hashed where no item is near
+    assert _gram(8) == (4, 5)
+
+
+def test_items_of_any_width_are_found_at_any_place(spark):
+    bench = {n: " ".join(f"item{chr(97 + n)}{chr(97 + j)}" for j in range(n)) for n in range(1, 11)}
+    docs = [(100 * n + k, " ".join(["prose"] * k + [bench[n]] + ["prose"] * (k % 3))) for n in bench for k in range(10)]
+    got = {(r.doc_id, r.item_id) for r in matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(bench.items()), "item_id long, text string")).collect()}
+    assert got == {(d, d // 100) for d, _ in docs}

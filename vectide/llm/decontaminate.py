@@ -6,7 +6,9 @@ beside them. A capital at the start of a sentence may be a name or not, so an
 item's windows come in both forms; in documents it counts as a name, and words
 in lower case as words.
 Windows of eight template tokens are joined by hash with those of the
-benchmark. A document holds an item if at least half of the item's windows meet
+benchmark. Every window holds a run of five tokens that starts at a multiple of
+four in the document; windows whose run the benchmark has nowhere are passed
+over, as their templates cannot be equal. A document holds an item if at least half of the item's windows meet
 at one alignment, or at neighbouring ones (a quarter of the item apart at most,
 so words may be added or dropped), or if a run of thirty tokens meets at one
 alignment. Inside the windows that meet, each slot value of the item must stand
@@ -25,8 +27,6 @@ coverage's order. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +60,11 @@ def marked(text: Column, inside: bool = False) -> Column:
 
 def template(marks: Column) -> Column:
     """Tokens with the values of slots left out."""
-    plain = F.regexp_replace(marks, r"([\x01-\x03])\S+", "$1")
-    return F.filter(F.split(plain, " +"), lambda t: t != "")
+    return values(_plain(marks))
+
+
+def _plain(marks: Column) -> Column:
+    return F.regexp_replace(marks, r"([\x01-\x03])\S+", "$1")
 
 
 def values(marks: Column) -> Column:
@@ -73,23 +76,36 @@ def _slot(token: Column) -> Column:
     return F.substring(token, 1, 1).isin(NUMBER, NAME, UNIT)
 
 
-def _window_hash(tokens: Column, n: int) -> Callable[[Column], Column]:
-    return lambda i: F.xxhash64(F.lit(n), F.slice(tokens, i + 1, n))
+def _heavy(tokens: Column, n: Column) -> Column:
+    """Whether too few words of a window of ``n`` are plain."""
+    return F.size(F.filter(tokens, _slot)) > n - F.least(F.lit(LITERALS), n)
+
+
+def _gram(n: int) -> tuple[int, int]:
+    """Stride and width of anchors: every window of ``n`` tokens holds one anchor that starts at a multiple of the stride, in step with the document."""
+    stride = max(1, n // 2)
+    return stride, n - stride + 1
+
+
+def _anchors(tokens: Column, slots: Column, n: int) -> Column:
+    """``(width, anchor, first, part)`` of each anchor: its hash, and the values of the windows that it stands for, which begin at ``first``."""
+    stride, gram = _gram(n)
+    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - gram, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    first = lambda p: F.greatest(p - stride + 1, F.lit(0))
+    return F.transform(at, lambda p: F.struct(F.lit(n).alias("width"), F.xxhash64(F.lit(n), F.slice(tokens, p + 1, gram)).alias("anchor"), first(p).alias("first"), F.slice(slots, first(p) + 1, p + n - first(p)).alias("part")))
 
 
-def _chosen_hash(tokens: Column, slots: Column, flags: Column, n: int) -> Callable[[Column], Column]:
-    """The hash of the template at a place, or of the values where too few words are plain; flags are 1 for slots, else 0."""
-    heavy = lambda i: F.size(F.array_remove(F.slice(flags, i + 1, n), 0)) > n - min(LITERALS, n)
-    return lambda i: F.when(heavy(i), _window_hash(slots, n)(i)).otherwise(_window_hash(tokens, n)(i))
+def _item_anchors(template: Column, n: int) -> Column:
+    """The anchors that a window may have in a document, by its place there."""
+    stride, gram = _gram(n)
+    return F.array(*[F.xxhash64(F.lit(n), F.slice(template, o + 1, gram)) for o in range(stride)])
 
 
-def _windows(tokens: Column, slots: Column, flags: Column, n_slots: Column, lengths: list[int]) -> Column:
-    """``(pos, hash)`` of the windows of each length."""
-    parts = []
-    for n in lengths:
-        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.when(n_slots <= n - min(LITERALS, n), F.transform(at, _window_hash(tokens, n))).otherwise(F.transform(at, _chosen_hash(tokens, slots, flags, n))))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+def _windows(part: Column, first: Column, n: Column) -> Column:
+    """``(k, hash)`` of each window of ``n`` tokens in a part: of its template, or of the values where too few words are plain."""
+    plain = F.transform(part, _plain)
+    hashed = lambda j: F.when(_heavy(F.slice(plain, j + 1, n), n), F.xxhash64(n, F.slice(part, j + 1, n))).otherwise(F.xxhash64(n, F.slice(plain, j + 1, n)))
+    return F.transform(F.sequence(F.lit(0), F.size(part) - n), lambda j: F.struct((first + j).alias("k"), hashed(j).alias("hash")))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -109,13 +125,12 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def _item_windows(known: DataFrame) -> DataFrame:
-    """``(item_id, width, n_item, total, at, hash)`` of every window of the items, in all forms."""
+    """``(item_id, width, n_item, total, at, hash, t)`` of every window of the items, in all forms; t is its template."""
     part = lambda c, i: F.slice(c, i + 1, F.col("width"))
     every = lambda t, s: F.transform(F.sequence(F.lit(0), F.col("n_item") - F.col("width")), lambda i: F.struct(i.alias("at"), part(F.col(t), i).alias("t"), part(F.col(s), i).alias("s")))
     first = F.transform("firsts", lambda f: F.struct(F.lit(0).alias("at"), f["t"].alias("t"), f["s"].alias("s")))
     windows = known.select("item_id", "width", "n_item", (F.col("n_item") - F.col("width") + 1).alias("total"), F.explode(F.concat(every("tokens", "words"), every("named", "slots"), first)).alias("w"))
-    heavy = F.size(F.filter("w.t", _slot)) > F.col("width") - F.least(F.lit(LITERALS), F.col("width"))
-    return windows.select("item_id", "width", "n_item", "total", "w.at", F.when(heavy, F.xxhash64("width", "w.s")).otherwise(F.xxhash64("width", "w.t")).alias("hash")).distinct()
+    return windows.select("item_id", "width", "n_item", "total", "w.at", F.when(_heavy(F.col("w.t"), F.col("width")), F.xxhash64("width", "w.s")).otherwise(F.xxhash64("width", "w.t")).alias("hash"), "w.t").distinct()
 
 
 def held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -125,20 +140,17 @@ def held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not lengths:
         return docs.select("doc_id", text_digest().alias("digest"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("coverage")).where("false")
     windows = _item_windows(known)
+    anchors = F.coalesce(*[F.when(F.col("width") == n, _item_anchors(F.col("t"), n)) for n in lengths])
+    anchors, windows = windows.select(F.explode(anchors).alias("anchor")).distinct(), windows.drop("t").distinct()
     if windows.count() <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
+        anchors, windows = F.broadcast(anchors), F.broadcast(windows)
     marks = docs.select("doc_id", text_digest().alias("digest"), marked(F.col("text")).alias("marks"))
-    split = marks.select("doc_id", "digest", template(F.col("marks")).alias("tokens"), values(F.col("marks")).alias("slots"), F.regexp_count("marks", F.lit("[\x01-\x03]")).alias("n_slots"))
-    split = split.withColumn("flags", F.transform("tokens", lambda t: _slot(t).cast("int")))
-    seen = split.select("doc_id", "digest", F.size("tokens").alias("n"), F.posexplode(_windows(F.col("tokens"), F.col("slots"), F.col("flags"), F.col("n_slots"), lengths)).alias("k", "hash"))
+    split = marks.select("doc_id", "digest", template(F.col("marks")).alias("tokens"), values(F.col("marks")).alias("slots"))
+    # few parts hold an anchor of the benchmark; the windows of the others meet none
+    parts = split.select("doc_id", "digest", F.explode(F.concat(*[_anchors(F.col("tokens"), F.col("slots"), n) for n in lengths])).alias("a")).select("doc_id", "digest", "a.*")
+    parts = parts.join(anchors, "anchor", "left_semi")
+    seen = parts.select("doc_id", "digest", F.explode(_windows(F.col("part"), F.col("first"), F.col("width"))).alias("w")).select("doc_id", "digest", "w.k", "w.hash")
     met = seen.join(windows, "hash")
-    if len(lengths) > 1:  # positions restart with each length
-        first, before = F.lit(0), F.lit(0)
-        for n in lengths:
-            here = F.greatest(F.col("n") - n + 1, F.lit(0))
-            first = F.when((F.col("k") >= before) & (F.col("k") < before + here), F.col("k") - before).otherwise(first)
-            before = before + here
-        met = met.withColumn("k", first)
     row = ["doc_id", "digest", "item_id", "width", "n_item", "total"]
     lines = met.groupBy(*row, (F.col("k") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("ats"))
     likely = _candidates(materialise(lines), row).withColumn("coverage", F.least(F.col("hits") / F.col("total"), F.lit(1.0)))
