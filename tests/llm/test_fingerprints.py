@@ -80,3 +80,27 @@ def test_texts_of_one_doc_id_are_one_document(spark):
     rows = [(3, a), (5, a + " z"), (5, b), (7, b + " z"), (9, c), (None, a)]
     got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.id: r.component for r in got} == {3: 3, 5: 3, 7: 3}
+
+
+def test_groups_leave_no_texts_behind(spark, sf):
+    from pathlib import Path
+
+    from vectide.llm.common import work_dir
+
+    folder = Path(work_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    groups = near_groups(spark.read.parquet(f"{sf}/documents.parquet"))
+    left = [spark.read.parquet(f"file://{p}").columns for p in set(folder.iterdir()) - before]
+    assert not [c for c in left if {"text", "band", "bands", "linked", "path"} & set(c)]
+    assert groups.count() > 0
+
+
+def test_texts_that_move_compressed_come_back_whole():
+    import pyarrow as pa
+
+    from vectide.llm.fingerprints import _packed, _restored
+
+    texts = ["plain words", None, "", "é\x00ñ 漢字\n" * 3, "long " * 500_000, "after"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    got = [r for b in _restored(_packed(iter([batch]))) for r in b.to_pylist()]
+    assert [(r["id"], r["text"]) for r in got] == [(i, t or "") for i, t in enumerate(texts)]

@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm.chosen_path import confirm, merge, tile_links
-from vectide.llm.common import SLICE_BYTES, lists, materialise, minhashes, shingle_hashes, slices
+from vectide.llm.common import SLICE_BYTES, discard, lists, materialise, minhashes, shingle_hashes, slices
 
 HASHES = 128
 BANDS = 16
 DIGEST = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_group long"
+PACKED = "doc_id long, size long, packed binary"
 #: Stands for a missing doc_id in the order of documents.
 LAST = -(1 << 63)
 OWN, HALO, GROUP = 0, 1, 2
@@ -50,12 +51,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "size", "packed"])
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Lists of (bucket, kind, doc_id, near_group, text) of some megabytes of text."""
+def _unpacked(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Lists of the columns and the text, of about a megabyte of text."""
     codec = pa.Codec("zstd")
     held, size = [], 0
     for batch in batches:
-        for *row, packed, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "doc_id", "near_group", "packed", "size"))):
+        for *row, packed, n in zip(*(batch.column(c).to_pylist() for c in (*columns, "packed", "size"))):
             held.append((*row, codec.decompress(packed, n, asbytes=True).decode() if n else ""))
             size += n
             if size > SLICE_BYTES:
@@ -65,6 +66,12 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
+def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _unpacked(batches, ("doc_id",)):
+        ids, texts = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+
+
 def _marks_of(texts: list[str]) -> np.ndarray:
     made = [fingerprint_rows(s.column("text")) for s in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])]), "text")]
     return np.concatenate(made) if made else np.zeros((0, HASHES), dtype=">u2")
@@ -75,7 +82,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: tuple | None = None
     groups: dict[int, int] = {}
     now = None
-    for rows in _unpacked(batches):
+    for rows in _unpacked(batches, ("bucket", "kind", "doc_id", "near_group")):
         docs = []
         for bucket, kind, doc, group, text in rows:
             if bucket != now:
@@ -136,7 +143,7 @@ def digests(docs: DataFrame, percent: int = 80) -> DataFrame:
     groups = near_groups(thin, percent).where("id <> component")
     told = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("near_group")).withColumn("bucket", slot)
     told = told.select("bucket", F.lit(GROUP).alias("kind"), "doc_id", "near_group", F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("packed"))
-    dealt = thin.mapInArrow(_packed, "doc_id long, size long, packed binary").withColumn("to", F.explode(to))
+    dealt = thin.mapInArrow(_packed, PACKED).withColumn("to", F.explode(to))
     dealt = dealt.select("to.bucket", "to.kind", "doc_id", F.lit(None).cast("long").alias("near_group"), "size", "packed")
     ordered = dealt.unionByName(told).repartition(parts, "bucket").sortWithinPartitions("bucket", F.expr(f"(kind + 1) % {GROUP + 1}"), F.desc("doc_id"), "size", "packed")
     return ordered.mapInArrow(_digests, DIGEST)
@@ -161,7 +168,8 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, bands: int =
     Equal texts take part once. In each band all members are tried against the
     smallest id first, with links confirmed on full sets. The members of bands
     that still hold more than one component are then compared with each other,
-    in bounded tiles. Rows of one doc_id are one document.
+    in bounded tiles. Rows of one doc_id are one document. Whole texts move
+    compressed, and what was written on the way is removed at the end.
     """
     text = F.col("text").cast("string")
     thin = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_a"), F.crc32(F.encode(text, "UTF-8")).alias("text_b"))
@@ -172,7 +180,9 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, bands: int =
     first = marks.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
     met = materialise(marks.join(first, "band"))
     # a sorted join whatever the sizes: what moves grows with the documents, and evenly
-    texts = materialise(thin.select("id", "text").join(met.select("id").distinct().hint("merge"), "id", "left_semi"))
+    packed = thin.select(F.col("id").alias("doc_id"), "text").mapInArrow(_packed, PACKED)
+    wanted = met.select(F.col("id").alias("doc_id")).distinct()
+    texts = materialise(packed.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_restored, "id long, text string"))
     pairs = met.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     judged = materialise(confirm(pairs, texts, width, percent))
     linked = judged.where("linked").select("a", "b").distinct()
@@ -181,4 +191,6 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, bands: int =
     mixed = told.where("home <> a").select("path").distinct()
     open_ = materialise(told.join(mixed, "path", "left_semi").drop("a").withColumn("sketch", F.array().cast("array<long>")))
     copies = thin.select("id", "text_a", "text_b").join(classes.select("text_a", "text_b", F.col("id").alias("a")), ["text_a", "text_b"]).where("id <> a")
-    return merge(None, linked.union(tile_links(open_, texts, width, percent)).union(copies.select("a", F.col("id").alias("b"))))
+    found = merge(None, linked.union(tile_links(open_, texts, width, percent)).union(copies.select("a", F.col("id").alias("b"))))
+    discard(classes, met, texts, judged, open_)
+    return found
