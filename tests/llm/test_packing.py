@@ -86,6 +86,26 @@ def test_units_have_the_ids_of_the_text(text):
     assert ids[: limits[1]].tolist() == whole(text)
 
 
+def test_every_simple_sign_has_the_ids_of_the_text():
+    texts = [f"a{c}B 1{c}{c}' {c}s x{c}'T {c}" for c in map(chr, range(0x21, 0x250))]
+    ids, limits = UnitIds(default_path()).of(pa.array(texts, pa.large_string()), 1)
+    assert [ids[a:b].tolist() for a, b in zip(limits, limits[1:])] == [whole(t) for t in texts]
+
+
+def test_a_part_is_merged_once_and_nothing_is_kept(monkeypatch):
+    met = []
+    real = UnitIds.parts
+    monkeypatch.setattr(UnitIds, "parts", lambda self, parts: met.append(sorted(parts.to_pylist())) or real(self, parts))
+    units = UnitIds(default_path())
+    before = dict(vars(units))
+    text = "Word word, word. WORD! isn't (word) 7word"
+    for _ in range(2):
+        ids, _ = units.of(pa.array([text, None, text], pa.large_string()).fill_null(""), 1)
+        assert ids.tolist() == whole(text) + [1] + whole(text)
+    assert met == [sorted(["word", ",", ".", "!", "isn", "'t", "(", ")", "7"])] * 2
+    assert vars(units) == before
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

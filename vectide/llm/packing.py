@@ -40,7 +40,8 @@ from pyspark.sql.window import Window
 
 from vectide.llm.common import materialise, slices
 
-KEEP_UNITS = 600_000
+#: Bytes of text that are encoded together: a word met in them again costs no merges.
+ENCODED_BYTES = 4 << 20
 
 
 def default_path() -> str:
@@ -60,95 +61,101 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: How the tokenizer parts lower-cased text, and the units for which that is told by simple signs and letters alone.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+SIMPLE = r"^[\x21-\x7e\x{a1}-\x{12f}\x{131}-\x{17f}]+$"
 
 
-def _byte_signs() -> list[str]:
-    """The visible sign that stands for each byte in a byte-level vocabulary."""
+def _byte_signs() -> str:
+    """The visible sign that stands for each byte in a byte-level vocabulary; a space stays."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+    signs = [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+    return "".join(" " if b == 32 else signs[b] for b in range(256))
 
 
 BYTE_SIGNS = _byte_signs()
 
 
+@lru_cache(maxsize=2)
+def merges(path: str):
+    """The tokenizer's merges alone, for parts between spaces, and which ids end a part."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    full = tokenizer(path)
+    alone = Tokenizer(full.model)
+    alone.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    ends = np.zeros(full.get_vocab_size(), dtype=bool)
+    ends[[i for t, i in full.get_vocab().items() if t.endswith("</w>")]] = True
+    return alone, ends
+
+
+def _spread(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``start``, one behind the other."""
+    total = np.cumsum(size)
+    source = np.repeat(start - total + size, size)
+    source += np.arange(len(source))
+    return flat[source]
+
+
 class UnitIds:
-    """Ids of the space-free units of texts, kept in one flat array.
+    """Ids of the space-free units of texts, those of a slice at a time.
 
     The tokenizer drops white space and never joins over it, so the ids of a
-    text are those of its units in order. It also parts a run of letters from
-    the signs behind it: such a unit is its word and its signs, and a word
-    of simple letters goes straight to the merges. Other units go to the
-    tokenizer whole.
+    text are those of its units in order. Units of simple letters, digits and
+    signs are parted by the tokenizer's own pattern, and each different part goes
+    to its merges, all in one text; some ids only end parts, which tells the
+    parts' ids from each other. Other units go to the tokenizer whole, each by
+    itself. Nothing is kept from slice to slice.
     """
 
     def __init__(self, path: str):
         self.path = path
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.start = np.zeros(1, dtype=np.int64)
-
-    def encode(self, units: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = []
-        slow = []
-        merges = tokenizer(self.path).model
-        for u in units:
-            word = u.rstrip(SIGNS)
-            signs = u[len(word) :]
-            if signs[:1] == "'" or (word and not (word.isalpha() and max(word) < "\u0180" and "\u0130" not in word)) or "<|" in signs:
-                slow.append(len(out))
-                out.append(None)
-                continue
-            word = word.lower()
-            if (ids := self.words.get(word)) is None:
-                spelt = word if word.isascii() else "".join(BYTE_SIGNS[b] for b in word.encode())
-                ids = self.words[word] = [t.id for t in merges.tokenize(spelt)] if word else []
-            if signs and (more := self.words.get(signs)) is None:
-                more = self.words[signs] = tokenizer(self.path).encode(signs, add_special_tokens=False).ids
-            out.append(ids + more if signs else ids)
-        for i, e in zip(slow, tokenizer(self.path).encode_batch_fast([units[i] for i in slow], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
+
+    def parts(self, parts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All parts' ids, and their limits."""
+        alone, ends = merges(self.path)
+        text = " ".join(parts.to_numpy(zero_copy_only=False)).encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = np.array(alone.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        return ids, np.concatenate([[0], np.flatnonzero(ends[ids]) + 1])
+
+    def encode(self, units: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All units' ids in one array, and where each unit starts and how many it has."""
+        simple = pc.and_not(pc.match_substring_regex(units, SIMPLE), pc.match_substring(units, "<|"))
+        split = pc.ascii_split_whitespace(pc.ascii_rtrim(pc.replace_substring_regex(pc.utf8_lower(units.filter(simple)), PARTS, r"\0 "), " "))
+        coded = split.flatten().dictionary_encode()
+        ids, limits = self.parts(coded.dictionary)
+        codes, offsets = coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()
+        sizes = np.diff(limits)[codes]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]]
+        others = [e.ids for e in tokenizer(self.path).encode_batch_fast(units.filter(pc.invert(simple)).to_pylist(), add_special_tokens=False)]
+        fast = simple.to_numpy(zero_copy_only=False)
+        start, size = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
+        start[fast], size[fast] = bounds[:-1], np.diff(bounds)
+        size[~fast] = [len(x) for x in others]
+        start[~fast] = bounds[-1] + np.cumsum(size[~fast]) - size[~fast]
+        return np.concatenate([_spread(ids, limits[codes], sizes), np.fromiter(chain.from_iterable(others), dtype=np.uint32)]), start, size
 
     def of(self, texts: pa.LargeStringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each closed by ``end``, and their limits."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        units, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.place) > KEEP_UNITS:
-            self.clear()
-        new = [u for u in units if u not in self.place]
-        ids = self.encode(new)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))])
-        start = self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        at = np.fromiter((self.place[u] for u in units), dtype=np.int64, count=len(units))[codes]
-        size = start[at + 1] - start[at]
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        flat, start, size = self.encode(coded.dictionary)
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
-        total = np.concatenate([[0], np.cumsum(size)])
-        limits = total[offsets] + np.arange(len(offsets))
+        limits = np.concatenate([[0], np.cumsum(size[codes])])[offsets] + np.arange(len(offsets))
         out = np.full(limits[-1], end, dtype=np.uint32)
-        if total[-1]:
-            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(total[offsets]))
-            source = np.repeat(start[at] - total[:-1], size) + np.arange(total[-1])
-            out[np.arange(total[-1]) + owner] = self.flat[source]
+        filled = np.ones(len(out), dtype=bool)
+        filled[limits[1:] - 1] = False
+        out[filled] = _spread(flat, start[codes], size[codes])
         return out, limits
 
 
-_units: dict[str, UnitIds] = {}
-
-
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
-    units = _units.setdefault(path, UnitIds(path))
+    units = UnitIds(path)
     part_id, met = TaskContext.get().partitionId(), defaultdict(int)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", ENCODED_BYTES):
         ids, limits = units.of(part.column("text"), end)
         rows = []
         for doc, a, b in zip(part.column("doc_id").to_pylist(), limits, limits[1:]):
