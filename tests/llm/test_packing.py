@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from vectide.llm.common import slices
 from vectide.llm.packing import UnitIds, default_path, pack, plan, tokenizer
 
 
@@ -106,6 +107,20 @@ def test_a_part_is_merged_once_and_nothing_is_kept(monkeypatch):
     assert vars(units) == before
 
 
+def test_a_worker_gives_free_memory_back(monkeypatch):
+    given, real = [], pa.default_memory_pool()
+
+    class Pool:
+        def release_unused(self):
+            given.append(True)
+            real.release_unused()
+
+    batches = [pa.RecordBatch.from_pydict({"text": ["ab", None, "c" * 9]})] * 2
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    assert [b.column("text").to_pylist() for b in slices(iter(batches), "text", 4)] == [["ab", ""], ["c" * 9]] * 2
+    assert given == [True]
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -57,7 +57,11 @@ def discard(*tables: DataFrame, shuffles: bool = True) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds at most ``limit`` bytes of text, or one row."""
+    """Cut batches so that each holds at most ``limit`` bytes of text, or one row.
+
+    At the end Arrow's pool gives back what is free: Spark keeps a worker for
+    later stages, and its memory counts beside theirs.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -74,6 +78,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             stop = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        batch = column = None
+    pa.default_memory_pool().release_unused()
 
 
 def _offsets(column: pa.LargeStringArray) -> np.ndarray:
