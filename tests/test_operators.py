@@ -2,6 +2,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,39 @@ def test_draws_equal_brute_force_in_any_chunks(spark, monkeypatch, chunk):
     assert len(means) == 16 and all(np.allclose(r.mu_n, np.mean([x[i] for i in want[r.n, r.rep]], axis=0)) for r in means)
 
 
+@pytest.mark.parametrize("chunk", [100_000, 70])
+def test_draw_extents_send_one_row_for_each_draw(spark, monkeypatch, chunk):
+    monkeypatch.setattr(R, "CHUNK", chunk)
+    df, _ = planted(spark)
+    depths = spark.createDataFrame([("t", "L", n, 300) for n in (5, 150, 299)], "g string, line string, n long, size long")
+    drawn = R.subsample(df, depths, ["g", "line"], "row_id", 3, 7).groupBy("n", "rep").agg(F.count("*"), F.min("row_id"), F.max("row_id"))
+    extents = R.draw_extents(df, depths, ["g", "line"], "row_id", 3, 7)
+    assert sorted(map(tuple, extents.select("n", "rep", "rows", "low", "high").collect())) == sorted(map(tuple, drawn.collect()))
+
+
+def test_draws_where_names_repeat():
+    rng = np.random.default_rng(3)
+    h, values = np.sort(np.repeat(rng.integers(0, R.PRIME, 60), 50)), rng.normal(size=(3000, 2))
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % R.PRIME
+    got = R._draw_whole(h, 900, 3000, 20, 0, lambda: R._Sums(pa.scalar(values.tobytes(), pa.binary()), 3000, 20)).sums
+    for rep in range(20):
+        key = (h * number(f"900|{rep}|0|a") + number(f"900|{rep}|0|b")) % R.PRIME
+        want = np.argsort(key, kind="stable")[:900]
+        want = want[key[want] <= R.PRIME * (900 + 8 * 30 + 32) / 3000]  # as the SQL has it
+        assert np.allclose(got[rep], [*values[want].sum(axis=0), len(want)])
+
+
+def test_scaled_keys_compare_as_keys_do():
+    keys = np.array([0, 1, 2, 1014138928, R.PRIME - 2, R.PRIME - 1])
+    a, b = (np.array([R._factors(40, 50, 1)[k][:, 0]]).T for k in (0, 1))
+    number = lambda rep, which: int(hashlib.md5(f"40|{rep}|1|{which}".encode()).hexdigest()[:8], 16) % R.PRIME
+    exact = np.array([[(int(k) * number(r, "a") + number(r, "b")) % R.PRIME for k in keys] for r in range(50)])
+    half = keys * a + b >> 32
+    assert (R._key_of(half) == exact).all()
+    top = np.vectorize(R._top)(exact)
+    assert (half <= top).all() and (half > np.vectorize(R._top)(exact - 1)).all()
+
+
 def test_curves_follow_the_prediction(spark):
     df, d = planted(spark, 600, 6, 4.0)
     control = spark.createDataFrame([("L", [0.0] * d)], "line string, mu_c array<double>")

@@ -6,15 +6,18 @@ and the seed, and takes the rows with the least keys: so a draw depends on
 nothing else, neither on partitions nor on the engine, and draws are
 independent of each other.
 
-A group's rows are read by chunks of bounded size, once for all its draws. Of
-the chunks of a large group only sums leave a task, and the few rows whose key
-is too close to the last one drawn to tell without the other chunks.
+A group's rows are packed by chunks of bounded size, once for all its draws. Of
+a group of several chunks the last key drawn is found first, from counts and
+the few keys that are too close to it to tell without the other chunks; then
+only sums leave a task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+import sys
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +25,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from vectide.functions import vec
@@ -44,60 +49,272 @@ def half_grid(n: str, points: int) -> Column:
 
 #: Keys are numbers below this prime.
 PRIME = 2**31 - 1
-#: Rows of a group that are drawn from together, about.
-CHUNK = 100_000
-#: Keys that are held at once.
-HELD = 1 << 21
+#: Rows of a group that are drawn from together, about, and numbers in their vectors at most.
+CHUNK, ENTRIES = 100_000, 1 << 23
+#: Keys that are held at once, and of each replicate.
+HELD, WIDTH = 1 << 18, 1 << 13
+#: Rows of a chunk whose names leave it.
+NAMED = 1 << 13
+#: Share of a group's rows from which on a product sums a draw faster than its list of rows.
+DENSE = 0.02
+#: Where a number's upper half lies.
+UPPER = int(sys.byteorder == "little")
 
 
 def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % PRIME
 
 
-@lru_cache(maxsize=1 << 12)
+@lru_cache(maxsize=1 << 10)
 def _factors(n: int, reps: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two factors of each replicate's keys at a depth."""
+    """The two factors of each replicate's keys at a depth, for keys scaled to all 64 bits.
+
+    A key k is scaled to ``(k + 1/2) * 2**64 / PRIME - 2**63``, give or take an eighth of
+    the step: multiplying by a rounded ``a * 2**64 / PRIME`` wraps around just
+    where the key does, so no remainder has to be taken.
+    """
     of = lambda rep, which: int(hashlib.md5(f"{n}|{rep}|{seed}|{which}".encode()).hexdigest()[:8], 16) % PRIME
-    return tuple(np.array([of(r, which) for r in range(reps)], dtype=np.int64)[:, None] for which in "ab")
+    scaled = lambda k, more: ((((k << 65) // PRIME + 1) >> 1) + more) % (1 << 64)
+    more = {"a": 0, "b": (1 << 32) + (1 << 63)}
+    return tuple(np.array([scaled(of(r, which), more[which]) for r in range(reps)], dtype=np.uint64).view(np.int64)[:, None] for which in "ab")
+
+
+def _top(key: int) -> int:
+    """The upper half of the bits of the greatest scaled key of ``key``; that of ``key + 1`` is always above."""
+    return max(((2 * key + 1 << 63) // PRIME + (1 << 30) + 1 >> 32) - (1 << 31), -(1 << 31) - 1)
+
+
+def _key_of(half: np.ndarray) -> np.ndarray:
+    """Keys from the upper half of their scaled numbers' bits."""
+    twice = (half.astype(np.int64) + (1 << 31)) * 2 + 1
+    return (twice.astype(np.uint64) * np.uint64(PRIME) >> np.uint64(33)).astype(np.int64)
+
+
+def _near(n: int, size: int) -> tuple[int, int]:
+    """First and last key of those around the n-th of ``size``, seven standard deviations on either side."""
+    margin = 7 * (n * max(0.0, 1 - n / size)) ** 0.5 + 32
+    return min(PRIME - 1, max(0, math.ceil(PRIME * (n - margin) / size))), min(PRIME - 1, math.floor(PRIME * (n + margin) / size))
+
+
+def _scaled_keys(h: np.ndarray, n: int, reps: int, seed: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First replicate, first row and scaled keys of each block of a depth."""
+    a, b = _factors(n, reps, seed)
+    width = max(1, min(len(h), WIDTH))
+    step = max(1, HELD // width)
+    space = np.empty(step * width, dtype=np.int64)  # one for all: new pages would cost as much as the product
+    for first in range(0, reps, step):
+        for start in range(0, len(h), width):
+            part, factor = h[start : start + width], a[first : first + step]
+            key = space[: len(factor) * len(part)].reshape(len(factor), len(part))
+            np.multiply(part, factor, out=key)
+            key += b[first : first + step]
+            yield first, start, key
+
+
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Where a mask holds, by rows, as places in its entries."""
+    flat = mask.reshape(-1)
+    if flat.size % 8 or np.count_nonzero(flat) > flat.size // 256:
+        return np.flatnonzero(flat)
+    words = np.flatnonzero(flat.view(np.int64) != 0)  # most words of eight are empty
+    return (words[:, None] * 8 + np.arange(8))[flat.reshape(-1, 8)[words]]
+
+
+class _Sums:
+    """Of each draw the number of its rows and their sum."""
+
+    fields = "number long, s array<double>"
+
+    def __init__(self, more: pa.Scalar, rows: int, reps: int, state: bytes | None = None):
+        values = np.frombuffer(more.as_buffer(), dtype=np.float64).reshape(rows, -1)
+        self.values = np.concatenate([values, np.ones((rows, 1))], axis=1)  # the last entry counts
+        self.sums = np.zeros((reps, self.values.shape[1])) if state is None else np.frombuffer(state, dtype=np.float64).reshape(reps, -1).copy()
+
+    def mask(self, first: int, start: int, mask: np.ndarray) -> None:
+        self.sums[first : first + len(mask)] += mask.astype(np.float64) @ self.values[start : start + mask.shape[1]]
+
+    def rows(self, rep: np.ndarray, at: np.ndarray) -> None:
+        edges = np.flatnonzero(np.diff(rep, prepend=-1))
+        if len(edges):
+            self.sums[rep[edges]] += np.add.reduceat(self.values[at], edges, axis=0)
+
+    def state(self) -> bytes:
+        return self.sums.tobytes()
+
+    def number(self) -> np.ndarray:
+        return self.sums[:, -1].astype(np.int64)
+
+    def result(self) -> dict:
+        rep, d = np.flatnonzero(self.sums[:, -1]), self.values.shape[1] - 1
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(rep) + 1, dtype=np.int32) * d), pa.array(self.sums[rep, :-1].reshape(-1)))
+        return {"rep": pa.array(rep.astype(np.int32)), "number": pa.array(self.sums[rep, -1].astype(np.int64)), "s": vectors}
+
+
+class _Extents:
+    """Of each draw the number of its rows, the first and the last name."""
+
+    fields = "rows long, low string, high string"
+
+    def __init__(self, more: pa.Scalar, rows: int, reps: int, state: bytes | None = None):
+        self.names = more.values
+        self.ends = np.array([[0], [rows], [-1]]).repeat(reps, axis=1) if state is None else np.frombuffer(state, dtype=np.int64).reshape(3, reps).copy()
+
+    def mask(self, first: int, start: int, mask: np.ndarray) -> None:
+        here = np.array([np.count_nonzero(m) for m in mask])
+        kept = np.flatnonzero(here)
+        self._add(kept + first, here[kept], start + mask.argmax(axis=1)[kept], start + mask.shape[1] - 1 - mask[:, ::-1].argmax(axis=1)[kept])
+
+    def rows(self, rep: np.ndarray, at: np.ndarray) -> None:
+        edges = np.flatnonzero(np.diff(rep, prepend=-1))
+        if len(edges):
+            self._add(rep[edges], np.diff(edges, append=len(rep)), np.minimum.reduceat(at, edges), np.maximum.reduceat(at, edges))
+
+    def _add(self, rep: np.ndarray, number: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        self.ends[0, rep] += number
+        self.ends[1, rep] = np.minimum(self.ends[1, rep], low)
+        self.ends[2, rep] = np.maximum(self.ends[2, rep], high)
+
+    def state(self) -> bytes:
+        return self.ends.tobytes()
+
+    def number(self) -> np.ndarray:
+        return self.ends[0].copy()
+
+    def result(self) -> dict:
+        rep = np.flatnonzero(self.ends[0])
+        number, low, high = self.ends[:, rep]
+        return {"rep": pa.array(rep.astype(np.int32)), "rows": pa.array(number), "low": self.names.take(pa.array(low)), "high": self.names.take(pa.array(high))}
+
+
+class _Names(_Extents):
+    """The names of each draw's rows."""
 
+    fields = "names array<string>"
+
+    def __init__(self, more: pa.Scalar, rows: int, reps: int, state: bytes | None = None):
+        self.names, self.parts, self.reps = more.values, [], reps
+        if state:
+            self.parts.append(np.frombuffer(state, dtype=np.int64).reshape(2, -1))
+
+    def mask(self, first: int, start: int, mask: np.ndarray) -> None:
+        rep, at = np.nonzero(mask)
+        self.rows(rep + first, at + start)
+
+    def rows(self, rep: np.ndarray, at: np.ndarray) -> None:
+        self.parts.append(np.stack([rep, at]))
 
-def _near(n: int, size: int) -> tuple[float, float]:
-    """Bounds of keys, eight standard deviations around the n-th of ``size``."""
-    margin = 8 * n**0.5 + 32
-    return PRIME * (n - margin) / size, PRIME * (n + margin) / size
+    def all(self) -> np.ndarray:
+        return np.concatenate([np.empty((2, 0), dtype=np.int64), *self.parts], axis=1)
 
+    def state(self) -> bytes:
+        return self.all().tobytes()
 
-def _chunks(rows: DataFrame, depths: DataFrame, keys: list[str], row: str, x: list[str]) -> DataFrame:
-    """Rows with their number ``h`` and chunk, beside their group's ``size`` and ``depths``."""
-    plan = depths.groupBy(*keys).agg(F.first("size").cast("long").alias("__size"), F.sort_array(F.collect_set(F.col("n").cast("long"))).alias("__depths"))
-    met = rows.select(*keys, F.col(row).cast("string").alias("__row"), *x).join(plan, keys).withColumn("__h", _number(F.col("__row")))
-    return met.withColumn("__of", F.ceil(F.col("__size") / CHUNK).cast("int")).withColumn("__chunk", F.pmod(F.col("__h"), F.col("__of")))
+    def number(self) -> np.ndarray:
+        return np.bincount(self.all()[0], minlength=self.reps)
 
+    def result(self) -> dict:
+        rep, at = self.all()
+        at, many = at[np.argsort(rep, kind="stable")], np.bincount(rep, minlength=self.reps)
+        kept = np.flatnonzero(many)
+        limits = np.concatenate([[0], np.cumsum(many[kept])]).astype(np.int32)
+        return {"rep": pa.array(kept.astype(np.int32)), "names": pa.ListArray.from_arrays(pa.array(limits), self.names.take(pa.array(at)))}
 
-def _selected(table: pa.Table, reps: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth and some replicates: depth, first replicate, keys, and which rows are in and which are open.
 
-    The table's rows are sorted by their name, which parts equal keys.
+Open = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _draw(h: np.ndarray, n: int, size: int, low: int, high: int, reps: int, seed: int, to: _Sums | _Extents) -> Open:
+    """Pass on the rows of keys below ``low``; number, keys and places of each replicate's rows from there to ``high``."""
+    dense, halves, places, blocks = n > DENSE * size, [], [], []
+    # half of the bits tell keys apart, and cost less to compare
+    from_, upto, all_ = np.int32(_top(low - 1) + 1), np.int32(_top(high)), np.int64((_top(high) << 32) + (1 << 32) - 1)
+    for first, start, key in _scaled_keys(h, n, reps, seed):
+        if dense:
+            half = key.view(np.int32)[:, UPPER::2].copy()
+            below = half < from_
+            to.mask(first, start, below)
+            at = _places(below ^ (half <= upto))
+            halves.append(half.reshape(-1)[at])
+        else:
+            at = _places(key <= all_)
+            halves.append(key.reshape(-1)[at] >> 32)
+        places.append(at)
+        blocks.append((first, start, key.shape[1], len(at)))
+    first, start, width, many = np.array(blocks).T
+    rep, at = np.divmod(np.concatenate(places), width.repeat(many))
+    rep, at, number = rep + first.repeat(many), at + start.repeat(many), _key_of(np.concatenate(halves))
+    order = np.argsort(rep.astype(np.int32), kind="stable")
+    rep, at, number = rep[order], at[order], number[order]
+    if not dense:
+        sure = number < low
+        to.rows(rep[sure], at[sure])
+        rep, at, number = rep[~sure], at[~sure], number[~sure]
+    return np.bincount(rep, minlength=reps), number.astype(np.uint32), at.astype(np.uint32)
+
+
+def _pick(need: np.ndarray, parts: list[Open]) -> list[np.ndarray]:
+    """Which of the open rows of each chunk are drawn, when each replicate needs so many more.
+
+    Equal keys are equal numbers, which lie in one chunk by name.
     """
-    h, size, whole = table["__h"].to_numpy(), table["__size"][0].as_py(), table["__of"][0].as_py() == 1
-    place, rows = np.arange(len(h)), len(h)
-    for n in table["__depths"][0].as_py():
-        a, b = _factors(n, reps, seed)
-        low, high = _near(n, size)
-        step = max(1, HELD // rows)
-        for first in range(0, reps, step):
-            key = (h * a[first : first + step] + b[first : first + step]) % PRIME
-            if not whole:
-                yield n, first, key, key < low, (key >= low) & (key <= high)
-            elif n >= rows:
-                yield n, first, key, np.ones(key.shape, dtype=bool), np.zeros(key.shape, dtype=bool)
-            else:
-                order = (key << 20) + place
-                yield n, first, key, order <= np.partition(order, n - 1, axis=1)[:, n - 1 : n], np.zeros(key.shape, dtype=bool)
+    many = np.stack([p[0] for p in parts])
+    rep = np.concatenate([np.arange(len(need)).repeat(m) for m in many])
+    order = np.argsort((rep << 32) + np.concatenate([p[1] for p in parts]), kind="stable")
+    before = np.concatenate([[0], np.cumsum(many.sum(axis=0))])[:-1]
+    pick = np.zeros(len(rep), dtype=bool)
+    pick[order] = np.arange(len(rep)) - before[rep[order]] < need[rep[order]]
+    return np.split(pick, np.cumsum(many.sum(axis=1))[:-1])
+
+
+def _missed(need: np.ndarray, many: np.ndarray, high: int) -> bool:
+    """Whether some n-th key is not between the bounds (names that repeat)."""
+    return bool((need < 0).any() or (high < PRIME - 1 and (need > many).any()))
+
+
+def _draw_whole(h: np.ndarray, n: int, size: int, reps: int, seed: int, new: Callable[[], _Sums | _Extents]) -> _Sums | _Extents:
+    """The draws of a group that is here as a whole."""
+    to, bounds = new(), _near(n, size)
+    found = _draw(h, n, size, *bounds, reps, seed, to)
+    if _missed(n - to.number(), found[0], bounds[1]):
+        to = new()
+        found = _draw(h, n, size, 0, min(PRIME - 1, math.floor(PRIME * (n + 8 * n**0.5 + 32) / size)), reps, seed, to)
+    pick = _pick(n - to.number(), [found])[0]
+    to.rows(np.arange(reps).repeat(found[0])[pick], found[2][pick].astype(np.int64))
+    return to
+
 
+def _plan(depths: DataFrame, keys: list[str], d: int) -> DataFrame:
+    """A row for each group: its size, depths, and the number of its chunks."""
+    plan = depths.groupBy(*keys).agg(F.first("size").cast("long").alias("size"), F.sort_array(F.collect_set(F.col("n").cast("long"))).alias("depths"))
+    return plan.withColumn("chunks", F.ceil(F.col("size") / _chunk_rows(d)).cast("int"))
 
-def _sorted(table: pa.Table) -> pa.Table:
-    return table.take(pc.sort_indices(table, sort_keys=[("__row", "ascending")]))
+
+def _chunk_rows(d: int) -> int:
+    return max(1, min(CHUNK, ENTRIES // max(d, 1)))
+
+
+def _packed(rows: DataFrame, plan: DataFrame, keys: list[str], row: str, x: str | None) -> DataFrame:
+    """A row for each chunk: its rows' numbers ``h`` as bytes, beside their vectors as bytes or, without x, their names.
+
+    Rows of equal numbers lie in one chunk and in the order of their names.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        by = ["__h", "__row"] if x else ["__row"]
+        order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in by])
+        h = table["__h"].to_numpy()[order.to_numpy()].astype(np.int32).tobytes()
+        if x:
+            all_ = table[x].combine_chunks()
+            values = np.asarray(all_.flatten(), dtype=np.float64).reshape(len(table), -1)[order.to_numpy()]
+            more = pa.array([values.tobytes()], pa.binary())
+        else:
+            names = table["__row"].combine_chunks().take(order)
+            more = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+        return _with_keys(table, [*keys, "__chunk"], 1, {"h": pa.array([h], pa.binary()), "more": more})
+
+    met = rows.select(*keys, F.col(row).cast("string").alias("__row"), *([x] if x else [])).join(plan.select(*keys, "chunks"), keys)
+    met = met.withColumn("__h", _number(F.col("__row"))).withColumn("__chunk", F.pmod("__h", F.col("chunks")).cast("int")).drop("chunks")
+    return met.groupBy(*keys, "__chunk").applyInArrow(pack, _schema(met, [*keys, "__chunk"], "h binary, more " + ("binary" if x else "array<string>")))
 
 
 def _with_keys(table: pa.Table, keys: list[str], rows: int, more: dict) -> pa.Table:
@@ -110,71 +327,110 @@ def _schema(rows: DataFrame, keys: list[str], more: str) -> str:
     return ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", " + more
 
 
+def _beside(packs: DataFrame, others: DataFrame, keys: list[str], of: Callable[[pa.Table, pa.Table, np.ndarray], Iterator[dict]], more: str) -> DataFrame:
+    """What ``of`` makes of each chunk, the other table's rows for it, and its rows' numbers."""
+    by, schema = [*keys, "__chunk"], _schema(packs, keys, more)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def meet(chunk: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(chunk) or not len(own):
+            return arrow.empty_table()
+        h = np.frombuffer(chunk["h"][0].as_buffer(), dtype=np.int32).astype(np.int64)
+        parts = [_with_keys(chunk, keys, len(next(iter(p.values()))), p) for p in of(chunk, own, h)]
+        return pa.concat_tables(parts).select(arrow.names).cast(arrow) if parts else arrow.empty_table()
+
+    return packs.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(meet, schema)
+
+
+def _has_large(plan: DataFrame) -> bool:
+    most = plan.agg(F.max("chunks")).first()[0]
+    return most is not None and most > 1
+
+
+def _binary(**arrays: np.ndarray) -> dict:
+    return {name: pa.array([a.tobytes()], pa.binary()) for name, a in arrays.items()}
+
+
+def _of_draws(rows: DataFrame, depths: DataFrame, keys: list[str], row: str, x: str | None, d: int, reps: int, seed: int, kind: type) -> tuple[DataFrame, bool]:
+    """What ``kind`` keeps of each draw, and whether groups of several chunks have it in parts.
+
+    A group of one chunk is drawn from at once. Of several, a chunk passes on what its sure
+    rows come to, and the keys and places of rows too close to the n-th key to tell without
+    the other chunks: some ten square roots of n for each draw, eight bytes each. They
+    meet by depth, and the places of those drawn go back to their chunk.
+    """
+    plan = _plan(depths, keys, d)
+    packs, large, by = _packed(rows, plan, keys, row, x), _has_large(plan), [*keys, "__chunk"]
+    of = f"n long, rep int, {kind.fields}"
+
+    def whole(chunk: pa.Table, own: pa.Table, h: np.ndarray) -> Iterator[dict]:
+        size = own["size"][0].as_py()
+        for n in own["depths"][0].as_py() if own["chunks"][0].as_py() == 1 else []:
+            out = _draw_whole(h, n, size, reps, seed, lambda: kind(chunk["more"][0], len(h), reps)).result()
+            yield {"n": pa.array(np.full(len(out["rep"]), n)), **out}
+
+    each = plan.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    if not large:
+        return _beside(packs, each, keys, whole, of), False
+
+    def open_(chunk: pa.Table, own: pa.Table, h: np.ndarray) -> Iterator[dict]:
+        size, chunks = own["size"][0].as_py(), own["chunks"][0].as_py()
+        for n in own["depths"][0].as_py():
+            to, bounds = kind(chunk["more"][0], len(h), reps), _near(n, size)
+            if chunks == 1:
+                to, bounds, found = _draw_whole(h, n, size, reps, seed, lambda: kind(chunk["more"][0], len(h), reps)), (0, PRIME - 1), [np.zeros(reps, dtype=np.int64), *[np.empty(0, dtype=np.uint32)] * 2]
+            else:
+                found = _draw(h, n, size, *bounds, reps, seed, to)
+            yield {"__chunk": chunk["__chunk"].combine_chunks(), "n": pa.array([n]), "high": pa.array([bounds[1]]), "state": pa.array([to.state()], pa.binary()), **_binary(sure=to.number(), many=found[0], open=found[1], at=found[2])}
+
+    def pick(table: pa.Table) -> pa.Table:
+        n, high = table["n"][0].as_py(), table["high"][0].as_py()
+        of = lambda c, kind: [np.frombuffer(v.as_buffer(), dtype=kind) for v in table[c]]
+        many, places = of("many", np.int64), of("at", np.uint32)
+        need = n - sum(of("sure", np.int64))
+        if _missed(need, sum(many), high):
+            raise ValueError("names repeat so often that draws of a large group have no bounds: give every row a name of its own")
+        picks = _pick(need, list(zip(many, of("open", np.uint32), places)))
+        reps_ = [np.bincount(np.arange(reps).repeat(m)[p], minlength=reps).tobytes() for m, p in zip(many, picks)]
+        return table.select([*by, "n", "state"]).append_column("many", pa.array(reps_, pa.binary())).append_column("at", pa.array([a[p].tobytes() for a, p in zip(places, picks)], pa.binary()))
+
+    def close(chunk: pa.Table, own: pa.Table, h: np.ndarray) -> Iterator[dict]:
+        for n, state, many, at in zip(own["n"].to_pylist(), own["state"], own["many"], own["at"]):
+            to = kind(chunk["more"][0], len(h), reps, state.as_buffer())
+            to.rows(np.arange(reps).repeat(np.frombuffer(many.as_buffer(), dtype=np.int64)), np.frombuffer(at.as_buffer(), dtype=np.uint32).astype(np.int64))
+            out = to.result()
+            yield {"n": pa.array(np.full(len(out["rep"]), n)), **out}
+
+    found = _beside(packs, each, keys, open_, "__chunk int, n long, high long, state binary, sure binary, many binary, open binary, at binary")
+    picked = found.groupBy(*keys, "n").applyInArrow(pick, _schema(packs, by, "n long, state binary, many binary, at binary"))
+    # chunks are dealt out alike both times, so Spark makes them once
+    return _beside(packs, picked, keys, close, of), True
+
+
 def subsample(rows: DataFrame, depths: DataFrame, keys: list[str], row: str, reps: int, seed: int = 0) -> DataFrame:
     """Draws without replacement: the keys, ``n``, ``rep`` and the row's name (as text) of every row drawn.
 
     depths holds the keys, ``n`` and the group's size ``size``; row names a
     column that tells the rows of a group apart.
     """
-
-    def draw(table: pa.Table) -> pa.Table:
-        table = _sorted(table)
-        parts = []
-        for n, first, key, taken, open_ in _selected(table, reps, seed):
-            rep, at = np.nonzero(taken | open_)
-            more = {"n": pa.array(np.full(len(rep), n)), "rep": pa.array((rep + first).astype(np.int32)), row: table["__row"].combine_chunks().take(pa.array(at)), "__key": pa.array(np.where(taken[rep, at], -1, key[rep, at]))}
-            parts.append(_with_keys(table, keys, len(rep), more))
-        return pa.concat_tables(parts)
-
-    met = _chunks(rows, depths, keys, row, [])
-    drawn = met.groupBy(*keys, "__chunk").applyInArrow(draw, _schema(rows, keys, f"n long, rep int, `{row}` string, __key long"))
-    if not _has_large(depths):
-        return drawn.drop("__key")
-    group = [*keys, "n", "rep"]
-    sure = drawn.where("__key < 0").groupBy(*group).agg(F.count("*").alias("__sure"))
-    last = drawn.where("__key >= 0").withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy("__key", row)))
-    last = last.join(sure, group, "left").where(F.col("__rank") <= F.col("n") - F.coalesce("__sure", F.lit(0)))
-    return drawn.where("__key < 0").select(*group, row).unionByName(last.select(*group, row))
+    # names leave a task for every draw, so its chunks are small
+    drawn = _of_draws(rows, depths, keys, row, None, ENTRIES // NAMED, reps, seed, _Names)[0]
+    return drawn.select(*keys, "n", "rep", F.explode("names").alias(row))
 
 
-def _has_large(depths: DataFrame) -> bool:
-    most = depths.agg(F.max("size")).first()[0]
-    return most is not None and most > CHUNK
+def draw_extents(rows: DataFrame, depths: DataFrame, keys: list[str], row: str, reps: int, seed: int = 0) -> DataFrame:
+    """Of each draw (see ``subsample``) the number of its rows, the first and the last name: ``rows``, ``low``, ``high``."""
+    drawn, large = _of_draws(rows, depths, keys, row, None, 1, reps, seed, _Extents)
+    return drawn.groupBy(*keys, "n", "rep").agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")) if large else drawn
 
 
 def drawn_means(rows: DataFrame, depths: DataFrame, keys: list[str], row: str, d: int, reps: int, seed: int = 0, x: str = "x") -> DataFrame:
     """``mu_n``, the mean of the rows of each draw (see ``subsample``): keys, ``n``, ``rep``, ``mu_n``."""
-
-    def draw(table: pa.Table) -> pa.Table:
-        table = _sorted(table)
-        values = np.asarray(table[x].combine_chunks().flatten(), dtype=np.float64).reshape(-1, d)
-        parts = []
-        for n, first, key, taken, open_ in _selected(table, reps, seed):
-            sums, counts, many = taken.astype(np.float64) @ values, taken.sum(axis=1), open_.sum(axis=1)
-            # of each replicate first the sum of what is sure, then the open rows
-            limits = np.concatenate([[0], np.cumsum(many + 1)])
-            sure = limits[:-1]
-            rep, at = np.nonzero(open_)
-            where = sure[rep] + 1 + np.arange(len(rep)) - np.concatenate([[0], np.cumsum(many)])[rep]
-            keyed, number, named, vector = np.full(limits[-1], -1), np.ones(limits[-1], dtype=np.int64), np.full(limits[-1], None, dtype=object), np.empty((limits[-1], d))
-            vector[sure], number[sure] = sums, counts
-            if len(rep):
-                vector[where], keyed[where], named[where] = values[at], key[rep, at], np.array(table["__row"].to_pylist(), dtype=object)[at]
-            entries = pa.StructArray.from_arrays([pa.array(keyed), pa.array(named, pa.string()), pa.array(number), pa.ListArray.from_arrays(pa.array(np.arange(len(vector) + 1, dtype=np.int32) * d), pa.array(vector.reshape(-1)))], names=["key", "row", "number", "x"])
-            more = {"n": pa.array(np.full(len(sums), n)), "rep": pa.array(np.arange(first, first + len(sums), dtype=np.int32)), "part": pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), entries)}
-            parts.append(_with_keys(table, keys, len(sums), more))
-        return pa.concat_tables(parts)
-
-    met = _chunks(rows, depths, keys, row, [x])
-    drawn = met.groupBy(*keys, "__chunk").applyInArrow(draw, _schema(rows, keys, "n long, rep int, part array<struct<key:bigint,row:string,number:bigint,x:array<double>>>"))
+    drawn, large = _of_draws(rows, depths, keys, row, x, d, reps, seed, _Sums)
     group = [*keys, "n", "rep"]
-    if not _has_large(depths):
-        one = F.col("part")[0]
-        return drawn.select(*group, F.transform(one["x"], lambda v: v / one["number"]).alias("mu_n"))
-    entries = drawn.select(*group, F.explode("part").alias("p")).select(*group, "p.*")
-    so_far = F.sum("number").over(Window.partitionBy(*group).orderBy("key", "row").rowsBetween(Window.unboundedPreceding, 0))
-    kept = entries.withColumn("__so_far", so_far).where(F.col("__so_far") <= F.col("n"))
-    return kept.groupBy(*group).agg(vec.sums("x", d).alias("__s"), F.sum("number").alias("__n")).select(*group, vec.over("__s", F.col("__n")).alias("mu_n"))
+    if large:
+        drawn = drawn.groupBy(*group).agg(vec.sums("s", d).alias("s"), F.sum("number").alias("number"))
+    return drawn.select(*group, vec.over("s", F.col("number")).alias("mu_n"))
 
 
 def realized_angles(means: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
