@@ -443,6 +443,12 @@ def predicted_sq(trace: Column, m: Column, n: Column, size: Column) -> Column:
     return F.greatest(trace / (m * m) * (F.lit(1.0) / n - F.lit(1.0) / size), F.lit(0.0))
 
 
+def predicted_points(depths: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``predicted`` and ``xn`` at each depth, which no draw changes; depths holds the keys and ``n``."""
+    met = depths.select(*keys, "n").join(groups.select(*keys, "size", "m", "tr_perp"), keys)
+    return met.select(*keys, "n", "size", predicted_sq(F.col("tr_perp"), F.col("m"), F.col("n"), F.col("size")).alias("predicted"), (F.lit(1.0) / F.col("n") - F.lit(1.0) / F.col("size")).alias("xn"))
+
+
 def curve_points(angles: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """``realized`` and ``predicted`` squared angles for each depth, with ``xn = 1/n - 1/N``."""
     mean = angles.groupBy(*keys, "n").agg(F.avg(F.col("angle") * F.col("angle")).alias("realized"))
