@@ -54,3 +54,12 @@ def test_j14_reads_the_groups_once(spark, sf, monkeypatch):
     monkeypatch.setattr(measure, "groups", lambda *a: calls.append(a) or groups(*a))
     QUERIES["j14_heldout_regime"](spark, sf)
     assert len(calls) == 1
+
+
+def test_r14_counts_the_halves_once(spark, sf, monkeypatch):
+    from vectide.plans import measure
+
+    reads, written = [], measure.written
+    monkeypatch.setattr(measure, "written", lambda df: reads.append(df.columns) or written(df))
+    QUERIES["r14_two_halves"](spark, sf)
+    assert ["brand", "line", "half", "size"] in reads

@@ -555,15 +555,25 @@ def hi_lo_snr_split(records: DataFrame) -> DataFrame:
     return r.agg(F.percentile(F.when(F.col("rho2") > F.col("__mid"), F.col("ratio")), F.lit(0.5)).alias("ratio_high"), F.percentile(F.when(F.col("rho2") <= F.col("__mid"), F.col("ratio")), F.lit(0.5)).alias("ratio_low"))
 
 
-def two_halves(rows: DataFrame, groups: DataFrame, keys: list[str], row: str, d: int, points: int = 6, reps: int = 200, seed: int = 0) -> DataFrame:
+def halves(rows: DataFrame, row: str, seed: int = 0) -> DataFrame:
+    """Append ``half``, 0 or 1, from the row's name."""
+    half = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row).cast("string"), F.lit(f"half{seed}"))), 1, 8), 16, 10).cast("long"), F.lit(2))
+    return rows.withColumn("half", half.cast("int"))
+
+
+def half_sizes(split: DataFrame, keys: list[str]) -> DataFrame:
+    return split.groupBy(*keys, "half").agg(F.count("*").alias("size"))
+
+
+def two_halves(rows: DataFrame, groups: DataFrame, keys: list[str], row: str, d: int, points: int = 6, reps: int = 200, seed: int = 0, sizes: DataFrame | None = None) -> DataFrame:
     """Independent estimates from two halves against each other and against the whole.
 
     ratio is the median over depths of the two root mean square angles' ratio;
-    sqrt(2) if the halves are as independent as they should be.
+    sqrt(2) if the halves are as independent as they should be. ``sizes`` are those
+    of ``half_sizes`` if they are written already: they are read several times.
     """
-    half = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row).cast("string"), F.lit(f"half{seed}"))), 1, 8), 16, 10).cast("long"), F.lit(2))
-    split = rows.withColumn("half", half.cast("int"))
-    sizes = split.groupBy(*keys, "half").agg(F.count("*").alias("size"))
+    split = halves(rows, row, seed)
+    sizes = half_sizes(split, keys) if sizes is None else sizes
     low = sizes.groupBy(*keys).agg(F.min("size").alias("low"), F.count("*").alias("k")).where("k = 2")
     grid = F.filter(depth_grid(F.col("low"), F.greatest(F.floor(F.col("low") / 2), F.lit(21)), points), lambda n: n >= 10)
     depths = sizes.join(low.select(*keys, F.explode(grid).alias("n")), keys)
